@@ -67,3 +67,78 @@ def q_last_picture_per_id(spark, sf_dir):
 @query("extract_progress")
 def q_extract_progress(spark, sf_dir):
     return extract.progress(_pictures(spark, sf_dir), every=1000)
+
+
+# --- prepare --------------------------------------------------------------------
+
+from tessera.functions.columns import has_extension, label_from_path, one_hot, round_array, scale_pixels  # noqa: E402
+from tessera.operators import prepare  # noqa: E402
+from tessera.plans.tables import table  # noqa: E402
+
+
+@query("label_from_path")
+def q_label_from_path(spark, sf_dir):
+    pages = A.page_paths(spark, sf_dir).select(F.lit("pages").alias("source"), "id", "path")
+    files = (A.embedding_paths(spark, sf_dir).filter(has_extension("path"))
+             .select(F.lit("embeddings").alias("source"), "id", "path"))
+    both = pages.unionByName(files)
+    return both.withColumn("label", F.try_element_at(F.split("path", "/"), F.lit(-2)))
+
+
+@query("index_labels")
+def q_index_labels(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return prepare.index_labels(part, "p_type").select("p_partkey", "p_type", "label_idx")
+
+
+@query("one_hot_labels")
+def q_one_hot_labels(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return emb.select("vec_id", F.posexplode(one_hot("label", 10)).alias("idx", "value"))
+
+
+@query("scale_pixels")
+def q_scale_pixels(spark, sf_dir):
+    return A.part_pixels(spark, sf_dir).select("id", scale_pixels("pixels").alias("pixels"))
+
+
+def _balanced(spark, sf_dir):
+    return prepare.balance_classes(A.embedding_images(spark, sf_dir), "label", "id")
+
+
+@query("balance_classes")
+def q_balance_classes(spark, sf_dir):
+    b, _ = _balanced(spark, sf_dir)
+    return b.select("id", "label", "label_idx", "rn", "pos")
+
+
+@query("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    b, bal = _balanced(spark, sf_dir)
+    return prepare.split_train_test(b, bal).select("id", "label", "pos", "split", "split_pos")
+
+
+@query("assign_batches")
+def q_assign_batches(spark, sf_dir):
+    b, bal = _balanced(spark, sf_dir)
+    s = prepare.assign_batches(prepare.split_train_test(b, bal), 20)
+    return s.select("id", "split", "split_pos", "batch_id")
+
+
+@query("min_max_scale")
+def q_min_max_scale(spark, sf_dir):
+    b, bal = _balanced(spark, sf_dir)
+    s = prepare.split_train_test(b, bal).withColumnRenamed("pixels", "features").persist()
+    stats = prepare.fit_min_max(s.filter(F.col("split") == "train"), "features")
+    out = prepare.apply_min_max(s, stats, "features")
+    return out.select("id", "split", round_array("features", 6).alias("features"))
+
+
+@query("dataset_roundtrip")
+def q_dataset_roundtrip(spark, sf_dir):
+    from tessera.session import shared_path
+    from tessera.sources.dataset import read_dataset, write_dataset
+    samples, _ = prepare.prepare_samples(A.embedding_images(spark, sf_dir), batch=20)
+    path = write_dataset(samples, shared_path(spark, "datasets"))
+    return read_dataset(spark, path).select("id", "pos", "split", "split_pos", "batch_id", "label",
+                                            "features", "onehot")

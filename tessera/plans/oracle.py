@@ -51,3 +51,84 @@ SELECT e.event_id AS record_index, e.event_id AS n_pictures,
        (SELECT count(*) FROM f WHERE f.fp < e.event_id) AS n_categories
 FROM events e WHERE e.event_id % 1000 = 0
 """
+
+_EXT_LIST = ("'bmp','gif','jpg','jpeg','jp2','pbm','pgm','ppm','pnm','png','tif','tiff','exr','webp',"
+             "'BMP','GIF','JPG','JPEG','JP2','PBM','PGM','PPM','PNM','PNG','TIF','TIFF','EXR','WEBP'")
+
+ORACLE["label_from_path"] = f"""
+SELECT 'pages' AS source, page_id AS id, url AS path, string_split(url, '/')[-2] AS label FROM pages
+UNION ALL
+SELECT 'embeddings', id, path, string_split(path, '/')[-2] FROM (
+  SELECT vec_id AS id,
+         '/data/' || CAST(label AS VARCHAR) || '/' || CAST(vec_id AS VARCHAR)
+           || ['.jpg', '.png', '.bmp', '.txt', '.json'][vec_id % 5 + 1] AS path
+  FROM embeddings) t
+WHERE regexp_extract(path, '\\.([^./]*)$', 1) IN ({_EXT_LIST})
+"""
+
+ORACLE["index_labels"] = """
+SELECT p_partkey, p_type, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS label_idx FROM part
+"""
+
+ORACLE["one_hot_labels"] = """
+SELECT vec_id, CAST(i AS INTEGER) AS idx, CAST(CASE WHEN i = label THEN 1.0 ELSE 0.0 END AS DOUBLE) AS value
+FROM embeddings, range(10) t(i)
+"""
+
+ORACLE["scale_pixels"] = """
+SELECT p_partkey AS id,
+       list_transform(range(1, 13), lambda k: CAST((p_partkey * k * 37) % 256 AS INTEGER) / CAST(255.0 AS DOUBLE)) AS pixels
+FROM part
+"""
+
+# Balanced, split and batched embeddings (seed 12345, 80/20, batch 20).
+_BAL = """
+ranked AS (
+  SELECT vec_id AS id, label, embedding,
+         row_number() OVER (PARTITION BY label ORDER BY md5('12345:' || CAST(vec_id AS VARCHAR)), vec_id) AS rn,
+         count(*) OVER (PARTITION BY label) AS class_n
+  FROM embeddings),
+cls AS (SELECT min(class_n) AS m, count(DISTINCT label) AS l FROM ranked),
+lidx AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx
+         FROM (SELECT DISTINCT label FROM embeddings) d),
+bal AS (
+  SELECT r.id, r.label, x.label_idx, r.rn, (r.rn - 1) * c.l + x.label_idx AS pos, r.embedding,
+         CAST(floor(0.8 * c.m * c.l + 0.5) AS BIGINT) AS n_train
+  FROM ranked r JOIN lidx x USING (label) CROSS JOIN cls c
+  WHERE r.rn <= c.m),
+spl AS (
+  SELECT *, CASE WHEN pos < n_train THEN 'train' ELSE 'test' END AS split,
+         CASE WHEN pos < n_train THEN pos ELSE pos - n_train END AS split_pos
+  FROM bal)
+"""
+
+ORACLE["balance_classes"] = f"""
+WITH {_BAL}
+SELECT id, label, label_idx, rn, pos FROM bal
+"""
+
+ORACLE["train_test_split"] = f"""
+WITH {_BAL}
+SELECT id, label, pos, split, split_pos FROM spl
+"""
+
+ORACLE["assign_batches"] = f"""
+WITH {_BAL}
+SELECT id, split, split_pos, CAST(split_pos // 20 AS BIGINT) AS batch_id FROM spl
+"""
+
+ORACLE["min_max_scale"] = f"""
+WITH {_BAL},
+st AS (SELECT CAST(min(list_min(embedding)) AS DOUBLE) AS lo, CAST(max(list_max(embedding)) AS DOUBLE) AS hi
+       FROM spl WHERE split = 'train')
+SELECT id, split, list_transform(embedding, lambda x: round((CAST(x AS DOUBLE) - st.lo) / (st.hi - st.lo), 6)) AS features
+FROM spl CROSS JOIN st
+"""
+
+ORACLE["dataset_roundtrip"] = f"""
+WITH {_BAL}
+SELECT id, pos, split, split_pos, CAST(split_pos // 20 AS BIGINT) AS batch_id, label_idx AS label,
+       embedding AS features,
+       list_transform(range(10), lambda i: CAST(CASE WHEN i = label_idx THEN 1.0 ELSE 0.0 END AS DOUBLE)) AS onehot
+FROM spl
+"""
