@@ -50,19 +50,29 @@ def running_total(df: DataFrame, value: Column | str, out: str,
     bucket (for example ``pos div 2**20``, or a file split).  Only the bucket
     totals meet in one task; rows are summed inside their own bucket.
     """
+    return running_totals(df, {out: value}, bucket, order)
+
+
+def running_totals(df: DataFrame, sums: dict, bucket: Sequence[str],
+                   order: Sequence[str]) -> DataFrame:
+    """Several inclusive running sums at once: ``sums`` maps output name to a
+    value column; one bucket aggregate and one join serve them all."""
     bucket = _cols(bucket)
     order = _cols(order)
-    v = F.col(value) if isinstance(value, str) else value
-    tmp = f"__{out}_v"
-    d = df.withColumn(tmp, v)
-    totals = d.groupBy(*bucket).agg(F.sum(tmp).alias("__bucket_sum"))
+    d = df
+    tmps = {}
+    for out, value in sums.items():
+        tmps[out] = f"__{out}_v"
+        d = d.withColumn(tmps[out], F.col(value) if isinstance(value, str) else value)
+    totals = d.groupBy(*bucket).agg(*[F.sum(t).alias(f"{t}_b") for t in tmps.values()])
     w_all = Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*bucket, F.coalesce(F.sum("__bucket_sum").over(w_all), F.lit(0))
-                            .alias("__bucket_off"))
+    offsets = totals.select(*bucket, *[
+        F.coalesce(F.sum(f"{t}_b").over(w_all), F.lit(0)).alias(f"{t}_o") for t in tmps.values()])
     w_in = Window.partitionBy(*bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (d.join(offsets, bucket, "left")
-             .withColumn(out, (F.col("__bucket_off") + F.sum(tmp).over(w_in)).cast("bigint"))
-             .drop(tmp, "__bucket_off"))
+    r = d.join(offsets, bucket, "left")
+    for out, t in tmps.items():
+        r = r.withColumn(out, (F.col(f"{t}_o") + F.sum(t).over(w_in)).cast("bigint"))
+    return r.drop(*tmps.values(), *[f"{t}_o" for t in tmps.values()])
 
 
 def rank_in_groups(df: DataFrame, group: Sequence[str], md5_col: str, tiebreak: Sequence[str],

@@ -142,3 +142,48 @@ def q_dataset_roundtrip(spark, sf_dir):
     path = write_dataset(samples, shared_path(spark, "datasets"))
     return read_dataset(spark, path).select("id", "pos", "split", "split_pos", "batch_id", "label",
                                             "features", "onehot")
+
+
+# --- monitor --------------------------------------------------------------------
+
+from tessera.operators import gpulog  # noqa: E402
+
+
+@query("gpu_parse")
+def q_gpu_parse(spark, sf_dir):
+    lines = gpulog.drop_headers(A.gpu_log(spark, sf_dir))
+    return gpulog.parse_lines(lines).select("line_no", "util", "mem_mib", "mem_pct")
+
+
+def _steps(spark, sf_dir):
+    return gpulog.steps(A.gpu_log(spark, sf_dir), max_history=500)
+
+
+@query("gpu_steps")
+def q_gpu_steps(spark, sf_dir):
+    return _steps(spark, sf_dir)[0]
+
+
+@query("gpu_means")
+def q_gpu_means(spark, sf_dir):
+    return gpulog.gpu_means(_steps(spark, sf_dir)[0])
+
+
+@query("gpu_series")
+def q_gpu_series(spark, sf_dir):
+    st, n = _steps(spark, sf_dir)
+    return gpulog.flatten_series(st, n)
+
+
+@query("gpu_resample")
+def q_gpu_resample(spark, sf_dir):
+    st, n = _steps(spark, sf_dir)
+    return gpulog.resample(gpulog.flatten_series(st, n), 300)
+
+
+@query("read_gpu_log")
+def q_read_gpu_log(spark, sf_dir):
+    from tessera.session import shared_path
+    from tessera.sources.textlog import read_gpu_log, write_lines
+    path = write_lines(A.gpu_log(spark, sf_dir), shared_path(spark, "gpulog"))
+    return read_gpu_log(spark, path)

@@ -132,3 +132,79 @@ SELECT id, pos, split, split_pos, CAST(split_pos // 20 AS BIGINT) AS batch_id, l
        list_transform(range(10), lambda i: CAST(CASE WHEN i = label_idx THEN 1.0 ELSE 0.0 END AS DOUBLE)) AS onehot
 FROM spl
 """
+
+_LOG = """
+log AS (
+  SELECT event_id * 2 + 1 AS line_no,
+         CAST(event_id * 7 % 101 AS VARCHAR) || ' %, ' || CAST(event_id * 13 % 4038 AS VARCHAR) || ' MiB' AS value
+  FROM events
+  UNION ALL
+  SELECT event_id * 2, 'utilization.gpu [%], memory.used [MiB]' FROM events WHERE event_id % 2 = 0)
+"""
+
+_PARSE = """
+CAST(replace(trim(split_part(value, ',', 1)), ' %', '') AS INTEGER) AS util,
+CAST(replace(trim(split_part(value, ',', 2)), ' MiB', '') AS INTEGER) AS mem_mib
+"""
+
+_STEPS = f"""
+{_LOG},
+t AS (SELECT line_no, value, starts_with(value, 'util') AS hdr,
+             sum(CASE WHEN starts_with(value, 'util') THEN 1 ELSE 0 END) OVER (ORDER BY line_no) AS blk
+      FROM log),
+dl AS (SELECT line_no, value, blk,
+              row_number() OVER (PARTITION BY blk ORDER BY line_no DESC) - 1 AS r,
+              count(*) OVER (PARTITION BY blk) AS size
+       FROM t WHERE NOT hdr),
+nn AS (SELECT size AS n FROM dl WHERE blk > 0 ORDER BY blk DESC LIMIT 1),
+ch AS (SELECT dl.*, nn.n, dl.r // nn.n AS chunk FROM dl CROSS JOIN nn),
+ok AS (SELECT * FROM ch WHERE (chunk + 1) * n <= size AND (blk > 0 OR size > (chunk + 1) * n)),
+st AS (SELECT blk, chunk FROM ok GROUP BY blk, chunk ORDER BY blk DESC, chunk ASC LIMIT 501),
+num AS (SELECT blk, chunk, row_number() OVER (ORDER BY blk, chunk DESC) - 1 AS step FROM st),
+steps AS (
+  SELECT num.step, CAST(ok.n - 1 - ok.r % ok.n AS INTEGER) AS gpu, p.util,
+         CAST(trunc(p.mem_mib / 4037 * 100) AS INTEGER) AS mem_pct, ok.line_no, ok.n
+  FROM ok JOIN num USING (blk, chunk)
+  CROSS JOIN LATERAL (SELECT {_PARSE}) p)
+"""
+
+ORACLE["gpu_parse"] = f"""
+WITH {_LOG}
+SELECT line_no, util, mem_mib, CAST(trunc(mem_mib / 4037 * 100) AS INTEGER) AS mem_pct
+FROM (SELECT line_no, {_PARSE} FROM log WHERE NOT starts_with(value, 'util')) p
+"""
+
+ORACLE["gpu_steps"] = f"""
+WITH {_STEPS}
+SELECT step, gpu, util, mem_pct, line_no FROM steps
+"""
+
+ORACLE["gpu_means"] = f"""
+WITH {_STEPS}
+SELECT gpu, round_even(avg(util), 1) AS util_avg, round_even(avg(mem_pct), 1) AS mem_avg
+FROM steps GROUP BY gpu
+"""
+
+ORACLE["gpu_series"] = f"""
+WITH {_STEPS}
+SELECT step * n + gpu AS x, util, mem_pct FROM steps
+"""
+
+ORACLE["gpu_resample"] = f"""
+WITH {_STEPS},
+s AS (SELECT step * n + gpu AS x, CAST(util AS DOUBLE) AS util, CAST(mem_pct AS DOUBLE) AS mem_pct FROM steps),
+b AS (SELECT min(x) AS lo, max(x) AS hi FROM s),
+g AS (SELECT i, CASE WHEN i = 299 THEN CAST(hi AS DOUBLE)
+                     ELSE i * (CAST(hi - lo AS DOUBLE) / CAST(299 AS DOUBLE)) + lo END AS gx
+      FROM range(300) r(i) CROSS JOIN b),
+g2 AS (SELECT i, gx, CAST(floor(gx) AS BIGINT) AS x0 FROM g)
+SELECT g2.i AS i, round(g2.gx, 6) AS x,
+       round(s0.util + (g2.gx - g2.x0) * (coalesce(s1.util, s0.util) - s0.util), 6) AS util,
+       round(s0.mem_pct + (g2.gx - g2.x0) * (coalesce(s1.mem_pct, s0.mem_pct) - s0.mem_pct), 6) AS mem_pct
+FROM g2 LEFT JOIN s s0 ON s0.x = g2.x0 LEFT JOIN s s1 ON s1.x = g2.x0 + 1
+"""
+
+ORACLE["read_gpu_log"] = f"""
+WITH {_LOG}
+SELECT row_number() OVER (ORDER BY line_no) - 1 AS line_no, value FROM log
+"""
