@@ -187,3 +187,36 @@ def q_read_gpu_log(spark, sf_dir):
     from tessera.sources.textlog import read_gpu_log, write_lines
     path = write_lines(A.gpu_log(spark, sf_dir), shared_path(spark, "gpulog"))
     return read_gpu_log(spark, path)
+
+
+# --- rebalance ------------------------------------------------------------------
+
+from tessera.operators import rebalance as R  # noqa: E402
+
+REBALANCE_TARGET = 60
+
+
+@query("class_deficits")
+def q_class_deficits(spark, sf_dir):
+    return R.class_deficits(A.class_images(spark, sf_dir), REBALANCE_TARGET)
+
+
+@query("cap_per_class")
+def q_cap_per_class(spark, sf_dir):
+    return R.cap_per_class(A.class_images(spark, sf_dir), REBALANCE_TARGET).select("label", "name", "rn")
+
+
+@query("draw_sources")
+def q_draw_sources(spark, sf_dir):
+    imgs = A.class_images(spark, sf_dir)
+    return R.draw_sources(imgs, R.class_deficits(imgs, REBALANCE_TARGET))
+
+
+@query("rebalance")
+def q_rebalance(spark, sf_dir):
+    return R.rebalance(A.class_images(spark, sf_dir), REBALANCE_TARGET)
+
+
+@query("generation_report")
+def q_generation_report(spark, sf_dir):
+    return R.generation_report(R.rebalance(A.class_images(spark, sf_dir), REBALANCE_TARGET))

@@ -208,3 +208,46 @@ ORACLE["read_gpu_log"] = f"""
 WITH {_LOG}
 SELECT row_number() OVER (ORDER BY line_no) - 1 AS line_no, value FROM log
 """
+
+_CLS = """
+c AS (SELECT source AS label, CAST(doc_id AS VARCHAR) AS name FROM documents),
+r AS (SELECT label, name,
+             row_number() OVER (PARTITION BY label ORDER BY md5('12345:' || name), name) AS rn
+      FROM c),
+d AS (SELECT label, count(*) AS have, greatest(0, 60 - count(*)) AS to_generate FROM c GROUP BY label),
+g AS (SELECT d.label, s.draw_no, d.have
+      FROM d CROSS JOIN LATERAL generate_series(1, d.to_generate) AS s(draw_no)
+      WHERE d.to_generate > 0 AND d.have > 0),
+dr AS (SELECT g.label, g.draw_no, r.name AS source
+       FROM g JOIN r ON r.label = g.label
+        AND r.rn = ('0x' || substr(md5('12345:' || g.label || ':' || CAST(g.draw_no AS VARCHAR)), 1, 8))::BIGINT % g.have + 1),
+rb AS (SELECT label, name, name AS source, false AS generated FROM r WHERE rn <= 60
+       UNION ALL
+       SELECT label, label || '_gen_' || CAST(draw_no AS VARCHAR), source, true FROM dr)
+"""
+
+ORACLE["class_deficits"] = f"""
+WITH {_CLS}
+SELECT label, CAST(have AS BIGINT) AS have, CAST(to_generate AS BIGINT) AS to_generate FROM d
+"""
+
+ORACLE["cap_per_class"] = f"""
+WITH {_CLS}
+SELECT label, name, rn FROM r WHERE rn <= 60
+"""
+
+ORACLE["draw_sources"] = f"""
+WITH {_CLS}
+SELECT label, CAST(draw_no AS BIGINT) AS draw_no, source FROM dr
+"""
+
+ORACLE["rebalance"] = f"""
+WITH {_CLS}
+SELECT label, name, source, generated FROM rb
+"""
+
+ORACLE["generation_report"] = f"""
+WITH {_CLS}
+SELECT label, count(*) FILTER (WHERE NOT generated) AS originals, count(*) FILTER (WHERE generated) AS generated
+FROM rb GROUP BY label
+"""
