@@ -220,3 +220,144 @@ def q_rebalance(spark, sf_dir):
 @query("generation_report")
 def q_generation_report(spark, sf_dir):
     return R.generation_report(R.rebalance(A.class_images(spark, sf_dir), REBALANCE_TARGET))
+
+
+# --- pixels, layers and network outputs ---------------------------------------
+
+from tessera.functions import pixels as PX  # noqa: E402
+from tessera.functions.columns import leaky_relu, mcxent, predict_index, softmax  # noqa: E402
+from tessera.operators import nn  # noqa: E402
+
+
+def _images8(spark, sf_dir):
+    return A.embedding_images(spark, sf_dir)
+
+
+for _name, _fn in [("flip_left_right", PX.flip_left_right), ("flip_top_bottom", PX.flip_top_bottom),
+                   ("rotate180", PX.rotate180), ("rotate270", PX.rotate270)]:
+    def _make(fn):
+        def q(spark, sf_dir):
+            return _images8(spark, sf_dir).select("id", fn("pixels", 8, 8, 1).alias("pixels"))
+        return q
+    query(_name)(_make(_fn))
+
+CONV_TEST = [{"type": "conv", "out": 2, "k": 3}]
+POOL_TEST = [{"type": "pool", "k": 2}]
+DENSE_TEST = [{"type": "dense", "out": 10}]
+SCORE_TEST = [{"type": "conv", "out": 2, "k": 3}, {"type": "pool", "k": 2}, {"type": "output", "out": 2}]
+
+
+def _layer_query(layers, activation):
+    def q(spark, sf_dir):
+        params = nn.formula_parameters(layers, (8, 8, 1))
+        out = nn.apply_layers(_images8(spark, sf_dir), layers, params, (8, 8, 1), features="pixels",
+                              activation=activation, out="out")
+        return out.select("id", round_array("out", 6).alias("out"))
+    return q
+
+
+query("conv2d")(_layer_query(CONV_TEST, False))
+query("max_pool")(_layer_query(POOL_TEST, False))
+query("dense")(_layer_query(DENSE_TEST, False))
+
+
+@query("score_network")
+def q_score_network(spark, sf_dir):
+    params = nn.formula_parameters(SCORE_TEST, (8, 8, 1))
+    s = nn.score(_images8(spark, sf_dir), SCORE_TEST, params, (8, 8, 1), features="pixels")
+    return s.select("id", round_array("probs", 6).alias("probs"), "predicted")
+
+
+def _logits(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), "label", F.slice("embedding", 1, 10).alias("z"))
+
+
+@query("leaky_relu")
+def q_leaky_relu(spark, sf_dir):
+    return _logits(spark, sf_dir).select("id", round_array(leaky_relu("z"), 6).alias("out"))
+
+
+@query("softmax")
+def q_softmax(spark, sf_dir):
+    return _logits(spark, sf_dir).select("id", round_array(softmax("z"), 6).alias("probs"))
+
+
+@query("mcxent")
+def q_mcxent(spark, sf_dir):
+    lg = _logits(spark, sf_dir)
+    return lg.select("id", "label", F.round(mcxent(softmax("z"), "label"), 6).alias("loss"))
+
+
+@query("predict")
+def q_predict(spark, sf_dir):
+    return _logits(spark, sf_dir).select("id", predict_index("z").alias("predicted"))
+
+
+# --- evaluation -------------------------------------------------------------------
+
+from tessera.operators import evaluate as EV  # noqa: E402
+
+
+def _predictions(spark, sf_dir):
+    return (A.predictions_labels(spark, sf_dir).withColumn("source", F.lit("labels"))
+            .unionByName(A.predictions_embeddings(spark, sf_dir).withColumn("source", F.lit("embeddings"))))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return EV.confusion_matrix(_predictions(spark, sf_dir), by=["source"])
+
+
+@query("class_metrics")
+def q_class_metrics(spark, sf_dir):
+    per = EV.class_metrics(EV.confusion_matrix(_predictions(spark, sf_dir), by=["source"]), by=["source"])
+    return per.select("source", "cls", "n_true", "n_pred", "tp",
+                      *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    m = EV.classification_metrics(EV.confusion_matrix(_predictions(spark, sf_dir), by=["source"]), by=["source"])
+    return m.select("source", *[F.round(c, 6).alias(c) for c in
+                                ("accuracy", "macro_precision", "macro_recall", "macro_f1")], "n_classes", "n")
+
+
+# --- training reports -----------------------------------------------------------
+
+from tessera.operators import train as TR  # noqa: E402
+
+
+@query("lr_schedule")
+def q_lr_schedule(spark, sf_dir):
+    it = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 400).alias("iteration"))
+    cpu = TR.lookup_lr(it, TR.schedule_frame(spark, TR.LR_SCHEDULE_CPU), out="lr_cpu", base_lr=TR.BASE_LR_CPU)
+    both = TR.lookup_lr(cpu, TR.schedule_frame(spark, TR.LR_SCHEDULE_GPU), out="lr_gpu", base_lr=TR.BASE_LR_GPU)
+    return both.select("event_id", "iteration", "lr_cpu", "lr_gpu")
+
+
+@query("average_parameters")
+def q_average_parameters(spark, sf_dir):
+    from tessera.functions.hashing import seeded_md5
+    from tessera.operators.ordering import rank_in_groups
+    emb = table(spark, sf_dir, "embeddings").withColumn("__md5", seeded_md5(12345, "vec_id"))
+    ranked = rank_in_groups(emb, ["label"], "__md5", ["vec_id"], out="rn")
+    params = ranked.select(F.col("label").alias("worker"), F.lit(0).alias("layer"), F.lit("W").alias("name"),
+                           (F.col("rn") - 1).alias("chunk"),
+                           F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    avg = TR.average_parameters(params)
+    return avg.select("layer", "name", "chunk", round_array("values", 6).alias("vals"))
+
+
+@query("timing_report")
+def q_timing_report(spark, sf_dir):
+    return TR.timing_report(TR.epochs_from_days(A.event_times(spark, sf_dir)))
+
+
+@query("init_parameters")
+def q_init_parameters(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    d = emb.agg(F.max(F.size("embedding")).alias("n_in"), F.countDistinct("label").alias("k")).first()
+    layers = [{"type": "output", "out": int(d["k"])}]
+    p = nn.init_parameters(spark, layers, (1, 1, int(d["n_in"])), seed=12345)
+    return p.select("layer", "name", "idx", F.round("value", 6).alias("value"))

@@ -251,3 +251,176 @@ WITH {_CLS}
 SELECT label, count(*) FILTER (WHERE NOT generated) AS originals, count(*) FILTER (WHERE generated) AS generated
 FROM rb GROUP BY label
 """
+
+
+def _perm(expr: str) -> str:
+    return f"SELECT vec_id AS id, list_transform(range(64), lambda i: embedding[{expr} + 1]) AS pixels FROM embeddings"
+
+
+ORACLE["flip_left_right"] = _perm("(i // 8) * 8 + (7 - i % 8)")
+ORACLE["flip_top_bottom"] = _perm("(7 - i // 8) * 8 + i % 8")
+ORACLE["rotate180"] = _perm("63 - i")
+ORACLE["rotate270"] = _perm("(7 - i % 8) * 8 + i // 8")
+
+_PX = """
+px AS (SELECT vec_id, unnest(range(64)) AS p, unnest(embedding) AS v FROM embeddings)
+"""
+
+_CONV = f"""
+{_PX},
+wt AS (SELECT f, dr, dc, CAST((((f * 3 + dr) * 3 + dc) * 7 + 3) % 5 - 2 AS DOUBLE) AS w
+       FROM range(2) a(f) CROSS JOIN range(3) b(dr) CROSS JOIN range(3) c(dc)),
+oc AS (SELECT r, c FROM range(6) a(r) CROSS JOIN range(6) b(c)),
+cv AS (SELECT px.vec_id, oc.r, oc.c, wt.f,
+              sum(CAST(px.v AS DOUBLE) * wt.w) + CAST(wt.f % 3 - 1 AS DOUBLE) AS z
+       FROM oc CROSS JOIN wt JOIN px ON px.p = (oc.r + wt.dr) * 8 + (oc.c + wt.dc)
+       GROUP BY px.vec_id, oc.r, oc.c, wt.f)
+"""
+
+ORACLE["conv2d"] = f"""
+WITH {_CONV}
+SELECT vec_id AS id, list(round(z, 6) ORDER BY (r * 6 + c) * 2 + f) AS out FROM cv GROUP BY vec_id
+"""
+
+ORACLE["max_pool"] = f"""
+WITH {_PX}
+SELECT vec_id AS id, list(m ORDER BY cell) AS out FROM (
+  SELECT vec_id, (p // 8 // 2) * 4 + (p % 8) // 2 AS cell, round(max(CAST(v AS DOUBLE)), 6) AS m
+  FROM px GROUP BY vec_id, cell) t
+GROUP BY vec_id
+"""
+
+ORACLE["dense"] = f"""
+WITH {_PX}
+SELECT vec_id AS id, list(round(s + CAST(j % 3 - 1 AS DOUBLE), 6) ORDER BY j) AS out FROM (
+  SELECT px.vec_id, j, sum(CAST(px.v AS DOUBLE) * CAST(((j * 64 + px.p) * 7 + 3) % 5 - 2 AS DOUBLE)) AS s
+  FROM px CROSS JOIN range(10) t(j) GROUP BY px.vec_id, j) t
+GROUP BY vec_id
+"""
+
+ORACLE["score_network"] = f"""
+WITH {_CONV},
+act AS (SELECT vec_id, r, c, f, CASE WHEN z > 0 THEN z ELSE CAST(0.01 AS DOUBLE) * z END AS a FROM cv),
+pl AS (SELECT vec_id, r // 2 AS pr, c // 2 AS pc, f, max(a) AS m FROM act GROUP BY vec_id, r // 2, c // 2, f),
+lo AS (SELECT vec_id, j,
+              sum(m * CAST(((j * 18 + (pr * 3 + pc) * 2 + f) * 7 + 3) % 5 - 2 AS DOUBLE))
+                + CAST(j % 3 - 1 AS DOUBLE) AS z
+       FROM pl CROSS JOIN range(2) t(j) GROUP BY vec_id, j),
+mx AS (SELECT vec_id, max(z) AS zm FROM lo GROUP BY vec_id),
+ex AS (SELECT lo.vec_id, lo.j, lo.z, exp(lo.z - mx.zm) AS e, mx.zm FROM lo JOIN mx USING (vec_id)),
+sm AS (SELECT vec_id, sum(e) AS s FROM ex GROUP BY vec_id)
+SELECT ex.vec_id AS id, list(round(ex.e / sm.s, 6) ORDER BY ex.j) AS probs,
+       CAST(min(ex.j) FILTER (WHERE ex.z = ex.zm) AS INTEGER) AS predicted
+FROM ex JOIN sm USING (vec_id) GROUP BY ex.vec_id
+"""
+
+_LOGITS = """
+lg AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS z,
+              embedding[1:10] AS zf FROM embeddings),
+ex AS (SELECT vec_id, label, z, zf, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM lg),
+sm AS (SELECT vec_id, label, z, zf, list_transform(e, lambda x: x / list_sum(e)) AS p FROM ex)
+"""
+
+ORACLE["leaky_relu"] = f"""
+WITH {_LOGITS}
+SELECT vec_id AS id,
+       list_transform(z, lambda x: round(CASE WHEN x > 0 THEN x ELSE CAST(0.01 AS DOUBLE) * x END, 6)) AS out
+FROM lg
+"""
+
+ORACLE["softmax"] = f"""
+WITH {_LOGITS}
+SELECT vec_id AS id, list_transform(p, lambda x: round(x, 6)) AS probs FROM sm
+"""
+
+ORACLE["mcxent"] = f"""
+WITH {_LOGITS}
+SELECT vec_id AS id, label, round(-ln(p[label + 1]), 6) AS loss FROM sm
+"""
+
+ORACLE["predict"] = f"""
+WITH {_LOGITS}
+SELECT vec_id AS id, CAST(list_position(zf, list_max(zf)) - 1 AS INTEGER) AS predicted FROM lg
+"""
+
+_CM = """
+cm AS (
+  SELECT 'labels' AS source, quality AS actual, toxic AS predicted, count(*) AS n
+  FROM labels GROUP BY quality, toxic
+  UNION ALL
+  SELECT 'embeddings', label, CAST(vec_id % 10 AS INTEGER), count(*)
+  FROM embeddings GROUP BY label, CAST(vec_id % 10 AS INTEGER)),
+rw AS (SELECT source, actual AS cls, n AS n_true, 0 AS n_pred,
+              CASE WHEN actual = predicted THEN n ELSE 0 END AS tp FROM cm
+       UNION ALL
+       SELECT source, predicted, 0, n, 0 FROM cm),
+per AS (SELECT source, cls, CAST(sum(n_true) AS BIGINT) AS n_true, CAST(sum(n_pred) AS BIGINT) AS n_pred,
+               CAST(sum(tp) AS BIGINT) AS tp
+        FROM rw GROUP BY source, cls),
+pr AS (SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred END AS precision,
+              CASE WHEN n_true > 0 THEN tp / n_true END AS recall FROM per),
+f AS (SELECT *, CASE WHEN precision IS NULL OR recall IS NULL THEN NULL
+                     WHEN precision + recall = 0 THEN 0.0
+                     ELSE 2.0 * precision * recall / (precision + recall) END AS f1 FROM pr)
+"""
+
+ORACLE["confusion_matrix"] = f"""
+WITH {_CM}
+SELECT source, actual, predicted, n FROM cm
+"""
+
+ORACLE["class_metrics"] = f"""
+WITH {_CM}
+SELECT source, cls, n_true, n_pred, tp, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1
+FROM f
+"""
+
+ORACLE["classification_metrics"] = f"""
+WITH {_CM}
+SELECT source, round(sum(tp) / sum(n_true), 6) AS accuracy, round(avg(precision), 6) AS macro_precision,
+       round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1,
+       count(*) AS n_classes, CAST(sum(n_true) AS BIGINT) AS n
+FROM f GROUP BY source
+"""
+
+ORACLE["lr_schedule"] = """
+SELECT event_id, event_id % 400 AS iteration,
+       CAST(CASE WHEN event_id % 400 >= 300 THEN 0.003 WHEN event_id % 400 >= 200 THEN 0.005
+                 WHEN event_id % 400 >= 100 THEN 0.008 ELSE 0.01 END AS DOUBLE) AS lr_cpu,
+       CAST(CASE WHEN event_id % 400 >= 100 THEN 0.0001 WHEN event_id % 400 >= 80 THEN 0.0005
+                 WHEN event_id % 400 >= 40 THEN 0.001 ELSE 0.003 END AS DOUBLE) AS lr_gpu
+FROM events
+"""
+
+ORACLE["average_parameters"] = """
+WITH p AS (
+  SELECT row_number() OVER (PARTITION BY label ORDER BY md5('12345:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS chunk,
+         embedding FROM embeddings),
+u AS (SELECT chunk, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM p),
+a AS (SELECT chunk, i, avg(CAST(v AS DOUBLE)) AS m FROM u GROUP BY chunk, i)
+SELECT 0 AS layer, 'W' AS name, chunk, list(round(m, 6) ORDER BY i) AS vals FROM a GROUP BY chunk
+"""
+
+ORACLE["timing_report"] = """
+WITH e AS (SELECT CAST(ts AS DATE) AS day, epoch_us(ts) // 1000 AS ms FROM events),
+d AS (SELECT day, min(ms) AS b, max(ms) AS e FROM e GROUP BY day),
+x AS (SELECT CAST(date_diff('day', (SELECT min(day) FROM d), day) AS INTEGER) AS epoch, b, e FROM d)
+SELECT epoch, min(b) AS begin_ms, max(e) AS end_ms, max(e) - min(b) AS ms,
+       (max(e) - min(b)) * 1.6666666666667e-5 AS minutes
+FROM x GROUP BY ROLLUP (epoch)
+"""
+
+ORACLE["init_parameters"] = """
+WITH d AS (SELECT max(len(embedding)) AS n_in, count(DISTINCT label) AS k FROM embeddings),
+w AS (SELECT 0 AS layer, 'W' AS name, g.idx,
+             sqrt(-2.0 * ln(1.0 - ('0x' || substr(md5('12345:0:1:' || CAST(g.idx AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0))
+             * cos(2 * pi() * (('0x' || substr(md5('12345:0:2:' || CAST(g.idx AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0))
+             * sqrt(CAST(2.0 AS DOUBLE) / d.n_in) AS value
+      FROM d CROSS JOIN LATERAL generate_series(0, d.n_in * d.k - 1) AS g(idx)),
+b AS (SELECT 0 AS layer, 'b' AS name, g.idx, CAST(0.0 AS DOUBLE) AS value
+      FROM d CROSS JOIN LATERAL generate_series(0, d.k - 1) AS g(idx))
+SELECT layer, name, idx, round(value, 6) AS value FROM w
+UNION ALL
+SELECT layer, name, idx, value FROM b
+"""
