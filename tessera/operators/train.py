@@ -81,3 +81,221 @@ def epochs_from_days(times: DataFrame, day: str = "day", ms: str = "ms") -> Data
     per = times.groupBy(day).agg(F.min(ms).alias("begin_ms"), F.max(ms).alias("end_ms"))
     first = F.min(day).over(Window.partitionBy())
     return per.select(F.datediff(F.col(day), first).alias("epoch"), "begin_ms", "end_ms")
+
+
+# --- T1: synchronous parameter averaging ----------------------------------------
+
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+from tessera.functions.hashing import DEFAULT_SEED, hash32, seeded_md5  # noqa: E402
+from tessera.operators import nn  # noqa: E402
+from tessera.operators.ordering import rank_in_groups  # noqa: E402
+
+CHUNK = 1 << 16
+ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-8
+
+_ROW_SCHEMA = T.StructType([
+    T.StructField("kind", T.StringType()),
+    T.StructField("worker", T.IntegerType()),
+    T.StructField("layer", T.IntegerType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("chunk", T.IntegerType()),
+    T.StructField("values", T.ArrayType(T.DoubleType())),
+    T.StructField("iteration", T.LongType()),
+    T.StructField("score", T.DoubleType()),
+    T.StructField("n", T.LongType()),
+])
+
+
+def _chunks(kind, worker, arrays: dict):
+    rows = []
+    for (l, nme), a in sorted(arrays.items()):
+        flat = np.asarray(a, dtype=np.float64).ravel()
+        for c in range(0, max(1, flat.size), CHUNK):
+            rows.append((kind, worker, int(l), nme, c // CHUNK, flat[c:c + CHUNK], None, None, None))
+    return rows
+
+
+def _assemble(pdf: pd.DataFrame, like: dict) -> dict:
+    out = {}
+    for (l, nme), g in pdf.groupby(["layer", "name"]):
+        g = g.sort_values("chunk")
+        flat = np.concatenate([np.asarray(v, dtype=np.float64) for v in g["values"]])
+        out[(int(l), nme)] = flat.reshape(like[(int(l), nme)].shape)
+    return out
+
+
+def _lr_for(iteration: int, schedule, base_lr: float) -> float:
+    lr = base_lr
+    for frm, v in sorted(schedule or []):
+        if iteration >= frm:
+            lr = v
+    return lr
+
+
+def full_batch_gradient(df: DataFrame, layers, params: dict, input_shape, features: str = "features",
+                        onehot: str = "onehot", l2: float = 0.0) -> tuple[dict, int]:
+    """Mean gradient over every row: partial sums per partition (Arrow batches
+    in ``mapInPandas``), summed per parameter chunk with the ML ``Summarizer``
+    on executors; only the model-sized result reaches the driver."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    spark = df.sparkSession
+    bc = spark.sparkContext.broadcast(params)
+
+    def grads(it):
+        p = bc.value
+        total = None
+        n = 0
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features]])
+            y = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[onehot]])
+            probs, cache = nn.forward(p, layers, input_shape, x, keep=True)
+            g = nn.backward(p, layers, cache, probs, y, l2=0.0)
+            b = len(pdf)
+            g = {k: v * b for k, v in g.items()}
+            total = g if total is None else {k: total[k] + g[k] for k in g}
+            n += b
+        if total is not None:
+            rows = _chunks("grad", 0, total)
+            rows.append(("count", 0, -1, "", 0, np.array([float(n)]), None, None, n))
+            yield pd.DataFrame(rows, columns=_ROW_SCHEMA.fieldNames())
+
+    parts = df.select(features, onehot).mapInPandas(grads, _ROW_SCHEMA)
+    summed = (parts.select("layer", "name", "chunk", array_to_vector("values").alias("v"))
+              .groupBy("layer", "name", "chunk").agg(Summarizer.sum(F.col("v")).alias("s"))
+              .select("layer", "name", "chunk", vector_to_array("s").alias("values")).toPandas())
+    cnt = summed[summed["layer"] == -1]
+    n = int(round(cnt["values"].iloc[0][0])) if len(cnt) else 0
+    g = _assemble(summed[summed["layer"] >= 0], params)
+    g = {k: v / max(n, 1) + (l2 * params[k] if k[1] == "W" else 0.0) for k, v in g.items()}
+    return g, n
+
+
+def sgd_step(df: DataFrame, layers, params: dict, input_shape, lr: float, l2: float = 0.0, **kw) -> dict:
+    """One plain gradient step on the whole table (one worker, one full batch)."""
+    g, _ = full_batch_gradient(df, layers, params, input_shape, l2=l2, **kw)
+    return {k: params[k] - lr * g[k] for k in params}
+
+
+def assign_rounds(samples: DataFrame, workers: int, batch: int, frequency: int, epoch: int,
+                  seed: int = DEFAULT_SEED, id_col: str = "id") -> DataFrame:
+    """Round structure of one epoch: ``worker = hash(seed, epoch, id) mod W``;
+    inside a worker rows go in md5 order (ranked in hash sub-buckets); round
+    r takes rows ``[r*f*b, (r+1)*f*b)``, mini-batch ``mb`` of b rows each."""
+    d = samples.withColumn("worker", (hash32(seed, F.lit(epoch), id_col) % workers).cast("int"))
+    d = d.withColumn("__md5", seeded_md5(seed, F.lit("order"), F.lit(epoch), id_col))
+    d = rank_in_groups(d, ["worker"], "__md5", [id_col], out="wrn").drop("__md5")
+    per_round = frequency * batch
+    return (d.withColumn("round", F.floor((F.col("wrn") - 1) / per_round).cast("bigint"))
+             .withColumn("mb", F.floor(((F.col("wrn") - 1) % per_round) / batch).cast("int")))
+
+
+def train(samples: DataFrame, layers, input_shape, batch: int = 20,
+          averaging_frequency: int = AVERAGING_FREQUENCY, epochs: int = EPOCHS,
+          lr_schedule=LR_SCHEDULE_CPU, base_lr: float = BASE_LR_CPU, l2: float = L2,
+          seed: int = DEFAULT_SEED, workers: int = 4, updater: str = "adam",
+          params: dict | None = None, features: str = "features", onehot: str = "onehot",
+          id_col: str = "id", stage_dir: str | None = None) -> tuple[dict, DataFrame]:
+    """Fit by synchronous parameter averaging.
+
+    Each round every worker starts from the shared parameters (and updater
+    state), fits ``averaging_frequency`` mini-batches, and the parameters and
+    Adam moments are averaged (A9) over the workers that had rows.  Rows of an
+    epoch are staged once as Parquet partitioned by round in the shared folder
+    (cutting lineage; a round reads only its own folder).  Returns the final
+    parameters and the per-iteration, per-worker scores.
+    """
+    from tessera.session import shared_path
+
+    spark = samples.sparkSession
+    if params is None:
+        p_rows = nn.init_parameters(spark, layers, input_shape, seed)
+        params = nn.parameters_to_numpy(p_rows, layers, input_shape)
+    params = {k: np.asarray(v, dtype=np.float64) for k, v in params.items()}
+    m_state = {k: np.zeros_like(v) for k, v in params.items()}
+    v_state = {k: np.zeros_like(v) for k, v in params.items()}
+    base = stage_dir or shared_path(spark, "train")
+    stats_path = f"{base}/stats"
+    iteration = 0
+    cols = [id_col, features, onehot]
+    for epoch in range(epochs):
+        staged_path = f"{base}/epoch={epoch}"
+        (assign_rounds(samples.select(*cols), workers, batch, averaging_frequency, epoch, seed, id_col)
+         .write.mode("overwrite").partitionBy("round").parquet(staged_path))
+        staged = spark.read.parquet(staged_path)
+        n_rounds = staged.agg(F.max("round")).first()[0]
+        n_rounds = -1 if n_rounds is None else int(n_rounds)
+        for r in range(n_rounds + 1):
+            state = {"p": params, "m": m_state, "v": v_state, "it": iteration}
+            bc = spark.sparkContext.broadcast(state)
+
+            fit_worker = _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_lr, updater)
+            res = (staged.filter(F.col("round") == r)
+                   .groupBy("worker").applyInPandas(fit_worker, _ROW_SCHEMA)).persist()
+            res.filter(F.col("kind") == "stat").select("worker", "iteration", "score", "n") \
+                .write.mode("append").parquet(stats_path)
+            avg = average_parameters(res.filter(F.col("kind") != "stat"), by=("kind", "layer", "name", "chunk"))
+            pdf = avg.toPandas()
+            res.unpersist()
+            params = _assemble(pdf[pdf["kind"] == "param"], params)
+            if updater == "adam":
+                m_state = _assemble(pdf[pdf["kind"] == "m"], m_state)
+                v_state = _assemble(pdf[pdf["kind"] == "v"], v_state)
+            bc.unpersist()
+            iteration += averaging_frequency
+    stats = spark.read.parquet(stats_path) if n_rounds >= 0 else \
+        spark.createDataFrame([], "worker int, iteration bigint, score double, n bigint")
+    return params, stats
+
+
+def _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_lr, updater):
+    """The per-worker fit of one round, run by ``applyInPandas`` on the
+    worker's rows (at most ``averaging_frequency * batch`` of them)."""
+
+    def fit_worker(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = bc.value
+        p = {k: v.copy() for k, v in s["p"].items()}
+        m = {k: v.copy() for k, v in s["m"].items()}
+        v2 = {k: v.copy() for k, v in s["v"].items()}
+        it0 = s["it"]
+        w = int(pdf["worker"].iloc[0])
+        pdf = pdf.sort_values(["mb", "wrn"])
+        out = []
+        for j, (_, g) in enumerate(pdf.groupby("mb", sort=True)):
+            x = np.stack([np.asarray(a, dtype=np.float64) for a in g[features]])
+            y = np.stack([np.asarray(a, dtype=np.float64) for a in g[onehot]])
+            probs, cache = nn.forward(p, layers, input_shape, x, keep=True)
+            loss = float(-np.mean(np.sum(y * np.log(np.clip(probs, 1e-300, None)), axis=1)))
+            grads = nn.backward(p, layers, cache, probs, y, l2=l2)
+            it = it0 + j
+            lr = _lr_for(it, lr_schedule, base_lr)
+            for k in p:
+                if updater == "adam":
+                    m[k] = ADAM_B1 * m[k] + (1 - ADAM_B1) * grads[k]
+                    v2[k] = ADAM_B2 * v2[k] + (1 - ADAM_B2) * grads[k] ** 2
+                    mh = m[k] / (1 - ADAM_B1 ** (it + 1))
+                    vh = v2[k] / (1 - ADAM_B2 ** (it + 1))
+                    p[k] = p[k] - lr * mh / (np.sqrt(vh) + ADAM_EPS)
+                else:
+                    p[k] = p[k] - lr * grads[k]
+            out.append(("stat", w, None, None, None, None, it, loss, len(g)))
+        rows = out + _chunks("param", w, p)
+        if updater == "adam":
+            rows += _chunks("m", w, m) + _chunks("v", w, v2)
+        return pd.DataFrame(rows, columns=_ROW_SCHEMA.fieldNames())
+
+    return fit_worker
+
+
+def evaluate_model(test: DataFrame, layers, params: dict, input_shape, features: str = "features",
+                   label: str = "label", id_col: str = "id") -> DataFrame:
+    """Score held-out rows (N7) and return ``(actual, predicted)`` for A7/A8."""
+    scored = nn.score(test.select(id_col, features), layers, params, input_shape, features, id_col)
+    return test.select(id_col, F.col(label).alias("actual")).join(scored, id_col) \
+        .select("actual", "predicted")

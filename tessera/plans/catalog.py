@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -361,3 +362,42 @@ def q_init_parameters(spark, sf_dir):
     layers = [{"type": "output", "out": int(d["k"])}]
     p = nn.init_parameters(spark, layers, (1, 1, int(d["n_in"])), seed=12345)
     return p.select("layer", "name", "idx", F.round("value", 6).alias("value"))
+
+
+# --- training -------------------------------------------------------------------
+
+SOFTMAX_LAYERS = [{"type": "output", "out": 10}]
+SMALL_CNN = [{"type": "conv", "out": 4, "k": 3}, {"type": "pool", "k": 2},
+             {"type": "dense", "out": 16}, {"type": "output", "out": 10}]
+
+
+def _emb_samples(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), "label",
+        F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    return emb.withColumn("onehot", one_hot("label", 10))
+
+
+@query("train_step")
+def q_train_step(spark, sf_dir):
+    zero = {k: np.zeros(s) for (k, s) in
+            (((l, n), s) for l, n, s, _ in nn.param_specs(SOFTMAX_LAYERS, (1, 1, 64)))}
+    new = TR.sgd_step(_emb_samples(spark, sf_dir), SOFTMAX_LAYERS, zero, (1, 1, 64), lr=0.01)
+    rows = [(int(l), n, int(i), float(round(v, 9)) + 0.0) for (l, n), a in sorted(new.items())
+            for i, v in enumerate(a.ravel())]
+    return spark.createDataFrame(rows, "layer int, name string, idx bigint, value double")
+
+
+def _train_query(layers, input_shape, workers):
+    def q(spark, sf_dir):
+        samples, _ = prepare.prepare_samples(A.embedding_images(spark, sf_dir), n_classes=10, batch=20)
+        samples = samples.withColumn("features", F.transform("features", lambda x: x.cast("double")))
+        train_rows = samples.filter(F.col("split") == "train")
+        _, stats = TR.train(train_rows, layers, input_shape, batch=20, averaging_frequency=3, epochs=1,
+                            workers=workers)
+        return stats.select("worker", "iteration", F.round("score", 6).alias("score"), "n")
+    return q
+
+
+query("train_softmax")(_train_query(SOFTMAX_LAYERS, (1, 1, 64), 4))
+query("train_cnn")(_train_query(SMALL_CNN, (8, 8, 1), 2))

@@ -424,3 +424,15 @@ SELECT layer, name, idx, round(value, 6) AS value FROM w
 UNION ALL
 SELECT layer, name, idx, value FROM b
 """
+
+ORACLE["train_step"] = """
+WITH x AS (SELECT label, unnest(range(64)) AS j, unnest(embedding) AS v FROM embeddings),
+n AS (SELECT count(*) AS n FROM embeddings),
+gw AS (SELECT k, j, sum(CAST(v AS DOUBLE) * (0.1 - CASE WHEN label = k THEN 1.0 ELSE 0.0 END)) AS g
+       FROM x CROSS JOIN range(10) t(k) GROUP BY k, j),
+gb AS (SELECT k, sum(0.1 - CASE WHEN label = k THEN 1.0 ELSE 0.0 END) AS g
+       FROM embeddings CROSS JOIN range(10) t(k) GROUP BY k)
+SELECT 0 AS layer, 'W' AS name, k * 64 + j AS idx, round(0.0 - 0.01 * (g / n.n), 9) AS value FROM gw CROSS JOIN n
+UNION ALL
+SELECT 0, 'b', k, round(0.0 - 0.01 * (CAST(g AS DOUBLE) / n.n), 9) FROM gb CROSS JOIN n
+"""
