@@ -401,3 +401,34 @@ def _train_query(layers, input_shape, workers):
 
 query("train_softmax")(_train_query(SOFTMAX_LAYERS, (1, 1, 64), 4))
 query("train_cnn")(_train_query(SMALL_CNN, (8, 8, 1), 2))
+
+
+# --- augmentation ---------------------------------------------------------------
+
+from tessera.operators import augment as AUG  # noqa: E402
+
+
+@query("augment")
+def q_augment(spark, sf_dir):
+    return AUG.augment(_images8(spark, sf_dir), 8, 8, 1, keep=("label",))
+
+
+# --- file sources -----------------------------------------------------------------
+
+@query("read_bson")
+def q_read_bson(spark, sf_dir):
+    from tessera.session import shared_path
+    from tessera.sources.bson import read_bson, write_bson
+    path = write_bson(A.records(spark, sf_dir), shared_path(spark, "bson"))
+    p = extract.parse_records(read_bson(spark, path, range_bytes=64 << 10))
+    return p.select("_id", "category_id", "name", F.md5("picture").alias("picture_md5"), "pos")
+
+
+@query("load_images")
+def q_load_images(spark, sf_dir):
+    from tessera.session import shared_path
+    from tessera.sources.images import load_images, write_png_folders
+    imgs = A.embedding_images(spark, sf_dir).select(
+        "id", "label", F.transform("pixels", lambda x: F.floor((x + 1) * 127).cast("int")).alias("pixels"))
+    path = write_png_folders(imgs, shared_path(spark, "images"), 8, 8)
+    return load_images(spark, path, 32, 32, 3)

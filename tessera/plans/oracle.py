@@ -436,3 +436,5 @@ SELECT 0 AS layer, 'W' AS name, k * 64 + j AS idx, round(0.0 - 0.01 * (g / n.n),
 UNION ALL
 SELECT 0, 'b', k, round(0.0 - 0.01 * (CAST(g AS DOUBLE) / n.n), 9) FROM gb CROSS JOIN n
 """
+
+ORACLE["read_bson"] = ORACLE["extract_records"]
