@@ -16,7 +16,7 @@ running counts instead of a backwards loop:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import (
@@ -66,43 +66,51 @@ def steps(log: DataFrame, max_history: int = MAX_HISTORY, bucket: int = LINE_BUC
     ``max_history + 1`` steps, steps numbered 0.. in time order.
 
     Returns the frame and the device count N (0 when the log has no step).
+    Data lines are numbered and parsed once (persisted); three small results
+    reach the driver: N, the kept steps (at most ``max_history + 1`` rows)
+    and the first malformed line, if any.
     """
-    data = _blocks(log, bucket)
-    blocks = data.groupBy("blk").agg(F.max("d").alias("end_d"), F.count(F.lit(1)).alias("size")).persist()
-    last = blocks.filter(F.col("blk") > 0).orderBy(F.col("blk").desc()).select("size").limit(1).collect()
     spark = log.sparkSession
+    data = parse_lines(_blocks(log, bucket), total_mib, strict=False).persist()
+    blocks = data.groupBy("blk").agg(F.max("d").alias("end_d"), F.count(F.lit(1)).alias("size"))
+    last = blocks.filter(F.col("blk") > 0).orderBy(F.col("blk").desc()).select("size").limit(1).collect()
+    empty = spark.createDataFrame([], "step bigint, gpu int, util int, mem_pct int, line_no bigint")
     if not last:
-        empty = spark.createDataFrame([], "step bigint, gpu int, util int, mem_pct int, line_no bigint")
+        _raise_bad(data)
         return empty, 0
     n = int(last[0]["size"])
-    lines = data.join(blocks, "blk")
-    lines = lines.withColumn("r", F.col("end_d") - F.col("d"))
+    lines = data.join(blocks, "blk").withColumn("r", F.col("end_d") - F.col("d"))
     lines = lines.withColumn("chunk", F.floor(F.col("r") / F.lit(n)).cast("bigint"))
     full = (F.col("chunk") + 1) * F.lit(n) <= F.col("size")
     preceded = (F.col("blk") > 0) | (F.col("size") > (F.col("chunk") + 1) * F.lit(n))
     lines = lines.filter(full & preceded)
     # L1: top-k of the distinct steps, newest first; at most max_history + 1 rows.
     kept = (lines.groupBy("blk", "chunk").agg(F.min("line_no").alias("first_line"))
-            .orderBy(F.col("blk").desc(), F.col("chunk").asc()).limit(max_history + 1))
-    kept = kept.withColumn("step", (F.row_number().over(Window.orderBy("blk", F.col("chunk").desc())) - 1)
-                           .cast("bigint")).persist()
-    kept_rows = kept.count()
-    parsed = parse_lines(lines, total_mib, strict=False)
-    if kept_rows == max_history + 1:
+            .orderBy(F.col("blk").desc(), F.col("chunk").asc()).limit(max_history + 1).collect())
+    if not kept:
+        _raise_bad(data)
+        return empty, n
+    kept = sorted(kept, key=lambda r: (r["blk"], -r["chunk"]))
+    if len(kept) == max_history + 1:
         # Lines older than the kept window are never read by the backwards scan.
-        s0 = kept.agg(F.min("first_line")).first()[0]
-        checked = parsed.filter(F.col("line_no") >= F.lit(s0))
+        _raise_bad(data.filter(F.col("line_no") >= F.lit(kept[0]["first_line"])))
     else:
-        checked = parse_lines(data, total_mib, strict=False)
-    bad = checked.filter("bad").select("line_no", "value").orderBy(F.col("line_no").desc()).limit(1).collect()
-    if bad:
-        raise ValueError(f"line: {bad[0]['value']} line_number: {bad[0]['line_no']}")
-    out = parsed.join(F.broadcast(kept.select("blk", "chunk", "step")), ["blk", "chunk"])
+        _raise_bad(data)
+    numbered = spark.createDataFrame([(r["blk"], r["chunk"], i) for i, r in enumerate(kept)],
+                                     "blk bigint, chunk bigint, step bigint")
+    out = lines.join(F.broadcast(numbered), ["blk", "chunk"])
     out = out.select("step", (F.lit(n - 1) - F.col("r") % F.lit(n)).cast("int").alias("gpu"),
                      "util", "mem_pct", "line_no")
     return out, n
 
 
+def _raise_bad(parsed: DataFrame) -> None:
+    """P12 for a whole log: stop at the malformed line nearest the end."""
+    bad = parsed.filter("bad").select("line_no", "value").orderBy(F.col("line_no").desc()).limit(1).collect()
+    if bad:
+        raise ValueError(f"line: {bad[0]['value']} line_number: {bad[0]['line_no']}")
+
+
 def gpu_means(steps_df: DataFrame) -> DataFrame:
     """Mean utilisation and memory percent per device, half-even to 1 place."""
     return steps_df.groupBy("gpu").agg(

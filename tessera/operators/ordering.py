@@ -75,6 +75,14 @@ def running_totals(df: DataFrame, sums: dict, bucket: Sequence[str],
     return r.drop(*tmps.values(), *[f"{t}_o" for t in tmps.values()])
 
 
+def bits_for(max_group_rows: int, rows_per_bucket: int = 1 << 20) -> int:
+    """Hash bits (a multiple of 4, 4..20) so that the largest group's
+    sub-buckets hold about ``rows_per_bucket`` rows."""
+    need = max(1, -(-int(max_group_rows) // rows_per_bucket))
+    bits = max(4, (need - 1).bit_length())
+    return min(20, -(-bits // 4) * 4)
+
+
 def rank_in_groups(df: DataFrame, group: Sequence[str], md5_col: str, tiebreak: Sequence[str],
                    out: str = "rn", size_col: str | None = None, bits: int = 12) -> DataFrame:
     """``row_number() over (partition by group order by md5_col, tiebreak)``, 1-based.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import label_from_path, one_hot, scale_pixels
 from tessera.functions.hashing import DEFAULT_SEED, seeded_md5
-from tessera.operators.ordering import join_small, rank_in_groups
+from tessera.operators.ordering import bits_for, join_small, rank_in_groups
 
 TRAIN_WEIGHT = 80
 TEST_WEIGHT = 20
@@ -99,12 +99,13 @@ def balance_classes(df: DataFrame, label: str = "label", id_col: str = "id",
     training rows) needed by the split.
     """
     sizes = class_sizes(df, label).persist()
-    agg = sizes.agg(F.min("class_n").alias("m"), F.count(F.lit(1)).alias("l")).first()
+    agg = sizes.agg(F.min("class_n").alias("m"), F.max("class_n").alias("mx"),
+                    F.count(F.lit(1)).alias("l")).first()
     m, n_cls = int(agg["m"] or 0), int(agg["l"] or 0)
     n = m * n_cls
     n_train = int(math.floor(train / (train + test) * n + 0.5))
     d = df.withColumn("__md5", seeded_md5(seed, id_col))
-    ranked = rank_in_groups(d, [label], "__md5", [id_col], out="rn")
+    ranked = rank_in_groups(d, [label], "__md5", [id_col], out="rn", bits=bits_for(agg["mx"] or 1))
     kept = ranked.filter(F.col("rn") <= m)
     kept = join_small(kept, sizes.select(label, "label_idx"), label, "inner")
     out = kept.withColumn("pos", ((F.col("rn") - 1) * F.lit(n_cls) + F.col("label_idx")).cast("bigint"))

@@ -432,3 +432,32 @@ def q_load_images(spark, sf_dir):
         "id", "label", F.transform("pixels", lambda x: F.floor((x + 1) * 127).cast("int")).alias("pixels"))
     path = write_png_folders(imgs, shared_path(spark, "images"), 8, 8)
     return load_images(spark, path, 32, 32, 3)
+
+
+# --- whole programs -----------------------------------------------------------------
+
+@query("rebalance_images")
+def q_rebalance_images(spark, sf_dir):
+    """U1 + G1 + S9: embeddings as 8x8 pictures per label rebalanced to 60,
+    generated ones augmented, written one folder per class and read back."""
+    from tessera.session import shared_path
+    from tessera.sources.sinks import write_rebalanced
+    imgs = A.embedding_images(spark, sf_dir).select(
+        F.col("label").cast("string").alias("label"), F.col("id").cast("string").alias("name"), "pixels")
+    out = R.rebalance_images(imgs, 8, 8, 1, target=REBALANCE_TARGET)
+    path = write_rebalanced(out, shared_path(spark, "rebalanced"))
+    return spark.read.parquet(path).select("label", "name", "source", "generated", "pixels")
+
+
+@query("train_evaluate")
+def q_train_evaluate(spark, sf_dir):
+    """T1 -> N7 -> A7 -> A8: train on the balanced train split, score the
+    test split, report the metrics."""
+    samples, _ = prepare.prepare_samples(A.embedding_images(spark, sf_dir), n_classes=10, batch=20)
+    samples = samples.withColumn("features", F.transform("features", lambda x: x.cast("double"))).persist()
+    params, _ = TR.train(samples.filter(F.col("split") == "train"), SOFTMAX_LAYERS, (1, 1, 64), batch=20,
+                         averaging_frequency=3, epochs=1, workers=4)
+    pred = TR.evaluate_model(samples.filter(F.col("split") == "test"), SOFTMAX_LAYERS, params, (1, 1, 64))
+    m = EV.classification_metrics(EV.confusion_matrix(pred))
+    return m.select(*[F.round(c, 6).alias(c) for c in
+                      ("accuracy", "macro_precision", "macro_recall", "macro_f1")], "n_classes", "n")

@@ -216,7 +216,7 @@ def read_bson(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
 def write_bson(records: DataFrame, path: str, order: str = "pos") -> str:
     """Write records as BSON dump files (one per task, named in ``order``), for
     tests and fixtures.  A retried task rewrites the same file."""
-    n = max(1, records.sparkSession.sparkContext.defaultParallelism)
+    n = max(1, records.rdd.getNumPartitions())
     base = path.rstrip("/")
 
     def enc(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

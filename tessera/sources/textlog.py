@@ -29,7 +29,7 @@ def read_gpu_log(spark: SparkSession, path: str) -> DataFrame:
 def write_lines(df: DataFrame, path: str, order: str = "line_no", parts: int | None = None) -> str:
     """Write ``value`` lines in ``order`` as text files named in order
     (range partitioning keeps file k before file k+1)."""
-    n = parts or max(1, df.sparkSession.sparkContext.defaultParallelism)
+    n = parts or max(1, df.rdd.getNumPartitions())
     (df.repartitionByRange(n, order).sortWithinPartitions(order)
        .select("value").write.mode("overwrite").text(path))
     return path
