@@ -94,6 +94,7 @@ from tessera.operators import nn  # noqa: E402
 from tessera.operators.ordering import rank_in_groups  # noqa: E402
 
 CHUNK = 1 << 16
+_STATS_SCHEMA = "worker int, iteration bigint, score double, n bigint"
 ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-8
 
 _ROW_SCHEMA = T.StructType([
@@ -223,6 +224,8 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
     base = stage_dir or shared_path(spark, "train")
     stats_path = f"{base}/stats"
     iteration = 0
+    n_rounds = -1
+    stats_buf: list[tuple] = []
     cols = [id_col, features, onehot]
     for epoch in range(epochs):
         staged_path = f"{base}/epoch={epoch}"
@@ -236,21 +239,29 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
             bc = spark.sparkContext.broadcast(state)
 
             fit_worker = _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_lr, updater)
+            # One job per round: the worker fits, then one aggregate averages
+            # parameters and Adam moments over the workers.  Score rows ride
+            # along as one-row groups (layer = worker, chunk = iteration).
             res = (staged.filter(F.col("round") == r)
-                   .groupBy("worker").applyInPandas(fit_worker, _ROW_SCHEMA)).persist()
-            res.filter(F.col("kind") == "stat").select("worker", "iteration", "score", "n") \
-                .write.mode("append").parquet(stats_path)
-            avg = average_parameters(res.filter(F.col("kind") != "stat"), by=("kind", "layer", "name", "chunk"))
-            pdf = avg.toPandas()
-            res.unpersist()
+                   .groupBy("worker").applyInPandas(fit_worker, _ROW_SCHEMA))
+            pdf = average_parameters(res, by=("kind", "layer", "name", "chunk")).toPandas()
+            st = pdf[pdf["kind"] == "stat"]
+            stats_buf += [(int(w), int(it), float(v[0]), int(v[1])) for w, it, v in
+                          zip(st["layer"], st["chunk"], st["values"])]
             params = _assemble(pdf[pdf["kind"] == "param"], params)
             if updater == "adam":
                 m_state = _assemble(pdf[pdf["kind"] == "m"], m_state)
                 v_state = _assemble(pdf[pdf["kind"] == "v"], v_state)
             bc.unpersist()
             iteration += averaging_frequency
-    stats = spark.read.parquet(stats_path) if n_rounds >= 0 else \
-        spark.createDataFrame([], "worker int, iteration bigint, score double, n bigint")
+        # scores of the epoch, written once (one row per worker and iteration)
+        if stats_buf:
+            spark.createDataFrame(stats_buf, _STATS_SCHEMA).write.mode("append").parquet(stats_path)
+            stats_buf = []
+    try:
+        stats = spark.read.parquet(stats_path)
+    except Exception:  # noqa: BLE001  (no round ran: no stats folder)
+        stats = spark.createDataFrame([], _STATS_SCHEMA)
     return params, stats
 
 
@@ -284,7 +295,7 @@ def _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_
                     p[k] = p[k] - lr * mh / (np.sqrt(vh) + ADAM_EPS)
                 else:
                     p[k] = p[k] - lr * grads[k]
-            out.append(("stat", w, None, None, None, None, it, loss, len(g)))
+            out.append(("stat", w, w, "score", it, np.array([loss, float(len(g))]), it, loss, len(g)))
         rows = out + _chunks("param", w, p)
         if updater == "adam":
             rows += _chunks("m", w, m) + _chunks("v", w, v2)

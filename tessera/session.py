@@ -32,6 +32,7 @@ def get_spark(master: str | None = None, app: str = "tessera", **conf) -> SparkS
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -75,3 +76,37 @@ def is_local_path(path: str) -> bool:
 
 
 __all__ = ["get_spark", "ensure_checkpoint_dir", "shared_path", "local_fs_path", "is_local_path", "DEFAULT_CONF"]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable by the Python workers of this application.
+
+    Functions run by ``mapInPandas`` / ``applyInPandas`` are pickled by
+    reference to their module, so executors need the package.  A zip of it is
+    written once per application to the shared folder and added with
+    ``addPyFile`` (the same as ``--py-files``).
+    """
+    import io
+    import os as _os
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = _os.path.dirname(_os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in _os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = _os.path.join(d, f)
+                    z.write(full, _os.path.relpath(full, _os.path.dirname(root)))
+    from tessera.sources.fs import write_bytes
+    path = shared_path(spark, "pyfiles") + "/tessera.zip"
+    write_bytes(path, buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

@@ -175,21 +175,43 @@ class _Reader(DataSourceReader):
         return [_Range(r["file"], r["start"], r["end"], r["first"]) for r in self.ranges]
 
     def read(self, part: _Range):
+        """Decode one byte range; rows leave as Arrow record batches."""
+        import pyarrow as pa
+
         fs, p = filesystem(part.file)
         with fs.open_input_file(p) as f:
             f.seek(part.start)
             b = f.read(part.end - part.start)
+        ids, cats, imgs, pos = [], [], [], []
         i, k = 0, part.first
         while i + 4 <= len(b):
             (n,) = struct.unpack_from("<i", b, i)
             if n < 5 or i + n > len(b):
                 break
             d, i = decode_document(b, i)
-            imgs = d.get("imgs")
-            pics = None if imgs is None else [(x.get("picture") if isinstance(x, dict) else None,) for x in imgs]
+            im = d.get("imgs")
             _id, cat = d.get("_id"), d.get("category_id")
-            yield (None if _id is None else str(_id), None if cat is None else str(cat), pics, k)
+            ids.append(None if _id is None else str(_id))
+            cats.append(None if cat is None else str(cat))
+            imgs.append(None if im is None else
+                        [{"picture": x.get("picture") if isinstance(x, dict) else None} for x in im])
+            pos.append(k)
             k += 1
+            if len(ids) >= BATCH_ROWS:
+                yield _batch(pa, ids, cats, imgs, pos)
+                ids, cats, imgs, pos = [], [], [], []
+        if ids:
+            yield _batch(pa, ids, cats, imgs, pos)
+
+
+BATCH_ROWS = 8192
+
+
+def _batch(pa, ids, cats, imgs, pos):
+    pic = pa.list_(pa.struct([pa.field("picture", pa.binary())]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.string()), pa.array(cats, pa.string()), pa.array(imgs, pic), pa.array(pos, pa.int64())],
+        names=["_id", "category_id", "imgs", "pos"])
 
 
 class BsonDataSource(DataSource):
