@@ -31,7 +31,7 @@ RECORD_SCHEMA = T.StructType([
     T.StructField("pos", T.LongType()),
 ])
 
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 256 << 20  # about 400k ranges for 100 TB of dumps
 
 # --- a minimal decoder/encoder for the element types records use -------------------
 
