@@ -146,6 +146,113 @@ def apply_steps(img: np.ndarray, steps, draws: np.ndarray) -> np.ndarray:
     return out
 
 
+# --- batched kernels: the same arithmetic on (B, H, W, C) arrays ---------------------
+
+def _sample_b(imgs, yy, xx):
+    """Bilinear sample of every picture at its own (B, h, w) coordinates."""
+    B, H, W = imgs.shape[:3]
+    yy = np.clip(yy, 0, H - 1)
+    xx = np.clip(xx, 0, W - 1)
+    y0 = np.floor(yy).astype(int)
+    x0 = np.floor(xx).astype(int)
+    y1 = np.minimum(y0 + 1, H - 1)
+    x1 = np.minimum(x0 + 1, W - 1)
+    fy = (yy - y0)[..., None]
+    fx = (xx - x0)[..., None]
+    bi = np.arange(B)[:, None, None]
+    top = imgs[bi, y0, x0] * (1 - fx) + imgs[bi, y0, x1] * fx
+    bot = imgs[bi, y1, x0] * (1 - fx) + imgs[bi, y1, x1] * fx
+    return top * (1 - fy) + bot * fy
+
+
+def _affine_b(imgs, a, b, c, d, scale=None):
+    B, H, W = imgs.shape[:3]
+    cy, cx = (H - 1) / 2.0, (W - 1) / 2.0
+    ys, xs = np.meshgrid(np.arange(H, dtype=np.float64), np.arange(W, dtype=np.float64), indexing="ij")
+    sc = np.ones(B) if scale is None else scale
+    dy = (ys[None] - cy) / sc[:, None, None]
+    dx = (xs[None] - cx) / sc[:, None, None]
+    a, b, c, d = (v[:, None, None] for v in (a, b, c, d))
+    return _sample_b(imgs, cy + a * dy + b * dx, cx + c * dy + d * dx)
+
+
+def _rot90_b(imgs, k):
+    if imgs.shape[1] != imgs.shape[2] and k % 2:
+        k = 2
+    return np.rot90(imgs, k, axes=(1, 2))
+
+
+def batch_step(imgs, st, u):
+    """Apply one step to every picture of ``imgs`` (B, H, W, C) with its own
+    draws ``u`` (B, N_DRAWS); the caller selects the pictures it applies to."""
+    op = st["op"]
+    if op == "flip_left_right":
+        return imgs[:, :, ::-1]
+    if op == "flip_top_bottom":
+        return imgs[:, ::-1]
+    if op == "flip_random":
+        lr = u[:, 1] < 0.5
+        return np.where(lr[:, None, None, None], imgs[:, :, ::-1], imgs[:, ::-1])
+    if op == "rotate180":
+        return np.rot90(imgs, 2, axes=(1, 2))
+    if op == "rotate270":
+        return _rot90_b(imgs, 3)
+    if op == "rotate_random_90":
+        ks = 1 + (u[:, 1] * 3).astype(int)
+        out = np.empty_like(imgs)
+        for k in (1, 2, 3):
+            sel = ks == k
+            if sel.any():
+                out[sel] = _rot90_b(imgs[sel], k)
+        return out
+    if op == "crop_random":
+        B, H, W = imgs.shape[:3]
+        side = math.sqrt(st.get("area", 0.9))
+        h, w = max(1, int(H * side)), max(1, int(W * side))
+        top = (u[:, 1] * (H - h + 1)).astype(int)
+        left = (u[:, 2] * (W - w + 1)).astype(int)
+        ys = np.clip((np.arange(H) + 0.5) * h / H - 0.5, 0, h - 1)
+        xs = np.clip((np.arange(W) + 0.5) * w / W - 0.5, 0, w - 1)
+        yy = np.broadcast_to(ys[None, :, None], (B, H, W)) + top[:, None, None]
+        xx = np.broadcast_to(xs[None, None, :], (B, H, W)) + left[:, None, None]
+        y0 = np.floor(yy).astype(int)
+        x0 = np.floor(xx).astype(int)
+        y1 = np.minimum(y0 + 1, (top + h - 1)[:, None, None])
+        x1 = np.minimum(x0 + 1, (left + w - 1)[:, None, None])
+        fy = (yy - y0)[..., None]
+        fx = (xx - x0)[..., None]
+        bi = np.arange(B)[:, None, None]
+        t = imgs[bi, y0, x0] * (1 - fx) + imgs[bi, y0, x1] * fx
+        b_ = imgs[bi, y1, x0] * (1 - fx) + imgs[bi, y1, x1] * fx
+        return t * (1 - fy) + b_ * fy
+    if op == "rotate":
+        lo, hi = st.get("left", 4), st.get("right", 4)
+        ang = np.radians(-lo + u[:, 1] * (lo + hi))
+        cs, sn = np.cos(ang), np.sin(ang)
+        return _affine_b(imgs, cs, -sn, sn, cs)
+    if op == "shear":
+        lo, hi = st.get("left", 8), st.get("right", 8)
+        t = np.tan(np.radians(-lo + u[:, 1] * (lo + hi)))
+        one, zero = np.ones_like(t), np.zeros_like(t)
+        horiz = u[:, 2] < 0.5
+        return _affine_b(imgs, one, np.where(horiz, zero, t), np.where(horiz, t, zero), one)
+    if op == "zoom":
+        f = st.get("lo", 1.0) + u[:, 1] * (st.get("hi", 1.3) - st.get("lo", 1.0))
+        one, zero = np.ones_like(f), np.zeros_like(f)
+        return _affine_b(imgs, one, zero, zero, one, scale=f)
+    raise ValueError(f"unknown step {op}")
+
+
+def apply_steps_batch(imgs: np.ndarray, steps, draws: np.ndarray) -> np.ndarray:
+    """The pipeline on a whole batch: ``draws`` is (B, steps, N_DRAWS)."""
+    out = imgs.astype(np.float64, copy=True)
+    for s, st in enumerate(steps):
+        sel = draws[:, s, 0] < st["p"]
+        if sel.any():
+            out[sel] = batch_step(out[sel], st, draws[sel, s])
+    return out
+
+
 def augment(df: DataFrame, height: int, width: int, channels: int, steps=None,
             seed: int = DEFAULT_SEED, key: str = "id", pixels: str = "pixels",
             keep: tuple[str, ...] = ()) -> DataFrame:
@@ -158,13 +265,14 @@ def augment(df: DataFrame, height: int, width: int, channels: int, steps=None,
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            outs = []
-            for px, u in zip(pdf["__px"], pdf["__u"]):
-                img = np.asarray(px, dtype=np.float64).reshape(height, width, channels)
-                res = apply_steps(img, steps, np.asarray(u).reshape(len(steps), N_DRAWS))
-                outs.append(res.astype(np.float32).ravel())
+            if len(pdf) == 0:
+                continue
+            imgs = np.stack([np.asarray(px, dtype=np.float64) for px in pdf["__px"]]) \
+                .reshape(-1, height, width, channels)
+            u = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["__u"]]).reshape(-1, len(steps), N_DRAWS)
+            res = apply_steps_batch(imgs, steps, u).astype(np.float32).reshape(len(pdf), -1)
             out = pdf[[key, *keep]].copy()
-            out[pixels] = outs
+            out[pixels] = list(res)
             yield out
 
     schema = T.StructType([src.schema[key], *[src.schema[k] for k in keep],

@@ -35,19 +35,19 @@ def scan_images(spark: SparkSession, path: str, extensions=ALLOWED_IMAGE_EXTENSI
     return files.withColumn("label", label_from_path("path"))
 
 
-def _resize(img: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Bilinear resize of (H, W, C) to (h, w, C), pixel centres aligned."""
-    H, W = img.shape[:2]
+def _resize(imgs: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bilinear resize of a batch (B, H, W, C) to (B, h, w, C), pixel centres aligned."""
+    H, W = imgs.shape[1:3]
+    a = imgs.astype(np.float64)
     if (H, W) == (h, w):
-        return img.astype(np.float64)
+        return a
     ys = np.clip((np.arange(h) + 0.5) * H / h - 0.5, 0, H - 1)
     xs = np.clip((np.arange(w) + 0.5) * W / w - 0.5, 0, W - 1)
     y0 = np.floor(ys).astype(int); x0 = np.floor(xs).astype(int)
     y1 = np.minimum(y0 + 1, H - 1); x1 = np.minimum(x0 + 1, W - 1)
-    fy = (ys - y0)[:, None, None]; fx = (xs - x0)[None, :, None]
-    a = img.astype(np.float64)
-    top = a[y0][:, x0] * (1 - fx) + a[y0][:, x1] * fx
-    bot = a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx
+    fy = (ys - y0)[None, :, None, None]; fx = (xs - x0)[None, None, :, None]
+    top = a[:, y0][:, :, x0] * (1 - fx) + a[:, y0][:, :, x1] * fx
+    bot = a[:, y1][:, :, x0] * (1 - fx) + a[:, y1][:, :, x1] * fx
     return top * (1 - fy) + bot * fy
 
 
@@ -70,16 +70,21 @@ def load_images(spark: SparkSession, path: str, height: int = 32, width: int = 3
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            outs = []
-            for h, w, c, data in zip(pdf["h"], pdf["w"], pdf["c"], pdf["data"]):
-                img = np.frombuffer(bytes(data), dtype=np.uint8).reshape(int(h), int(w), int(c))
+            if len(pdf) == 0:
+                continue
+            outs = [None] * len(pdf)
+            # pictures of one shape are resized together
+            for (h, w, c), idx in pdf.groupby(["h", "w", "c"]).indices.items():
+                imgs = np.stack([np.frombuffer(bytes(pdf["data"].iat[i]), dtype=np.uint8) for i in idx]) \
+                    .reshape(len(idx), int(h), int(w), int(c))
                 if c > channels:
-                    img = img[:, :, :channels]
+                    imgs = imgs[..., :channels]
                 elif c < channels:
-                    img = np.repeat(img[:, :, :1], channels, axis=2)
-                r = _resize(img, height, width)
-                outs.append(np.clip(np.rint(r), 0, 255).astype(np.int32).ravel())
-            yield pd.DataFrame({"path": pdf["path"], "pixels": outs})
+                    imgs = np.repeat(imgs[..., :1], channels, axis=3)
+                res = np.clip(np.rint(_resize(imgs, height, width)), 0, 255).astype(np.int32)
+                for j, i in enumerate(idx):
+                    outs[i] = res[j].ravel()
+            yield pd.DataFrame({"path": pdf["path"].to_numpy(), "pixels": outs})
 
     out = raw.mapInPandas(run, "path string, pixels array<int>")
     return out.select("path", label_from_path("path").alias("label"),
