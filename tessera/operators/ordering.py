@@ -84,7 +84,8 @@ def bits_for(max_group_rows: int, rows_per_bucket: int = 1 << 20) -> int:
 
 
 def rank_in_groups(df: DataFrame, group: Sequence[str], md5_col: str, tiebreak: Sequence[str],
-                   out: str = "rn", size_col: str | None = None, bits: int = 12) -> DataFrame:
+                   out: str = "rn", size_col: str | None = None, bits: int = 12,
+                   return_sizes: bool = False):
     """``row_number() over (partition by group order by md5_col, tiebreak)``, 1-based.
 
     The top ``bits`` of the md5 split every group into even sub-buckets, so a
@@ -102,9 +103,14 @@ def rank_in_groups(df: DataFrame, group: Sequence[str], md5_col: str, tiebreak:
         *( [F.sum("__n").over(Window.partitionBy(*group)).alias(size_col)] if size_col else [] ),
     )
     w_in = Window.partitionBy(*group, "__hb").orderBy(md5_col, *tiebreak)
-    return (d.join(offs, [*group, "__hb"], "left")
-             .withColumn(out, (F.col("__off") + F.row_number().over(w_in)).cast("bigint"))
-             .drop("__hb", "__off"))
+    ranked = (d.join(offs, [*group, "__hb"], "left")
+              .withColumn(out, (F.col("__off") + F.row_number().over(w_in)).cast("bigint"))
+              .drop("__hb", "__off"))
+    if return_sizes:
+        # group sizes from the same bucket counts (one row per group)
+        sizes = counts.groupBy(*group).agg(F.sum("__n").cast("bigint").alias("group_n"))
+        return ranked, sizes
+    return ranked
 
 
 def dense_index(df: DataFrame, order: Sequence[str], bucket: Sequence[str],

@@ -67,12 +67,23 @@ def rebalance(images: DataFrame, target: int = TARGET, seed: int = DEFAULT_SEED,
     Rows ``(label, name, source, generated)``; a generated row is named
     ``<label>_gen_<draw_no>`` and ``source`` names the original it is made
     from.  Every class with at least one original ends with ``target`` rows.
+    The originals are ranked once; the cap, the class sizes and the draw join
+    all use that one ranking.
     """
-    images = images.select(label, name)
-    kept = cap_per_class(images, target, seed, label, name).select(
+    d = images.select(label, name).withColumn("__md5", seeded_md5(seed, name))
+    ranked, sizes = rank_in_groups(d, [label], "__md5", [name], out="rn", return_sizes=True)
+    # read twice (cap and draw join): keep it (memory, spilling to disk)
+    ranked = ranked.drop("__md5").persist()
+    kept = ranked.filter(F.col("rn") <= target).select(
         label, name, F.col(name).alias("source"), F.lit(False).alias("generated"))
-    deficits = class_deficits(images, target, labels, label)
-    gen = draw_sources(images, deficits, seed, label, name).select(
+    have = sizes.select(label, F.col("group_n").alias("have"))
+    if labels is not None:
+        have = labels.select(label).distinct().join(have, label, "left").fillna(0, ["have"])
+    need = have.filter((F.col("have") > 0) & (F.col("have") < target))
+    draws = need.select(label, "have", F.explode(F.sequence(F.lit(1).cast("bigint"),
+                                                            F.lit(target) - F.col("have"))).alias("draw_no"))
+    draws = draws.withColumn("rn", (hash32(seed, label, "draw_no") % F.col("have") + 1).cast("bigint"))
+    gen = draws.join(ranked.select(label, "rn", F.col(name).alias("source")), [label, "rn"]).select(
         label, F.concat(F.col(label).cast("string"), F.lit("_gen_"), F.col("draw_no").cast("string")).alias(name),
         "source", F.lit(True).alias("generated"))
     return kept.unionByName(gen)
