@@ -168,11 +168,17 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """Holds only the path of the range plan: the reader is pickled into
+    every task, so the plan itself must not live on it."""
+
     def __init__(self, options):
-        self.ranges = json.loads(options.get("ranges", "[]"))
+        self.plan_path = options.get("plan")
 
     def partitions(self):
-        return [_Range(r["file"], r["start"], r["end"], r["first"]) for r in self.ranges]
+        fs, p = filesystem(self.plan_path)
+        with fs.open_input_stream(p) as f:
+            ranges = json.loads(f.read().decode("utf-8"))
+        return [_Range(r["file"], r["start"], r["end"], r["first"]) for r in ranges]
 
     def read(self, part: _Range):
         """Decode one byte range; rows leave as Arrow record batches."""
@@ -215,7 +221,7 @@ def _batch(pa, ids, cats, imgs, pos):
 
 
 class BsonDataSource(DataSource):
-    """``spark.read.format("bson").option("ranges", json)``: decode planned ranges."""
+    """``spark.read.format("bson").option("plan", path)``: decode planned ranges."""
 
     @classmethod
     def name(cls):
@@ -229,10 +235,17 @@ class BsonDataSource(DataSource):
 
 
 def read_bson(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Records ``(_id, category_id, imgs, pos)`` of every dump below ``path``."""
+    """Records ``(_id, category_id, imgs, pos)`` of every dump below ``path``.
+
+    The range plan is written to the shared folder; the data source reads it
+    when it lists its partitions."""
+    from tessera.session import shared_path
+
     spark.dataSource.register(BsonDataSource)
     ranges = plan_ranges(spark, path, range_bytes)
-    return spark.read.format("bson").option("ranges", json.dumps(ranges)).load()
+    plan = shared_path(spark, "bson-plans") + "/ranges.json"
+    write_bytes(plan, json.dumps(ranges).encode("utf-8"))
+    return spark.read.format("bson").option("plan", plan).load()
 
 
 def write_bson(records: DataFrame, path: str, order: str = "pos") -> str:
