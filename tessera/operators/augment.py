@@ -37,6 +37,7 @@ DEFAULT_STEPS = [
 ]
 
 N_DRAWS = 3  # uniform numbers per step: apply?, and two parameters
+AUGMENT_BATCH = 1024  # pictures per numpy batch inside a task
 
 
 def flip_random(img, u):
@@ -264,9 +265,8 @@ def augment(df: DataFrame, height: int, width: int, channels: int, steps=None,
     src = df.select(key, *keep, F.col(pixels).alias("__px"), draws.alias("__u"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
+        from tessera.operators.nn import slices
+        for pdf in slices(it, AUGMENT_BATCH):
             imgs = np.stack([np.asarray(px, dtype=np.float64) for px in pdf["__px"]]) \
                 .reshape(-1, height, width, channels)
             u = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["__u"]]).reshape(-1, len(steps), N_DRAWS)

@@ -281,24 +281,35 @@ def backward(params, layers, cache, probs, onehot, l2: float = 0.0) -> dict:
 
 # --- Spark operators ------------------------------------------------------------------
 
+def slices(it: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Cut Arrow batches into pieces of at most ``rows`` rows (bounds the
+    memory of the numpy work in a task)."""
+    for pdf in it:
+        for start in range(0, len(pdf), rows):
+            yield pdf.iloc[start:start + rows]
+
+
 def _vectors(pdf: pd.DataFrame, col: str) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in pdf[col]]) if len(pdf) else np.zeros((0, 0))
 
 
+SCORE_BATCH = 128
+
+
 def apply_layers(df: DataFrame, layers, params: dict, input_shape, features: str = "features",
-                 id_col: str = "id", out: str = "values", activation: bool = True) -> DataFrame:
+                 id_col: str = "id", out: str = "values", activation: bool = True,
+                 batch: int = SCORE_BATCH, keep: tuple[str, ...] = ()) -> DataFrame:
     """N1-N3 (and N7 for a whole network): run ``layers`` on every row, in
-    Arrow batches on the executors.  With ``activation=False`` the last
-    layer's pre-activation is returned (a bare convolution or dense layer)."""
+    Arrow batches on the executors, ``batch`` rows at a time (bounds the
+    activation memory of a task).  With ``activation=False`` the last layer's
+    pre-activation is returned (a bare convolution or dense layer)."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast({k: np.asarray(v, dtype=np.float64) for k, v in params.items()})
     h, w, c = input_shape
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
+        for pdf in slices(it, batch):
             x = _vectors(pdf, features).reshape(-1, h, w, c)
             a = x
             for i, L in enumerate(layers):
@@ -316,14 +327,20 @@ def apply_layers(df: DataFrame, layers, params: dict, input_shape, features: str
                     else:
                         a = softmax_rows(z) if t == "output" else leaky(z)
             flat = a.reshape(a.shape[0], -1)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), out: list(flat)})
+            res = {id_col: pdf[id_col].to_numpy()}
+            for k in keep:
+                res[k] = pdf[k].to_numpy()
+            res[out] = list(flat)
+            yield pd.DataFrame(res)
 
-    schema = T.StructType([df.schema[id_col], T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return df.select(id_col, features).mapInPandas(run, schema)
+    schema = T.StructType([df.schema[id_col], *[df.schema[k] for k in keep],
+                           T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return df.select(id_col, *keep, features).mapInPandas(run, schema)
 
 
 def score(df: DataFrame, layers, params: dict, input_shape, features: str = "features",
-          id_col: str = "id") -> DataFrame:
-    """Probabilities and predicted class of every row."""
-    probs = apply_layers(df, layers, params, input_shape, features, id_col, out="probs")
+          id_col: str = "id", keep: tuple[str, ...] = (), batch: int = SCORE_BATCH) -> DataFrame:
+    """Probabilities and predicted class of every row (``keep`` columns
+    are carried through)."""
+    probs = apply_layers(df, layers, params, input_shape, features, id_col, out="probs", batch=batch, keep=keep)
     return probs.withColumn("predicted", (F.array_position("probs", F.array_max("probs")) - 1).cast("int"))

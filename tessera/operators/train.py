@@ -94,6 +94,7 @@ from tessera.operators import nn  # noqa: E402
 from tessera.operators.ordering import rank_in_groups  # noqa: E402
 
 CHUNK = 1 << 16
+GRADIENT_BATCH = 256
 _STATS_SCHEMA = "worker int, iteration bigint, score double, n bigint"
 ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-8
 
@@ -151,9 +152,7 @@ def full_batch_gradient(df: DataFrame, layers, params: dict, input_shape, featur
         p = bc.value
         total = None
         n = 0
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
+        for pdf in nn.slices(it, GRADIENT_BATCH):
             x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features]])
             y = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[onehot]])
             probs, cache = nn.forward(p, layers, input_shape, x, keep=True)
@@ -305,8 +304,9 @@ def _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_
 
 
 def evaluate_model(test: DataFrame, layers, params: dict, input_shape, features: str = "features",
-                   label: str = "label", id_col: str = "id") -> DataFrame:
-    """Score held-out rows (N7) and return ``(actual, predicted)`` for A7/A8."""
-    scored = nn.score(test.select(id_col, features), layers, params, input_shape, features, id_col)
-    return test.select(id_col, F.col(label).alias("actual")).join(scored, id_col) \
-        .select("actual", "predicted")
+                   label: str = "label", id_col: str = "id", eval_batch: int = 128) -> DataFrame:
+    """Score held-out rows (N7) and return ``(actual, predicted)`` for A7/A8;
+    the label rides through the scoring step, so no join is needed."""
+    scored = nn.score(test.select(id_col, F.col(label).alias("actual"), features), layers, params,
+                      input_shape, features, id_col, keep=("actual",), batch=eval_batch)
+    return scored.select("actual", "predicted")

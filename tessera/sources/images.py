@@ -69,9 +69,8 @@ def load_images(spark: SparkSession, path: str, height: int = 32, width: int = 3
                    F.col("image.data").alias("data")))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
+        from tessera.operators.nn import slices
+        for pdf in slices(it, 1024):
             outs = [None] * len(pdf)
             # pictures of one shape are resized together
             for (h, w, c), idx in pdf.groupby(["h", "w", "c"]).indices.items():
