@@ -79,11 +79,7 @@ def steps(log: DataFrame, max_history: int = MAX_HISTORY, bucket: int = LINE_BUC
         _raise_bad(data)
         return empty, 0
     n = int(last[0]["size"])
-    lines = data.join(blocks, "blk").withColumn("r", F.col("end_d") - F.col("d"))
-    lines = lines.withColumn("chunk", F.floor(F.col("r") / F.lit(n)).cast("bigint"))
-    full = (F.col("chunk") + 1) * F.lit(n) <= F.col("size")
-    preceded = (F.col("blk") > 0) | (F.col("size") > (F.col("chunk") + 1) * F.lit(n))
-    lines = lines.filter(full & preceded)
+    lines = lines_for(data, blocks, n)
     # L1: top-k of the distinct steps, newest first; at most max_history + 1 rows.
     kept = (lines.groupBy("blk", "chunk").agg(F.min("line_no").alias("first_line"))
             .orderBy(F.col("blk").desc(), F.col("chunk").asc()).limit(max_history + 1).collect())
@@ -98,12 +94,25 @@ def steps(log: DataFrame, max_history: int = MAX_HISTORY, bucket: int = LINE_BUC
         _raise_bad(data)
     numbered = spark.createDataFrame([(r["blk"], r["chunk"], i) for i, r in enumerate(kept)],
                                      "blk bigint, chunk bigint, step bigint")
-    out = lines.join(F.broadcast(numbered), ["blk", "chunk"])
+    # Every kept line lies at or after the first kept step: cut both sides of
+    # the block join to that tail before joining.
+    tail = lines_for(data.filter(F.col("line_no") >= F.lit(kept[0]["first_line"])),
+                     blocks.filter(F.col("blk") >= F.lit(kept[0]["blk"])), n)
+    out = tail.join(F.broadcast(numbered), ["blk", "chunk"])
     out = out.select("step", (F.lit(n - 1) - F.col("r") % F.lit(n)).cast("int").alias("gpu"),
                      "util", "mem_pct", "line_no")
     return out, n
 
 
+def lines_for(data: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+    """Data lines with ``r`` and ``chunk``, kept when their chunk is a step."""
+    lines = data.join(blocks, "blk").withColumn("r", F.col("end_d") - F.col("d"))
+    lines = lines.withColumn("chunk", F.floor(F.col("r") / F.lit(n)).cast("bigint"))
+    full = (F.col("chunk") + 1) * F.lit(n) <= F.col("size")
+    preceded = (F.col("blk") > 0) | (F.col("size") > (F.col("chunk") + 1) * F.lit(n))
+    return lines.filter(full & preceded)
+
+
 def _raise_bad(parsed: DataFrame) -> None:
     """P12 for a whole log: stop at the malformed line nearest the end."""
     bad = parsed.filter("bad").select("line_no", "value").orderBy(F.col("line_no").desc()).limit(1).collect()

@@ -62,20 +62,7 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, *parts, uuid.uuid4().hex])
 
 
-def local_fs_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python code can open a local path."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-__all__ = ["get_spark", "ensure_checkpoint_dir", "shared_path", "local_fs_path", "is_local_path", "DEFAULT_CONF"]
+__all__ = ["get_spark", "ensure_checkpoint_dir", "shared_path", "ship_package", "DEFAULT_CONF"]
 
 
 _SHIPPED: set[str] = set()
