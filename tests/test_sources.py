@@ -58,3 +58,27 @@ def test_sinks(spark, tmp_shared):
     assert spark.read.parquet(q).filter("category_id = 1").first()["name"] == "5.jpg"
     r = write_report(spark.createDataFrame([("cates", "1,2")], "report string, line string"), tmp_shared("rep"))
     assert spark.read.text(f"{r}/report=cates").first()["value"] == "1,2"
+
+
+def test_dataset_roundtrip_and_split_pruning(spark, tmp_shared):
+    from tessera.operators import prepare
+    from tessera.sources.dataset import read_dataset, write_dataset
+    rows = [(i, i % 3, [float(i)] * 4) for i in range(30)]
+    imgs = spark.createDataFrame(rows, "id long, label int, pixels array<float>")
+    samples, bal = prepare.prepare_samples(imgs, batch=4)
+    path = write_dataset(samples, tmp_shared("ds"), parts=3)
+    back = read_dataset(spark, path, split="test")
+    assert back.count() == bal.n - bal.n_train
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "split" in plan
+    assert read_dataset(spark, path).count() == bal.n
+
+
+def test_write_rebalanced(spark, tmp_shared):
+    from tessera.operators import rebalance as R
+    from tessera.sources.sinks import write_rebalanced
+    rows = [("a", f"a{i}", [float(i)] * 4) for i in range(3)] + [("b", "b0", [2.0] * 4)]
+    df = spark.createDataFrame(rows, "label string, name string, pixels array<double>")
+    p = write_rebalanced(R.rebalance_images(df, 2, 2, 1, target=3), tmp_shared("rb"))
+    back = spark.read.parquet(p)
+    assert back.count() == 6 and back.filter("label = 'b' AND generated").count() == 2
