@@ -104,7 +104,7 @@ def attach_pixels(drawn: DataFrame, images: DataFrame, label: str = "label", nam
 
 
 __all__ = ["TARGET", "class_deficits", "rank_originals", "cap_per_class", "draw_sources", "rebalance",
-           "generation_report", "attach_pixels", "join_small"]
+           "generation_report", "attach_pixels", "rebalance_images"]
 
 
 def rebalance_images(images: DataFrame, height: int, width: int, channels: int, target: int = TARGET,

@@ -13,8 +13,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import extract
+from tessera.functions import pixels as PX
+from tessera.functions.columns import (
+    has_extension, leaky_relu, mcxent, one_hot, predict_index, round_array, scale_pixels, softmax,
+)
+from tessera.operators import augment as AUG
+from tessera.operators import evaluate as EV
+from tessera.operators import extract, gpulog, nn, prepare
+from tessera.operators import rebalance as R
+from tessera.operators import train as TR
 from tessera.plans import adapters as A
+from tessera.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,10 +81,6 @@ def q_extract_progress(spark, sf_dir):
 
 # --- prepare --------------------------------------------------------------------
 
-from tessera.functions.columns import has_extension, label_from_path, one_hot, round_array, scale_pixels  # noqa: E402
-from tessera.operators import prepare  # noqa: E402
-from tessera.plans.tables import table  # noqa: E402
-
 
 @query("label_from_path")
 def q_label_from_path(spark, sf_dir):
@@ -147,8 +152,6 @@ def q_dataset_roundtrip(spark, sf_dir):
 
 # --- monitor --------------------------------------------------------------------
 
-from tessera.operators import gpulog  # noqa: E402
-
 
 @query("gpu_parse")
 def q_gpu_parse(spark, sf_dir):
@@ -192,7 +195,6 @@ def q_read_gpu_log(spark, sf_dir):
 
 # --- rebalance ------------------------------------------------------------------
 
-from tessera.operators import rebalance as R  # noqa: E402
 
 REBALANCE_TARGET = 60
 
@@ -225,10 +227,6 @@ def q_generation_report(spark, sf_dir):
 
 # --- pixels, layers and network outputs ---------------------------------------
 
-from tessera.functions import pixels as PX  # noqa: E402
-from tessera.functions.columns import leaky_relu, mcxent, predict_index, softmax  # noqa: E402
-from tessera.operators import nn  # noqa: E402
-
 
 def _images8(spark, sf_dir):
     return A.embedding_images(spark, sf_dir)
@@ -297,8 +295,6 @@ def q_predict(spark, sf_dir):
 
 # --- evaluation -------------------------------------------------------------------
 
-from tessera.operators import evaluate as EV  # noqa: E402
-
 
 def _predictions(spark, sf_dir):
     return (A.predictions_labels(spark, sf_dir).withColumn("source", F.lit("labels"))
@@ -326,8 +322,6 @@ def q_classification_metrics(spark, sf_dir):
 
 # --- training reports -----------------------------------------------------------
 
-from tessera.operators import train as TR  # noqa: E402
-
 
 @query("lr_schedule")
 def q_lr_schedule(spark, sf_dir):
@@ -405,8 +399,6 @@ query("train_cnn")(_train_query(SMALL_CNN, (8, 8, 1), 2))
 
 # --- augmentation ---------------------------------------------------------------
 
-from tessera.operators import augment as AUG  # noqa: E402
-
 
 @query("augment")
 def q_augment(spark, sf_dir):

@@ -272,4 +272,4 @@ def write_bson(records: DataFrame, path: str, order: str = "pos") -> str:
 
 
 __all__ = ["RECORD_SCHEMA", "read_bson", "write_bson", "plan_ranges", "decode_document", "encode_document",
-           "BsonDataSource", "F"]
+           "BsonDataSource"]

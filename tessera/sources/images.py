@@ -122,4 +122,4 @@ def write_png_folders(df: DataFrame, path: str, height: int, width: int, pixels:
     return path
 
 
-__all__ = ["scan_images", "load_images", "png_bytes", "write_png_folders", "T"]
+__all__ = ["scan_images", "load_images", "png_bytes", "write_png_folders"]

@@ -113,3 +113,26 @@ def test_init_parameters_he_scale(spark):
     w = np.array([r["value"] for r in p.filter("name = 'W'").collect()])
     assert len(w) == 10000 and abs(w.std() - np.sqrt(2 / 200)) < 0.01 and abs(w.mean()) < 0.01
     assert nn.count_parameters(nn.CLASSIFIER_LAYERS, (32, 32, 3)) == 1_780_882
+
+
+def test_w_workers_frequency_one_is_mean_of_single_steps(spark, tmp_shared):
+    """One round (batch larger than any worker's rows), plain SGD from zero:
+    the averaged parameters are the mean of the workers' single steps."""
+    layers = [{"type": "output", "out": 2}]
+    shape = (1, 1, 4)
+    df = _samples(spark, 30, seed=4)
+    p0 = {(0, "W"): np.zeros((2, 4)), (0, "b"): np.zeros(2)}
+    params, stats = TR.train(df, layers, shape, batch=100, averaging_frequency=1, workers=3, params=p0,
+                             l2=0.0, lr_schedule=[], base_lr=0.1, updater="sgd", stage_dir=tmp_shared("t3"))
+    rows = TR.assign_rounds(df, 3, 100, 1, 0).toPandas()
+    assert rows["round"].max() == 0
+    singles = []
+    for _, g in rows.groupby("worker"):
+        x = np.stack(g["features"].map(np.asarray))
+        y = np.stack(g["onehot"].map(np.asarray))
+        pr, cache = nn.forward(p0, layers, shape, x, keep=True)
+        gr = nn.backward(p0, layers, cache, pr, y)
+        singles.append({k: p0[k] - 0.1 * gr[k] for k in p0})
+    for k in p0:
+        assert np.allclose(params[k], np.mean([s_[k] for s_ in singles], axis=0), atol=1e-12)
+    assert stats.count() == rows["worker"].nunique()
