@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import first_picture, parse_int_strict, picture_name
-from tessera.operators.ordering import running_total
+from tessera.operators.ordering import dense_index, running_total
 
 PROGRESS_EVERY = 10_000
 # Ids per report line block: a category's id list is cut into blocks of this
@@ -54,14 +54,21 @@ def category_ids(pictures: DataFrame, block: int = IDS_BLOCK) -> DataFrame:
     return g.agg(F.array_join(F.transform(ids, lambda x: x["_id"].cast("string")), ",").alias("ids"))
 
 
-def progress(pictures: DataFrame, every: int = PROGRESS_EVERY) -> DataFrame:
+def progress(pictures: DataFrame, every: int = PROGRESS_EVERY, dense_pos: bool = True,
+             pos_bucket: int = 1 << 20) -> DataFrame:
     """Before every ``every``-th record, pictures so far and categories so far.
 
     Rows ``(record_index, n_pictures, n_categories)``, values excluding the
     record itself.  A category counts from the first checkpoint after its
     first record; per-checkpoint increments come from a grouped minimum, so
-    no window runs over the records.
+    no window runs over the records.  ``pos`` must be the dense record
+    number the sources give; with ``dense_pos=False`` it is first renumbered
+    by a bucketed running count (buckets of ``pos_bucket`` positions).
     """
+    if not dense_pos:
+        pictures = dense_index(pictures.withColumn("__pb", F.floor(F.col("pos") / F.lit(pos_bucket))),
+                               order=["pos"], bucket=["__pb"], out="__idx") \
+            .drop("pos", "__pb").withColumnRenamed("__idx", "pos")
     first = pictures.groupBy("category_id").agg(F.min("pos").alias("first_pos"))
     new_at = (first.groupBy((F.floor(F.col("first_pos") / every) + 1).cast("bigint").alias("k"))
                    .agg(F.count(F.lit(1)).alias("new_cats")))

@@ -53,3 +53,9 @@ def test_report_lines(spark):
     lines = {(r["report"], r["line"]) for r in extract.report_lines(df).collect()}
     assert ("count", "number of pictures: 2, number of category: 2") in lines
     assert ("cates", "2,1") in lines and ("ids", "4,3") in lines
+
+
+def test_progress_with_gaps_in_pos(spark):
+    df = spark.range(25).select((F.col("id") * 3 + 5).alias("pos"), (F.col("id") % 4).cast("int").alias("category_id"))
+    rows = sorted(tuple(r) for r in extract.progress(df, every=10, dense_pos=False, pos_bucket=16).collect())
+    assert rows == [(0, 0, 0), (10, 10, 4), (20, 20, 4)]
