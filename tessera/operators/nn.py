@@ -128,6 +128,17 @@ def init_parameters(spark: SparkSession, layers, input_shape, seed: int = DEFAUL
     return out
 
 
+def init_parameter_chunks(spark: SparkSession, layers, input_shape, seed: int = DEFAULT_SEED,
+                          chunk: int = 1 << 16) -> DataFrame:
+    """T5 in chunk form ``(layer, name, chunk, values)``: values are gathered
+    into arrays of ``chunk`` on the executors, so the driver receives a few
+    rows per layer instead of one row per parameter."""
+    p = init_parameters(spark, layers, input_shape, seed)
+    g = p.groupBy("layer", "name", F.floor(F.col("idx") / F.lit(chunk)).cast("int").alias("chunk"))
+    vals = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    return g.agg(F.transform(vals, lambda x: x["value"]).alias("values"))
+
+
 def parameters_to_numpy(rows: DataFrame, layers, input_shape) -> dict:
     """Gather ``(layer, name, chunk|idx, values|value)`` rows into arrays on the
     driver (the model is small and bounded by the layer list)."""

@@ -215,7 +215,7 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
 
     spark = samples.sparkSession
     if params is None:
-        p_rows = nn.init_parameters(spark, layers, input_shape, seed)
+        p_rows = nn.init_parameter_chunks(spark, layers, input_shape, seed, CHUNK)
         params = nn.parameters_to_numpy(p_rows, layers, input_shape)
     params = {k: np.asarray(v, dtype=np.float64) for k, v in params.items()}
     m_state = {k: np.zeros_like(v) for k, v in params.items()}

@@ -136,3 +136,10 @@ def test_w_workers_frequency_one_is_mean_of_single_steps(spark, tmp_shared):
     for k in p0:
         assert np.allclose(params[k], np.mean([s_[k] for s_ in singles], axis=0), atol=1e-12)
     assert stats.count() == rows["worker"].nunique()
+
+
+def test_init_chunks_equal_rows(spark):
+    layers = [{"type": "conv", "out": 3, "k": 3}, {"type": "output", "out": 2}]
+    a = nn.parameters_to_numpy(nn.init_parameters(spark, layers, (5, 5, 2), seed=9), layers, (5, 5, 2))
+    b = nn.parameters_to_numpy(nn.init_parameter_chunks(spark, layers, (5, 5, 2), seed=9, chunk=7), layers, (5, 5, 2))
+    assert a.keys() == b.keys() and all(np.array_equal(a[k], b[k]) for k in a)
