@@ -44,6 +44,11 @@ CLASSIFIER_LAYERS = [
 ]
 
 
+def classifier_layers(n_classes: int = 2) -> list[dict]:
+    """The classifier with ``n_classes`` outputs."""
+    return CLASSIFIER_LAYERS[:-1] + [{"type": "output", "out": int(n_classes)}]
+
+
 # --- shapes and parameters ------------------------------------------------------
 
 def layer_shapes(layers: list[dict], input_shape: tuple[int, int, int]) -> list[dict]:

@@ -453,3 +453,27 @@ def q_train_evaluate(spark, sf_dir):
     m = EV.classification_metrics(EV.confusion_matrix(pred))
     return m.select(*[F.round(c, 6).alias(c) for c in
                       ("accuracy", "macro_precision", "macro_recall", "macro_f1")], "n_classes", "n")
+
+
+@query("train_classifier")
+def q_train_classifier(spark, sf_dir):
+    """The image classifier program end to end: pictures written from the
+    embeddings, decoded and resized to 32x32x3 (S3), scaled to [0,1] (P7),
+    balanced, split and batched (B1 B2 W2), trained with the 11-layer network
+    by parameter averaging (T1), scored (N7) and evaluated (A7 A8)."""
+    from tessera.session import shared_path
+    from tessera.sources.images import load_images, write_png_folders
+    imgs = A.embedding_images(spark, sf_dir).select(
+        "id", "label", F.transform("pixels", lambda x: F.floor((x + 1) * 127).cast("int")).alias("pixels"))
+    path = write_png_folders(imgs, shared_path(spark, "classifier-images"), 8, 8)
+    pics = load_images(spark, path, 32, 32, 3).select(
+        F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("id"), "label", "pixels")
+    samples, bal = prepare.prepare_samples(pics, batch=20, scale=True)
+    samples = samples.persist()
+    layers = nn.classifier_layers(bal.n_classes)
+    params, _ = TR.train(samples.filter(F.col("split") == "train"), layers, (32, 32, 3), batch=20,
+                         averaging_frequency=3, epochs=1, workers=4)
+    pred = TR.evaluate_model(samples.filter(F.col("split") == "test"), layers, params, (32, 32, 3))
+    m = EV.classification_metrics(EV.confusion_matrix(pred))
+    return m.select(*[F.round(c, 6).alias(c) for c in
+                      ("accuracy", "macro_precision", "macro_recall", "macro_f1")], "n_classes", "n")
