@@ -237,7 +237,7 @@ def leaky(x):
 
 
 def leaky_grad(z):
-    return np.where(z > 0, 1.0, LEAKY_SLOPE)
+    return np.where(z > 0, 1.0, LEAKY_SLOPE).astype(z.dtype, copy=False)
 
 
 def softmax_rows(z):
@@ -245,11 +245,11 @@ def softmax_rows(z):
     return e / e.sum(axis=1, keepdims=True)
 
 
-def forward(params: dict, layers, input_shape, x: np.ndarray, keep: bool = False):
+def forward(params: dict, layers, input_shape, x: np.ndarray, keep: bool = False, dtype=np.float64):
     """Forward pass of a batch of flat images; returns probabilities (and the
     per-layer cache when ``keep``)."""
     h, w, c = input_shape
-    a = x.reshape(-1, h, w, c).astype(np.float64)
+    a = x.reshape(-1, h, w, c).astype(dtype)
     cache = []
     for i, L in enumerate(layers):
         t = L["type"]

@@ -199,9 +199,10 @@ def assign_rounds(samples: DataFrame, workers: int, batch: int, frequency: int,
 def train(samples: DataFrame, layers, input_shape, batch: int = 20,
           averaging_frequency: int = AVERAGING_FREQUENCY, epochs: int = EPOCHS,
           lr_schedule=LR_SCHEDULE_CPU, base_lr: float = BASE_LR_CPU, l2: float = L2,
-          seed: int = DEFAULT_SEED, workers: int = 4, updater: str = "adam",
+          seed: int = DEFAULT_SEED, workers: int | None = None, updater: str = "adam",
           params: dict | None = None, features: str = "features", onehot: str = "onehot",
-          id_col: str = "id", stage_dir: str | None = None) -> tuple[dict, DataFrame]:
+          id_col: str = "id", stage_dir: str | None = None,
+          dtype: str = "float32") -> tuple[dict, DataFrame]:
     """Fit by synchronous parameter averaging.
 
     Each round every worker starts from the shared parameters (and updater
@@ -210,10 +211,17 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
     epoch are staged once as Parquet partitioned by round in the shared folder
     (cutting lineage; a round reads only its own folder).  Returns the final
     parameters and the per-iteration, per-worker scores.
+
+    ``workers`` defaults to the cluster's default parallelism (one worker per
+    task slot).  Worker fits compute in ``dtype`` (single precision by
+    default, as the reference library does); parameters and moments are
+    averaged in double precision.
     """
     from tessera.session import shared_path
 
     spark = samples.sparkSession
+    if workers is None:
+        workers = max(1, spark.sparkContext.defaultParallelism)
     if params is None:
         p_rows = nn.init_parameter_chunks(spark, layers, input_shape, seed, CHUNK)
         params = nn.parameters_to_numpy(p_rows, layers, input_shape)
@@ -237,7 +245,8 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
             state = {"p": params, "m": m_state, "v": v_state, "it": iteration}
             bc = spark.sparkContext.broadcast(state)
 
-            fit_worker = _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_lr, updater)
+            fit_worker = _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_lr, updater,
+                                    dtype)
             # One job per round: the worker fits, then one aggregate averages
             # parameters and Adam moments over the workers.  Score rows ride
             # along as one-row groups (layer = worker, chunk = iteration).
@@ -264,24 +273,25 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
     return params, stats
 
 
-def _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_lr, updater):
+def _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_lr, updater, dtype="float64"):
     """The per-worker fit of one round, run by ``applyInPandas`` on the
     worker's rows (at most ``averaging_frequency * batch`` of them)."""
 
     def fit_worker(pdf: pd.DataFrame) -> pd.DataFrame:
         s = bc.value
-        p = {k: v.copy() for k, v in s["p"].items()}
-        m = {k: v.copy() for k, v in s["m"].items()}
-        v2 = {k: v.copy() for k, v in s["v"].items()}
+        dt = np.dtype(dtype)
+        p = {k: v.astype(dt) for k, v in s["p"].items()}
+        m = {k: v.astype(dt) for k, v in s["m"].items()}
+        v2 = {k: v.astype(dt) for k, v in s["v"].items()}
         it0 = s["it"]
         w = int(pdf["worker"].iloc[0])
         pdf = pdf.sort_values(["mb", "wrn"])
         out = []
         for j, (_, g) in enumerate(pdf.groupby("mb", sort=True)):
-            x = np.stack([np.asarray(a, dtype=np.float64) for a in g[features]])
-            y = np.stack([np.asarray(a, dtype=np.float64) for a in g[onehot]])
-            probs, cache = nn.forward(p, layers, input_shape, x, keep=True)
-            loss = float(-np.mean(np.sum(y * np.log(np.clip(probs, 1e-300, None)), axis=1)))
+            x = np.stack([np.asarray(a, dtype=dt) for a in g[features]])
+            y = np.stack([np.asarray(a, dtype=dt) for a in g[onehot]])
+            probs, cache = nn.forward(p, layers, input_shape, x, keep=True, dtype=dt)
+            loss = float(-np.mean(np.sum(y * np.log(np.clip(probs, np.finfo(dt).tiny, None)), axis=1)))
             grads = nn.backward(p, layers, cache, probs, y, l2=l2)
             it = it0 + j
             lr = _lr_for(it, lr_schedule, base_lr)

@@ -472,7 +472,7 @@ def q_train_classifier(spark, sf_dir):
     samples = samples.persist()
     layers = nn.classifier_layers(bal.n_classes)
     params, _ = TR.train(samples.filter(F.col("split") == "train"), layers, (32, 32, 3), batch=20,
-                         averaging_frequency=3, epochs=1, workers=4)
+                         averaging_frequency=3, epochs=1, workers=8)
     pred = TR.evaluate_model(samples.filter(F.col("split") == "test"), layers, params, (32, 32, 3))
     m = EV.classification_metrics(EV.confusion_matrix(pred))
     return m.select(*[F.round(c, 6).alias(c) for c in

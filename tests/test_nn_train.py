@@ -61,7 +61,8 @@ def test_one_worker_equals_sequential_adam(spark, tmp_shared):
     df = _samples(spark, 40)
     p0 = {(0, "W"): np.zeros((2, 4)), (0, "b"): np.zeros(2)}
     params, stats = TR.train(df, layers, shape, batch=10, averaging_frequency=2, workers=1,
-                             params=p0, l2=0.0, lr_schedule=[], base_lr=0.05, stage_dir=tmp_shared("t1"))
+                             params=p0, l2=0.0, lr_schedule=[], base_lr=0.05, stage_dir=tmp_shared("t1"),
+                             dtype="float64")
     # replay the same order on the driver
     order = TR.assign_rounds(df, 1, 10, 2, 0).orderBy("wrn").toPandas()
     p = {k: v.copy() for k, v in p0.items()}
@@ -123,7 +124,8 @@ def test_w_workers_frequency_one_is_mean_of_single_steps(spark, tmp_shared):
     df = _samples(spark, 30, seed=4)
     p0 = {(0, "W"): np.zeros((2, 4)), (0, "b"): np.zeros(2)}
     params, stats = TR.train(df, layers, shape, batch=100, averaging_frequency=1, workers=3, params=p0,
-                             l2=0.0, lr_schedule=[], base_lr=0.1, updater="sgd", stage_dir=tmp_shared("t3"))
+                             l2=0.0, lr_schedule=[], base_lr=0.1, updater="sgd", stage_dir=tmp_shared("t3"),
+                             dtype="float64")
     rows = TR.assign_rounds(df, 3, 100, 1, 0).toPandas()
     assert rows["round"].max() == 0
     singles = []
