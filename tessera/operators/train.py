@@ -104,7 +104,7 @@ _ROW_SCHEMA = T.StructType([
     T.StructField("layer", T.IntegerType()),
     T.StructField("name", T.StringType()),
     T.StructField("chunk", T.IntegerType()),
-    T.StructField("values", T.ArrayType(T.DoubleType())),
+    T.StructField("values", T.BinaryType()),   # float64 bytes of one chunk
     T.StructField("iteration", T.LongType()),
     T.StructField("score", T.DoubleType()),
     T.StructField("n", T.LongType()),
@@ -112,23 +112,65 @@ _ROW_SCHEMA = T.StructType([
 
 
 def _chunks(kind, worker, arrays: dict):
+    """Parameter arrays as rows of at most CHUNK float64 values, stored as
+    raw bytes (a binary column crosses Arrow far faster than array<double>)."""
     rows = []
     for (l, nme), a in sorted(arrays.items()):
         flat = np.asarray(a, dtype=np.float64).ravel()
         for c in range(0, max(1, flat.size), CHUNK):
-            rows.append((kind, worker, int(l), nme, c // CHUNK, flat[c:c + CHUNK], None, None, None))
+            rows.append((kind, worker, int(l), nme, c // CHUNK, flat[c:c + CHUNK].tobytes(), None, None, None))
     return rows
 
 
+def _vec(b) -> np.ndarray:
+    return np.frombuffer(bytes(b), dtype=np.float64)
+
+
 def _assemble(pdf: pd.DataFrame, like: dict) -> dict:
     out = {}
     for (l, nme), g in pdf.groupby(["layer", "name"]):
         g = g.sort_values("chunk")
-        flat = np.concatenate([np.asarray(v, dtype=np.float64) for v in g["values"]])
+        flat = np.concatenate([_vec(v) for v in g["values"]])
         out[(int(l), nme)] = flat.reshape(like[(int(l), nme)].shape)
     return out
 
 
+_KEY = ("kind", "layer", "name", "chunk")
+_RED_SCHEMA = "kind string, layer int, name string, chunk int, values binary, n long"
+
+
+def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum(np.stack([_vec(v) for v in pdf["values"]]), axis=0)
+    first = pdf.iloc[0]
+    return pd.DataFrame([(first["kind"], int(first["layer"]), first["name"], int(first["chunk"]),
+                          total.tobytes(), int(pdf["n"].sum()))], columns=[*_KEY, "values", "n"])
+
+
+def reduce_chunks(rows: DataFrame, op: str = "mean", fanout: int = 32) -> DataFrame:
+    """Element-wise sum or mean of chunk rows with the same
+    ``(kind, layer, name, chunk)``, over all workers.
+
+    A two-level tree: rows are first summed in groups of the key and
+    ``worker mod fanout`` (many tasks), then the partial sums of a key meet
+    once; no task holds more than ``max(fanout, W / fanout)`` chunks.  Only
+    the reduced rows (model-sized) leave the executors.
+    """
+    d = rows.select(*_KEY, "values", F.lit(1).cast("long").alias("n"),
+                    (F.col("worker") % F.lit(fanout)).alias("__g"))
+    part = d.groupBy(*_KEY, "__g").applyInPandas(lambda p: _sum_rows(p.drop(columns="__g")), _RED_SCHEMA)
+    total = part.groupBy(*_KEY).applyInPandas(_sum_rows, _RED_SCHEMA)
+    if op == "sum":
+        return total
+
+    def mean(it):
+        for pdf in it:
+            pdf = pdf.copy()
+            pdf["values"] = [(_vec(v) / n).tobytes() for v, n in zip(pdf["values"], pdf["n"])]
+            yield pdf
+
+    return total.mapInPandas(mean, _RED_SCHEMA)
+
+
 def _lr_for(iteration: int, schedule, base_lr: float) -> float:
     lr = base_lr
     for frm, v in sorted(schedule or []):
@@ -140,11 +182,8 @@ def _lr_for(iteration: int, schedule, base_lr: float) -> float:
 def full_batch_gradient(df: DataFrame, layers, params: dict, input_shape, features: str = "features",
                         onehot: str = "onehot", l2: float = 0.0) -> tuple[dict, int]:
     """Mean gradient over every row: partial sums per partition (Arrow batches
-    in ``mapInPandas``), summed per parameter chunk with the ML ``Summarizer``
-    on executors; only the model-sized result reaches the driver."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
+    in ``mapInPandas``), summed per parameter chunk on executors
+    (``reduce_chunks``); only the model-sized result reaches the driver."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(params)
 
@@ -162,16 +201,16 @@ def full_batch_gradient(df: DataFrame, layers, params: dict, input_shape, featur
             total = g if total is None else {k: total[k] + g[k] for k in g}
             n += b
         if total is not None:
-            rows = _chunks("grad", 0, total)
-            rows.append(("count", 0, -1, "", 0, np.array([float(n)]), None, None, n))
+            from pyspark import TaskContext
+            pid = TaskContext.get().partitionId()   # spreads the partial sums over the reduction tree
+            rows = _chunks("grad", pid, total)
+            rows.append(("count", pid, -1, "", 0, np.array([float(n)]).tobytes(), None, None, n))
             yield pd.DataFrame(rows, columns=_ROW_SCHEMA.fieldNames())
 
     parts = df.select(features, onehot).mapInPandas(grads, _ROW_SCHEMA)
-    summed = (parts.select("layer", "name", "chunk", array_to_vector("values").alias("v"))
-              .groupBy("layer", "name", "chunk").agg(Summarizer.sum(F.col("v")).alias("s"))
-              .select("layer", "name", "chunk", vector_to_array("s").alias("values")).toPandas())
+    summed = reduce_chunks(parts, op="sum").toPandas()
     cnt = summed[summed["layer"] == -1]
-    n = int(round(cnt["values"].iloc[0][0])) if len(cnt) else 0
+    n = int(round(_vec(cnt["values"].iloc[0])[0])) if len(cnt) else 0
     g = _assemble(summed[summed["layer"] >= 0], params)
     g = {k: v / max(n, 1) + (l2 * params[k] if k[1] == "W" else 0.0) for k, v in g.items()}
     return g, n
@@ -252,9 +291,9 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
             # along as one-row groups (layer = worker, chunk = iteration).
             res = (staged.filter(F.col("round") == r)
                    .groupBy("worker").applyInPandas(fit_worker, _ROW_SCHEMA))
-            pdf = average_parameters(res, by=("kind", "layer", "name", "chunk")).toPandas()
+            pdf = reduce_chunks(res, op="mean").toPandas()
             st = pdf[pdf["kind"] == "stat"]
-            stats_buf += [(int(w), int(it), float(v[0]), int(v[1])) for w, it, v in
+            stats_buf += [(int(w), int(it), float(_vec(v)[0]), int(_vec(v)[1])) for w, it, v in
                           zip(st["layer"], st["chunk"], st["values"])]
             params = _assemble(pdf[pdf["kind"] == "param"], params)
             if updater == "adam":
@@ -304,7 +343,7 @@ def _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_
                     p[k] = p[k] - lr * mh / (np.sqrt(vh) + ADAM_EPS)
                 else:
                     p[k] = p[k] - lr * grads[k]
-            out.append(("stat", w, w, "score", it, np.array([loss, float(len(g))]), it, loss, len(g)))
+            out.append(("stat", w, w, "score", it, np.array([loss, float(len(g))]).tobytes(), it, loss, len(g)))
         rows = out + _chunks("param", w, p)
         if updater == "adam":
             rows += _chunks("m", w, m) + _chunks("v", w, v2)
