@@ -139,36 +139,34 @@ _KEY = ("kind", "layer", "name", "chunk")
 _RED_SCHEMA = "kind string, layer int, name string, chunk int, values binary, n long"
 
 
-def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+def _sum_rows(pdf: pd.DataFrame, mean: bool = False) -> pd.DataFrame:
     total = np.sum(np.stack([_vec(v) for v in pdf["values"]]), axis=0)
+    n = int(pdf["n"].sum())
+    if mean:
+        total = total / n
     first = pdf.iloc[0]
     return pd.DataFrame([(first["kind"], int(first["layer"]), first["name"], int(first["chunk"]),
-                          total.tobytes(), int(pdf["n"].sum()))], columns=[*_KEY, "values", "n"])
+                          total.tobytes(), n)], columns=[*_KEY, "values", "n"])
 
 
-def reduce_chunks(rows: DataFrame, op: str = "mean", fanout: int = 32) -> DataFrame:
+def reduce_chunks(rows: DataFrame, op: str = "mean", fanout: int = 32, workers: int | None = None) -> DataFrame:
     """Element-wise sum or mean of chunk rows with the same
     ``(kind, layer, name, chunk)``, over all workers.
 
-    A two-level tree: rows are first summed in groups of the key and
-    ``worker mod fanout`` (many tasks), then the partial sums of a key meet
-    once; no task holds more than ``max(fanout, W / fanout)`` chunks.  Only
-    the reduced rows (model-sized) leave the executors.
+    With more than ``fanout`` workers (or an unknown count) it is a two-level
+    tree: rows are first summed in groups of the key and ``worker mod
+    fanout``, then the partial sums of a key meet once; no task holds more
+    than ``max(fanout, W / fanout)`` chunks.  Only the reduced rows
+    (model-sized) leave the executors.
     """
-    d = rows.select(*_KEY, "values", F.lit(1).cast("long").alias("n"),
-                    (F.col("worker") % F.lit(fanout)).alias("__g"))
-    part = d.groupBy(*_KEY, "__g").applyInPandas(lambda p: _sum_rows(p.drop(columns="__g")), _RED_SCHEMA)
-    total = part.groupBy(*_KEY).applyInPandas(_sum_rows, _RED_SCHEMA)
-    if op == "sum":
-        return total
-
-    def mean(it):
-        for pdf in it:
-            pdf = pdf.copy()
-            pdf["values"] = [(_vec(v) / n).tobytes() for v, n in zip(pdf["values"], pdf["n"])]
-            yield pdf
-
-    return total.mapInPandas(mean, _RED_SCHEMA)
+    mean = op == "mean"
+    d = rows.select(*_KEY, "values", F.lit(1).cast("long").alias("n"), F.col("worker"))
+    if workers is None or workers > fanout:
+        d = d.withColumn("__g", F.col("worker") % F.lit(fanout)).drop("worker")
+        d = d.groupBy(*_KEY, "__g").applyInPandas(lambda p: _sum_rows(p.drop(columns="__g")), _RED_SCHEMA)
+    else:
+        d = d.drop("worker")
+    return d.groupBy(*_KEY).applyInPandas(lambda p: _sum_rows(p, mean), _RED_SCHEMA)
 
 
 def _lr_for(iteration: int, schedule, base_lr: float) -> float:
@@ -291,7 +289,7 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
             # along as one-row groups (layer = worker, chunk = iteration).
             res = (staged.filter(F.col("round") == r)
                    .groupBy("worker").applyInPandas(fit_worker, _ROW_SCHEMA))
-            pdf = reduce_chunks(res, op="mean").toPandas()
+            pdf = reduce_chunks(res, op="mean", workers=workers).toPandas()
             st = pdf[pdf["kind"] == "stat"]
             stats_buf += [(int(w), int(it), float(_vec(v)[0]), int(_vec(v)[1])) for w, it, v in
                           zip(st["layer"], st["chunk"], st["values"])]
