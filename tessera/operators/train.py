@@ -3,11 +3,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.columns import ms_to_minutes
-from tessera.operators.ordering import join_small
+from tessera.functions.hashing import DEFAULT_SEED, hash32, seeded_md5
+from tessera.operators import nn
+from tessera.operators.ordering import join_small, rank_in_groups
 
 # Learning-rate steps (iteration -> rate) of the two programs.
 LR_SCHEDULE_CPU = [(0, 0.01), (100, 0.008), (200, 0.005), (300, 0.003)]
@@ -85,14 +90,6 @@ def epochs_from_days(times: DataFrame, day: str = "day", ms: str = "ms") -> Data
 
 # --- T1: synchronous parameter averaging ----------------------------------------
 
-import numpy as np  # noqa: E402
-import pandas as pd  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
-
-from tessera.functions.hashing import DEFAULT_SEED, hash32, seeded_md5  # noqa: E402
-from tessera.operators import nn  # noqa: E402
-from tessera.operators.ordering import rank_in_groups  # noqa: E402
-
 CHUNK = 1 << 16
 GRADIENT_BATCH = 256
 _STATS_SCHEMA = "worker int, iteration bigint, score double, n bigint"
