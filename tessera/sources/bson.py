@@ -180,36 +180,47 @@ class _Reader(DataSourceReader):
         return [_Range(r["file"], r["start"], r["end"], r["first"]) for r in ranges]
 
     def read(self, part: _Range):
-        """Decode one byte range; rows leave as Arrow record batches."""
+        """Decode one byte range; rows leave as Arrow record batches.  The
+        range is streamed record by record through a buffered input, so a
+        task holds one buffer and one record, not the whole range."""
         import pyarrow as pa
 
         fs, p = filesystem(part.file)
-        with fs.open_input_file(p) as f:
-            f.seek(part.start)
-            b = f.read(part.end - part.start)
         ids, cats, imgs, pos = [], [], [], []
-        i, k = 0, part.first
-        while i + 4 <= len(b):
-            (n,) = struct.unpack_from("<i", b, i)
-            if n < 5 or i + n > len(b):
-                break
-            d, i = decode_document(b, i)
-            im = d.get("imgs")
-            _id, cat = d.get("_id"), d.get("category_id")
-            ids.append(None if _id is None else str(_id))
-            cats.append(None if cat is None else str(cat))
-            imgs.append(None if im is None else
-                        [{"picture": x.get("picture") if isinstance(x, dict) else None} for x in im])
-            pos.append(k)
-            k += 1
-            if len(ids) >= BATCH_ROWS:
-                yield _batch(pa, ids, cats, imgs, pos)
-                ids, cats, imgs, pos = [], [], [], []
+        k = part.first
+        with fs.open_input_file(p) as raw:
+            raw.seek(part.start)
+            f = pa.BufferedInputStream(raw, buffer_size=READ_BUFFER)
+            at = part.start
+            while at + 4 <= part.end:
+                head = f.read(4)
+                if len(head) < 4:
+                    break
+                (n,) = struct.unpack("<i", head)
+                if n < 5 or at + n > part.end:
+                    break
+                body = f.read(n - 4)
+                if len(body) < n - 4:
+                    break
+                at += n
+                d, _ = decode_document(head + body, 0)
+                im = d.get("imgs")
+                _id, cat = d.get("_id"), d.get("category_id")
+                ids.append(None if _id is None else str(_id))
+                cats.append(None if cat is None else str(cat))
+                imgs.append(None if im is None else
+                            [{"picture": x.get("picture") if isinstance(x, dict) else None} for x in im])
+                pos.append(k)
+                k += 1
+                if len(ids) >= BATCH_ROWS:
+                    yield _batch(pa, ids, cats, imgs, pos)
+                    ids, cats, imgs, pos = [], [], [], []
         if ids:
             yield _batch(pa, ids, cats, imgs, pos)
 
 
 BATCH_ROWS = 8192
+READ_BUFFER = 8 << 20
 
 
 def _batch(pa, ids, cats, imgs, pos):
