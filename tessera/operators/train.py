@@ -270,7 +270,10 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
     cols = [id_col, features, onehot]
     for epoch in range(epochs):
         staged_path = f"{base}/epoch={epoch}"
+        # range-partitioned by round: each task writes the few round folders of
+        # its range (files ~ tasks + rounds, not tasks x rounds)
         (assign_rounds(samples.select(*cols), workers, batch, averaging_frequency, epoch, seed, id_col)
+         .repartitionByRange("round", "worker")
          .write.mode("overwrite").partitionBy("round").parquet(staged_path))
         staged = spark.read.parquet(staged_path)
         n_rounds = staged.agg(F.max("round")).first()[0]

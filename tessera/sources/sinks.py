@@ -19,8 +19,10 @@ def write_by_category(pictures: DataFrame, path: str, fmt: str = "parquet", mode
     bytes as ``<path>/<category_id>/<name>`` from the executors.
     """
     if fmt == "parquet":
-        pictures.select("category_id", "name", "picture").write.mode(mode) \
-            .partitionBy("category_id").parquet(path)
+        # range-partitioned by (category, name): a task's categories are
+        # contiguous (files ~ tasks + categories) and a hot category is split
+        pictures.select("category_id", "name", "picture").repartitionByRange("category_id", "name") \
+            .write.mode(mode).partitionBy("category_id").parquet(path)
         return path
     base = path.rstrip("/")
 
@@ -43,6 +45,8 @@ def write_report(lines: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_rebalanced(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Originals beside generated pictures, one folder per class."""
-    df.write.mode(mode).partitionBy("label").parquet(path)
+    """Originals beside generated pictures, one folder per class
+    (range-partitioned by class and name first, so files stay about tasks +
+    classes and a hot class is written by several tasks)."""
+    df.repartitionByRange("label", "name").write.mode(mode).partitionBy("label").parquet(path)
     return path
