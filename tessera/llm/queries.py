@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, url_reputation
+from tessera.llm import exact_dedup, language_id, url_reputation
 from tessera.llm.common import prepare
 from tessera.plans.tables import table
 
@@ -36,6 +36,19 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def held_out(id_col: str = "doc_id"):
+    """Documents that nothing is learned from; a null id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out()))
+    said = language_id.predict(docs.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])
+    return said.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 @_query
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
