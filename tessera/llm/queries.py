@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, language_id, url_reputation
+from tessera.llm import exact_dedup, jaccard_join, language_id, url_reputation
 from tessera.llm.common import prepare
 from tessera.plans.tables import table
 
@@ -49,6 +49,25 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+@_query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+ORACLE["op9_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS g FROM d),
+g AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS c
+        FROM g x JOIN g y ON x.t = y.t AND x.doc_id <> y.doc_id AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 90 GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 90 * (n + m - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id FROM s
+"""
+
+
 @_query
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
