@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, jaccard_join, language_id, url_reputation
+from tessera.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, url_reputation
 from tessera.llm.common import prepare
 from tessera.plans.tables import table
 
@@ -49,6 +49,28 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+@_query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.containments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_item", "n_shared").distinct()
+
+
+ORACLE["op3_decontaminate"] = r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM t),
+g AS (SELECT kind, id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS s FROM w),
+n AS (SELECT id, count(*) AS n_item FROM g WHERE kind = 'b' GROUP BY id),
+c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM g d JOIN g b USING (s) WHERE d.kind = 'd' AND b.kind = 'b' GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared FROM c JOIN n ON n.id = item_id WHERE n_shared * 100 >= n_item * 80
+"""
+
+
+@_query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
