@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, url_reputation
+from tessera.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, sharding, substring_dedup, url_reputation
 from tessera.llm.common import prepare
 from tessera.plans.tables import table
 
@@ -71,6 +71,39 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.numbered(sharding.assign(table(spark, sf_dir, "documents"), 16))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("intervals")
+
+
+ORACLE["op7_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT doc_id, i, string_agg(word, ' ') OVER x AS s, count(*) OVER x AS c FROM v
+      WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) < doc_id AS gone FROM k WHERE c = 13),
+r AS (SELECT DISTINCT doc_id, i + j AS i FROM g, range(0, 13) AS t(j) WHERE gone),
+o AS (SELECT v.doc_id, count(*) AS n_words, count(r.i) AS n_removed,
+      coalesce(string_agg(word, ' ' ORDER BY v.i) FILTER (WHERE r.i IS NULL), '') AS kept
+      FROM v LEFT JOIN r ON r.doc_id = v.doc_id AND r.i = v.i GROUP BY v.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)
+"""
+
+
 @_query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
