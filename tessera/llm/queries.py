@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, sharding, substring_dedup, url_reputation
+from tessera.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, sharding, substring_dedup, url_reputation, warc
 from tessera.llm.common import prepare
 from tessera.plans.tables import table
+from tessera.session import shared_path
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -104,6 +105,25 @@ FROM d LEFT JOIN o USING (doc_id)
 """
 
 
+@_query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, out = shared_path(spark, "llm", "arc"), shared_path(spark, "llm", "warc")
+    warc.write_arc(table(spark, sf_dir, "pages"), arc)
+    warc.write_warc(warc.convert(warc.read_arc(spark, arc)), out)
+    back = warc.read_warc(spark, out).where("record_type <> 'warcinfo'")
+    return back.select(F.col("record_key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+ORACLE["op8_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND head < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND head < page_id THEN head END AS refers_to FROM f
+"""
+
+
 @_query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
