@@ -99,7 +99,7 @@ def _counts(batches):
 
 def _train(rows: list, langs: tuple[str, ...], seed: int) -> Model:
     rng = np.random.default_rng(seed)
-    xs = [(np.frombuffer(r.buckets, "<i4").astype(np.int64), np.frombuffer(r.counts, "<i4").astype(np.float64)) for r in rows]
+    xs = [(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4")) for r in rows]
     ys = np.array([langs.index(r.lang) for r in rows])
     keep = [i for i, x in enumerate(xs) if len(x[0])]
     order = rng.permutation(keep)
@@ -138,7 +138,7 @@ def _train(rows: list, langs: tuple[str, ...], seed: int) -> Model:
             bias -= rate / 100 * p.sum(axis=0)
             used, where = np.unique(at, return_inverse=True)
             emb[used] -= rate * np.stack([np.bincount(where, back[:, k], len(used)) for k in range(DIM)], axis=1)
-    z, y = logits(held), ys[held]
+    z, y = np.vstack([logits(held[a:a + BATCH]) for a in range(0, len(held), BATCH)]), ys[held]
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.05, 20, 61):
         s = z / t
