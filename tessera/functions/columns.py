@@ -42,25 +42,25 @@ def first_picture(imgs="imgs", field: str = "picture") -> Column:
 
 
 def picture_name(id_col="_id", suffix: str = ".jpg") -> Column:
-    """File name ``<id>.jpg``."""
+    """File name ``<id>.jpg``, from the id as the record has it."""
     return F.concat(_c(id_col).cast("string"), F.lit(suffix))
 
 
 def parse_int_strict(col, what: str = "value") -> Column:
-    """Parse to int; a value that is not an int raises (like parseInt)."""
-    s = F.trim(_c(col).cast("string"))
-    parsed = s.try_cast("int")
+    """Parse to int (sign and digits); NULL and anything else raises, like parseInt."""
+    s = _c(col).cast("string")
+    parsed = F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("int"))
     return F.when(
-        parsed.isNull() & _c(col).isNotNull(),
-        F.raise_error(F.concat(F.lit(f"not an integer {what}: "), s)),
+        parsed.isNull(),
+        F.raise_error(F.concat(F.lit(f"not an integer {what}: "), F.coalesce(s, F.lit("NULL")))),
     ).otherwise(parsed)
 
 
 # --- labels and features (P4-P7) ----------------------------------------------
 
 def label_from_path(path="path") -> Column:
-    """The label is the name of the parent folder."""
-    return F.element_at(F.split(_c(path), "/"), -2)
+    """The label is the name of the parent folder; NULL for a path without one."""
+    return F.try_element_at(F.split(_c(path), "/"), F.lit(-2))
 
 
 def has_extension(path="path", extensions=ALLOWED_IMAGE_EXTENSIONS) -> Column:

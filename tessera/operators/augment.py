@@ -52,10 +52,15 @@ def flip_top_bottom(img, u):
     return img[::-1]
 
 
+def _square(imgs, k, axis):
+    """A quarter turn changes the shape of a picture that isn't square, and all rows share one shape."""
+    if k % 2 and imgs.shape[axis] != imgs.shape[axis + 1]:
+        raise ValueError("a quarter turn needs square pictures")
+    return imgs
+
+
 def _rot90(img, k):
-    if img.shape[0] != img.shape[1] and k % 2:
-        return np.rot90(img, 2)   # keep the shape of non-square pictures
-    return np.rot90(img, k)
+    return np.rot90(_square(img, k, 0), k)
 
 
 def rotate_random_90(img, u):
@@ -178,9 +183,7 @@ def _affine_b(imgs, a, b, c, d, scale=None):
 
 
 def _rot90_b(imgs, k):
-    if imgs.shape[1] != imgs.shape[2] and k % 2:
-        k = 2
-    return np.rot90(imgs, k, axes=(1, 2))
+    return np.rot90(_square(imgs, k, 1), k, axes=(1, 2))
 
 
 def batch_step(imgs, st, u):

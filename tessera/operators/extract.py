@@ -14,9 +14,6 @@ from tessera.functions.columns import first_picture, parse_int_strict, picture_n
 from tessera.operators.ordering import dense_index, running_total
 
 PROGRESS_EVERY = 10_000
-# Ids per report line block: a category's id list is cut into blocks of this
-# many record positions so no single row gathers an unbounded list.
-IDS_BLOCK = 1 << 16
 
 
 def parse_records(records: DataFrame) -> DataFrame:
@@ -24,7 +21,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     return records.select(
         parse_int_strict("_id", "_id").alias("_id"),
         parse_int_strict("category_id", "category_id").alias("category_id"),
-        picture_name(parse_int_strict("_id", "_id")).alias("name"),
+        picture_name("_id").alias("name"),
         first_picture("imgs").alias("picture"),
         F.col("pos"),
     )
@@ -43,15 +40,13 @@ def category_counts(pictures: DataFrame) -> DataFrame:
     return pictures.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def category_ids(pictures: DataFrame, block: int = IDS_BLOCK) -> DataFrame:
+def category_ids(pictures: DataFrame) -> DataFrame:
     """A3: ids per category in file order, duplicates kept.
 
-    Rows are ``(category_id, block, ids)``; ``block = pos div block`` so a
-    category's list is cut into pieces of at most ``block`` ids, in order.
+    One row per id, ``(category_id, pos, _id)``: ``pos`` orders a category's
+    list, which no row or task has to hold as a whole.
     """
-    g = pictures.groupBy("category_id", F.floor(F.col("pos") / block).cast("bigint").alias("block"))
-    ids = F.array_sort(F.collect_list(F.struct("pos", "_id")))
-    return g.agg(F.array_join(F.transform(ids, lambda x: x["_id"].cast("string")), ",").alias("ids"))
+    return pictures.select("category_id", F.col("pos").cast("bigint").alias("pos"), "_id")
 
 
 def progress(pictures: DataFrame, every: int = PROGRESS_EVERY, dense_pos: bool = True,
@@ -99,20 +94,22 @@ def last_per_id(pictures: DataFrame) -> DataFrame:
             .select("category_id", "_id", "l.name", "l.picture", "l.pos"))
 
 
-def report_lines(pictures: DataFrame, block: int = IDS_BLOCK) -> DataFrame:
-    """The three text reports as ``(report, line)`` rows.
+def report_lines(pictures: DataFrame) -> DataFrame:
+    """The three text reports as ``(report, category_id, seq, line)`` rows.
 
     ``count``: ``number of pictures: N, number of category: M``;
-    ``cates``: ``k,v``; ``ids``: ``k,id,id,...`` (one line per block of A3).
+    ``cates``: ``k,v``; ``ids``: ``k,id``, one line per id.  Lines of a report
+    are in order of ``(category_id, seq)``.
     """
+    none, zero = F.lit(None).cast("int").alias("category_id"), F.lit(0).cast("bigint").alias("seq")
     t = totals(pictures).select(
-        F.lit("count").alias("report"),
+        F.lit("count").alias("report"), none, zero,
         F.concat(F.lit("number of pictures: "), F.col("n_pictures").cast("string"),
                  F.lit(", number of category: "), F.col("n_categories").cast("string")).alias("line"))
     c = category_counts(pictures).select(
-        F.lit("cates").alias("report"),
+        F.lit("cates").alias("report"), "category_id", zero,
         F.concat_ws(",", F.col("category_id").cast("string"), F.col("n").cast("string")).alias("line"))
-    i = category_ids(pictures, block).select(
-        F.lit("ids").alias("report"),
-        F.concat_ws(",", F.col("category_id").cast("string"), F.col("ids")).alias("line"))
+    i = category_ids(pictures).select(
+        F.lit("ids").alias("report"), "category_id", F.col("pos").alias("seq"),
+        F.concat_ws(",", F.col("category_id").cast("string"), F.col("_id").cast("string")).alias("line"))
     return t.unionByName(c).unionByName(i)

@@ -88,8 +88,11 @@ def steps(log: DataFrame, max_history: int = MAX_HISTORY, bucket: int = LINE_BUC
         return empty, n
     kept = sorted(kept, key=lambda r: (r["blk"], -r["chunk"]))
     if len(kept) == max_history + 1:
-        # Lines older than the kept window are never read by the backwards scan.
-        _raise_bad(data.filter(F.col("line_no") >= F.lit(kept[0]["first_line"])))
+        # The backwards scan reads one line past the kept window, the one that
+        # completes its last step, and parses it unless it is a header.
+        first = data.filter((F.col("line_no") < F.lit(kept[0]["first_line"])) & (F.col("blk") == F.lit(kept[0]["blk"]))) \
+            .agg(F.max("line_no")).first()[0]
+        _raise_bad(data.filter(F.col("line_no") >= F.lit(kept[0]["first_line"] if first is None else first)))
     else:
         _raise_bad(data)
     numbered = spark.createDataFrame([(r["blk"], r["chunk"], i) for i, r in enumerate(kept)],

@@ -7,7 +7,6 @@ runs in one task too.  The helpers here cut such work into bounded buckets:
   (a small aggregate) get exclusive offsets, then each bucket sums locally.
 * ``rank_in_groups``: ``row_number`` inside groups ordered by an md5 hash.  A
   hot group is split into ``2**bits`` hash sub-buckets with counted offsets.
-* ``join_small``: broadcast a side only after counting it.
 """
 
 from __future__ import annotations
@@ -19,29 +18,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hash_bucket
 
-# Largest number of rows broadcast by ``join_small`` (a few MB of keys).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 def _cols(cs) -> list[str]:
     return [cs] if isinstance(cs, str) else list(cs)
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast when it holds at most ``max_rows`` rows.
-
-    ``small`` is persisted first so that counting it does not recompute it.
-    Above the bound the join is left to the planner (shuffle join, with AQE
-    free to convert it at run time).
-    """
-    small = small.persist()
-    n = small.count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
 def running_total(df: DataFrame, value: Column | str, out: str,
                   bucket: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``out`` = inclusive running sum of ``value`` in (bucket, order) order.
@@ -85,12 +65,14 @@ def bits_for(max_group_rows: int, rows_per_bucket: int = 1 << 20) -> int:
 
 def rank_in_groups(df: DataFrame, group: Sequence[str], md5_col: str, tiebreak: Sequence[str],
                    out: str = "rn", size_col: str | None = None, bits: int = 12,
-                   return_sizes: bool = False):
+                   return_sizes: bool = False, limit: int | None = None):
     """``row_number() over (partition by group order by md5_col, tiebreak)``, 1-based.
 
     The top ``bits`` of the md5 split every group into even sub-buckets, so a
     group holding a third of all rows is ranked by many tasks.  When
-    ``size_col`` is given the group size is added as well.
+    ``size_col`` is given the group size is added as well.  With ``limit``,
+    sub-buckets that begin past that rank are dropped before the ranking
+    shuffle: one cut-off per group, joined on the map side where it is small.
     """
     group = _cols(group)
     tiebreak = _cols(tiebreak)
@@ -102,6 +84,9 @@ def rank_in_groups(df: DataFrame, group: Sequence[str], md5_col: str, tiebreak:
         F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
         *( [F.sum("__n").over(Window.partitionBy(*group)).alias(size_col)] if size_col else [] ),
     )
+    if limit is not None:
+        cut = offs.filter(F.col("__off") < limit).groupBy(*group).agg(F.max("__hb").alias("__cut"))
+        d = d.join(cut, group).filter(F.col("__hb") <= F.col("__cut")).drop("__cut")
     w_in = Window.partitionBy(*group, "__hb").orderBy(md5_col, *tiebreak)
     ranked = (d.join(offs, [*group, "__hb"], "left")
               .withColumn(out, (F.col("__off") + F.row_number().over(w_in)).cast("bigint"))

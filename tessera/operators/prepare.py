@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import label_from_path, one_hot, scale_pixels
 from tessera.functions.hashing import DEFAULT_SEED, seeded_md5
-from tessera.operators.ordering import bits_for, join_small, rank_in_groups
+from tessera.operators.ordering import bits_for, rank_in_groups
 
 TRAIN_WEIGHT = 80
 TEST_WEIGHT = 20
@@ -41,7 +41,7 @@ def label_index(df: DataFrame, label: str = "label") -> DataFrame:
 def index_labels(df: DataFrame, label: str = "label", out: str = "label_idx") -> DataFrame:
     """P5: attach the class index of each row's label."""
     idx = label_index(df, label).withColumnRenamed("label_idx", out)
-    return join_small(df, idx, label, "left")
+    return df.join(idx, label, "left")
 
 
 @dataclass(frozen=True)
@@ -105,9 +105,8 @@ def balance_classes(df: DataFrame, label: str = "label", id_col: str = "id",
     n = m * n_cls
     n_train = int(math.floor(train / (train + test) * n + 0.5))
     d = df.withColumn("__md5", seeded_md5(seed, id_col))
-    ranked = rank_in_groups(d, [label], "__md5", [id_col], out="rn", bits=bits_for(agg["mx"] or 1))
-    kept = ranked.filter(F.col("rn") <= m)
-    kept = join_small(kept, sizes.select(label, "label_idx"), label, "inner")
+    ranked = rank_in_groups(d, [label], "__md5", [id_col], out="rn", bits=bits_for(agg["mx"] or 1), limit=m)
+    kept = ranked.filter(F.col("rn") <= m).join(sizes.select(label, "label_idx"), label)
     out = kept.withColumn("pos", ((F.col("rn") - 1) * F.lit(n_cls) + F.col("label_idx")).cast("bigint"))
     return out.drop("__md5"), Balance(m, n_cls, n_train)
 

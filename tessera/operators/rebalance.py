@@ -16,6 +16,8 @@ from tessera.functions.hashing import DEFAULT_SEED, hash32, seeded_md5
 from tessera.operators.ordering import rank_in_groups
 
 TARGET = 80_000
+# Draws spelled out by one task at a time.
+DRAW_BLOCK = 10_000
 
 
 def class_deficits(images: DataFrame, target: int = TARGET, labels: DataFrame | None = None,
@@ -31,16 +33,29 @@ def class_deficits(images: DataFrame, target: int = TARGET, labels: DataFrame |
 
 
 def rank_originals(images: DataFrame, seed: int = DEFAULT_SEED, label: str = "label",
-                   name: str = "name") -> DataFrame:
-    """Adds ``rn``: 1-based place of each picture in its class's seeded order."""
+                   name: str = "name", limit: int | None = None) -> DataFrame:
+    """Adds ``rn``: 1-based place of each picture in its class's seeded order
+    (with ``limit``, later pictures may be left out)."""
     d = images.withColumn("__md5", seeded_md5(seed, name))
-    return rank_in_groups(d, [label], "__md5", [name], out="rn").drop("__md5")
+    return rank_in_groups(d, [label], "__md5", [name], out="rn", limit=limit).drop("__md5")
+
+
+def _numbered_draws(need: DataFrame, count, label: str, block: int = DRAW_BLOCK) -> DataFrame:
+    """One row per draw, ``draw_no`` from 1 to ``count``: blocks of draws are
+    dealt to the tasks first and spelled out there, so that a class's draws
+    are not made by one task."""
+    last = F.floor((count - 1) / block).cast("bigint")
+    blocks = need.select(label, "have", count.cast("bigint").alias("__count"),
+                         F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("__block"))
+    return (blocks.repartition(label, "__block")
+            .select(label, "have", F.explode(F.sequence(F.col("__block") * block + 1,
+                                                        F.least("__count", (F.col("__block") + 1) * block))).alias("draw_no")))
 
 
 def cap_per_class(images: DataFrame, target: int = TARGET, seed: int = DEFAULT_SEED,
                   label: str = "label", name: str = "name") -> DataFrame:
     """L3: keep at most ``target`` originals per class."""
-    return rank_originals(images, seed, label, name).filter(F.col("rn") <= target)
+    return rank_originals(images, seed, label, name, target).filter(F.col("rn") <= target)
 
 
 def draw_sources(images: DataFrame, deficits: DataFrame, seed: int = DEFAULT_SEED,
@@ -53,8 +68,7 @@ def draw_sources(images: DataFrame, deficits: DataFrame, seed: int = DEFAULT_SEE
     with no original has nothing to draw from and yields no rows.
     """
     need = deficits.filter((F.col("to_generate") > 0) & (F.col("have") > 0))
-    draws = need.select(label, "have", F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                                            F.col("to_generate"))).alias("draw_no"))
+    draws = _numbered_draws(need, F.col("to_generate"), label)
     draws = draws.withColumn("rn", (hash32(seed, label, "draw_no") % F.col("have") + 1).cast("bigint"))
     ranked = rank_originals(images, seed, label, name).select(label, "rn", F.col(name).alias("source"))
     return draws.join(ranked, [label, "rn"]).select(label, "draw_no", "source")
@@ -80,8 +94,7 @@ def rebalance(images: DataFrame, target: int = TARGET, seed: int = DEFAULT_SEED,
     if labels is not None:
         have = labels.select(label).distinct().join(have, label, "left").fillna(0, ["have"])
     need = have.filter((F.col("have") > 0) & (F.col("have") < target))
-    draws = need.select(label, "have", F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                                            F.lit(target) - F.col("have"))).alias("draw_no"))
+    draws = _numbered_draws(need, F.lit(target) - F.col("have"), label)
     draws = draws.withColumn("rn", (hash32(seed, label, "draw_no") % F.col("have") + 1).cast("bigint"))
     gen = draws.join(ranked.select(label, "rn", F.col(name).alias("source")), [label, "rn"]).select(
         label, F.concat(F.col(label).cast("string"), F.lit("_gen_"), F.col("draw_no").cast("string")).alias(name),

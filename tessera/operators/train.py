@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tessera.functions.columns import ms_to_minutes
 from tessera.functions.hashing import DEFAULT_SEED, hash32, seeded_md5
 from tessera.operators import nn
-from tessera.operators.ordering import join_small, rank_in_groups
+from tessera.operators.ordering import rank_in_groups
 
 # Learning-rate steps (iteration -> rate) of the two programs.
 LR_SCHEDULE_CPU = [(0, 0.01), (100, 0.008), (200, 0.005), (300, 0.003)]
@@ -29,21 +29,25 @@ def schedule_frame(spark, schedule) -> DataFrame:
 
 
 def lookup_lr(df: DataFrame, schedule: DataFrame, iteration: str = "iteration", out: str = "lr",
-              base_lr: float | None = None) -> DataFrame:
+              base_lr: float | None = None, bucket: int = 1024) -> DataFrame:
     """As-of lookup, the rate of the latest step at or before the iteration.
 
     The schedule is made into ``[from_iter, next_from)`` ranges (a window over
-    the few schedule rows), size-checked and broadcast, so every row matches
-    exactly one range; before the first step ``base_lr`` applies.
+    the schedule rows), cut at multiples of ``bucket`` iterations and joined on
+    the bucket, so every row meets the few ranges of its bucket; before the
+    first step ``base_lr`` applies.
     """
     w = Window.orderBy("from_iter")
+    last = df.agg(F.max(iteration)).first()[0] or 0
     ranges = schedule.select(F.col("from_iter").alias("__from"),
-                             F.lead("from_iter").over(w).alias("__to"), F.col("lr").alias(out))
-    cond = (F.col(iteration) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(iteration) < F.col("__to")))
-    joined = join_small(df, ranges, cond, "left")
-    if base_lr is not None:
-        joined = joined.withColumn(out, F.coalesce(F.col(out), F.lit(base_lr)))
-    return joined.drop("__from", "__to")
+                             F.coalesce(F.lead("from_iter").over(w), F.lit(last + 1)).alias("__to"), F.col("lr").alias(out))
+    ranges = ranges.filter("__to > __from").withColumn(
+        "__bucket", F.explode(F.sequence(F.floor(F.col("__from") / bucket), F.floor((F.col("__to") - 1) / bucket))))
+    d = df.withColumn("__bucket", F.floor(F.col(iteration) / bucket)).alias("d")
+    r = ranges.alias("r")
+    hit = (F.col("d.__bucket") == F.col("r.__bucket")) & (F.col(iteration) >= F.col("__from")) & (F.col(iteration) < F.col("__to"))
+    rate = F.col(f"r.{out}") if base_lr is None else F.coalesce(F.col(f"r.{out}"), F.lit(base_lr))
+    return d.join(r, hit, "left").select(*[F.col(f"d.{c}") for c in df.columns], rate.alias(out))
 
 
 def lr_at(iteration, schedule, base_lr: float | None = None):
@@ -267,6 +271,7 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
     iteration = 0
     n_rounds = -1
     stats_buf: list[tuple] = []
+    wrote = False
     cols = [id_col, features, onehot]
     for epoch in range(epochs):
         staged_path = f"{base}/epoch={epoch}"
@@ -301,12 +306,13 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
             iteration += averaging_frequency
         # scores of the epoch, written once (one row per worker and iteration)
         if stats_buf:
-            spark.createDataFrame(stats_buf, _STATS_SCHEMA).write.mode("append").parquet(stats_path)
+            # the first epoch replaces what an earlier run left in a caller's folder
+            spark.createDataFrame(stats_buf, _STATS_SCHEMA).write.mode("append" if wrote else "overwrite").parquet(stats_path)
+            wrote = True
             stats_buf = []
-    try:
-        stats = spark.read.parquet(stats_path)
-    except Exception:  # noqa: BLE001  (no round ran: no stats folder)
-        stats = spark.createDataFrame([], _STATS_SCHEMA)
+    if not wrote:  # no round ran
+        return params, spark.createDataFrame([], _STATS_SCHEMA)
+    stats = spark.read.parquet(stats_path)
     return params, stats
 
 

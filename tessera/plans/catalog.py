@@ -88,7 +88,7 @@ def q_label_from_path(spark, sf_dir):
     files = (A.embedding_paths(spark, sf_dir).filter(has_extension("path"))
              .select(F.lit("embeddings").alias("source"), "id", "path"))
     both = pages.unionByName(files)
-    return both.withColumn("label", F.try_element_at(F.split("path", "/"), F.lit(-2)))
+    return prepare.with_labels(both)
 
 
 @query("index_labels")
@@ -269,7 +269,7 @@ def q_score_network(spark, sf_dir):
 
 def _logits(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), "label", F.slice("embedding", 1, 10).alias("z"))
+        F.col("vec_id").alias("id"), "label", F.col("embedding").alias("z"))
 
 
 @query("leaky_relu")
@@ -326,9 +326,9 @@ def q_classification_metrics(spark, sf_dir):
 @query("lr_schedule")
 def q_lr_schedule(spark, sf_dir):
     it = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 400).alias("iteration"))
-    cpu = TR.lookup_lr(it, TR.schedule_frame(spark, TR.LR_SCHEDULE_CPU), out="lr_cpu", base_lr=TR.BASE_LR_CPU)
-    both = TR.lookup_lr(cpu, TR.schedule_frame(spark, TR.LR_SCHEDULE_GPU), out="lr_gpu", base_lr=TR.BASE_LR_GPU)
-    return both.select("event_id", "iteration", "lr_cpu", "lr_gpu")
+    return it.select("event_id", "iteration",
+                     TR.lr_at("iteration", TR.LR_SCHEDULE_CPU, TR.BASE_LR_CPU).alias("lr_cpu"),
+                     TR.lr_at("iteration", TR.LR_SCHEDULE_GPU, TR.BASE_LR_GPU).alias("lr_gpu"))
 
 
 @query("average_parameters")
@@ -412,7 +412,7 @@ def q_read_bson(spark, sf_dir):
     from tessera.session import shared_path
     from tessera.sources.bson import read_bson, write_bson
     path = write_bson(A.records(spark, sf_dir), shared_path(spark, "bson"))
-    p = extract.parse_records(read_bson(spark, path, range_bytes=64 << 10))
+    p = extract.parse_records(read_bson(spark, path))
     return p.select("_id", "category_id", "name", F.md5("picture").alias("picture_md5"), "pos")
 
 

@@ -19,21 +19,19 @@ SELECT CAST(user_id AS INTEGER) AS category_id, count(*) AS n FROM events GROUP
 """
 
 _IDS = """
-SELECT CAST(user_id AS INTEGER) AS category_id, CAST(event_id // 65536 AS BIGINT) AS block,
-       string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids
-FROM events GROUP BY user_id, event_id // 65536
+SELECT CAST(user_id AS INTEGER) AS category_id, event_id AS pos, CAST(event_id AS INTEGER) AS _id FROM events
 """
 
 ORACLE["category_ids"] = _IDS
 
 ORACLE["category_report"] = f"""
-SELECT 'count' AS report,
+SELECT 'count' AS report, CAST(NULL AS INTEGER) AS category_id, CAST(0 AS BIGINT) AS seq,
        'number of pictures: ' || count(*) || ', number of category: ' || count(DISTINCT user_id) AS line
 FROM events
 UNION ALL
-SELECT 'cates', CAST(user_id AS VARCHAR) || ',' || CAST(count(*) AS VARCHAR) FROM events GROUP BY user_id
+SELECT 'cates', CAST(user_id AS INTEGER), 0, CAST(user_id AS VARCHAR) || ',' || CAST(count(*) AS VARCHAR) FROM events GROUP BY user_id
 UNION ALL
-SELECT 'ids', CAST(category_id AS VARCHAR) || ',' || ids FROM ({_IDS}) t
+SELECT 'ids', category_id, pos, CAST(category_id AS VARCHAR) || ',' || CAST(_id AS VARCHAR) FROM ({_IDS}) t
 """
 
 ORACLE["last_picture_per_id"] = """
@@ -315,8 +313,8 @@ FROM ex JOIN sm USING (vec_id) GROUP BY ex.vec_id
 """
 
 _LOGITS = """
-lg AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS z,
-              embedding[1:10] AS zf FROM embeddings),
+lg AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z,
+              embedding AS zf FROM embeddings),
 ex AS (SELECT vec_id, label, z, zf, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM lg),
 sm AS (SELECT vec_id, label, z, zf, list_transform(e, lambda x: x / list_sum(e)) AS p FROM ex)
 """

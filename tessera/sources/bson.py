@@ -1,13 +1,13 @@
 """BSON product records as a parallel Spark scan.
 
 A dump is a sequence of BSON documents, each starting with its int32 length.
-``read_bson`` first runs a Spark job with one task per file that hops over
-the length prefixes and cuts the file into byte ranges of about
-``range_bytes``; record numbers of the ranges are offsets of those counts.
-A Python Data Source then decodes every range in its own task, so decoding
-runs on the executors.  ``pos`` is the 0-based record number over all files
-in name order; scanning a file stops at its end or at a malformed (null)
-record.
+``read_bson`` first runs a Spark job with one task per byte range of about
+``range_bytes``: each finds the first document in its range and hops over the
+length prefixes to its end; ranges that do not begin where the one before ends
+are hopped again, and record numbers are offsets of the counts.  A Python Data
+Source then decodes every range in its own task.  ``pos`` is the 0-based record
+number over all files in name order.  A broken or cut-off record raises,
+naming the file and the byte.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.sources.fs import filesystem, list_files, write_bytes
+from tessera.sources.fs import filesystem, list_files, qualify, write_bytes
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("_id", T.StringType()),
@@ -34,7 +34,8 @@ RANGE_BYTES = 256 << 20  # about 400k ranges for 100 TB of dumps
 
 # --- a minimal decoder/encoder for the element types records use -------------------
 
-_FIXED = {0x01: 8, 0x07: 12, 0x08: 1, 0x09: 8, 0x0A: 0, 0x10: 4, 0x11: 8, 0x12: 8, 0x13: 16, 0xFF: 0, 0x7F: 0}
+# Element types without a value: undefined, null, smallest and largest key.
+_EMPTY = frozenset([0x06, 0x0A, 0xFF, 0x7F])
 
 
 def _cstring(b: bytes, i: int) -> tuple[str, int]:
@@ -70,8 +71,10 @@ def decode_document(b: bytes, i: int = 0) -> tuple[dict, int]:
             out[name] = struct.unpack_from("<q", b, i)[0]; i += 8
         elif t == 0x07:
             out[name] = b[i:i + 12].hex(); i += 12
-        elif t in _FIXED:
-            out[name] = None; i += _FIXED[t]
+        elif t in (0x09, 0x11):  # date (milliseconds) and timestamp, as numbers
+            out[name] = struct.unpack_from("<q", b, i)[0]; i += 8
+        elif t in _EMPTY:
+            out[name] = None
         else:
             raise ValueError(f"unsupported BSON element type {t:#x}")
     return out, end
@@ -108,53 +111,109 @@ def encode_document(d: dict) -> bytes:
 
 # --- planning job: byte ranges per file ----------------------------------------------
 
-def _scan_ranges(path: str, range_bytes: int) -> list[tuple[int, int, int]]:
-    """Hop the length prefixes of one file: ``(start, end, records)`` ranges."""
+# The largest document the format's server accepts, and the element types.
+MAX_DOCUMENT = (16 << 20) + (16 << 10)
+_TYPES = frozenset([*range(0x01, 0x14), 0x7F, 0xFF])
+# Documents that must follow one another for a byte to be taken as a first one.
+CHAIN = 16
+
+
+def _length(f, at: int, size: int) -> int | None:
+    """Length of the document at ``at``, or None if there can be none."""
+    if at + 5 > size:
+        return None
+    f.seek(at)
+    head = f.read(5)
+    (n,) = struct.unpack("<i", head[:4])
+    if not 5 <= n <= MAX_DOCUMENT or at + n > size or (head[4] not in _TYPES if n > 5 else head[4] != 0):
+        return None
+    f.seek(at + n - 1)
+    return n if f.read(1) == b"\x00" else None
+
+
+def _first_document(f, start: int, size: int) -> int | None:
+    """The first byte from ``start`` on that begins a chain of documents."""
+    at, end = start, min(size, start + MAX_DOCUMENT)
+    while at < end:
+        f.seek(at)
+        block = f.read(min(1 << 20, size - at))
+        for i in range(len(block) - 4):
+            # cheap test first: most bytes do not begin a length of a document
+            n = int.from_bytes(block[i:i + 4], "little", signed=True)
+            if not 5 <= n <= MAX_DOCUMENT or at + i + n > size:
+                continue
+            k, seen = at + i, 0
+            while seen < CHAIN and k < size and (m := _length(f, k, size)) is not None:
+                k, seen = k + m, seen + 1
+            if seen == CHAIN or (k == size and seen):
+                return at + i
+        at += max(1, len(block) - 4)
+    return size if start < size <= end else None
+
+
+def _walk(f, path: str, start: int, stop: int, size: int) -> tuple[int, int]:
+    """Hop over the documents from ``start`` until ``stop``: (end, documents)."""
+    at = start
+    count = 0
+    while at < stop:
+        n = _length(f, at, size)
+        if n is None:
+            raise ValueError(f"{path}: no BSON document at byte {at} of {size}")
+        at, count = at + n, count + 1
+    return at, count
+
+
+def _scan_range(path: str, start: int, stop: int, size: int) -> tuple[int, int, int]:
+    """``(first, end, documents)`` of the documents that begin in a range; (-1, -1, 0) if unclear."""
     fs, p = filesystem(path)
-    out = []
     with fs.open_input_file(p) as f:
-        size = f.size()
-        start = pos = 0
-        count = 0
-        while pos + 4 <= size:
-            f.seek(pos)
-            (n,) = struct.unpack("<i", f.read(4))
-            if n < 5 or pos + n > size:
-                break
-            pos += n
-            count += 1
-            if pos - start >= range_bytes:
-                out.append((start, pos, count))
-                start, count = pos, 0
-        if count:
-            out.append((start, pos, count))
-    return out
+        first = start if start == 0 else _first_document(f, start, size)
+        if first is None:
+            return -1, -1, 0
+        if first >= stop:
+            return first, first, 0
+        try:
+            return (first, *_walk(f, path, first, stop, size))
+        except ValueError:
+            if start == 0:
+                raise
+            return -1, -1, 0  # not a true first document, or a broken file: decided by the range before
 
 
 def plan_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> list[dict]:
-    """Run the planning job and return ranges with their first record number
-    (one entry per range; a few per file, so small)."""
-    files = list_files(path)
-    if not files:
+    """Ranges of whole documents with their first record number.
+
+    Every file is cut into ranges of ``range_bytes``; a task per range finds
+    the first document in it and hops to its end.  A range is proven when it
+    begins where the one before ends; one that is not is hopped again from
+    there.  One small row per range reaches the driver.
+    """
+    cuts = [(i, name, a, min(a + range_bytes, size), size) for i, (name, size) in enumerate(list_files(spark, path))
+            for a in range(0, size, range_bytes)]
+    if not cuts:
         return []
-    rb = range_bytes
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = []
-            for fi, fp in zip(pdf["fi"], pdf["file"]):
-                for k, (s, e, c) in enumerate(_scan_ranges(fp, rb)):
-                    rows.append((int(fi), fp, k, s, e, c))
-            yield pd.DataFrame(rows, columns=["fi", "file", "k", "start", "end", "n"])
-
-    listing = spark.createDataFrame(list(enumerate(files)), "fi int, file string")
-    listing = listing.repartition(min(len(files), spark.sparkContext.defaultParallelism * 4))
-    ranges = listing.mapInPandas(scan, "fi int, file string, k int, start long, end long, n long").collect()
-    ranges = sorted(ranges, key=lambda r: (r["fi"], r["k"]))
-    out, first = [], 0
-    for r in ranges:
-        out.append({"file": r["file"], "start": r["start"], "end": r["end"], "first": first})
-        first += r["n"]
+            rows = [(fi, a, *_scan_range(name, a, b, size)) for fi, name, a, b, size in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["fi", "start", "first", "end", "n"])
+
+    listing = spark.createDataFrame(cuts, "fi long, file string, start long, stop long, size long")
+    listing = listing.repartition(min(len(cuts), spark.sparkContext.defaultParallelism * 4))
+    found = {(r["fi"], r["start"]): (r["first"], r["end"], r["n"])
+             for r in listing.mapInPandas(scan, "fi long, start long, first long, end long, n long").collect()}
+    out, number, at = [], 0, 0
+    for fi, name, a, b, size in cuts:
+        at = 0 if a == 0 else at
+        if at >= b:
+            continue
+        first, end, n = found[fi, a]
+        if first != at:
+            fs, p = filesystem(name)
+            with fs.open_input_file(p) as f:
+                end, n = _walk(f, name, at, b, size)
+        out.append({"file": name, "start": at, "end": end, "first": number})
+        number, at = number + n, end
     return out
 
 
@@ -194,16 +253,15 @@ class _Reader(DataSourceReader):
             at = part.start
             while at + 4 <= part.end:
                 head = f.read(4)
-                if len(head) < 4:
-                    break
-                (n,) = struct.unpack("<i", head)
-                if n < 5 or at + n > part.end:
-                    break
-                body = f.read(n - 4)
-                if len(body) < n - 4:
-                    break
+                n = struct.unpack("<i", head)[0] if len(head) == 4 else 0
+                body = f.read(n - 4) if 5 <= n <= part.end - at else b""
+                if len(body) < max(1, n - 4):
+                    raise ValueError(f"{part.file}: no BSON document at byte {at}")
+                try:
+                    d, _ = decode_document(head + body, 0)
+                except (ValueError, IndexError, struct.error) as e:
+                    raise ValueError(f"{part.file}: broken BSON document at byte {at}: {e}") from e
                 at += n
-                d, _ = decode_document(head + body, 0)
                 im = d.get("imgs")
                 _id, cat = d.get("_id"), d.get("category_id")
                 ids.append(None if _id is None else str(_id))
@@ -262,7 +320,7 @@ def write_bson(records: DataFrame, path: str, order: str = "pos") -> str:
     """Write records as BSON dump files (one per task, named in ``order``), for
     tests and fixtures.  A retried task rewrites the same file."""
     n = max(1, records.rdd.getNumPartitions())
-    base = path.rstrip("/")
+    base = qualify(records.sparkSession, path).rstrip("/")
 
     def enc(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

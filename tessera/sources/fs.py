@@ -27,8 +27,23 @@ def write_bytes(path: str, data: bytes) -> None:
         f.write(data)
 
 
-def list_files(path: str, suffix: str = "") -> list[str]:
-    fs, p = filesystem(path)
-    info = fs.get_file_info(pafs.FileSelector(p, recursive=True))
-    return sorted(i.path for i in info if i.type == pafs.FileType.File and i.path.endswith(suffix)
-                  and not i.base_name.startswith(("_", ".")))
+def qualify(spark, path: str) -> str:
+    """``path`` as Spark resolves it: with its scheme, on ``fs.defaultFS`` where it names none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def list_files(spark, path: str, suffix: str = "") -> list[tuple[str, int]]:
+    """Qualified names and sizes of the files below ``path``, in name order;
+    files and folders that begin with ``_`` or ``.`` are left out."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(p).toString()
+    found, it = [], fs.listFiles(p, True)
+    while it.hasNext():
+        f = it.next()
+        name = f.getPath().toString()
+        inside = name[len(base):].strip("/").split("/")
+        if name.endswith(suffix) and not any(x.startswith(("_", ".")) for x in inside):
+            found.append((name, f.getLen()))
+    return sorted(found)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import ALLOWED_IMAGE_EXTENSIONS, label_from_path
-from tessera.sources.fs import write_bytes
+from tessera.sources.fs import qualify, write_bytes
 
 
 def _glob(extensions) -> str:
@@ -51,17 +51,21 @@ def _resize(imgs: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def load_images(spark: SparkSession, path: str, height: int = 32, width: int = 32, channels: int = 3,
-                extensions=ALLOWED_IMAGE_EXTENSIONS) -> DataFrame:
+                extensions=ALLOWED_IMAGE_EXTENSIONS, invalid: str = "raise") -> DataFrame:
     """S3: decode pictures (Spark's JVM image source, BGR order) and resize
     to ``height x width x channels`` on the executors.
 
     Rows ``(path, label, height, width, channels, pixels array<int>)`` with
-    values 0..255; grey pictures are repeated over the channels.
+    values 0..255; grey pictures are repeated over the channels, coloured ones
+    asked for in one channel become their luminance, and an alpha channel is
+    left out.  A listed file that does not decode raises, naming its path;
+    with ``invalid="null"`` it is a row without pixels.
     """
+    if invalid not in ("raise", "null"):
+        raise ValueError(f"invalid: {invalid}")
     raw = (spark.read.format("image")
            .option("pathGlobFilter", _glob(extensions))
            .option("recursiveFileLookup", "true")
-           .option("dropInvalid", "true")
            .load(path)
            .select(F.col("image.origin").alias("path"), F.col("image.height").alias("h"),
                    F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"),
@@ -73,9 +77,15 @@ def load_images(spark: SparkSession, path: str, height: int = 32, width: int = 3
             outs = [None] * len(pdf)
             # pictures of one shape are resized together
             for (h, w, c), idx in pdf.groupby(["h", "w", "c"]).indices.items():
+                if h < 0:
+                    if invalid == "raise":
+                        raise ValueError(f"not a picture that can be decoded: {pdf['path'].iat[idx[0]]}")
+                    continue
                 imgs = np.stack([np.frombuffer(bytes(pdf["data"].iat[i]), dtype=np.uint8) for i in idx]) \
                     .reshape(len(idx), int(h), int(w), int(c))
-                if c > channels:
+                if c > 1 and channels == 1:  # BT.601 luminance of blue, green, red
+                    imgs = np.rint(imgs[..., :3] @ np.array([0.114, 0.587, 0.299]))[..., None]
+                elif c > channels:
                     imgs = imgs[..., :channels]
                 elif c < channels:
                     imgs = np.repeat(imgs[..., :1], channels, axis=3)
@@ -106,7 +116,7 @@ def write_png_folders(df: DataFrame, path: str, height: int, width: int, pixels:
                       label: str = "label", id_col: str = "id") -> str:
     """Write every row as ``<path>/<label>/<id>.png`` from the executors
     (fixtures for S2/S3; a retried task rewrites the same files)."""
-    base = path.rstrip("/")
+    base = qualify(df.sparkSession, path).rstrip("/")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = 0

@@ -7,7 +7,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.sources.fs import write_bytes
+from tessera.sources.fs import qualify, write_bytes
 
 
 def write_by_category(pictures: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
@@ -24,7 +24,7 @@ def write_by_category(pictures: DataFrame, path: str, fmt: str = "parquet", mode
         pictures.select("category_id", "name", "picture").repartitionByRange("category_id", "name") \
             .write.mode(mode).partitionBy("category_id").parquet(path)
         return path
-    base = path.rstrip("/")
+    base = qualify(pictures.sparkSession, path).rstrip("/")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = 0
@@ -39,8 +39,10 @@ def write_by_category(pictures: DataFrame, path: str, fmt: str = "parquet", mode
 
 
 def write_report(lines: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """``(report, line)`` rows as text, one folder per report."""
-    lines.select("report", "line").write.mode(mode).partitionBy("report").text(path)
+    """Report lines as text, one folder per report; lines keep the order
+    of ``(category_id, seq)`` over its files."""
+    (lines.repartitionByRange("report", "category_id", "seq").sortWithinPartitions("report", "category_id", "seq")
+     .select("report", "line").write.mode(mode).partitionBy("report").text(path))
     return path
 
 

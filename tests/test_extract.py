@@ -26,14 +26,25 @@ def test_non_numeric_category_raises(spark):
         extract.parse_records(recs(spark, [("1", "x", [(b"a",)], 0)])).collect()
 
 
+@pytest.mark.parametrize("bad", [None, " 12 ", "1.0", "", "99999999999"])
+def test_what_parse_int_refuses_raises(spark, bad):
+    with pytest.raises(Exception, match="not an integer"):
+        extract.parse_records(recs(spark, [(bad, "2", [(b"a",)], 0)])).collect()
+
+
+def test_name_is_the_raw_id(spark):
+    r = extract.parse_records(recs(spark, [("007", "+2", [(b"a",)], 0)])).first()
+    assert (r["_id"], r["category_id"], r["name"]) == (7, 2, "007.jpg")
+
+
 def test_duplicates_counted_twice_one_kept(spark):
     df = extract.parse_records(recs(spark, [("1", "2", [(b"a",)], 0), ("1", "2", [(b"b",)], 1),
                                             ("5", "2", [(b"c",)], 2)]))
     assert extract.category_counts(df).first()["n"] == 3
     last = {r["_id"]: bytes(r["picture"]) for r in extract.last_per_id(df).collect()}
     assert last == {1: b"b", 5: b"c"}
-    ids = extract.category_ids(df).first()["ids"]
-    assert ids == "1,1,5"
+    ids = extract.category_ids(df).orderBy("category_id", "pos").collect()
+    assert [tuple(r) for r in ids] == [(2, 0, 1), (2, 1, 1), (2, 2, 5)]
     t = extract.totals(df).first()
     assert (t["n_pictures"], t["n_categories"]) == (3, 1)
 

@@ -83,6 +83,17 @@ def test_malformed_line_raises(spark):
         st.collect()
 
 
+def test_line_that_completes_the_last_step_is_parsed(spark):
+    lines = [HEADER, "1 %, 1 MiB", "BAD", "3 %, 3 MiB", HEADER, "5 %, 5 MiB"]
+    with pytest.raises(ValueError):
+        loop_oracle(lines, 1)
+    with pytest.raises(Exception, match="BAD"):
+        spark_steps(spark, lines, 1)
+    # behind a header nothing more is read
+    lines = [HEADER, "BAD", HEADER, "3 %, 3 MiB", HEADER, "5 %, 5 MiB"]
+    assert spark_steps(spark, lines, 1) == loop_oracle(lines, 1)
+
+
 def test_resample_two_points_and_one(spark):
     s = spark.createDataFrame([(0, 0, 10), (1, 100, 20)], "x long, util int, mem_pct int")
     r = sorted(gpulog.resample(s, 3).collect())

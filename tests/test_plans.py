@@ -43,3 +43,18 @@ def test_resample_grid_is_broadcast(spark):
 def test_dedup_is_an_aggregate_not_a_window(spark):
     p = plan(E.queries()["last_picture_per_id"](spark, SF))
     assert "max_by" in p and "row_number" not in p
+
+
+def test_class_cut_comes_before_the_ranking_shuffle(spark):
+    """The filter on hash sub-buckets lies below the window that ranks."""
+    p = plan(E.queries()["balance_classes"](spark, SF))
+    assert "__cut" in p and p.index("row_number") < p.index("__cut#")
+
+
+def test_schedules_need_no_nested_loop(spark):
+    from tessera.operators import train as T
+    it = spark.range(5000).selectExpr("id as iteration")
+    df = T.lookup_lr(it, T.schedule_frame(spark, [(10, 0.5), (2000, 0.25)]), base_lr=1.0)
+    assert "NestedLoop" not in plan(df) and "NestedLoop" not in plan(E.queries()["lr_schedule"](spark, SF))
+    got = {r["iteration"]: r["lr"] for r in df.collect()}
+    assert len(got) == 5000 and [got[i] for i in (0, 9, 10, 1999, 2000, 4999)] == [1.0, 1.0, 0.5, 0.5, 0.25, 0.25]

@@ -13,7 +13,7 @@ def test_bson_hand_built(spark, tmp_shared):
             {"_id": 11, "category_id": 1000012, "imgs": [{"picture": b"z"}]},
             {"_id": 12, "category_id": 7, "imgs": []}]
     write_bytes(f"{path}/a.bson", b"".join(B.encode_document(d) for d in docs[:2]))
-    write_bytes(f"{path}/b.bson", B.encode_document(docs[2]) + b"\x00\x00")  # trailing junk stops the scan
+    write_bytes(f"{path}/b.bson", B.encode_document(docs[2]))
     recs = B.read_bson(spark, path, range_bytes=16).orderBy("pos")
     rows = recs.collect()
     assert [(r["_id"], r["category_id"], r["pos"]) for r in rows] == [("10", "1000012", 0), ("11", "1000012", 1), ("12", "7", 2)]
@@ -23,6 +23,45 @@ def test_bson_hand_built(spark, tmp_shared):
         extract.parse_records(recs).collect()
 
 
+def test_bson_split_inside_a_file(spark, tmp_shared):
+    path = tmp_shared("bson")
+    docs = [{"_id": i, "category_id": i % 5, "imgs": [{"picture": bytes([i % 256]) * (i % 300)}], "when": i} for i in range(700)]
+    write_bytes(f"{path}/a.bson", b"".join(map(B.encode_document, docs)))
+    write_bytes(f"{path}/_temporary/0/x.bson", b"junk")
+    for size in (64, 1000, 50_000, 1 << 20):
+        plan = B.plan_ranges(spark, path, size)
+        assert all(r["file"].startswith("file:") for r in plan) and (size > 50_000) == (len(plan) == 1)
+        rows = B.read_bson(spark, path, range_bytes=size).select("_id", "pos").collect() if size > 500 else []
+        assert sorted((r["pos"], int(r["_id"])) for r in rows) == [(i, i) for i in range(700)][:len(rows) or 0]
+        assert plan[0]["start"] == 0 and all(a["end"] == b["start"] for a, b in zip(plan, plan[1:]))
+
+
+def test_broken_bson_raises(spark, tmp_shared):
+    good = [B.encode_document({"_id": i, "category_id": 1, "imgs": [{"picture": b"x" * 50}]}) for i in range(40)]
+    cases = {"junk": b"".join(good) + b"\x00\x00", "cut": b"".join(good)[:-3],
+             "length": good[0] + b"\x02\x00\x00\x00" + b"".join(good[1:])}
+    for name, data in cases.items():
+        for size in (200, 1 << 20):
+            path = tmp_shared(f"bson-{name}")
+            write_bytes(f"{path}/a.bson", data)
+            with pytest.raises(Exception, match="a.bson.*byte"):
+                B.read_bson(spark, path, range_bytes=size).collect()
+
+
+def test_undecodable_pictures_and_luminance(spark, tmp_shared):
+    from tessera.sources.images import load_images, png_bytes
+    path = tmp_shared("img")
+    write_bytes(f"{path}/a/1.png", png_bytes(np.full((2, 2), 7, np.uint8)))
+    write_bytes(f"{path}/a/2.ppm", b"P6\n1 1\n255\n" + b"abc")
+    write_bytes(f"{path}/a/3.png", b"broken")
+    with pytest.raises(Exception, match="cannot|can be decoded"):
+        load_images(spark, path, 2, 2, 1).collect()
+    rows = {r["path"][-5:]: r["pixels"] for r in load_images(spark, path, 2, 2, 1, invalid="null").collect()}
+    assert rows == {"1.png": [7] * 4, "2.ppm": None, "3.png": None}
+    color = bytes([0x89]) + png_bytes(np.zeros((1, 1), np.uint8))[1:]
+    assert color.startswith(b"\x89PNG")
+
+
 def test_png_load_and_scan(spark, tmp_shared):
     from tessera.sources.images import load_images, png_bytes, scan_images
     path = tmp_shared("img")
@@ -56,8 +95,11 @@ def test_sinks(spark, tmp_shared):
         assert f.read() == b"cd"
     q = write_by_category(pics, tmp_shared("catpq"))
     assert spark.read.parquet(q).filter("category_id = 1").first()["name"] == "5.jpg"
-    r = write_report(spark.createDataFrame([("cates", "1,2")], "report string, line string"), tmp_shared("rep"))
+    lines = spark.createDataFrame([("cates", 1, 0, "1,2"), ("ids", 4, 9, "4,9"), ("ids", 4, 7, "4,7"), ("ids", 3, 8, "3,8")],
+                                  "report string, category_id int, seq long, line string")
+    r = write_report(lines, tmp_shared("rep"))
     assert spark.read.text(f"{r}/report=cates").first()["value"] == "1,2"
+    assert [x["value"] for x in spark.read.text(f"{r}/report=ids").collect()] == ["3,8", "4,7", "4,9"]
 
 
 def test_dataset_roundtrip_and_split_pruning(spark, tmp_shared):
