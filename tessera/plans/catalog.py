@@ -204,6 +204,14 @@ def q_class_deficits(spark, sf_dir):
     return R.class_deficits(A.class_images(spark, sf_dir), REBALANCE_TARGET)
 
 
+@query("class_deficits_empty")
+def q_class_deficits_empty(spark, sf_dir):
+    """A4 with a list of classes: languages are classes without a picture."""
+    docs = table(spark, sf_dir, "documents")
+    labels = docs.select(F.col("source").alias("label")).union(docs.select("lang"))
+    return R.class_deficits(A.class_images(spark, sf_dir), REBALANCE_TARGET, labels)
+
+
 @query("cap_per_class")
 def q_cap_per_class(spark, sf_dir):
     return R.cap_per_class(A.class_images(spark, sf_dir), REBALANCE_TARGET).select("label", "name", "rn")
@@ -423,7 +431,40 @@ def q_load_images(spark, sf_dir):
     imgs = A.embedding_images(spark, sf_dir).select(
         "id", "label", F.transform("pixels", lambda x: F.floor((x + 1) * 127).cast("int")).alias("pixels"))
     path = write_png_folders(imgs, shared_path(spark, "images"), 8, 8)
-    return load_images(spark, path, 32, 32, 3)
+    return load_images(spark, path, 32, 32, 3).select(
+        F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("id"), "label", "height", "width", "channels", "pixels")
+
+
+@query("scan_images")
+def q_scan_images(spark, sf_dir):
+    """List the picture files that were written, one folder per label."""
+    from tessera.session import shared_path
+    from tessera.sources.images import scan_images, write_png_folders
+    imgs = A.embedding_images(spark, sf_dir).select(
+        "id", "label", F.transform("pixels", lambda x: F.floor((x + 1) * 127).cast("int")).alias("pixels"))
+    files = scan_images(spark, write_png_folders(imgs, shared_path(spark, "images"), 8, 8))
+    return files.select(F.substring_index("path", "/", -1).alias("name"), "label", (F.col("length") > 0).alias("filled"))
+
+
+@query("picture_files")
+def q_picture_files(spark, sf_dir):
+    """The last picture of every id as a file of its category, read back."""
+    from tessera.session import shared_path
+    from tessera.sources.sinks import write_by_category
+    last = extract.last_per_id(_pictures(spark, sf_dir, overwrite=True))
+    path = write_by_category(last, shared_path(spark, "pictures"), fmt="files")
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return back.select(F.substring_index(F.substring_index("path", "/", -2), "/", 1).cast("int").alias("category_id"),
+                       F.substring_index("path", "/", -1).alias("name"), F.md5("content").alias("picture_md5"))
+
+
+@query("report_files")
+def q_report_files(spark, sf_dir):
+    """The three reports as text files, read back."""
+    from tessera.session import shared_path
+    from tessera.sources.sinks import write_report
+    path = write_report(extract.report_lines(_pictures(spark, sf_dir)), shared_path(spark, "reports"))
+    return spark.read.text(path).select("report", F.col("value").alias("line"))
 
 
 # --- whole programs -----------------------------------------------------------------

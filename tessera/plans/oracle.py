@@ -436,3 +436,34 @@ SELECT 0, 'b', k, round(0.0 - 0.01 * (CAST(g AS DOUBLE) / n.n), 9) FROM gb CROSS
 """
 
 ORACLE["read_bson"] = ORACLE["extract_records"]
+
+_PNG = "list_transform(embedding, lambda x: greatest(0, least(255, CAST(floor((x + CAST(1 AS FLOAT)) * CAST(127 AS FLOAT)) AS INTEGER))))"
+
+ORACLE["load_images"] = f"""
+WITH px AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, {_PNG} AS p FROM embeddings),
+ps AS (SELECT i, greatest(0.0, least(7.0, (i + 0.5) * 8 / 32 - 0.5))::DOUBLE AS v FROM range(32) t(i)),
+ax AS (SELECT i, CAST(floor(v) AS INTEGER) AS lo, least(CAST(floor(v) AS INTEGER) + 1, 7) AS hi, v - floor(v) AS f FROM ps),
+g AS (SELECT id, label, r.i AS r, c.i AS c,
+        round_even((p[r.lo*8+c.lo+1]*(1-c.f) + p[r.lo*8+c.hi+1]*c.f)*(1-r.f) + (p[r.hi*8+c.lo+1]*(1-c.f) + p[r.hi*8+c.hi+1]*c.f)*r.f, 0) AS v
+      FROM px CROSS JOIN ax r CROSS JOIN ax c)
+SELECT id, label, 32 AS height, 32 AS width, 3 AS channels, flatten(list([CAST(v AS INTEGER), CAST(v AS INTEGER), CAST(v AS INTEGER)] ORDER BY r, c)) AS pixels
+FROM g GROUP BY id, label
+"""
+
+ORACLE["scan_images"] = """
+SELECT CAST(vec_id AS VARCHAR) || '.png' AS name, CAST(label AS VARCHAR) AS label, true AS filled FROM embeddings
+"""
+
+ORACLE["picture_files"] = f"""
+SELECT category_id, name, picture_md5 FROM ({ORACLE["last_picture_per_id"]}) t
+"""
+
+ORACLE["report_files"] = f"""
+SELECT report, line FROM ({ORACLE["category_report"]}) t
+"""
+
+ORACLE["class_deficits_empty"] = """
+WITH h AS (SELECT source AS label, count(*) AS have FROM documents GROUP BY source),
+l AS (SELECT source AS label FROM documents UNION SELECT lang FROM documents)
+SELECT label, coalesce(have, 0) AS have, greatest(0, 60 - coalesce(have, 0)) AS to_generate FROM l LEFT JOIN h USING (label)
+"""

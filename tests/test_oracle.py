@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tessera.plans.catalog import QUERIES
+from tessera.plans.oracle import ORACLE
 from tessera.plans.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -46,7 +48,7 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
@@ -58,6 +60,6 @@ def test_query_matches_oracle(spark, con, name):
     assert _digest(df.columns, rows) == _digest(ocols, orows)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only_queries_run(spark, name):
     assert E.queries()[name](spark, SF).count() >= 0
