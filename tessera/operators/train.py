@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import ms_to_minutes
+from tessera.functions.columns import ms_to_minutes, softmax
 from tessera.functions.hashing import DEFAULT_SEED, hash32, seeded_md5
 from tessera.operators import nn
 from tessera.operators.ordering import rank_in_groups
@@ -363,3 +363,49 @@ def evaluate_model(test: DataFrame, layers, params: dict, input_shape, features:
     scored = nn.score(test.select(id_col, F.col(label).alias("actual"), features), layers, params,
                       input_shape, features, id_col, keep=("actual",), batch=eval_batch)
     return scored.select("actual", "predicted")
+
+
+# --- softmax regression as aggregates (T1, T3) -------------------------------------
+
+def softmax_regression_step(samples: DataFrame, params: DataFrame | None, n_features: int, n_classes: int,
+                            lr: float, l2: float = 0.0, features: str = "features", label: str = "label") -> DataFrame:
+    """One full-batch gradient step of softmax regression, as a frame
+    ``(layer, name, idx, value)``: weights ``W`` at ``class * n_features + j``
+    and biases ``b`` at ``class``.
+
+    ``params`` is such a frame (None: zeros).  The model is one row, joined to
+    every sample; errors are summed per feature with partial aggregation, so
+    only model-sized rows are shuffled and nothing is collected.  ``l2`` decays
+    the weights, not the biases.
+    """
+    ks = range(n_classes)
+    if params is None:
+        d = samples.select(F.col(label).alias("y"), F.col(features).alias("x"))
+        z = [F.lit(0.0)] * n_classes
+    else:
+        def vector(name):
+            rows = F.array_sort(F.collect_list(F.when(F.col("name") == name, F.struct("idx", "value"))))
+            return F.transform(rows, lambda r: r["value"])
+        model = params.agg(vector("W").alias("w"), vector("b").alias("b"))
+        d = samples.select(F.col(label).alias("y"), F.col(features).alias("x")).join(F.broadcast(model), F.lit(True))
+        z = [F.aggregate(F.zip_with(F.slice("w", k * n_features + 1, n_features), "x", lambda a, v: a * v),
+                         F.get("b", k), lambda a, v: a + v) for k in ks]
+    d = d.select("y", "x", F.array(*z).alias("z"))
+    d = d.select("y", "x", softmax("z").alias("p"))
+    error = [F.get("p", k) - F.when(F.col("y") == k, 1.0).otherwise(0.0) for k in ks]
+    d = d.select("x", F.array(*error).alias("e"))
+    n = d.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    w = (d.select("e", F.posexplode("x").alias("j", "v")).groupBy("j")
+         .agg(F.array(*[F.sum(F.col("v") * F.get("e", k)) for k in ks]).alias("g"))
+         .select(F.lit("W").alias("name"), "j", F.posexplode("g").alias("k", "g"))
+         .select("name", (F.col("k") * n_features + F.col("j")).cast("bigint").alias("idx"), "g"))
+    b = (d.agg(F.array(*[F.sum(F.get("e", k)) for k in ks]).alias("g"))
+         .select(F.lit("b").alias("name"), F.posexplode("g").alias("idx", "g"))
+         .select("name", F.col("idx").cast("bigint").alias("idx"), "g"))
+    step = w.unionByName(b).join(F.broadcast(n), F.lit(True)).select("name", "idx", (F.col("g") / F.col("n")).alias("g"))
+    if params is not None:
+        step = step.join(params.select("name", "idx", F.col("value").alias("old")), ["name", "idx"])
+    else:
+        step = step.withColumn("old", F.lit(0.0))
+    decay = F.when(F.col("name") == "W", F.lit(l2)).otherwise(0.0) * F.col("old")
+    return step.select(F.lit(0).alias("layer"), "name", "idx", (F.col("old") - F.lit(lr) * (F.col("g") + decay)).alias("value"))

@@ -380,14 +380,21 @@ def _emb_samples(spark, sf_dir):
     return emb.withColumn("onehot", one_hot("label", 10))
 
 
+def _rounded(params):
+    return params.select("layer", "name", "idx", (F.round("value", 9) + 0.0).alias("value"))
+
+
 @query("train_step")
 def q_train_step(spark, sf_dir):
-    zero = {k: np.zeros(s) for (k, s) in
-            (((l, n), s) for l, n, s, _ in nn.param_specs(SOFTMAX_LAYERS, (1, 1, 64)))}
-    new = TR.sgd_step(_emb_samples(spark, sf_dir), SOFTMAX_LAYERS, zero, (1, 1, 64), lr=0.01)
-    rows = [(int(l), n, int(i), float(round(v, 9)) + 0.0) for (l, n), a in sorted(new.items())
-            for i, v in enumerate(a.ravel())]
-    return spark.createDataFrame(rows, "layer int, name string, idx bigint, value double")
+    return _rounded(TR.softmax_regression_step(_emb_samples(spark, sf_dir), None, 64, 10, lr=0.01))
+
+
+@query("train_two_steps")
+def q_train_two_steps(spark, sf_dir):
+    """T1 with T3: two full-batch steps, weight decay in the second."""
+    samples = _emb_samples(spark, sf_dir)
+    one = TR.softmax_regression_step(samples, None, 64, 10, lr=0.5)
+    return _rounded(TR.softmax_regression_step(samples, one, 64, 10, lr=0.5, l2=0.01))
 
 
 def _train_query(layers, input_shape, workers):

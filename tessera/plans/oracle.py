@@ -467,3 +467,17 @@ WITH h AS (SELECT source AS label, count(*) AS have FROM documents GROUP BY sour
 l AS (SELECT source AS label FROM documents UNION SELECT lang FROM documents)
 SELECT label, coalesce(have, 0) AS have, greatest(0, 60 - coalesce(have, 0)) AS to_generate FROM l LEFT JOIN h USING (label)
 """
+
+ORACLE["train_two_steps"] = """
+WITH x AS (SELECT vec_id, label, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+n AS (SELECT count(*)::DOUBLE AS n FROM embeddings), ks AS (SELECT k FROM range(10) t(k)),
+w1 AS (SELECT k, j, 0.0 - 0.5 * (sum(v * (0.1 - CASE WHEN label = k THEN 1.0 ELSE 0.0 END)::DOUBLE) / any_value(n)) AS w FROM x, ks, n GROUP BY k, j),
+b1 AS (SELECT k, 0.0 - 0.5 * (sum((0.1 - CASE WHEN label = k THEN 1.0 ELSE 0.0 END)::DOUBLE) / any_value(n)) AS b FROM embeddings, ks, n GROUP BY k),
+z AS (SELECT vec_id, any_value(label) AS label, w1.k, sum(v * w) + any_value(b) AS z FROM x JOIN w1 USING (j) JOIN b1 ON b1.k = w1.k GROUP BY vec_id, w1.k),
+e AS (SELECT vec_id, label, k, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM z),
+p AS (SELECT vec_id, k, e / sum(e) OVER (PARTITION BY vec_id) - CASE WHEN label = k THEN 1.0 ELSE 0.0 END AS d FROM e),
+g AS (SELECT p.k, x.j, sum(v * d) AS g FROM x JOIN p USING (vec_id) GROUP BY p.k, x.j),
+h AS (SELECT k, sum(d) AS g FROM p GROUP BY k)
+SELECT 0 AS layer, 'W' AS name, k * 64 + j AS idx, round(w - 0.5 * (g / n + 0.01 * w), 9) + 0.0 AS value FROM g JOIN w1 USING (k, j), n
+UNION ALL SELECT 0, 'b', k, round(b - 0.5 * (g / n), 9) + 0.0 FROM h JOIN b1 USING (k), n
+"""
