@@ -123,14 +123,17 @@ __all__ = ["TARGET", "class_deficits", "rank_originals", "cap_per_class", "draw_
 def rebalance_images(images: DataFrame, height: int, width: int, channels: int, target: int = TARGET,
                      seed: int = DEFAULT_SEED, labels: DataFrame | None = None, label: str = "label",
                      name: str = "name", pixels: str = "pixels", steps=None) -> DataFrame:
-    """U1 + G1: the rebalanced picture set with pixels; generated pictures
-    are augmented from their drawn source (equi-join on the source name)."""
+    """U1 + G1: the rebalanced picture set with pixels; originals keep theirs,
+    generated pictures are augmented from their drawn source (equi-join on the
+    source name)."""
     from tessera.operators.augment import augment
 
+    px = images.select(label, name, pixels)
+    orig = cap_per_class(px, target, seed, label, name)
     plan = rebalance(images.select(label, name), target, seed, labels, label, name)
-    withpx = attach_pixels(plan, images.select(label, name, pixels), label, name, pixels)
-    orig = withpx.filter(~F.col("generated"))
-    gen = augment(withpx.filter(F.col("generated")), height, width, channels, steps, seed,
+    drawn = attach_pixels(plan.filter("generated"), px, label, name, pixels)
+    gen = augment(drawn, height, width, channels, steps, seed,
                   key=name, pixels=pixels, keep=(label, "source", "generated"))
-    return orig.select(label, name, "source", "generated", F.col(pixels).cast("array<float>").alias(pixels)) \
+    return orig.select(label, name, F.col(name).alias("source"), F.lit(False).alias("generated"),
+                       F.col(pixels).cast("array<float>").alias(pixels)) \
         .unionByName(gen.select(label, name, "source", "generated", pixels))

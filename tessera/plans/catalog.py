@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -476,6 +475,29 @@ def q_report_files(spark, sf_dir):
 
 # --- whole programs -----------------------------------------------------------------
 
+# The steps that only move pixels, applied by draws (fixed values: op and probability).
+EXACT_STEPS = [{"op": "flip_left_right", "p": 0.5}, {"op": "flip_top_bottom", "p": 0.5},
+               {"op": "rotate180", "p": 0.8}, {"op": "rotate270", "p": 0.6}]
+
+
+@query("augment_exact")
+def q_augment_exact(spark, sf_dir):
+    """G1 with G3, G4, G7, G8: the pipeline's own kernels and draws."""
+    return AUG.augment(_images8(spark, sf_dir), 8, 8, 1, EXACT_STEPS, keep=("label",))
+
+
+@query("rebalance_images_exact")
+def q_rebalance_images_exact(spark, sf_dir):
+    """U1 + G1 + S9 with the exact steps."""
+    from tessera.session import shared_path
+    from tessera.sources.sinks import write_rebalanced
+    imgs = A.embedding_images(spark, sf_dir).select(
+        F.col("label").cast("string").alias("label"), F.col("id").cast("string").alias("name"), "pixels")
+    out = R.rebalance_images(imgs, 8, 8, 1, target=2 * REBALANCE_TARGET, steps=EXACT_STEPS)
+    back = spark.read.schema(out.schema).parquet(write_rebalanced(out, shared_path(spark, "rebalanced")))
+    return back.select("label", "name", "source", "generated", "pixels")
+
+
 @query("rebalance_images")
 def q_rebalance_images(spark, sf_dir):
     """U1 + G1 + S9: embeddings as 8x8 pictures per label rebalanced to 60,

@@ -481,3 +481,28 @@ h AS (SELECT k, sum(d) AS g FROM p GROUP BY k)
 SELECT 0 AS layer, 'W' AS name, k * 64 + j AS idx, round(w - 0.5 * (g / n + 0.01 * w), 9) + 0.0 AS value FROM g JOIN w1 USING (k, j), n
 UNION ALL SELECT 0, 'b', k, round(b - 0.5 * (g / n), 9) + 0.0 FROM h JOIN b1 USING (k), n
 """
+
+
+def _stepped(rows: str, key: str) -> str:
+    """``p`` of ``rows`` after the exact steps, each applied by its draw."""
+    steps = [(0.5, "(i // 8) * 8 + (7 - i % 8)"), (0.5, "(7 - i // 8) * 8 + i % 8"), (0.8, "63 - i"), (0.6, "(7 - i % 8) * 8 + i // 8")]
+    for k, (p, at) in enumerate(steps):
+        draw = f"('0x' || substr(md5('12345:' || {key} || ':{k}:0'), 1, 8))::BIGINT / 4294967296.0"
+        rows = f"(SELECT * REPLACE (CASE WHEN {draw} < {p} THEN list_transform(range(64), lambda i: p[{at} + 1]) ELSE p END AS p) FROM {rows})"
+    return rows
+
+
+ORACLE["augment_exact"] = f"""
+WITH e AS (SELECT vec_id AS id, label, embedding AS p FROM embeddings)
+SELECT id, label, p AS pixels FROM {_stepped("e", "CAST(id AS VARCHAR)")}
+"""
+
+_CLS_EMB = (_CLS.replace("SELECT source AS label, CAST(doc_id AS VARCHAR) AS name FROM documents",
+                         "SELECT CAST(label AS VARCHAR) AS label, CAST(vec_id AS VARCHAR) AS name FROM embeddings").replace("60", "120"))
+
+ORACLE["rebalance_images_exact"] = f"""
+WITH {_CLS_EMB},
+e AS (SELECT rb.*, embedding AS p FROM rb JOIN embeddings ON CAST(vec_id AS VARCHAR) = source)
+SELECT label, name, source, generated, p AS pixels FROM e WHERE NOT generated
+UNION ALL SELECT label, name, source, generated, p FROM {_stepped("(SELECT * FROM e WHERE generated)", "name")}
+"""
