@@ -28,6 +28,8 @@ MAX_HISTORY = 500
 RESAMPLE_POINTS = 300
 # Lines per prefix-sum bucket (in line_no units).
 LINE_BUCKET = 1 << 20
+# Lines of the log's end that are looked at first, and by how much more each time.
+TAIL_LINES, WIDER = 1 << 16, 16
 
 
 def drop_headers(log: DataFrame) -> DataFrame:
@@ -61,11 +63,31 @@ def _blocks(log: DataFrame, bucket: int) -> DataFrame:
 
 
 def steps(log: DataFrame, max_history: int = MAX_HISTORY, bucket: int = LINE_BUCKET,
-          total_mib: int = GPU_TOTAL_MEMORY_MIB) -> tuple[DataFrame, int]:
+          total_mib: int = GPU_TOTAL_MEMORY_MIB, tail: int = TAIL_LINES) -> tuple[DataFrame, int]:
     """``(step, gpu, util, mem_pct, line_no)`` for the last
     ``max_history + 1`` steps, steps numbered 0.. in time order.
 
     Returns the frame and the device count N (0 when the log has no step).
+    Only the end of the log is numbered and parsed: its last ``tail`` lines
+    from their first header on, or more where they hold too few steps.  What
+    begins with a header has the same blocks as the whole log, so the result
+    does not depend on ``tail``.
+    """
+    lo, hi = log.agg(F.min("line_no"), F.max("line_no")).first()
+    while True:
+        whole = lo is None or tail > hi - lo
+        part = log if whole else log.filter(F.col("line_no") > F.lit(hi - tail))
+        header = None if whole else part.filter(is_header("value")).agg(F.min("line_no")).first()[0]
+        if whole or header is not None:
+            out, n, kept = _steps_of(part if whole else part.filter(F.col("line_no") >= F.lit(header)), max_history, bucket, total_mib)
+            if whole or kept == max_history + 1:
+                return out, n
+        tail *= WIDER
+
+
+def _steps_of(log: DataFrame, max_history: int, bucket: int, total_mib: int) -> tuple[DataFrame, int, int]:
+    """The steps of a log, N, and the number of steps kept.
+
     Data lines are numbered and parsed once (persisted); three small results
     reach the driver: N, the kept steps (at most ``max_history + 1`` rows)
     and the first malformed line, if any.
@@ -77,7 +99,7 @@ def steps(log: DataFrame, max_history: int = MAX_HISTORY, bucket: int = LINE_BUC
     empty = spark.createDataFrame([], "step bigint, gpu int, util int, mem_pct int, line_no bigint")
     if not last:
         _raise_bad(data)
-        return empty, 0
+        return empty, 0, 0
     n = int(last[0]["size"])
     lines = lines_for(data, blocks, n)
     # L1: top-k of the distinct steps, newest first; at most max_history + 1 rows.
@@ -85,7 +107,7 @@ def steps(log: DataFrame, max_history: int = MAX_HISTORY, bucket: int = LINE_BUC
             .orderBy(F.col("blk").desc(), F.col("chunk").asc()).limit(max_history + 1).collect())
     if not kept:
         _raise_bad(data)
-        return empty, n
+        return empty, n, 0
     kept = sorted(kept, key=lambda r: (r["blk"], -r["chunk"]))
     if len(kept) == max_history + 1:
         # The backwards scan reads one line past the kept window, the one that
@@ -104,7 +126,7 @@ def steps(log: DataFrame, max_history: int = MAX_HISTORY, bucket: int = LINE_BUC
     out = tail.join(F.broadcast(numbered), ["blk", "chunk"])
     out = out.select("step", (F.lit(n - 1) - F.col("r") % F.lit(n)).cast("int").alias("gpu"),
                      "util", "mem_pct", "line_no")
-    return out, n
+    return out, n, len(kept)
 
 
 def lines_for(data: DataFrame, blocks: DataFrame, n: int) -> DataFrame:

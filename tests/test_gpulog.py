@@ -33,9 +33,9 @@ def loop_oracle(lines, max_history):
     return list(reversed(steps))
 
 
-def spark_steps(spark, lines, max_history):
+def spark_steps(spark, lines, max_history, tail=gpulog.TAIL_LINES):
     df = spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
-    st, n = gpulog.steps(df, max_history=max_history, bucket=7)
+    st, n = gpulog.steps(df, max_history=max_history, bucket=7, tail=tail)
     rows = sorted(st.collect(), key=lambda r: (r["step"], r["gpu"]))
     out = []
     for r in rows:
@@ -67,6 +67,16 @@ def test_random_logs_match_loop(spark):
             assert spark_steps(spark, lines, mh) == loop_oracle(lines, mh), (lines, mh)
 
 
+def test_the_end_of_the_log_is_enough(spark):
+    rng = random.Random(11)
+    for tail in (1, 3, 10):
+        lines = []
+        for _ in range(60):
+            lines += [HEADER] + [f"{rng.randint(0, 100)} %, {rng.randint(0, 4037)} MiB" for _ in range(rng.choice((0, 2, 2, 2, 3, 5)))]
+        for mh in (0, 4, 200):
+            assert spark_steps(spark, lines, mh, tail) == loop_oracle(lines, mh)
+
+
 def test_limit_plus_one_steps(spark):
     lines = []
     for i in range(10):
