@@ -11,10 +11,12 @@ shingle frequencies (a bounded count sketch over all documents).
 Texts with equal sets become one node first.  Then, without listing all pairs
 of a posting list:
 
-1. star: every document of a list is paired with the list's smallest id; each
-   document's best such pair is verified on the full sets;
-2. rest: what is not yet in the component of its list's smallest id is paired
-   with every document of another component in that list, and verified.
+1. star: every document of a list is paired with the list's leader, the one
+   with the fewest rarer shingles; each document's best such pair is verified
+   on the full sets;
+2. rest: what is not yet in the component of its list's leader is paired with
+   every document of another component in that list that sizes, positions and
+   a 256-bit parity signature of the whole set allow, and verified.
 
 A pair that neither step looks at is in one component already, or shares too
 few prefix shingles to be a link; so the components are exact.
@@ -39,7 +41,7 @@ CELLS, SLICE = 1 << 20, 1 << 10
 #: Longest adaptive prefix: so many shared shingles may be asked for.
 MATCHES = 4
 #: Cost of reading one posting and of fetching one candidate's set.
-READ, FETCH = 1.0, 8.0
+READ, FETCH = 1.0, 1.0
 
 
 def _sets(column, size: int):
@@ -111,15 +113,25 @@ def choose_prefix(ranks: np.ndarray, floor: float, percent: int) -> tuple[int, i
     return int(length[best]), int(asked[best])
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """256 bits as four numbers: the parity of the shingles at each bit.
+
+    Every shingle that only one of two sets has turns one bit, so their bits
+    differ in no more places than the sets do.
+    """
+    turned = np.bincount((mix(shingles + np.uint64(1)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(turned.astype(np.uint8)).view(np.int64)
+
+
 def describe(docs: DataFrame, ranks: np.ndarray, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n (shingles), key (digest of the set; null if empty), asked, prefix."""
+    """Per row: id, n (shingles), key (digest of the set; null if empty), asked, prefix, bits."""
     def run(batches):
         counts = 2.0 ** (ranks / 4)
         floor = float(counts.mean())
         for batch in batches:
-            n, key, asked, prefix = [], [], [], []
+            n, key, asked, prefix, bits = [], [], [], [], []
             for s in _sets(batch.column("text"), size):
-                n.append(len(s))
+                n.append(len(s)), bits.append(parity_bits(s))
                 if not len(s):
                     key.append(None), asked.append(0), prefix.append([])
                     continue
@@ -130,14 +142,58 @@ def describe(docs: DataFrame, ranks: np.ndarray, size: int, percent: int, id_col
                 asked.append(ell), prefix.append(s[order[:length]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(asked, pa.int32()),
-                 pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "key", "asked", "prefix"])
+                 pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["id", "n", "key", "asked", "prefix", "bits"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), _ended(text_col).alias("text")).mapInArrow(
-        run, "id bigint, n bigint, key string, asked int, prefix array<bigint>")
+        run, "id bigint, n bigint, key string, asked int, prefix array<bigint>, bits array<bigint>")
+
+
+def _total(n, m, percent: int):
+    """Shingles that sets of n and m share at least when they link."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def _head(n, asked, percent: int):
+    """Length of the shorter prefix that serves against partners of the same size or larger."""
+    return n - _total(n, n, percent) + asked
+
+
+def _may_link(p: str, q: str, percent: int):
+    """Whether one shared prefix shingle of two postings (structs id, n, asked, pos) can be one of a link's.
+
+    Sizes must fit; the shingle must be in the smaller one's shorter prefix;
+    and shared shingles before and after its positions must be able to add up.
+    """
+    (i, n, a, at), (j, m, b, to) = ([F.col(f"{x}.{c}") for c in ("id", "n", "asked", "pos")] for x in (p, q))
+    fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    inner = F.when((n < m) | ((n == m) & (i < j)), at < _head(n, a, percent)).otherwise(to < _head(m, b, percent))
+    return fits & inner & (F.least(at, to) + 1 + F.least(n - at - 1, m - to - 1) >= _total(n, m, percent))
+
+
+def _bits_allow(p: str, q: str, percent: int):
+    """Whether the parity bits differ in no more places than two linked sets of these sizes can."""
+    n, m = F.col(f"{p}.n"), F.col(f"{q}.n")
+    differ = sum((F.bit_count(F.get(f"{p}_bits", k).bitwiseXOR(F.get(f"{q}_bits", k))) for k in range(4)), F.lit(0))
+    return differ <= n + m - 2 * _total(n, m, percent)
+
+
+def _enough(percent: int):
+    """Whether the pair's counted shingles (columns shared; x, the smaller, and y: structs id, n, asked) suffice.
+
+    Up to the smaller of the two prefixes' last shingles all shared ones were
+    counted; beyond it there are at most as many as that set has left.
+    """
+    n, m = F.col("x.n"), F.col("y.n")
+    beyond = F.greatest(n - _head(n, F.col("x.asked"), percent), F.ceil(m * percent / 100) - F.col("y.asked"))
+    return F.col("shared") >= _total(n, m, percent) - beyond
 
 
-def _fits(n: str, m: str, percent: int):
-    return (F.least(n, m) * 100) >= (F.greatest(n, m) * percent)
+def _pairs(joined: DataFrame, p: str, q: str, percent: int, *by: str) -> DataFrame:
+    """``(x, y, shared)`` of the candidate pairs among postings already joined on their shingle."""
+    one, two = (F.struct(F.col(f"{c}.n").alias("n"), F.col(f"{c}.id").alias("id"), F.col(f"{c}.asked").alias("asked")) for c in (p, q))
+    return (joined.where(_may_link(p, q, percent)).select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"), *by)
+            .groupBy("x", "y", *by).agg(F.count(F.lit(1)).alias("shared")).where(_enough(percent)))
 
 
 def fetch_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -181,37 +237,34 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     some = rows.where("id is not null and key is not null")
     same = materialise(decisions(some.select("id", "key", "n"), "id", digest=F.col("key")), "classes")
     kept = same.where("kept").select("id", F.col("text_sha256").alias("key"))
-    nodes = some.join(kept, ["id", "key"], "left_semi").select("id", "n", "asked", "prefix")
-    me = F.struct("id", "n", "asked")
+    nodes = materialise(some.join(kept, ["id", "key"], "left_semi").select("id", "n", "asked", "prefix", "bits"), "nodes")
     listed = Window.partitionBy("token")
     postings = materialise(
-        nodes.select("id", "n", "asked", F.explode("prefix").alias("token"))
-        .withColumn("leader", F.min(me).over(listed)).withColumn("listed", F.count(F.lit(1)).over(listed))
+        nodes.select("id", "n", "asked", F.posexplode("prefix").alias("pos", "token"))
+        .select("token", F.struct("id", "n", "asked", "pos").alias("p"))
+        .withColumn("leader", F.min(F.struct("p.pos", "p")).over(listed)["p"]).withColumn("listed", F.count(F.lit(1)).over(listed))
         .where("listed > 1").drop("listed"), "postings")
 
-    star = (postings.where("id <> leader.id").where(_fits("n", "leader.n", percent))
-            .groupBy(F.col("leader.id").alias("a"), F.col("id").alias("b"))
-            .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("asked", "leader.asked")).alias("asked"))
-            .where("shared >= asked"))
-    best = materialise(star.groupBy("b").agg(F.max(F.struct(F.col("shared"), (-F.col("a")).alias("a"))).alias("top"))
-                       .select((-F.col("top.a")).alias("a"), "b"), "pairs")
+    lead = postings.where("p.id <> leader.id").withColumn("head", F.col("leader.id"))
+    star = _pairs(lead, "p", "leader", percent, "head").select(
+        F.col("head").alias("a"), F.when(F.col("x.id") == F.col("head"), F.col("y.id")).otherwise(F.col("x.id")).alias("b"), "shared")
+    best = materialise(star.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b"), "pairs")
     first_ids = materialise(best.select(F.col("a").alias("id")).union(best.select("b")).distinct(), "ids")
     sets = fetch_sets(docs, first_ids, size, id_col, text_col)
     links = verify(best, sets, percent)
     comp = components(links)
 
-    of = postings.join(comp.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mine = nodes.select("id", "bits").join(comp, "id", "left")
     heads = comp.select(F.col("id").alias("head"), F.col("component").alias("head_component"))
-    of = (of.join(heads, F.col("leader.id") == F.col("head"), "left")
-          .withColumn("rest", F.col("component") != F.coalesce("head_component", "leader.id"))
-          .select("token", "id", "n", "asked", "component", "rest"))
-    of = materialise(of, "postings")
-    left = of.where("rest").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "asked", "component")])
-    more = (left.join(of, "token")
-            .where((F.col("component") != F.col("component_")) & _fits("n", "n_", percent) & (~F.col("rest") | (F.col("id_") < F.col("id"))))
-            .groupBy(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
-            .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("asked", "asked_")).alias("asked"))
-            .where("shared >= asked").select("a", "b"))
+    of = (postings.join(mine, F.col("p.id") == mine.id, "left")
+          .join(heads, F.col("leader.id") == F.col("head"), "left")
+          .select("token", "p", F.col("bits").alias("p_bits"), F.coalesce("component", "p.id").alias("component"),
+                  F.coalesce("head_component", "leader.id").alias("head_component")))
+    of = materialise(of.withColumn("rest", F.col("component") != F.col("head_component")).drop("head_component"), "postings")
+    left = of.where("rest").select("token", F.col("p").alias("q"), F.col("p_bits").alias("q_bits"), F.col("component").alias("other"))
+    pairs = left.join(of, "token").where((F.col("component") != F.col("other")) & (~F.col("rest") | (F.col("q.id") < F.col("p.id")))
+                                         & _bits_allow("p", "q", percent))
+    more = _pairs(pairs, "p", "q", percent).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     more = materialise(more, "pairs")
     if not more.isEmpty():
         ids = more.select(F.col("a").alias("id")).union(more.select("b")).distinct().join(first_ids, "id", "left_anti")
