@@ -12,7 +12,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Arrow batches hold at most so many rows, so that a batch of long texts fits a worker.
-ARROW_ROWS = 512
+ARROW_ROWS = 128
 
 
 def prepare(spark: SparkSession) -> None:

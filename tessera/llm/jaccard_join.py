@@ -40,6 +40,8 @@ from tessera.llm.textarrays import lowered, mix, shingle_set, slices, words
 CELLS, SLICE = 1 << 20, 1 << 10
 #: Longest adaptive prefix: so many shared shingles may be asked for.
 MATCHES = 4
+#: Bytes of sets that leave a task together.
+BATCH_BYTES = 4 << 20
 #: Cost of reading one posting and of fetching one candidate's set.
 READ, FETCH = 1.0, 1.0
 
@@ -198,9 +200,18 @@ def _pairs(joined: DataFrame, p: str, q: str, percent: int, *by: str) -> DataFra
 
 def fetch_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, shingles)`` of the documents in ``ids``: the sorted set, eight bytes a shingle."""
+    def made(ids, sets):
+        return pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["id", "shingles"])
+
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in _sets(batch.column("text"), size)], pa.binary())], names=["id", "shingles"])
+            sets, first, held = [], 0, 0
+            for i, s in enumerate(_sets(batch.column("text"), size), 1):
+                sets.append(s.tobytes())
+                held += len(sets[-1])
+                if held > BATCH_BYTES or i == batch.num_rows:
+                    yield made(batch.column("id").slice(first, i - first), sets)
+                    sets, first, held = [], i, 0
 
     wanted = docs.select(F.col(id_col).cast("bigint").alias("id"), _ended(text_col).alias("text")).join(ids, "id", "left_semi")
     return materialise(wanted.mapInArrow(run, "id bigint, shingles binary"), "sets")
