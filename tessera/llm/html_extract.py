@@ -212,8 +212,12 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], depth: int = 0) -> i
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of pages of one host: ``content`` (a place or None) and ``constant`` ((place, text) pairs)."""
-    trees = [parse(h) for h in pages]
+    """The wrapper of pages of one host: ``content`` (a place or None) and ``constant`` ((place, text) pairs).
+
+    Pages with the same story say nothing about what is template: one of them counts.
+    """
+    stories = {"\n".join(t for _, t, _ in blocks(tree)): tree for tree in map(parse, reversed(pages))}
+    trees = list(stories.values())[::-1]
     if not trees:
         return {"content": None, "constant": []}
     base = trees[0]
@@ -278,7 +282,7 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", sample: int = SAMPLE) ->
     drawn = pages.select("host", F.col(id_col).alias("id"), "html").join(ids, "id", "left_semi")
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
-        texts = group.sort_values("id")["html"].fillna("").drop_duplicates().tolist()[:sample]
+        texts = group.sort_values("id")["html"].fillna("").tolist()[:sample]
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(induce(texts))]})
 
     return materialise(drawn.groupBy("host").applyInPandas(learn, "host string, wrapper string"), "wrappers")
