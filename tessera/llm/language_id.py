@@ -29,7 +29,8 @@ from tessera.llm.textarrays import slices
 #: Sample bounds: labelled documents per language, and languages.
 PER_LANG, LANGS = 1000, 200
 GRAMS, BITS, DIM = (2, 3, 4), 15, 16
-EPOCHS, RATE, BATCH = 6, 20.0, 32
+#: At least so many passes over the sample and so many steps in all.
+EPOCHS, STEPS, RATE, BATCH = 6, 800, 20.0, 32
 ALPHA = 0.0005
 #: Bytes looked at together in a task.
 LONG = 1 << 20
@@ -118,10 +119,11 @@ def _train(rows: list, langs: tuple[str, ...], seed: int) -> Model:
         at, weight, first, _ = joined(ids)
         return np.add.reduceat(emb[at] * weight[:, None], first) @ out + bias
 
-    steps = max(1, EPOCHS * -(-len(seen) // BATCH))
-    step = 0
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(seen), max(1, -(-len(seen) // BATCH))):
+    each = max(1, -(-len(seen) // BATCH))
+    epochs = max(EPOCHS, -(-STEPS // each))
+    steps, step = epochs * each, 0
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(seen), each):
             if not len(part):
                 continue
             rate = RATE * (1 - step / steps)
