@@ -10,7 +10,8 @@ model is linear after averaging, so embedding and layer fold into one table of
 Confidence is calibrated: a temperature fitted on documents that training did
 not see.  A document is rejected when its text has no letter or its calibrated
 confidence falls below the ALPHA quantile of those documents (a conformal
-threshold: of documents like the labelled ones at most about ALPHA go).
+threshold: of documents like the labelled ones at most about ALPHA go), but not
+while one language has the majority of the probability.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ GRAMS, BITS, DIM = (2, 3, 4), 15, 16
 #: At least so many passes over the sample and so many steps in all.
 EPOCHS, STEPS, RATE, BATCH = 6, 800, 20.0, 32
 ALPHA = 0.0005
+#: A text of which one language has so much of the probability is never rejected for its confidence.
+MAJORITY = 0.5
 #: Bytes looked at together in a task.
 LONG = 1 << 20
 
@@ -150,7 +153,7 @@ def _train(rows: list, langs: tuple[str, ...], seed: int) -> Model:
             best, temperature = loss, float(t)
     s = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
     score = np.sort((s / s.sum(axis=1, keepdims=True)).max(axis=1))
-    threshold = float(score[int(ALPHA * (len(score) + 1))])
+    threshold = min(MAJORITY, float(score[int(ALPHA * (len(score) + 1))]))
     table = np.vstack([emb @ out, np.zeros(len(langs))]).astype(np.float32)
     return Model(langs, table, bias, temperature, threshold)
 

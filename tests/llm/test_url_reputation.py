@@ -1,5 +1,3 @@
-import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import url_reputation as U
