@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tessera.operators import augment as AUG
 
@@ -6,14 +7,24 @@ from tessera.operators import augment as AUG
 def test_batched_equals_single_image():
     rng = np.random.default_rng(5)
     for shape in [(8, 8, 1), (6, 6, 3), (4, 7, 2)]:
+        steps = [s for s in AUG.DEFAULT_STEPS if shape[0] == shape[1] or s["op"] not in ("rotate270", "rotate_random_90")]
         imgs = rng.normal(size=(40, *shape))
-        draws = rng.random(size=(40, len(AUG.DEFAULT_STEPS), AUG.N_DRAWS))
-        batch = AUG.apply_steps_batch(imgs, AUG.DEFAULT_STEPS, draws)
+        draws = rng.random(size=(40, len(steps), AUG.N_DRAWS))
+        batch = AUG.apply_steps_batch(imgs, steps, draws)
         for i in range(40):
-            single = AUG.apply_steps(imgs[i], AUG.DEFAULT_STEPS, draws[i])
+            single = AUG.apply_steps(imgs[i], steps, draws[i])
             assert np.allclose(batch[i], single, atol=1e-12), (shape, i)
 
 
+def test_quarter_turn_of_a_picture_that_is_not_square_raises():
+    img, u = np.zeros((4, 7, 2)), np.zeros((1, AUG.N_DRAWS))
+    with pytest.raises(ValueError, match="square"):
+        AUG.batch_step(img[None], {"op": "rotate270"}, u)
+    with pytest.raises(ValueError, match="square"):
+        AUG.apply_steps(img, [{"op": "rotate270", "p": 1.0}], u)
+    assert AUG.batch_step(img[None], {"op": "rotate180"}, u).shape == (1, 4, 7, 2)
+
+
 def test_exact_steps_and_seeded(spark):
     img = np.arange(16, dtype=float).reshape(4, 4, 1)
     u = np.zeros((1, AUG.N_DRAWS))
