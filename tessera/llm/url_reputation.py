@@ -6,6 +6,8 @@ level above: all labels -> suffix -> registered domain -> host.  The strength
 of a level's prior is fitted to the spread of the rates at that level by the
 method of moments.  A url is blocked when the lower bound of its host's
 posterior bad rate is above the threshold: hosts without enough evidence pass.
+A host without labels has its prior for a posterior: the rate of its domain,
+else of its suffix, else of all labels, with the spread of every level between.
 Fixed rules override the verdict.
 
 Only DataFrame functions are used.  Counts are combined on the map side, so a
@@ -80,25 +82,59 @@ def _shrunk(level: DataFrame, parent: str, out: str) -> DataFrame:
     return d.withColumn(out, (F.col("bad") + F.col("s") * F.col(parent)) / (F.col("n") + F.col("s")))
 
 
-def reputations(outcomes: DataFrame, z: float = Z, limit: float = LIMIT) -> DataFrame:
+def _bound(rate: Column, rho: Column, z: float) -> Column:
+    """Lower bound of a beta posterior; ``rho`` is 1 / (its weight + 1)."""
+    return rate - F.lit(z) * F.sqrt(rate * (1 - rate) * rho)
+
+
+def _unlabelled(others: DataFrame, suffixes: DataFrame, domains: DataFrame, alone: DataFrame) -> DataFrame:
+    """``host``, rate and rho of hosts without labels: the prior that the nearest labelled level gives them.
+
+    ``alone`` is one row: all_rate and the strengths suffix_s, domain_s, host_s.
+    Below the level that has labels, the spreads of all levels add up: the
+    share of the variance that is left is the product of 1 - 1 / (s + 1).
+    """
+    left = [F.col(c) / (F.col(c) + 1) for c in ("host_s", "domain_s", "suffix_s")]
+    by_domain, by_suffix = F.col("domain_rate").isNotNull(), F.col("suffix_rate").isNotNull()
+    rho = 1 - F.when(by_domain, left[0]).when(by_suffix, left[0] * left[1]).otherwise(left[0] * left[1] * left[2])
+    d = (others.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+         .join(domains, "domain", "left").join(suffixes, "suffix", "left").join(F.broadcast(alone), F.lit(True)))
+    return d.select("host", F.coalesce("domain_rate", "suffix_rate", "all_rate").alias("rate"), rho.alias("rho"))
+
+
+def reputations(outcomes: DataFrame, z: float = Z, limit: float = LIMIT, hosts_too: DataFrame | None = None) -> DataFrame:
     """One row per labelled host: host, n, bad, rate, bound, blocked.
 
     ``outcomes`` has ``host`` and ``bad`` (0 or 1); rows with a null in either
     are left out.  Repeated rows count as often as they appear.  An empty table
-    gives no rows.
+    gives no rows.  Hosts of ``hosts_too`` (a column ``host``) without labels
+    get a row too, with n = 0 and their prior; with no labels at all its rate
+    is null.
     """
     hosts = materialise(outcomes.where("host is not null and bad is not null").groupBy("host")
                         .agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
                         .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
     total = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("all_rate"))
-    suffixes = _shrunk(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-                       .join(F.broadcast(total), F.lit(True)), "all_rate", "suffix_rate").select("suffix", "suffix_rate")
-    domains = _shrunk(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-                      .join(suffixes, "suffix"), "suffix_rate", "domain_rate").select("domain", "domain_rate")
-    d = _shrunk(hosts.join(domains, "domain"), "domain_rate", "rate")
-    weight = F.col("n") + F.col("s")
-    bound = F.col("rate") - F.lit(z) * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (weight + 1))
-    return d.select("host", "n", "bad", "rate", bound.alias("bound"), (bound > limit).alias("blocked"))
+    by_suffix = (hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+                 .join(F.broadcast(total), F.lit(True)))
+    suffixes = _shrunk(by_suffix, "all_rate", "suffix_rate").select("suffix", "suffix_rate")
+    by_domain = (hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+                 .join(suffixes, "suffix"))
+    domains = _shrunk(by_domain, "suffix_rate", "domain_rate").select("domain", "domain_rate")
+    by_host = hosts.join(domains, "domain")
+    d = _shrunk(by_host, "domain_rate", "rate")
+    d = d.select("host", "n", "bad", "rate", (1 / (F.col("n") + F.col("s") + 1)).alias("rho"))
+    if hosts_too is not None:
+        alone = total
+        for level, parent, s in ((by_suffix, "all_rate", "suffix_s"), (by_domain, "suffix_rate", "domain_s"), (by_host, "domain_rate", "host_s")):
+            alone = alone.join(_strength(level, parent).withColumnRenamed("s", s), F.lit(True))  # one row each
+        alone = materialise(alone, "strengths")
+        others = hosts_too.select("host").where("host <> ''").distinct().join(hosts.select("host"), "host", "left_anti")
+        new = _unlabelled(others, suffixes, domains, alone)
+        none = F.lit(0).cast("bigint")
+        d = d.unionByName(new.select("host", none.alias("n"), none.alias("bad"), "rate", "rho"))
+    d = d.withColumn("bound", _bound(F.col("rate"), F.col("rho"), z))
+    return d.select("host", "n", "bad", "rate", "bound", (F.col("bound") > limit).alias("blocked"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rules=RULES,
@@ -106,8 +142,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rules=RUL
     """``pages`` plus host, path, rule, blocked_host and verdict.
 
     A null url or one without ``://`` has an empty host and path, fits no rule
-    and is allowed; so is a host without labels.  Every row of ``pages`` gives
-    one row; columns of ``pages`` with the new names are replaced.
+    and is allowed.  A host without labels is judged by its prior.  Every row of
+    ``pages`` gives one row; columns of ``pages`` with the new names are replaced.
     """
     d = pages.drop(*[c for c in ("host", "path", "rule", "verdict", "blocked_host") if c not in (url_col,)])
     url = F.col(url_col)
@@ -117,7 +153,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rules=RUL
         hit = fits(r, F.col("host"), F.col("path"))
         rule, verdict = F.when(hit, r[1] + r[2]).otherwise(rule), F.when(hit, r[0]).otherwise(verdict)
     known, flag = fresh(d, "__host"), "blocked_host"
-    rep = materialise(reputations(outcomes, z, limit).select(F.col("host").alias(known), F.col("blocked").alias(flag)), "reputation")
+    rep = materialise(reputations(outcomes, z, limit, d).select(F.col("host").alias(known), F.col("blocked").alias(flag)), "reputation")
     d = d.join(rep, F.col("host") == F.col(known), "left").drop(known)
     method = F.when(F.coalesce(F.col(flag), F.lit(False)), "block").otherwise("allow")
     return (d.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, method))

@@ -42,3 +42,21 @@ def test_wide_suffixes(spark):
     h = spark.createDataFrame([("a.b.co.uk",), ("b.com",), ("x",)], "h string")
     got = [tuple(r) for r in h.select(U.suffix_of(F.col("h")), U.domain_of(F.col("h"))).collect()]
     assert got == [("co.uk", "b.co.uk"), ("com", "b.com"), ("x", "x")]
+
+
+def test_unlabelled_hosts_are_judged_by_domain_then_suffix(spark):
+    rows = [(f"h{i}.bad.com", 1) for i in range(40) for _ in range(30)] + [(f"h{i}.good{i}.com", 0) for i in range(40) for _ in range(30)]
+    rows += [(f"w.d{i}.xyz", 1) for i in range(40) for _ in range(30)]
+    labels = spark.createDataFrame(rows, "host string, bad int")
+    hosts = ["new.bad.com", "bad.com", "new.good1.com", "new.other.com", "new.other.xyz", "new.elsewhere.org", "h1.bad.com", "h1.good1.com"]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)] + [(99, "no host"), (98, None)], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in U.judge(pages, labels, rules=()).collect()}
+    assert got.pop(99) == got.pop(98) == "allow"
+    assert {hosts[i]: v for i, v in got.items()} == {
+        "new.bad.com": "block", "bad.com": "block", "new.good1.com": "allow", "new.other.com": "allow", "new.other.xyz": "block",
+        "new.elsewhere.org": "allow", "h1.bad.com": "block", "h1.good1.com": "allow"}
+    rep = {r.host: r for r in U.reputations(labels, hosts_too=pages.select(U.url_host(F.col("url")).alias("host"))).collect()}
+    assert rep["new.bad.com"].n == 0 and "" not in rep and len(rep) == 120 + 6
+    # the further away the level that has labels, the wider the bound
+    near, far = rep["new.bad.com"], rep["new.elsewhere.org"]
+    assert near.rate - near.bound < far.rate - far.bound
