@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import array
 import base64
+import json
+import os
 import re
 import zlib
 
@@ -31,6 +33,7 @@ PART = 1 << 18
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 _encodings: dict[str, object] = {}
+_added: dict[str, dict[str, int]] = {}
 
 
 def encoding(path: str):
@@ -53,14 +56,40 @@ def rank_file(name: str = "byte_bpe_50k") -> str:
     return public_tokenizers.path(f"{name}.tiktoken")
 
 
-def token_ids(text: str | None, path: str, end: int = 0) -> array.array:
-    """The text's ids, then ``end``; null is empty.  Long texts are encoded in parts, with equal ids."""
-    enc, ids, a, text = encoding(path), array.array("I"), 0, text or ""
-    while a < len(text):
-        cut = _CUT.search(text, a + PART) if len(text) - a > PART else None
-        b = cut.start() if cut else len(text)
-        ids.extend(enc.encode_ordinary(text[a:b] if a or cut else text))
-        a = b
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the added tokens of the vocabulary whose JSON lies beside the rank file; none where there is no JSON."""
+    if path not in _added:
+        name = os.path.splitext(path)[0] + ".json"
+        found = []
+        if os.path.exists(name):
+            with open(name, encoding="utf-8") as f:
+                found = json.load(f)["added_tokens"]
+        for t in found:
+            if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+                raise ValueError(f"{name}: added token {t['content']!r} is not matched as it stands")
+        _added[path] = {t["content"]: t["id"] for t in found}
+    return _added[path]
+
+
+def token_ids(text: str | None, path: str, end: int = 0, added: dict[str, int] | None = None) -> array.array:
+    """The text's ids, then ``end``; null is empty.  Long texts are encoded in parts, with equal ids.
+
+    Where a key of ``added`` stands in the text (the longest, if several do) its
+    id is given, and what lies between is encoded by itself; without ``added``
+    such strings are text like any other.
+    """
+    enc, ids, text = encoding(path), array.array("I"), text or ""
+    names = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+    for k, part in enumerate(names.split(text) if names else [text]):
+        if k % 2:
+            ids.append(added[part])
+            continue
+        a = 0
+        while a < len(part):
+            cut = _CUT.search(part, a + PART) if len(part) - a > PART else None
+            b = cut.start() if cut else len(part)
+            ids.extend(enc.encode_ordinary(part[a:b] if a or cut else part))
+            a = b
     ids.append(end)
     return ids
 
@@ -73,7 +102,10 @@ def spans(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id",
              text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids)."""
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids).
+
+    Added tokens of the vocabulary that stand in a text get their own ids.
+    """
     path = path or rank_file()
     kind = f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
@@ -81,7 +113,7 @@ def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = token_ids(text.as_py(), path)
+                ids = token_ids(text.as_py(), path, added=added_tokens(path))
                 raw = memoryview(ids).cast("B")
                 for k, (a, n) in enumerate(spans(len(ids), capacity)):
                     rows.append((key, k, a, n, zlib.crc32(raw[4 * a:4 * (a + n)]), list(ids[a:a + n]) if with_ids else None))

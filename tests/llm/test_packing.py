@@ -37,6 +37,28 @@ def test_ids_are_those_of_the_json_vocabulary():
         P.PART = old
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext|", " ", "\n", "a", " 12", "é", "don't", "  "]
+    texts = ["a <|endoftext|> 12", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "plain text",
+             "word " * 900 + "<|endoftext|>" + " word" * 900, *("".join(rng.choices(parts, k=12)) for _ in range(300))]
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 1105]
+    old, P.PART = P.PART, 1000
+    try:
+        for i, x in enumerate(texts):
+            assert list(P.token_ids(x, P.rank_file(), added=P.added_tokens(P.rank_file())))[:-1] == want[i]
+    finally:
+        P.PART = old
+    docs = spark.createDataFrame(list(enumerate(texts[:4])), "doc_id bigint, text string")
+    rows = P.pack_documents(docs).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {
+        i: (len(want[i]) + 1, zlib.crc32(array("I", [*want[i], 0]).tobytes())) for i in range(4)}
+
+
 def test_pieces_cover_documents(corpus):
     rows = P.pack_documents(corpus, capacity=64).collect()
     check(rows, 64)
