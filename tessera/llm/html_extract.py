@@ -1,31 +1,38 @@
-"""Main text of web pages by wrapper induction on pages of one host.
-
-From each host a bounded sample of distinct pages is parsed and aligned: the
-DOM tree of the first page against every other one by simple tree matching.
-Nodes that keep their text in (nearly) all aligned pages are template; aligned
-slots whose text varies are content, unless their place says otherwise (menus,
-page headers and footers, sidebars, adverts, forms, comments).  The wrapper of
-a host is the place its content stands in, and the constant texts in it.  It is
-joined to all pages of the host and applied where they lie.
+"""Main text of web pages by wrapper induction on the pages of one host.
+
+Every page is parsed into blocks: a text and its place, the path of block
+elements above it.  Copies (pages of a host with the same story) count once.
+Pages of a host with the same skeleton of containers share a layout.  A text
+that stands at the same place in nearly all distinct pages of a layout, or of
+the host, is template; what varies is content, unless its element says
+otherwise (menus, page headers and footers, sidebars, adverts, forms,
+comments).  The wrapper of a layout is the place its content stands in and the
+keys of its constant texts; it is joined to the blocks of all its pages.
+
+Counts are combined on the map side, over all pages: there is no sample.
+
+Few pages: one page alone shows no template.  With two or three distinct
+pages, what all of them share is template as long as it is at most half of
+their text; else they are versions of one story and keep it.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 import re
 from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 from tessera.llm.url_reputation import url_host
 
-#: Pages of a host that are aligned, and the share of them that makes a text constant.
-SAMPLE, CONSTANT = 8, 0.9
+#: The share of distinct pages that makes a text constant; below FEW pages all must have it, and it may be HALF of their text at most.
+CONSTANT, FEW, HALF = 0.9, 4, 0.5
 #: Children of one node that are aligned with each other at most; more are only paired in order.
 WIDE = 200
 
@@ -40,6 +47,8 @@ NEVER = frozenset("""script style noscript template head title iframe object emb
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "option": ({"option"}, {"select", "datalist"})}
+# Elements whose places, outside articles, tell layouts apart.
+SKELETON = frozenset("body div section article main center table td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 # Words in class or id that name what isn't the article.
 ASIDE = re.compile(r"""(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar\w*|footer|masthead|site-?header|page-?header
@@ -211,109 +220,190 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], depth: int = 0) -> i
     return total
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of pages of one host: ``content`` (a place or None) and ``constant`` ((place, text) pairs).
+def _is_article(place: str) -> bool:
+    return re.match(r"(?:article|main)\b", place.rsplit("/", 1)[-1]) is not None
 
-    Pages with the same story say nothing about what is template: one of them counts.
-    """
-    stories = {"\n".join(t for _, t, _ in blocks(tree)): tree for tree in map(parse, reversed(pages))}
-    trees = list(stories.values())[::-1]
-    if not trees:
-        return {"content": None, "constant": []}
-    base = trees[0]
-    seen: Counter = Counter()
-    same: Counter = Counter()
-    for other in trees[1:]:
-        pairs: list[tuple[Node, Node]] = []
-        match(base, other, pairs)
-        for a, b in pairs:
-            seen[id(a)] += 1
-            same[id(a)] += own_text(a) == own_text(b)
-    others = len(trees) - 1
-    fixed, stack = set(), [(base, "", "")]
-    while stack:  # texts of template nodes, by the place of their block
-        node, place, block = stack.pop()
-        if node.tag in BLOCK:
-            place = block = f"{place}/{node.sign}"
-        text = own_text(node)
-        if others >= 3 and text and seen[id(node)] >= CONSTANT * others and same[id(node)] >= CONSTANT * others:
-            fixed.add((block, text))
-        stack.extend((c, place, block) for c in _elements(node))
-    weight: Counter = Counter()
-    for t in trees:
-        for place, text, linked in blocks(t, None, frozenset(fixed)):
-            for k in range(1, place.count("/") + 1):
-                weight["/".join(place.split("/")[:k + 1])] += len(text) - 2 * linked
-    article = [p for p in weight if re.match(r"(?:article|main)\b", p.rsplit("/", 1)[-1])]
-    whole = max(weight.values(), default=0)
-    if article:
-        content = max(article, key=lambda p: (weight[p], -p.count("/")))
-    else:  # the deepest element that still holds most of the varying text
-        deep = [p for p, w in weight.items() if w >= 0.8 * whole and re.match(r"(?:div|section|td|body|center)\b", p.rsplit("/", 1)[-1])]
-        content = max(deep, key=lambda p: (p.count("/"), weight[p]), default=None)
-    return {"content": content, "constant": sorted(fixed)}
 
+def _is_container(place: str) -> bool:
+    return re.match(r"(?:div|section|td|body|center)\b", place.rsplit("/", 1)[-1]) is not None
 
-def main_text(html: str | None, wrapper: dict) -> str:
-    """The page's main text; where the wrapper's place is missing, its article or else its whole body."""
-    root = parse(html)
-    constant = frozenset(map(tuple, wrapper["constant"]))
-    content = wrapper["content"]
-    places, stack = set(), [(root, "")]
+
+def outline(root: Node) -> tuple[list[str], str | None, str]:
+    """The page's places, that of its outermost article (if any), and its layout."""
+    places, skeleton, stack = set(), set(), [(root, "", False)]
     while stack:
-        node, place = stack.pop()
+        node, place, inside = stack.pop()
         if node.tag in BLOCK:
             place = f"{place}/{node.sign}"
             places.add(place)
+            if node.tag in SKELETON and not node.aside and not inside:
+                skeleton.add(place)
+            inside = inside or node.tag in ("article", "main")
         if not node.aside:
-            stack.extend((c, place) for c in _elements(node))
-    if content not in places:
-        own = [p for p in places if re.match(r"(?:article|main)\b", p.rsplit("/", 1)[-1])]
-        content = min(own, key=lambda p: (p.count("/"), p), default=None)
-    return "\n".join(text for _, text, _ in blocks(root, content, constant))
+            stack.extend((c, place, inside) for c in _elements(node))
+    own = min(filter(_is_article, places), key=lambda p: (p.count("/"), p), default=None)
+    return sorted(places), own, _digest("\n".join(sorted(skeleton)))
 
 
-def wrappers(pages: DataFrame, id_col: str = "page_id", sample: int = SAMPLE) -> DataFrame:
-    """``(host, wrapper)``: one JSON text for each host, from at most ``sample`` of its pages in hash order."""
-    draw = Window.partitionBy("host").orderBy("order", "id")
-    ids = (pages.select("host", F.col(id_col).alias("id"), F.xxhash64(id_col).alias("order")).where("id is not null")
-           .withColumn("rank", F.row_number().over(draw)).where(F.col("rank") <= sample))
-    ids = materialise(ids.select("id").distinct(), "sample")
-    drawn = pages.select("host", F.col(id_col).alias("id"), "html").join(ids, "id", "left_semi")
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        texts = group.sort_values("id")["html"].fillna("").tolist()[:sample]
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(induce(texts))]})
 
-    return materialise(drawn.groupBy("host").applyInPandas(learn, "host string, wrapper string"), "wrappers")
+def content_place(weight: dict[str, int]) -> str | None:
+    """The place that holds the content, from the varying text at each place (linked text counts against it)."""
+    total: Counter = Counter()
+    for place, w in weight.items():
+        for k in range(1, place.count("/") + 1):
+            total["/".join(place.split("/")[:k + 1])] += w
+    article = [p for p in total if _is_article(p)]
+    if article:
+        return max(article, key=lambda p: (total[p], -p.count("/"), p))
+    whole = max(total.values(), default=0)  # the deepest element that still holds most of the varying text
+    deep = [p for p, w in total.items() if w >= 0.8 * whole and _is_container(p)]
+    return max(deep, key=lambda p: (p.count("/"), total[p], p), default=None)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """One row per page: id_col, url_col, text, n_chars.
+def induce(pages: list[str]) -> dict:
+    """The wrapper of pages of one layout: ``content`` (a place or None) and ``constant`` ((place, text) pairs).
 
-    A null or empty page has an empty text.  Pages without a host share one
-    wrapper.  Blocks are joined by a line break; white space inside one is one
-    space.  Repeated rows and null ids are kept.  No rows give no rows.
+    Pages with the same story say nothing about what is template: one of them
+    counts.  ``wrappers`` does the same for tables.
     """
-    d = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
-                     url_host(F.col(url_col)).alias("host"))
-    known = wrappers(d.withColumnRenamed("id", id_col), id_col, sample).withColumnRenamed("host", "host_")
+    stories = {}
+    for page in map(blocks, map(parse, pages)):
+        if page:
+            stories.setdefault("\n".join(t for _, t, _ in page), page)
+    n, held, chars = len(stories), Counter(), Counter()
+    for page in stories.values():
+        held.update({(place, text) for place, text, _ in page})
+        chars.update((place, text) for place, text, _ in page for _ in text)
+    fixed = {k for k, c in held.items() if n > 1 and c >= CONSTANT * n}
+    if n < FEW and sum(chars[k] for k in fixed) > HALF * sum(chars.values()):
+        fixed = set()
+    weight: Counter = Counter()
+    for page in stories.values():
+        for place, text, linked in page:
+            if (place, text) not in fixed:
+                weight[place] += len(text) - 2 * linked
+    return {"content": content_place(weight), "constant": sorted(fixed)}
+
+
+def main_text(html: str | None, wrapper: dict) -> str:
+    """The page's main text; where the wrapper's place is missing, its article or else its whole body."""
+    root = parse(html)
+    places, own, _ = outline(root)
+    content = wrapper["content"] if wrapper["content"] in places else own
+    return "\n".join(text for _, text, _ in blocks(root, content, frozenset(map(tuple, wrapper["constant"]))))
+
+
+_READ = pa.struct([("place", pa.string()), ("text", pa.string()), ("linked", pa.int64()), ("new", pa.bool_())])
+
 
+def read(pages: DataFrame) -> DataFrame:
+    """``pages`` (id, url, host, html) parsed: id, url, host, layout, story, places, own and blocks.
+
+    A block is new where its place and text stand in the page for the first time.
+    """
     def run(batches):
-        read: dict[str, dict] = {}
         for batch in batches:
-            texts = []
-            for html, wrapper in zip(batch.column("html"), batch.column("wrapper"), strict=True):
-                w = wrapper.as_py() or '{"content": null, "constant": []}'
-                if w not in read:
-                    read.clear() if len(read) > 1000 else None
-                    read[w] = json.loads(w)
-                texts.append(main_text(html.as_py(), read[w]))
+            cols: list[list] = [[], [], [], [], []]
+            for html in batch.column("html"):
+                root = parse(html.as_py())
+                places, own, layout = outline(root)
+                places = [p for p in places if _is_article(p) or _is_container(p)]  # where content may be
+                seen: set = set()
+                found = []
+                for place, text, linked in blocks(root):
+                    found.append({"place": place, "text": text, "linked": linked, "new": (place, text) not in seen})
+                    seen.add((place, text))
+                for col, value in zip(cols, (layout, _digest("\n".join(b["text"] for b in found)), places, own, found), strict=True):
+                    col.append(value)
+            types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(_READ)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["id", "url", "text", "n_chars"])
+                [batch.column("id"), batch.column("url"), batch.column("host"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
+                names=["id", "url", "host", "layout", "story", "places", "own", "blocks"])
+
+    return pages.select("id", "url", "host", "html").mapInArrow(
+        run, f"id {dict(pages.dtypes)['id']}, url string, host string, layout string, story string, places array<string>, own string, "
+             "blocks array<struct<place: string, text: string, linked: bigint, new: boolean>>")
+
 
-    kinds = dict(pages.dtypes)
-    out = d.join(known, F.col("host") == F.col("host_"), "left").select("id", "url", "html", "wrapper")
-    out = out.mapInArrow(run, f"id {kinds[id_col]}, url string, text string, n_chars bigint")
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+def _constant(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``key`` of the constant texts of each group; ``counts`` has held, chars and the group's number of pages."""
+    often = (F.col("pages") > 1) & (F.col("held") >= CONSTANT * F.col("pages"))
+    share = counts.groupBy(*keys).agg(F.first("pages").alias("pages"), F.sum("chars").alias("whole"), F.sum(F.when(often, F.col("chars"))).alias("shared"))
+    kept = share.where((F.col("pages") >= FEW) | (F.col("shared") <= HALF * F.col("whole"))).select(*keys)
+    return counts.where(often).select(*keys, "key").join(kept, keys)
+
+
+def wrappers(parsed: DataFrame) -> DataFrame:
+    """``(host, layout, content, fixed)`` of the pages that ``read`` gives.
+
+    ``fixed`` are the keys, xxhash64(place, text), of the layout's constant
+    texts.  Pages without text don't count.  Texts are neither written nor
+    sent, only their keys and lengths.
+    """
+    def counted(b):
+        n = F.length(b["text"])
+        return F.struct(b["place"].alias("place"), F.xxhash64(b["place"], b["text"]).alias("key"), n.alias("chars"),
+                        (n - 2 * b["linked"]).cast("int").alias("weight"), b["new"].cast("int").alias("new"))
+
+    known = materialise(parsed.where(F.size("blocks") > 0).select("host", "layout", "story", F.transform("blocks", counted).alias("blocks"))
+                        .withColumn("row", F.monotonically_increasing_id()), "blocks")
+    places = known.select("host", "layout", F.explode("blocks.place").alias("place")).distinct().withColumn("at", F.xxhash64("place"))
+    pages = known.select("row", "host", "layout", "story")
+    drawn = materialise(pages.groupBy("host", "layout", "story").agg(F.min("row").alias("row")), "distinct")
+    once = drawn.groupBy("host", "story").agg(F.min("row").alias("row")).select("row", F.lit(1).alias("once"))
+    drawn = materialise(drawn.join(once, "row", "left").select("row", "host", "layout", F.coalesce("once", F.lit(0)).alias("once")), "drawn")
+
+    slim = F.transform("blocks", lambda b: F.struct(F.xxhash64(b["place"]).alias("at"), b["key"].alias("key"), b["chars"].alias("chars"),
+                                                    b["weight"].alias("weight"), b["new"].alias("new")))
+    b = (known.select("row", slim.alias("blocks")).join(drawn, "row")
+         .select("host", "layout", "once", F.explode("blocks").alias("b")).select("host", "layout", "once", "b.*"))
+    counts = materialise(
+        b.groupBy("host", "layout", "at", "key")
+        .agg(F.sum("new").alias("held"), F.sum(F.col("new") * F.col("once")).alias("held_once"), F.sum("chars").alias("chars"),
+             F.sum(F.col("chars") * F.col("once")).alias("chars_once"), F.sum("weight").alias("weight")), "counts")
+
+    sizes = drawn.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"))
+    of_layout = _constant(counts.join(sizes, ["host", "layout"]), ["host", "layout"])
+    hosts = drawn.groupBy("host").agg(F.sum("once").alias("pages"))
+    whole = counts.groupBy("host", "key").agg(F.sum("held_once").alias("held"), F.sum("chars_once").alias("chars"))
+    of_host = _constant(whole.join(hosts, "host"), ["host"])
+    fixed = materialise(of_layout.unionByName(sizes.select("host", "layout").join(of_host, "host")).distinct(), "fixed")
+
+    varying = counts.join(fixed, ["host", "layout", "key"], "left_anti").groupBy("host", "layout", "at").agg(F.sum("weight").alias("weight"))
+    varying = varying.join(places, ["host", "layout", "at"])
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        place = content_place(dict(zip(group["place"], map(int, group["weight"]), strict=True)))
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "layout": [group["layout"].iloc[0]], "content": [place]})
+
+    content = varying.groupBy("host", "layout").applyInPandas(choose, "host string, layout string, content string")
+    lists = fixed.groupBy("host", "layout").agg(F.collect_list("key").alias("fixed"))  # about the blocks of one page
+    return materialise(sizes.select("host", "layout").join(content, ["host", "layout"], "left").join(lists, ["host", "layout"], "left"), "wrappers")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per page: id_col, url_col, text, n_chars.
+
+    A null or empty page has an empty text.  Pages without a host are learned
+    from as pages of one host.  Where the layout's content place is missing, a
+    page's article or else its whole body is taken.  Blocks are joined by a
+    line break; white space inside one is one space.  Repeated rows and null
+    ids are kept.  No rows give no rows.
+    """
+    d = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
+                     url_host(F.col(url_col)).alias("host"))
+    parsed = read(d)  # once to learn, once to extract: writing all texts in between would take as much disk as the pages
+    out = parsed.join(wrappers(parsed), ["host", "layout"], "left")
+    content = F.when(F.array_contains("places", F.col("content")), F.col("content")).otherwise(F.col("own"))
+    out = out.withColumn("content", content).withColumn("fixed", F.coalesce("fixed", F.array().cast("array<bigint>")))
+
+    def kept(b):
+        inside = F.col("content").isNull() | (b["place"] == F.col("content")) | b["place"].startswith(F.concat("content", F.lit("/")))
+        return inside & ~F.array_contains(F.col("fixed"), F.xxhash64(b["place"], b["text"]))
+
+    text = F.array_join(F.transform(F.filter("blocks", kept), lambda b: b["text"]), "\n")
+    return (out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))
+            .withColumn("n_chars", F.length("text").cast("bigint")))

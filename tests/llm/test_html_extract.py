@@ -69,3 +69,47 @@ def test_deep_and_long_pages():
     X.induce([deep, deep + "<p>y", deep])
     long = "<article>" + "<p>word</p>" * 20000 + "</article>"
     assert X.main_text(long, X.induce([long, long + "<p>z"])).count("word") == 20000
+
+
+def texts(spark, rows):
+    got = X.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    return {r.page_id: r.text for r in got}
+
+
+def story(i, k=6):
+    return "".join(f"<p>Story {i} tells part {j} of its tale</p>" for j in range(k))
+
+
+def lines(i, k=6):
+    return "\n".join(f"Story {i} tells part {j} of its tale" for j in range(k))
+
+
+def test_copies_and_rare_layouts_are_learned_from_all_pages(spark):
+    note = "<div class='x'>Read our notes on this host</div>"
+    a = "<body><div id='wrap'>{}" + note + "</div></body>"
+    b = "<body><section class='other'><div class='text'>{}</div><div class='say'>A line of the second layout</div></section></body>"
+    rows = [(i, "http://h.org/", a.format(story(0))) for i in range(200)]  # copies of one story
+    rows += [(1000 + i, "http://h.org/", a.format(story(i))) for i in range(1, 7)]
+    rows += [(2000 + i, "http://h.org/", b.format(story(50 + i))) for i in range(4)]  # rare on the host
+    got = texts(spark, rows)
+    assert all(got[i] == lines(0) for i in range(200))
+    assert all(got[1000 + i] == lines(i) for i in range(1, 7))
+    assert all(got[2000 + i] == lines(50 + i) for i in range(4))
+
+
+def test_hosts_with_few_pages(spark):
+    page = "<body><div>{}<p>All rights are kept by us</p></div></body>"
+    rows = [(n * 10 + i, f"http://h{n}.org/", page.format(story(n * 10 + i))) for n in (1, 2, 3) for i in range(n)]
+    rows += [(90 + i, "http://versions.org/", page.format(story(9) + f"<p>edit {i}</p>")) for i in range(2)]
+    got = texts(spark, rows)
+    assert got[10] == lines(10) + "\nAll rights are kept by us"  # one page shows no template
+    assert all(got[n * 10 + i] == lines(n * 10 + i) for n in (2, 3) for i in range(n))
+    assert all(got[90 + i] == lines(9) + f"\nedit {i}\nAll rights are kept by us" for i in range(2))  # versions of one story
+
+
+def test_constant_block_after_a_long_list(spark):
+    page = "<body><div>{}<p>This stands on every page</p></div></body>"
+    rows = [(i, "http://h.org/", page.format(story(i, 300 + i))) for i in range(12)]
+    got = texts(spark, rows)
+    assert all(got[i] == lines(i, 300 + i) for i in range(12))
+    assert ("/body/div/p", "This stands on every page") in X.induce([r[2] for r in rows])["constant"]
