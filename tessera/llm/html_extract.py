@@ -33,8 +33,6 @@ from tessera.llm.url_reputation import url_host
 
 #: The share of distinct pages that makes a text constant; below FEW pages all must have it, and it may be HALF of their text at most.
 CONSTANT, FEW, HALF = 0.9, 4, 0.5
-#: Children of one node that are aligned with each other at most; more are only paired in order.
-WIDE = 200
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -182,28 +180,66 @@ def own_text(node: Node) -> str:
     return _SPACE.sub(" ", "".join(c.text for c in node.children if c.tag == "#text")).strip()
 
 
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], depth: int = 0) -> int:
-    """Simple tree matching: the most nodes that two trees share in order below equal elements; adds the pairs."""
-    if a.sign != b.sign or depth > 60:
-        return 0
-    x, y = _elements(a), _elements(b)
-    score: dict[tuple[int, int], tuple[int, list]] = {}
-    if len(x) > WIDE or len(y) > WIDE:
-        near = [(i, i) for i in range(min(len(x), len(y)))]
-    else:
-        near = [(i, j) for i in range(len(x)) for j in range(len(y))]
-    for i, j in near:
-        if x[i].sign == y[j].sign:
-            sub: list[tuple[Node, Node]] = []
-            score[i, j] = (match(x[i], y[j], sub, depth + 1), sub)
-    if len(x) > WIDE or len(y) > WIDE:
-        chosen = list(score)
-    else:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(1, len(x) + 1):
-            for j in range(1, len(y) + 1):
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + score.get((i - 1, j - 1), (0,))[0])
-        chosen, i, j = [], len(x), len(y)
+def _shapes(root: Node, known: dict, shape: dict[int, int], size: dict[int, int]) -> None:
+    """Number of every element's subtree (equal subtrees have equal numbers), and its count of elements."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(_elements(node))
+    for node in reversed(order):
+        below = _elements(node)
+        shape[id(node)] = known.setdefault((node.sign, *(shape[id(c)] for c in below)), len(known))
+        size[id(node)] = 1 + sum(size[id(c)] for c in below)
+
+
+def match(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
+    """Simple tree matching: the most nodes that two trees share in order below equal elements; adds the pairs.
+
+    Equal subtrees at the heads and tails of two child lists are paired first,
+    which costs no other pair; the middles are aligned exactly.
+    """
+    known: dict = {}
+    shape: dict[int, int] = {}
+    size: dict[int, int] = {}
+    _shapes(a, known, shape, size)
+    _shapes(b, known, shape, size)
+    #: by shapes: the score, and the positions of the children that are paired
+    done: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    stack = [(a, b)]
+    while stack:
+        m, n = stack[-1]
+        key = shape[id(m)], shape[id(n)]
+        if key in done or m.sign != n.sign:
+            done.setdefault(key, (0, []))
+            stack.pop()
+            continue
+        x, y = _elements(m), _elements(n)
+        u, v = [shape[id(c)] for c in x], [shape[id(c)] for c in y]
+        if key[0] == key[1]:
+            done[key] = size[id(m)], [(i, i) for i in range(len(x))]
+            stack.pop()
+            continue
+        head = 0
+        while head < min(len(u), len(v)) and u[head] == v[head]:
+            head += 1
+        tail = 0
+        while tail < min(len(u), len(v)) - head and u[-1 - tail] == v[-1 - tail]:
+            tail += 1
+        p, q = range(head, len(u) - tail), range(head, len(v) - tail)
+        first_x, first_y = {u[i]: x[i] for i in p}, {v[j]: y[j] for j in q}
+        todo = [(c, d) for i, c in first_x.items() for j, d in first_y.items() if c.sign == d.sign and (i, j) not in done]
+        if todo:
+            stack.extend(todo)
+            continue
+        best = [[0] * (len(q) + 1)]
+        for i in p:
+            row, above = [0], best[-1]
+            for k, j in enumerate(q):
+                row.append(max(above[k + 1], row[k], above[k] + done.get((u[i], v[j]), (0,))[0]))
+            best.append(row)
+        chosen, i, j = [], len(p), len(q)
+        total = 1 + best[i][j]
         while i and j:
             if best[i][j] == best[i - 1][j]:
                 i -= 1
@@ -211,13 +247,18 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], depth: int = 0) -> i
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                chosen.append((i, j))
-    total = 1
-    for k in chosen:
-        total += score[k][0]
-        pairs.extend(score[k][1])
-    pairs.append((a, b))
-    return total
+                chosen.append((p[i], q[j]))
+        ends = [(k, k) for k in range(head)] + [(len(u) - 1 - k, len(v) - 1 - k) for k in range(tail)]
+        done[key] = total + sum(size[id(x[i])] for i, _ in ends), ends + chosen
+        stack.pop()
+    stack = [(a, b)] if a.sign == b.sign else []
+    while stack:
+        m, n = stack.pop()
+        pairs.append((m, n))
+        s, t = shape[id(m)], shape[id(n)]
+        x, y = _elements(m), _elements(n)
+        stack.extend((x[i], y[j]) for i, j in (done[s, t][1] if (s, t) in done else [(i, i) for i in range(len(x))]))
+    return done[shape[id(a)], shape[id(b)]][0]
 
 
 def _is_article(place: str) -> bool:

@@ -113,3 +113,17 @@ def test_constant_block_after_a_long_list(spark):
     got = texts(spark, rows)
     assert all(got[i] == lines(i, 300 + i) for i in range(12))
     assert ("/body/div/p", "This stands on every page") in X.induce([r[2] for r in rows])["constant"]
+
+
+def test_matching_has_no_bounds():
+    def page(n):
+        return X.parse("<body><div>" + "<p>a <b>b</b></p>" * n + "<ul><li>x</ul><section>s</section></div></body>")
+    pairs = []
+    assert X.match(page(300), page(301), pairs) == len(pairs) == 2 + 1 + 600 + 3
+    assert {(a.tag, b.tag) for a, b in pairs} == {(t, t) for t in ("#root", "body", "div", "p", "b", "ul", "li", "section")}
+    mixed = ["<p></p>", "<h2></h2>", "<ul></ul>"]
+    left = [mixed[i * i % 7 % 3] for i in range(260)]
+    pairs = []
+    assert X.match(X.parse("<div>" + "".join(left) + "</div>"), X.parse("<div><h2></h2>" + "".join(left[:250]) + "<p></p></div>"), pairs) >= 2 + 250
+    deep = "<div>" * 3000 + "{}" + "</div>" * 3000
+    assert X.match(X.parse(deep.format("<p>")), X.parse(deep.format("<ul>")), []) == 3001
