@@ -70,7 +70,7 @@ def _send(table: pa.Table, size: int, buckets: int) -> pa.Table:
     block, b = table.column("block")[0].as_py(), _Block(table, size, buckets)
     cuts = np.flatnonzero(np.diff(b.bucket, prepend=-1))
     rows = []
-    for a, e in zip(cuts, [*cuts[1:], len(b.bucket)], strict=True):
+    for a, e in zip(cuts, np.append(cuts, len(b.bucket))[1:], strict=True):
         mine = b.order[a:e]
         low, counts = np.unique(b.low[mine], return_counts=True)
         rows.append((int(b.bucket[a]), block, low, counts.astype(np.int32), b.unique[mine].tobytes()))

@@ -51,6 +51,14 @@ def test_edge_rows(spark, corpus, empty):
     assert S.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["only three words"] * 2, [None], [None, "", " "], ["a b c", " ".join("abcdefghijklmnop"), " ".join("abcdefghijklmnop")]])
+def test_blocks_without_a_window(spark, monkeypatch, texts):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rows = list(enumerate(texts))
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=str) == [x[:4] for x in brute(rows, 13)]
+
+
 def test_hashes_do_not_depend_on_pieces(monkeypatch):
     import numpy as np
 
