@@ -144,13 +144,40 @@ def leaky_relu(values="values", alpha: float = 0.01) -> Column:
                        .otherwise(F.lit(alpha) * x.cast("double")))
 
 
+def _max_and_sum(values) -> Column:
+    """Struct (m, s) of one fold: the running maximum and the sum of ``exp(x - m)``.
+
+    Where a larger value turns up, the sum so far is scaled down to it, so no
+    value is visited twice and nothing overflows.
+    """
+    def step(acc, x):
+        x = x.cast("double")
+        rises = x > acc["m"]
+        return F.struct(F.when(rises, x).otherwise(acc["m"]).alias("m"),
+                        F.when(rises, acc["s"] * F.exp(acc["m"] - x) + F.lit(1.0))
+                        .otherwise(acc["s"] + F.exp(x - acc["m"])).alias("s"))
+    start = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+    return F.aggregate(_c(values), start, step)
+
+
+def _bound(expr: Column, use) -> Column:
+    """``use(expr)`` with ``expr`` evaluated once a row, also inside lambdas of ``use``."""
+    return F.get(F.transform(F.array(expr), use), F.lit(0))
+
+
 def softmax(values="values") -> Column:
-    """``exp(x - max) / sum(exp(x - max))``."""
-    v = F.transform(_c(values), lambda x: x.cast("double"))
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(e, lambda x: x / s)
+    """``exp(x - max) / sum(exp(x - max))``, linear in the vector's length.
+
+    An empty vector stays empty; a null value makes all values null.
+    """
+    return _bound(_max_and_sum(values), lambda f: F.transform(
+        _c(values), lambda x: F.exp(x.cast("double") - f["m"]) / f["s"]))
+
+
+def mcxent_logits(values="values", label="label") -> Column:
+    """T6 from logits: ``ln sum exp(x) - x[label]``, without the probabilities in between."""
+    x = F.element_at(_c(values), _c(label) + 1).cast("double")
+    return _bound(_max_and_sum(values), lambda f: F.ln(f["s"]) + (f["m"] - x))
 
 
 def predict_index(probs="probs") -> Column:
@@ -165,4 +192,5 @@ def mcxent(probs="probs", label="label") -> Column:
 
 
 def round_array(values, digits: int = 6) -> Column:
-    return F.transform(_c(values), lambda x: F.round(x.cast("double"), digits))
+    """Values rounded to ``digits``; what rounds to zero is 0.0, never -0.0."""
+    return F.transform(_c(values), lambda x: F.round(x.cast("double"), digits) + F.lit(0.0))

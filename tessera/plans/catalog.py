@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import pixels as PX
 from tessera.functions.columns import (
-    has_extension, leaky_relu, mcxent, one_hot, predict_index, round_array, scale_pixels, softmax,
+    has_extension, leaky_relu, mcxent_logits, one_hot, predict_index, round_array, scale_pixels, softmax,
 )
 from tessera.operators import augment as AUG
 from tessera.operators import evaluate as EV
@@ -292,7 +292,7 @@ def q_softmax(spark, sf_dir):
 @query("mcxent")
 def q_mcxent(spark, sf_dir):
     lg = _logits(spark, sf_dir)
-    return lg.select("id", "label", F.round(mcxent(softmax("z"), "label"), 6).alias("loss"))
+    return lg.select("id", "label", F.round(mcxent_logits("z", "label"), 6).alias("loss"))
 
 
 @query("predict")

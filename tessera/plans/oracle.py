@@ -322,7 +322,7 @@ sm AS (SELECT vec_id, label, z, zf, list_transform(e, lambda x: x / list_sum(e))
 ORACLE["leaky_relu"] = f"""
 WITH {_LOGITS}
 SELECT vec_id AS id,
-       list_transform(z, lambda x: round(CASE WHEN x > 0 THEN x ELSE CAST(0.01 AS DOUBLE) * x END, 6)) AS out
+       list_transform(z, lambda x: round(CASE WHEN x > 0 THEN x ELSE CAST(0.01 AS DOUBLE) * x END, 6) + 0.0) AS out
 FROM lg
 """
 
