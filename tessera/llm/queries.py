@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, sharding, substring_dedup, url_reputation, warc
+from tessera.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, periodic_runs, sharding, substring_dedup, url_reputation, warc
 from tessera.llm.common import prepare
 from tessera.plans.tables import table
 from tessera.session import shared_path
@@ -183,3 +183,47 @@ FROM j
 
 
 ORACLE["op10_url_reputation"] = _op10_sql()
+
+
+def repeating_text():
+    """The text; where crc32(doc_id) ends in 0, its words from a on repeat with period p (a and p come from the checksum too)."""
+    planted = F.expr(r"""array_join(get(transform(array(named_struct(
+            'w', split(trim(BOTH ' ' FROM regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ')), ' '), 'g', crc32(cast(cast(doc_id AS string) AS binary)) div 10)),
+        s -> get(transform(array(named_struct('w', s.w, 'a', s.g % size(s.w), 'p', 1 + (size(s.w) - s.g % size(s.w)) div (3 + s.g % 8))),
+        t -> transform(t.w, (x, i) -> IF(i < t.a, x, get(t.w, cast(t.a + (i - t.a) % t.p AS int))))), 0)), 0), ' ')""")
+    return F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, planted).otherwise(F.col("text"))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents").select("doc_id", repeating_text().alias("text")))
+    return periodic_runs.longest_run(found).select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+ORACLE["op11_periodic_runs"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS h FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+p AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM e),
+u AS (SELECT doc_id, n, h, a, p, unnest(range(n)) AS i FROM p),
+s AS (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM p),
+v AS (SELECT u.doc_id, u.n, u.i, s.word FROM u JOIN s ON s.doc_id = u.doc_id
+      AND s.i = CASE WHEN u.h % 10 = 0 AND u.i >= u.a THEN u.a + (u.i - u.a) % u.p ELSE u.i END),
+k AS (SELECT doc_id, n, i, string_agg(word, ' ') OVER x AS gram, count(*) OVER x AS c FROM v
+      WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+q AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+      WHERE x.c = 5 AND y.c = 5),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM q),
+l AS (SELECT doc_id, q AS period, min(i) AS start, max(i) - min(i) + 5 + q AS length FROM o GROUP BY doc_id, q, island),
+m AS (SELECT * FROM l WHERE length >= greatest(6, 4 * period)),
+r AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m z WHERE z.doc_id = m.doc_id AND z.period < m.period AND z.start <= m.start
+      AND z.start + z.length >= m.start + m.length)),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.i) AS kept FROM v LEFT JOIN x ON x.doc_id = v.doc_id AND x.i = v.i WHERE x.i IS NULL GROUP BY v.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+    sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
