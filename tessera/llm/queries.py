@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, periodic_runs, sharding, substring_dedup, url_reputation, warc
+from tessera.llm import collocations, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, periodic_runs, sharding, substring_dedup, url_reputation, warc
 from tessera.llm.common import prepare
 from tessera.plans.tables import table
 from tessera.session import shared_path
@@ -227,3 +227,26 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * le
     sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+
+@_query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i+m-1])) AS g FROM w, range(1, 6) AS s(m)),
+f AS (SELECT lang, m, g, count(*) AS f FROM g GROUP BY lang, m, g HAVING count(*) >= 100),
+u AS (SELECT lang, g[i:j] AS g, max(f) AS longer FROM f, range(1, 5) AS a(i), range(2, 6) AS b(j) WHERE m > 2 AND j > i AND j <= m AND j - i + 1 < m GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN u ON u.lang = f.lang AND u.g = f.g WHERE m > 1 AND coalesce(longer, 0) < f),
+x AS (SELECT c.*, k FROM c, range(1, 5) AS s(k) WHERE k < m),
+y AS (SELECT x.lang, x.g, x.m, x.f AS a, x.k, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * x.f * t.n // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.g = x.g[1:x.k] JOIN f r ON r.lang = x.lang AND r.g = x.g[x.k+1:x.m] JOIN t ON t.lang = x.lang),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM z QUALIFY rank <= 2000
+"""
