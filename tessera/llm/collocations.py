@@ -1,36 +1,41 @@
 """Phrase collocations, counted in quotient filters of packed word numbers.
 
 1. Documents become blocks of a bounded number of bytes where they lie.  A block
-   keeps its text as codes of its own word list and sends that list, with counts.
-2. Words of a language that occur often enough get gapless numbers, the same
-   everywhere; a number stands for (language, word), so languages never mix.
-3. For n = 2, 3, ... a block counts its n-grams of which both (n-1)-grams are
+   keeps its text as codes of its own word list, and sends that list with counts
+   to shards of words, by hash.  A shard numbers the words that occur often
+   enough and answers each block with the numbers of its words.  A number stands
+   for (language, word), so languages never mix.
+2. For n = 2, 3, ... a block counts its n-grams of which both (n-1)-grams are
    frequent, in a quotient filter of packed word numbers for each shard.  A
    shard merges the sorted filters of all blocks, keeps the frequent n-grams and
    answers each block with one bit for each n-gram it sent.  The block drops the
    words that no frequent n-gram of two neighbours covers, so its text shrinks.
    An n-gram in a third of all documents costs one entry a block.
-4. Parts of a frequent phrase are frequent, so all counts that a score needs are
+3. Parts of a frequent phrase are frequent, so all counts that a score needs are
    there.  Scores are exact: products in decimal(38), floored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import gapless, materialise
+from tessera.llm.common import materialise
 from tessera.llm.quotient_filter import QuotientFilter, distinct, pack, permute, restore, shard_of, unpack
+from tessera.llm.textarrays import words as hashed
 
 #: Phrases occur at least so often, and have at most so many words.
 LEAST, LONGEST = 100, 5
 #: Phrases listed of a language.
 FIRST = 2000
-#: Least and most bytes of a block's texts; n-grams counted by a shard, before repeats are joined.
-BLOCK, LARGEST_BLOCK, SHARD = 4 << 20, 16 << 20, 1 << 21
+#: Characters of a block's texts, of one run of them that is split at once, and n-grams or words that a shard counts, before repeats are joined.
+BLOCK, PIECE, SHARD = 8 << 20, 1 << 20, 1 << 21
 #: Parts in which the best of a language are found.
 PARTS = 64
 
@@ -40,52 +45,140 @@ _END = b"."
 _BYTES = bytes.maketrans(_PIECE_ENDS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ", _END * len(_PIECE_ENDS) + b" abcdefghijklmnopqrstuvwxyz")
 
 
-# --- 1: blocks and their words -----------------------------------------------
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few whole bytes each as the largest needs."""
+    size = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :size]).tobytes()
+
+
+def _expand(data: bytes) -> np.ndarray:
+    size = data[0]
+    x = np.zeros(((len(data) - 1) // size, 8), np.uint8)
+    x[:, :size] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, size)
+    return x.view("<i8").reshape(-1)
+
+
+# --- 1: blocks, their words, and shards of words --------------------------------
+
+LISTED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("langs", pa.list_(pa.string())), ("lang", pa.binary()),
+                    ("words", pa.binary()), ("data", pa.binary())])
+LISTED_SQL = "shard bigint, block bigint, langs array<string>, lang binary, words binary, data binary"
 
-def _block(block: int, rows: list[tuple[str, str]]) -> list[pa.RecordBatch]:
-    """The block's word list (code, lang, word, n) and its text as codes, 0 between pieces."""
-    langs: dict[str, int] = {}
-    tokens, sizes, owner = [], [], []
-    for lang, text in rows:
+
+def _coded(texts) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The texts' words as numbers of a list (0: end of a piece), the list, and the numbers of each text."""
+    chunks, tokens, sizes, size = [pa.array([_END], pa.binary()).dictionary_encode()], [], [], 0
+    for text in texts:
         # space is the only white space left, so that split() without an argument splits there
-        t = text.encode().translate(_BYTES).replace(_END, b" . ").split()
-        t.append(_END)
-        tokens += t
-        sizes.append(len(t))
-        owner.append(langs.setdefault(lang, len(langs)))
-    coded = pa.array(tokens, pa.binary()).dictionary_encode()
-    local, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    is_word = local != words.index(_END).as_py()
-    local += np.repeat(owner, sizes) * len(words)
-    unique, inverse, counts = np.unique(local[is_word], return_inverse=True, return_counts=True)
-    codes = np.zeros(len(local), np.int32)
-    codes[is_word] = inverse + 1
-    codes = codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))]
-    n = len(unique)
-    lang_of = pa.array(list(langs), pa.string()).take(pa.array(unique // len(words)))
-    word_of = words.take(pa.array(unique % len(words))).cast(pa.string())
-    blocks = pa.array(np.full(n, block, np.int64))
-    listed = pa.record_batch([blocks, pa.array(np.arange(1, n + 1), pa.int32()), lang_of, word_of, pa.array(counts, pa.int64()), pa.nulls(n, pa.binary())],
-                             names=["block", "code", "lang", "word", "n", "codes"])
-    text = pa.record_batch([pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()),
-                            pa.array([codes.tobytes()], pa.binary())], schema=listed.schema)
-    return [listed, text]
-
-
-def _blocks(batches, block_bytes: int):
+        own = text.encode().translate(_BYTES).replace(_END, b" . ").split()
+        own.append(_END)
+        tokens += own
+        sizes.append(len(own))
+        size += len(text)
+        if size >= PIECE:
+            chunks.append(pa.array(tokens, pa.binary()).dictionary_encode())
+            tokens, size = [], 0
+    chunks.append(pa.array(tokens, pa.binary()).dictionary_encode())
+    chunks = pa.chunked_array(chunks).unify_dictionaries().chunks
+    return np.concatenate([c.indices.to_numpy() for c in chunks[1:]]).astype(np.int64), chunks[0].dictionary, np.array(sizes)
+
+
+def _shorter(ids: np.ndarray) -> np.ndarray:
+    """One 0 for each run of them."""
+    return ids[np.append(True, (ids[1:] != 0) | (ids[:-1] != 0))] if len(ids) else ids
+
+
+def _block(block: int, rows: list[tuple[str, str]], shard_bits: int) -> pa.RecordBatch:
+    """The block's word lists, one row a shard, and its text (shard -1) as numbers of the lists one after another."""
+    langs = sorted({r[0] for r in rows})
+    at = {x: i for i, x in enumerate(langs)}
+    codes, words, sizes = _coded(r[1] for r in rows)
+    of = np.repeat([at[r[0]] for r in rows], sizes)
+    is_word = codes != 0
+    unique, inverse, counts = np.unique(of[is_word] * len(words) + codes[is_word], return_inverse=True, return_counts=True)
+    lang = unique // len(words)
+    listed = words.take(pa.array(unique % len(words))).to_pylist()
+    _, _, h = hashed(np.frombuffer(b" ".join(listed), np.uint8))
+    h ^= np.array([int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "big") for x in langs], np.uint64)[lang]
+    order = np.argsort(h, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(1, len(order) + 1)
+    ids = np.zeros(len(codes), np.int64)
+    ids[is_word] = place[inverse]
+    shards = shard_of(h[order], 64, shard_bits)
+    cuts = np.append(np.flatnonzero(np.diff(shards, prepend=-1)), len(shards)).tolist()
+    out = [(-1, block, None, None, None, _squeeze(_shorter(ids)))]
+    for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+        own = order[a:e]
+        out.append((int(shards[a]), block, langs, _squeeze(lang[own]), b" ".join([listed[i] for i in own.tolist()]), _squeeze(counts[own])))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), LISTED, strict=True)], schema=LISTED)
+
+
+def _blocks(batches, shard_bits: int, block_bytes: int):
     number, rows, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows.append((lang, text))
             size += len(text)
             if size >= block_bytes:
-                yield from _block(number, rows)
+                yield _block(number, rows, shard_bits)
                 number, rows, size = number + 1, [], 0
     if rows:
-        yield from _block(number, rows)
+        yield _block(number, rows, shard_bits)
+
+
+def _numbering(least: int, shard_bits: int):
+    def step(table: pa.Table) -> pa.Table:
+        """The shard's answers (the number of each word sent, 0 if it is not frequent), its frequent words (block -1) and all words' counts by language (-2)."""
+        langs: dict[str, int] = {}
+        lang, tokens, counts, sizes = [], [], [], []
+        for row in table.select(["langs", "lang", "words", "data"]).to_pylist():
+            own = np.array([langs.setdefault(x, len(langs)) for x in row["langs"]])
+            tokens.append(pa.array(row["words"].split(b" "), pa.binary()).dictionary_encode())
+            lang.append(own[_expand(row["lang"])])
+            counts.append(_expand(row["data"]))
+            sizes.append(len(counts[-1]))
+        chunks = pa.chunked_array(tokens).unify_dictionaries().chunks
+        words = chunks[0].dictionary
+        lang, counts = np.concatenate(lang), np.concatenate(counts)
+        key = lang * len(words) + np.concatenate([c.indices.to_numpy() for c in chunks])
+        unique, inverse = np.unique(key, return_inverse=True)
+        total = np.zeros(len(unique), np.int64)
+        np.add.at(total, inverse, counts)
+        often = np.flatnonzero(total >= least)
+        number = np.zeros(len(unique), np.int64)
+        shard = table.column("shard")[0].as_py()
+        number[often] = (np.arange(1, len(often) + 1) << shard_bits) | shard
+        out, end = [], 0
+        for block, size in zip(table.column("block").to_pylist(), sizes, strict=True):
+            out.append((shard, block, None, None, None, _squeeze(number[inverse[end:end + size]])))
+            end += size
+        names, every = list(langs), np.zeros(len(langs), np.int64)
+        np.add.at(every, lang, counts)
+        out.append((shard, -2, names, None, None, _squeeze(every)))
+        if len(often):
+            listed = words.take(pa.array(unique[often] % len(words))).to_pylist()
+            out.append((shard, -1, names, _squeeze(unique[often] // len(words)), b" ".join(listed), _squeeze(total[often])))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), LISTED, strict=True)], schema=LISTED)
+    return step
 
 
-# --- 3: n-grams of a block, and shards ----------------------------------------
+def _words(batches, shard_bits: int):
+    for batch in batches:
+        for row in batch.to_pylist():
+            n = _expand(row["data"])
+            ids = (np.arange(1, len(n) + 1) << shard_bits) | row["shard"]
+            lang = pa.array(row["langs"], pa.string()).take(pa.array(_expand(row["lang"])))
+            yield pa.record_batch([pa.array(ids), lang, pa.array(row["words"].split(b" "), pa.binary()).cast(pa.string()), pa.array(n)], names=["id", "lang", "word", "n"])
+
+
+def _totals(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield pa.record_batch([pa.array(row["langs"], pa.string()), pa.array(_expand(row["data"]))], names=["lang", "n"])
+
+
+# --- 2: n-grams of a block, and shards ----------------------------------------
 
 def _grams(ids: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """First words of all n-grams without a 0, and their permuted keys."""
@@ -115,72 +208,78 @@ def _alive(ids: np.ndarray, n: int, bits: int, shard_bits: int, answers: pa.Tabl
     return out
 
 
-def _rows(block: int, ids: np.ndarray, n: int, bits: int, shard_bits: int) -> pa.Table:
-    """Filters of the block's n-grams by shard, and its words (shard -1)."""
+SENT = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+SENT_SQL = "shard bigint, block bigint, data binary"
+
+
+def _filters(block: int, ids: np.ndarray, n: int, bits: int, shard_bits: int, with_text: bool) -> pa.Table:
+    """Filters of the block's n-grams, one row a shard, and its text (shard -1) when there are any."""
     _, limbs = _grams(ids, n, bits)
     unique, place = distinct(limbs)
     counts = np.bincount(place, minlength=len(unique[0])).astype(np.int64)
     shards = shard_of(unique[0], n * bits, shard_bits)
-    cuts = np.append(np.flatnonzero(np.diff(shards, prepend=-1)), len(shards))
+    cuts = np.append(np.flatnonzero(np.diff(shards, prepend=-1)), len(shards)).tolist()
     which, data = [], []
     for a, e in zip(cuts[:-1], cuts[1:], strict=True):
         which.append(int(shards[a]))
         data.append(QuotientFilter(n * bits, shard_bits, which[-1], [x[a:e] for x in unique], counts[a:e]).to_bytes())
-    if which:
-        which.append(-1)
-        data.append(ids.astype("<i4").tobytes())
-    return pa.table({"shard": pa.array(which, pa.int64()), "block": pa.array([block] * len(which), pa.int64()), "data": pa.array(data, pa.binary())})
+    if which and with_text:
+        which.append(-1), data.append(_squeeze(ids))
+    return pa.table([pa.array(which, pa.int64()), pa.array([block] * len(which), pa.int64()), pa.array(data, pa.binary())], schema=SENT)
 
 
-SENT = "shard bigint, block bigint, data binary"
+def _numbered(text: pa.Table, answers: pa.Table) -> np.ndarray:
+    """A block's text in word numbers, 0 for the end of a piece and for words that are not frequent."""
+    answers = answers.filter(pc.equal(answers.column("n"), 1)).sort_by("shard")
+    number = np.concatenate([[0], *[_expand(x) for x in answers.column("data").to_pylist()]])
+    return _shorter(number[_expand(text.column("data")[0].as_py())])
 
 
-def _numbering(bits: int, shard_bits: int):
-    """A block's codes become word numbers (0 for words that are not frequent), and its pairs are counted."""
-    def step(text: pa.Table, numbers: pa.Table) -> pa.Table:
-        if not text.num_rows or not numbers.num_rows:
-            return _rows(0, np.zeros(0, np.int64), 2, bits, shard_bits)
-        codes = np.frombuffer(text.column("codes")[0].as_py(), "<i4")
-        number = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
-        number[numbers.column("code").to_numpy()] = numbers.column("id").to_numpy()
-        return _rows(text.column("block")[0].as_py(), number[codes], 2, bits, shard_bits)
+def _pairs(bits: int, shard_bits: int):
+    def step(text: pa.Table, answers: pa.Table) -> pa.Table:
+        return _filters(text.column("block")[0].as_py(), _numbered(text, answers), 2, bits, shard_bits, False)
     return step
 
 
-def _counting(n: int, bits: int, before: int, shard_bits: int):
+def _longer(n: int, bits: int, before: int, shard_bits: int):
     """What is left of a block after the answers on its (n-1)-grams, in ``before`` shard bits, and its n-grams."""
-    def step(state: pa.Table, answers: pa.Table) -> pa.Table:
-        if not state.num_rows or not answers.num_rows:
-            return _rows(0, np.zeros(0, np.int64), n, bits, shard_bits)
-        ids = np.frombuffer(state.column("data")[0].as_py(), "<i4").astype(np.int64)
-        return _rows(state.column("block")[0].as_py(), _alive(ids, n - 1, bits, before, answers), n, bits, shard_bits)
+    def step(text: pa.Table, answers: pa.Table) -> pa.Table:
+        flags = answers.filter(pc.equal(answers.column("n"), n - 1))
+        if not text.num_rows or not flags.num_rows:
+            return SENT.empty_table()
+        ids = _numbered(text, answers) if n == 3 else _expand(text.column("data")[0].as_py())
+        return _filters(text.column("block")[0].as_py(), _alive(ids, n - 1, bits, before, flags), n, bits, shard_bits, True)
     return step
 
 
-def _merge(table: pa.Table, least: int) -> pa.Table:
-    """The shard's frequent n-grams (block -1), and the flags of each block that has any."""
-    filters = [QuotientFilter.from_bytes(x) for x in table.column("data").to_pylist()]
-    merged, place = QuotientFilter.merge(filters)
-    frequent = merged.counts >= least
-    ends = np.cumsum([len(f.counts) for f in filters])
-    blocks, data = [], []
-    for block, f, end in zip(table.column("block").to_pylist(), filters, ends.tolist(), strict=True):
-        flags = frequent[place[end - len(f.counts):end]]
-        if flags.any():
-            blocks.append(block), data.append(np.packbits(flags).tobytes())
-    if blocks:
-        blocks.append(-1), data.append(merged.where(frequent).to_bytes())
-    return pa.table({"shard": pa.array([merged.shard] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int64()), "data": pa.array(data, pa.binary())})
-
-
-def _read(batches, n: int, bits: int):
-    """Rows (ids, n) of filters."""
-    for batch in batches:
-        for data in batch.column(0):
-            f = QuotientFilter.from_bytes(data.as_py())
-            ids = np.stack(unpack(restore(f.limbs, f.width), bits, n), axis=1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * n, pa.int32()), pa.array(ids.reshape(-1), pa.int32()))
-            yield pa.record_batch([lists, pa.array(f.counts, pa.int64())], names=["ids", "n"])
+def _merging(least: int):
+    def step(table: pa.Table) -> pa.Table:
+        """The shard's frequent n-grams (block -1), and the flags of each block that has any."""
+        filters = [QuotientFilter.from_bytes(x) for x in table.column("data").to_pylist()]
+        merged, place = QuotientFilter.merge(filters)
+        frequent = merged.counts >= least
+        ends = np.cumsum([len(f.counts) for f in filters])
+        blocks, data = [], []
+        for block, f, end in zip(table.column("block").to_pylist(), filters, ends.tolist(), strict=True):
+            flags = frequent[place[end - len(f.counts):end]]
+            if flags.any():
+                blocks.append(block), data.append(np.packbits(flags).tobytes())
+        if blocks:
+            blocks.append(-1), data.append(merged.where(frequent).to_bytes())
+        return pa.table([pa.array([merged.shard] * len(blocks), pa.int64()), pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], schema=SENT)
+    return step
+
+
+def _reading(n: int, bits: int):
+    def rows(batches):
+        """Rows (ids, n) of filters."""
+        for batch in batches:
+            for data in batch.column(0):
+                f = QuotientFilter.from_bytes(data.as_py())
+                ids = np.stack(unpack(restore(f.limbs, f.width), bits, n), axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * n, pa.int32()), pa.array(ids.reshape(-1)))
+                yield pa.record_batch([lists, pa.array(f.counts, pa.int64())], names=["ids", "n"])
+    return rows
 
 
 def _shard_bits(entries: int, width: int) -> int:
@@ -195,39 +294,39 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     Everything is per language; a null language is ``und``.  A null or empty
     text has no words.  Repeated rows count each time.  No rows give empty tables.
     """
-    spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block_bytes = min(LARGEST_BLOCK, max(BLOCK, size // 4096))
-    made = materialise(d.mapInArrow(lambda it: _blocks(it, block_bytes), "block bigint, code int, lang string, word string, n bigint, codes binary"), "phrases")
-    listed, texts = made.where("code IS NOT NULL").drop("codes"), made.where("code IS NULL").select("block", "codes")
-    totals = materialise(listed.groupBy("lang").agg(F.sum("n").alias("n")), "phrases")
-    often = listed.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    often = materialise(often.withColumn("__all", F.lit(0)), "phrases")
-    words = materialise(gapless(often, "__all", ["lang", "word"], "id").select((F.col("id") + 1).cast("int").alias("id"), "lang", "word", "n"), "phrases")
-    count, entries = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = max(1, count.bit_length())
+    word_bits = _shard_bits(size // 8, 32)
+    block_bytes = BLOCK
+    made = materialise(d.mapInArrow(lambda it: _blocks(it, word_bits, block_bytes), LISTED_SQL), "phrases")
+    text = made.where("shard = -1").select("block", "data")
+    listed = materialise(made.where("shard >= 0").groupBy("shard").applyInArrow(_numbering(least, word_bits), LISTED_SQL), "phrases")
+    words = materialise(listed.where("block = -1").drop("block").mapInArrow(lambda it: _words(it, word_bits), "id bigint, lang string, word string, n bigint"), "phrases")
+    totals = listed.where("block = -2").select("langs", "data").mapInArrow(_totals, "lang string, n bigint")
+    totals = materialise(totals.groupBy("lang").agg(F.sum("n").alias("n")), "phrases")
+    top, entries = words.agg(F.coalesce(F.max("id"), F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = top.bit_length()
     phrases = words.select(F.array("id").alias("ids"), "n")
-    state = answers = None
+    answers = listed.where("block >= 0").select(F.lit(1).alias("n"), "shard", "block", "data")
     for n in range(2, longest + 1):
         if not entries:
             break
         shard_bits = _shard_bits(entries, n * bits)
-        if n == 2:
-            numbers = listed.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("block"), "code", "id")
-            step = texts.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(_numbering(bits, shard_bits), SENT)
-        else:
-            step = state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_counting(n, bits, before, shard_bits), SENT)
-        sent = materialise(step, "phrases")
-        merged = materialise(sent.where("shard >= 0").groupBy("shard").applyInArrow(lambda t: _merge(t, least), SENT), "phrases")
-        state, answers, before = sent.where("shard = -1"), merged.where("block >= 0"), shard_bits
-        found = merged.where("block = -1").select("data").mapInArrow(lambda it, n=n: _read(it, n, bits), "ids array<int>, n bigint")
+        step = _pairs(bits, shard_bits) if n == 2 else _longer(n, bits, before, shard_bits)
+        sent = text.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(step, SENT_SQL)
+        if n > 2:  # pairs are told from the first text, so that it isn't written a second time
+            sent = materialise(sent, "phrases")
+            text = sent.where("shard = -1").select("block", "data")
+        merged = materialise(sent.where("shard >= 0").groupBy("shard").applyInArrow(_merging(least), SENT_SQL), "phrases")
+        flags = merged.where("block >= 0").select(F.lit(n).alias("n"), "shard", "block", "data")
+        answers, before = answers.unionByName(flags) if n == 2 else flags, shard_bits
+        found = materialise(merged.where("block = -1").select("data").mapInArrow(_reading(n, bits), "ids array<bigint>, n bigint"), "phrases")
         phrases = phrases.unionByName(found)
-        entries = (state.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // 4
+        entries = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return materialise(phrases, "phrases"), words, totals
 
 
-# --- 4: scores ------------------------------------------------------------------
+# --- 3: scores ------------------------------------------------------------------
 
 def scored_phrases(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
     """ids, lang, a, l, r, n, score of the phrases of two words and more that no longer one contains as often.

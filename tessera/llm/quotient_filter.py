@@ -6,8 +6,9 @@ top bits of the first limb are the shard, the next ones the quotient, and all
 other bits the remainder, which is stored whole: so keys can be read back and
 never collide.  A filter is sorted by (quotient, remainder).  Its quotients are
 written in unary (a zero for each slot, a one for each entry in it, about three
-bits an entry), its remainders in whole bytes, its counters in one byte, with
-counts of 255 and more apart.  Sorted filters of one shard merge by their keys.
+bits an entry), its remainders in whole bytes, its counters as a bit that tells
+whether there is more than one, a byte for those, and counts of 255 and more
+apart.  Sorted filters of one shard merge by their keys.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ def _inverse(odd: np.uint64, bits: int = 64) -> np.uint64:
     return _U(pow(int(odd), -1, 1 << bits))
 
 
+def _salt(odd: np.uint64, i: int) -> np.uint64:
+    return _U(int(odd) * 2 * i & _MASK64)
+
+
 def _unmix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> _U(33))
     h = h * _inverse(MIX2)
@@ -76,9 +81,9 @@ def permute(limbs: list[np.ndarray], width: int) -> list[np.ndarray]:
         first = (first * MIX2) & mask
         return [first ^ (first >> shift)] if width > 1 else [first]
     for i, x in enumerate(rest, 1):
-        first = first ^ mix(x + MIX1 * _U(2 * i))
+        first = first ^ mix(x + _salt(MIX1, i))
     first = mix(first)
-    return [first] + [x ^ (mix(first + MIX2 * _U(2 * i)) & _mask(b)) for i, (x, b) in enumerate(zip(rest, _rest_bits(width), strict=True), 1)]
+    return [first] + [x ^ (mix(first + _salt(MIX2, i)) & _mask(b)) for i, (x, b) in enumerate(zip(rest, _rest_bits(width), strict=True), 1)]
 
 
 def restore(limbs: list[np.ndarray], width: int) -> list[np.ndarray]:
@@ -93,10 +98,10 @@ def restore(limbs: list[np.ndarray], width: int) -> list[np.ndarray]:
         first ^= first >> shift
         first = (first * _inverse(MIX1, width)) & mask
         return [first ^ (first >> shift)]
-    rest = [x ^ (mix(first + MIX2 * _U(2 * i)) & _mask(b)) for i, (x, b) in enumerate(zip(rest, _rest_bits(width), strict=True), 1)]
+    rest = [x ^ (mix(first + _salt(MIX2, i)) & _mask(b)) for i, (x, b) in enumerate(zip(rest, _rest_bits(width), strict=True), 1)]
     first = _unmix(first)
     for i, x in enumerate(rest, 1):
-        first = first ^ mix(x + MIX1 * _U(2 * i))
+        first = first ^ mix(x + _salt(MIX1, i))
     return [first, *rest]
 
 
@@ -138,7 +143,9 @@ class QuotientFilter:
         parts = [_HEADER.pack(n, self.shard, self.width, self.shard_bits, q), np.packbits(slots).tobytes()]
         for x, bits in zip([low & _mask(left), *self.limbs[1:]], [left, *_rest_bits(self.width)], strict=True):
             parts.append(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(n, 8)[:, :-(-bits // 8)]).tobytes())
-        parts.append(np.minimum(self.counts, 255).astype(np.uint8).tobytes())
+        more = self.counts > 1
+        parts.append(np.packbits(more).tobytes())
+        parts.append(np.minimum(self.counts[more], 255).astype(np.uint8).tobytes())
         parts.append(self.counts[self.counts >= 255].astype("<i8").tobytes())
         return b"".join(parts)
 
@@ -162,8 +169,11 @@ class QuotientFilter:
             columns[0] |= quotient << _U(own - q)
         if shard_bits:
             columns[0] |= _U(shard) << _U(own) if own < 64 else _U(0)
-        counts = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
-        counts[counts == 255] = np.frombuffer(data, "<i8", int((counts == 255).sum()), at + n)
+        more = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n).astype(bool)
+        at += -(-n // 8)
+        counts = np.ones(n, np.int64)
+        counts[more] = np.frombuffer(data, np.uint8, int(more.sum()), at)
+        counts[counts == 255] = np.frombuffer(data, "<i8", int((counts == 255).sum()), at + int(more.sum()))
         return cls(width, shard_bits, shard, columns, counts)
 
     @staticmethod
