@@ -1,13 +1,20 @@
 """BSON product records as a parallel Spark scan.
 
 A dump is a sequence of BSON documents, each starting with its int32 length.
-``read_bson`` first runs a Spark job with one task per byte range of about
-``range_bytes``: each finds the first document in its range and hops over the
-length prefixes to its end; ranges that do not begin where the one before ends
-are hopped again, and record numbers are offsets of the counts.  A Python Data
-Source then decodes every range in its own task.  ``pos`` is the 0-based record
-number over all files in name order.  A broken or cut-off record raises,
-naming the file and the byte.
+``read_bson`` first plans ranges of whole documents, all of it in tasks:
+
+1. each byte range of about ``range_bytes`` finds every chain of documents that
+   begins in its first 16 MB and survives to the range's end.  The true chain is
+   among them, and so may be chains through bytes that only look like documents;
+2. a chain's end is a place where the next range may begin.  Each such place is
+   a node, with the place where its own chain ends and the documents between;
+3. the nodes on the path from byte 0 are found by pointer doubling: in every
+   round the path's known nodes add the ones twice as far away, with the number
+   of documents before them.  So the rounds are the logarithm of the ranges.
+
+A Python Data Source then decodes every range in its own task.  ``pos`` is the
+0-based record number over all files in name order.  A broken or cut-off record
+raises, naming the file and the byte.
 """
 
 from __future__ import annotations
@@ -16,11 +23,14 @@ import json
 import struct
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tessera.session import shared_path
 from tessera.sources.fs import filesystem, list_files, qualify, write_bytes
 
 RECORD_SCHEMA = T.StructType([
@@ -114,8 +124,8 @@ def encode_document(d: dict) -> bytes:
 # The largest document the format's server accepts, and the element types.
 MAX_DOCUMENT = (16 << 20) + (16 << 10)
 _TYPES = frozenset([*range(0x01, 0x14), 0x7F, 0xFF])
-# Documents that must follow one another for a byte to be taken as a first one.
-CHAIN = 16
+# Bytes looked through at once for places where a document may begin.
+LOOK = 1 << 20
 
 
 def _length(f, at: int, size: int) -> int | None:
@@ -131,89 +141,136 @@ def _length(f, at: int, size: int) -> int | None:
     return n if f.read(1) == b"\x00" else None
 
 
-def _first_document(f, start: int, size: int) -> int | None:
-    """The first byte from ``start`` on that begins a chain of documents."""
-    at, end = start, min(size, start + MAX_DOCUMENT)
-    while at < end:
+def _plausible(f, start: int, stop: int, size: int) -> Iterator[int]:
+    """Bytes from ``start`` to ``stop`` at which a document may begin, by its length and first element type."""
+    kind = np.zeros(256, bool)
+    kind[list(_TYPES)] = True
+    for at in range(start, stop, LOOK):
+        n = min(LOOK, stop - at)
         f.seek(at)
-        block = f.read(min(1 << 20, size - at))
-        for i in range(len(block) - 4):
-            # cheap test first: most bytes do not begin a length of a document
-            n = int.from_bytes(block[i:i + 4], "little", signed=True)
-            if not 5 <= n <= MAX_DOCUMENT or at + i + n > size:
-                continue
-            k, seen = at + i, 0
-            while seen < CHAIN and k < size and (m := _length(f, k, size)) is not None:
-                k, seen = k + m, seen + 1
-            if seen == CHAIN or (k == size and seen):
-                return at + i
-        at += max(1, len(block) - 4)
-    return size if start < size <= end else None
-
-
-def _walk(f, path: str, start: int, stop: int, size: int) -> tuple[int, int]:
-    """Hop over the documents from ``start`` until ``stop``: (end, documents)."""
-    at = start
-    count = 0
-    while at < stop:
-        n = _length(f, at, size)
-        if n is None:
-            raise ValueError(f"{path}: no BSON document at byte {at} of {size}")
-        at, count = at + n, count + 1
-    return at, count
+        b = np.frombuffer(f.read(min(n + 4, size - at)), np.uint8)
+        m = min(n, len(b) - 4)
+        if m <= 0:
+            return
+        length = b[:m].astype(np.int64) | b[1:m + 1].astype(np.int64) << 8 | b[2:m + 2].astype(np.int64) << 16 | b[3:m + 3].astype(np.int64) << 24
+        ok = (length >= 5) & (length <= MAX_DOCUMENT) & (at + np.arange(m) + length <= size)
+        ok &= np.where(length > 5, kind[b[4:m + 4]], b[4:m + 4] == 0)
+        yield from (at + np.flatnonzero(ok)).tolist()
+
 
+def _chain(f, start: int, stop: int, size: int, known: dict | None = None, upto: int = 0) -> tuple[int, int, bool]:
+    """Hop over documents from ``start`` until ``stop``: (end, documents, whether it got there).
 
-def _scan_range(path: str, start: int, stop: int, size: int) -> tuple[int, int, int]:
-    """``(first, end, documents)`` of the documents that begin in a range; (-1, -1, 0) if unclear."""
+    ``known`` tells of places below ``upto`` whose chain is known; new ones are added.
+    """
+    at, n = start, 0
+    while at < stop:
+        if known is not None and at < upto:
+            if at in known:
+                return -1, n, False  # joins a chain that is judged already
+            known[at] = True
+        m = _length(f, at, size)
+        if m is None:
+            return at, n, False
+        at, n = at + m, n + 1
+    return at, n, True
+
+
+def _chains(path: str, start: int, stop: int, size: int) -> list[tuple[int, int, int]]:
+    """``(first, end, documents)`` of chains in a range: one for each place where a chain from its first
+    16 MB may leave the range, among them the true chain's."""
     fs, p = filesystem(path)
     with fs.open_input_file(p) as f:
-        first = start if start == 0 else _first_document(f, start, size)
-        if first is None:
-            return -1, -1, 0
-        if first >= stop:
-            return first, first, 0
-        try:
-            return (first, *_walk(f, path, first, stop, size))
-        except ValueError:
-            if start == 0:
-                raise
-            return -1, -1, 0  # not a true first document, or a broken file: decided by the range before
+        if start == 0:
+            end, n, whole = _chain(f, 0, stop, size)
+            return [(0, end, n)] if whole else []
+        upto, known, found = min(stop, start + MAX_DOCUMENT), {}, {}
+        for first in _plausible(f, start, upto, size):
+            if first not in known:
+                end, n, whole = _chain(f, first, stop, size, known, upto)
+                if whole and end not in found:
+                    found[end] = (first, end, n)
+        return list(found.values())
+
+
+def _node(path: str, at: int, stop: int, size: int) -> tuple[int, int, bool]:
+    fs, p = filesystem(path)
+    with fs.open_input_file(p) as f:
+        return _chain(f, at, stop, size)
+
+
+def _on_path(nodes: DataFrame) -> DataFrame:
+    """Nodes ``(fi, at)`` on the path from at = 0, with ``first``, the documents before them in the file.
+
+    ``nodes`` has fi, at, end and n: one successor each.  Pointer doubling: the
+    jump of every node goes twice as far each round, and the path's known nodes
+    take one jump more.
+    """
+    spark = nodes.sparkSession
+    jumps = nodes.select("fi", "at", F.col("end").alias("to"), "n")
+    path = nodes.where("at = 0").select("fi", "at", F.lit(0).cast("bigint").alias("first"))
+    known = 0
+    while True:
+        reach = path.join(jumps, ["fi", "at"]).select("fi", F.col("to").alias("at"), (F.col("first") + F.col("n")).alias("first"))
+        reach = reach.join(nodes.select("fi", "at"), ["fi", "at"], "left_semi")
+        path = _written(path.unionByName(reach).distinct(), "path")
+        count = path.count()
+        if count == known:
+            return path
+        known = count
+        after = jumps.select("fi", F.col("at").alias("to"), F.col("to").alias("__to"), F.col("n").alias("__n"))
+        jumps = _written(jumps.join(after, ["fi", "to"]).select("fi", "at", F.col("__to").alias("to"), (F.col("n") + F.col("__n")).alias("n")), "jumps")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, "bson-plans", name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def plan_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> list[dict]:
     """Ranges of whole documents with their first record number.
 
-    Every file is cut into ranges of ``range_bytes``; a task per range finds
-    the first document in it and hops to its end.  A range is proven when it
-    begins where the one before ends; one that is not is hopped again from
-    there.  One small row per range reaches the driver.
+    The driver lists the files and receives one small row a range; it opens no
+    file.  A file whose documents do not reach its end raises, with the byte.
     """
-    cuts = [(i, name, a, min(a + range_bytes, size), size) for i, (name, size) in enumerate(list_files(spark, path))
-            for a in range(0, size, range_bytes)]
+    files = list_files(spark, path)
+    cuts = [(i, name, a, min(a + range_bytes, size), size) for i, (name, size) in enumerate(files) for a in range(0, size, range_bytes)]
     if not cuts:
         return []
+    tasks = min(len(cuts), spark.sparkContext.defaultParallelism * 4)
 
-    def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [(fi, a, *_scan_range(name, a, b, size)) for fi, name, a, b, size in pdf.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["fi", "start", "first", "end", "n"])
-
-    listing = spark.createDataFrame(cuts, "fi long, file string, start long, stop long, size long")
-    listing = listing.repartition(min(len(cuts), spark.sparkContext.defaultParallelism * 4))
-    found = {(r["fi"], r["start"]): (r["first"], r["end"], r["n"])
-             for r in listing.mapInPandas(scan, "fi long, start long, first long, end long, n long").collect()}
-    out, number, at = [], 0, 0
-    for fi, name, a, b, size in cuts:
-        at = 0 if a == 0 else at
-        if at >= b:
-            continue
-        first, end, n = found[fi, a]
-        if first != at:
-            fs, p = filesystem(name)
-            with fs.open_input_file(p) as f:
-                end, n = _walk(f, name, at, b, size)
-        out.append({"file": name, "start": at, "end": end, "first": number})
-        number, at = number + n, end
+            rows = [(fi, *x) for fi, name, a, b, size in pdf.itertuples(index=False) for x in _chains(name, a, b, size)]
+            yield pd.DataFrame(rows, columns=["fi", "at", "end", "n"])
+
+    def hop(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(fi, at, *_node(name, at, b, size)) for fi, at, name, b, size in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["fi", "at", "end", "n", "whole"])
+
+    listing = _written(spark.createDataFrame(cuts, "fi long, file string, start long, stop long, size long").repartition(tasks), "cuts")
+    chains = _written(listing.mapInPandas(look, "fi long, at long, end long, n long"), "chains")
+    # a node is a place where a chain ends, and the first byte; most are the first place of a chain too
+    places = chains.select("fi", F.col("end").alias("at")).unionByName(spark.range(len(files)).select(F.col("id").alias("fi"), F.lit(0).cast("bigint").alias("at"))).distinct()
+    step = F.lit(range_bytes).cast("bigint")
+    places = places.withColumn("start", (F.floor(F.col("at") / step) * step).cast("bigint")).join(listing, ["fi", "start"]).where("at < size")
+    plain = chains.join(places.select("fi", "at"), ["fi", "at"]).select("fi", "at", "end", "n", F.lit(True).alias("whole"))
+    rest = places.join(chains.select("fi", "at"), ["fi", "at"], "left_anti").select("fi", "at", "file", "stop", "size")
+    nodes = _written(plain.unionByName(rest.mapInPandas(hop, "fi long, at long, end long, n long, whole boolean")), "nodes")
+    whole = nodes.where("whole")
+    rows = _on_path(whole).join(whole, ["fi", "at"]).select("fi", "at", "end", "n", "first").orderBy("fi", "at").collect()
+    out, ends, number, before = [], {}, 0, -1
+    for r in rows:
+        if r["fi"] != before:
+            before, base = r["fi"], number
+        out.append({"file": files[r["fi"]][0], "start": r["at"], "end": r["end"], "first": base + r["first"]})
+        number, ends[r["fi"]] = base + r["first"] + r["n"], r["end"]
+    for fi, (name, size) in enumerate(files):
+        if size and ends.get(fi, 0) != size:
+            at = nodes.where((F.col("fi") == fi) & (F.col("at") == ends.get(fi, 0))).first()
+            raise ValueError(f"{name}: no BSON document at byte {ends.get(fi, 0) if at is None else at['end']} of {size}")
     return out
 
 
@@ -307,8 +364,6 @@ def read_bson(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
 
     The range plan is written to the shared folder; the data source reads it
     when it lists its partitions."""
-    from tessera.session import shared_path
-
     spark.dataSource.register(BsonDataSource)
     ranges = plan_ranges(spark, path, range_bytes)
     plan = shared_path(spark, "bson-plans") + "/ranges.json"

@@ -48,6 +48,44 @@ def test_broken_bson_raises(spark, tmp_shared):
                 B.read_bson(spark, path, range_bytes=size).collect()
 
 
+def misleading(inner_docs):
+    """Records whose pictures are chains of documents themselves, longer than several ranges."""
+    out = []
+    for i in range(60):
+        inner = b"".join(B.encode_document({"_id": j, "x": "y" * (j % 7)}) for j in range(inner_docs if i % 3 == 0 else 3))
+        out.append(B.encode_document({"_id": i, "category_id": 1, "imgs": [{"picture": inner}]}))
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("size", [100, 700, 5000])
+def test_misleading_bytes_are_planned_in_tasks(spark, tmp_shared, monkeypatch, size):
+    path = tmp_shared("bson")
+    data = misleading(300 if size > 100 else 40)
+    write_bytes(f"{path}/a.bson", data)
+    write_bytes(f"{path}/b.bson", misleading(5))
+    write_bytes(f"{path}/empty.bson", b"")
+
+    def no_file(name):
+        raise AssertionError(f"the driver opens {name}")
+    with monkeypatch.context() as m:
+        m.setattr(B, "filesystem", no_file)  # tasks import their own
+        plan = B.plan_ranges(spark, path, size)
+    assert [p["start"] for p in plan if p["file"].endswith("a.bson")][0] == 0
+    at, first, starts = 0, {}, set()
+    for k in range(60):
+        starts.add(at)
+        first[at] = k
+        at += int.from_bytes(data[at:at + 4], "little")
+    for p in plan:
+        if p["file"].endswith("a.bson"):
+            assert p["start"] in starts and p["first"] == first[p["start"]]
+    whole = [p for p in plan if p["file"].endswith("a.bson")]
+    assert whole[-1]["end"] == len(data) and all(x["end"] == y["start"] for x, y in zip(whole, whole[1:]))
+    if size > 100:
+        rows = B.read_bson(spark, path, range_bytes=size).select("_id", "pos").collect()
+        assert sorted((r["pos"], int(r["_id"])) for r in rows) == [(i, i % 60) for i in range(120)]
+
+
 def test_undecodable_pictures_and_luminance(spark, tmp_shared):
     from tessera.sources.images import load_images, png_bytes
     path = tmp_shared("img")
