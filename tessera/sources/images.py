@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import ALLOWED_IMAGE_EXTENSIONS, label_from_path
-from tessera.sources.fs import qualify, write_bytes
+from tessera.sources.files import write_files
 
 
 def _glob(extensions) -> str:
@@ -114,21 +114,15 @@ def png_bytes(gray: np.ndarray) -> bytes:
 
 def write_png_folders(df: DataFrame, path: str, height: int, width: int, pixels: str = "pixels",
                       label: str = "label", id_col: str = "id") -> str:
-    """Write every row as ``<path>/<label>/<id>.png`` from the executors
-    (fixtures for S2/S3; a retried task rewrites the same files)."""
-    base = qualify(df.sparkSession, path).rstrip("/")
-
+    """Write every row as ``<path>/<label>/<id>.png`` from the executors, all
+    files or none (fixtures for S2/S3)."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
         for pdf in it:
-            for i, lab, px in zip(pdf[id_col], pdf[label], pdf[pixels]):
-                g = np.asarray(px, dtype=np.int64).reshape(height, width)
-                write_bytes(f"{base}/{lab}/{i}.png", png_bytes(np.clip(g, 0, 255).astype(np.uint8)))
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    df.select(id_col, label, pixels).mapInPandas(run, "n long").collect()
-    return path
+            pics = [png_bytes(np.clip(np.asarray(px, dtype=np.int64).reshape(height, width), 0, 255).astype(np.uint8)) for px in pdf[pixels]]
+            yield pd.DataFrame({"folder": pdf[label].astype(str), "name": pdf[id_col].astype(str) + ".png", "data": pics})
+
+    made = df.select(id_col, label, pixels).mapInPandas(run, "folder string, name string, data binary")
+    return write_files(made, path)
 
 
 __all__ = ["scan_images", "load_images", "png_bytes", "write_png_folders"]

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.sources.fs import qualify, write_bytes
+from tessera.sources.files import write_files
 
 
 def write_by_category(pictures: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
@@ -16,7 +13,7 @@ def write_by_category(pictures: DataFrame, path: str, fmt: str = "parquet", mode
     ``pictures`` should be de-duplicated first (``extract.last_per_id``), so
     each ``(category_id, name)`` is written once.  ``fmt="parquet"`` writes
     ``category_id=<k>/`` Parquet folders; ``fmt="files"`` writes the raw
-    bytes as ``<path>/<category_id>/<name>`` from the executors.
+    bytes as ``<path>/<category_id>/<name>``, all files or none.
     """
     if fmt == "parquet":
         # range-partitioned by (category, name): a task's categories are
@@ -24,18 +21,7 @@ def write_by_category(pictures: DataFrame, path: str, fmt: str = "parquet", mode
         pictures.select("category_id", "name", "picture").repartitionByRange("category_id", "name") \
             .write.mode(mode).partitionBy("category_id").parquet(path)
         return path
-    base = qualify(pictures.sparkSession, path).rstrip("/")
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
-        for pdf in it:
-            for cat, name, pic in zip(pdf["category_id"], pdf["name"], pdf["picture"]):
-                write_bytes(f"{base}/{cat}/{name}", bytes(pic))
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    pictures.select("category_id", "name", "picture").mapInPandas(run, "n long").collect()
-    return path
+    return write_files(pictures, path, folder="category_id", name="name", data="picture", mode=mode)
 
 
 def write_report(lines: DataFrame, path: str, mode: str = "overwrite") -> str:
