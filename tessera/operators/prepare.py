@@ -12,12 +12,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import label_from_path, one_hot, scale_pixels
 from tessera.functions.hashing import DEFAULT_SEED, seeded_md5
-from tessera.operators.ordering import bits_for, rank_in_groups
+from tessera.operators.ordering import bits_for, rank_in_groups, sorted_index
 
 TRAIN_WEIGHT = 80
 TEST_WEIGHT = 20
@@ -32,10 +32,9 @@ def with_labels(files: DataFrame, path_col: str = "path", out: str = "label") ->
 def label_index(df: DataFrame, label: str = "label") -> DataFrame:
     """P5 table: ``(label, label_idx)`` with labels in sorted order, 0-based.
 
-    Built from the distinct labels (an aggregate), so the window sorts one
-    row per class only."""
-    return (df.select(label).distinct()
-            .withColumn("label_idx", (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int")))
+    The distinct labels (an aggregate) are numbered by sorted ranges, so there
+    may be as many labels as rows.  A null label comes first."""
+    return sorted_index(df.select(label).distinct(), [label], "label_idx").withColumn("label_idx", F.col("label_idx").cast("int"))
 
 
 def index_labels(df: DataFrame, label: str = "label", out: str = "label_idx") -> DataFrame:
@@ -85,7 +84,7 @@ class Balance:
 def class_sizes(df: DataFrame, label: str = "label") -> DataFrame:
     """J3 table: ``(label, label_idx, class_n)``, one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("class_n"))
-    return counts.withColumn("label_idx", (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
+    return sorted_index(counts, [label], "label_idx").withColumn("label_idx", F.col("label_idx").cast("int"))
 
 
 def balance_classes(df: DataFrame, label: str = "label", id_col: str = "id",
@@ -98,7 +97,7 @@ def balance_classes(df: DataFrame, label: str = "label", id_col: str = "id",
     Returns the frame and the class numbers (smallest class, class count,
     training rows) needed by the split.
     """
-    sizes = class_sizes(df, label).persist()
+    sizes = class_sizes(df, label)
     agg = sizes.agg(F.min("class_n").alias("m"), F.max("class_n").alias("mx"),
                     F.count(F.lit(1)).alias("l")).first()
     m, n_cls = int(agg["m"] or 0), int(agg["l"] or 0)
