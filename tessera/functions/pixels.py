@@ -1,4 +1,4 @@
-"""Exact pixel permutations as column expressions.
+"""Exact pixel permutations as column expressions.
 
 Images are flat row-major arrays of ``height * width * channels`` values
 (``(row * width + col) * channels + channel``).  Each function returns the
@@ -65,3 +65,28 @@ def rotate270(pixels, height: int, width: int, channels: int = 1) -> Column:
     return permute_pixels(pixels, height, width, channels,
                           lambda r, c, ch: ((height - 1 - c) * width + r) * channels + ch,
                           out_width=height)
+
+
+def move_by_symmetry(pixels, height: int, width: int, channels: int, turns: Column, flipped: Column) -> Column:
+    """Each row's own symmetry of the square in one gather: flipped left-right
+    first where ``flipped`` is 1, then turned by ``turns`` counter-clockwise
+    quarters.  An odd number of turns needs a square picture.
+
+    The source of output pixel (r, c) is ``start + down * r + right * c``; the
+    three numbers follow from turns and flip and are looked up once a row.
+    """
+    h, w = height - 1, width - 1
+    plain = [(0, width, 1), (w, -1, width), (h * width + w, -width, -1), (h * width, 1, -width)]
+    mirrored = [(w, width, -1), (0, 1, width), (h * width, -width, 1), (h * width + w, -1, -width)]
+    which = (turns + 4 * flipped + 1).cast("int")
+    start, down, right = (F.element_at(F.array(*[F.lit(x * channels) for x in xs]), which) for xs in zip(*plain, *mirrored))
+    row = F.struct(_c(pixels).alias("px"), start.alias("start"), down.alias("down"), right.alias("right"))
+
+    def moved(p):
+        def pick(i):
+            r, c = F.floor(i / F.lit(width * channels)), F.floor(i / F.lit(channels)) % F.lit(width)
+            return F.get(p["px"], (p["start"] + p["down"] * r + p["right"] * c + i % F.lit(channels)).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.lit(height * width * channels - 1)), pick)
+
+    # bound as the only element of an array, so that the lookups run once a row
+    return F.get(F.transform(F.array(row), moved), F.lit(0))

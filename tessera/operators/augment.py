@@ -1,11 +1,18 @@
 """Augmentation pipeline (G1-G11): make new pictures from drawn sources.
 
-The random draws are JVM-side columns, ``md5(seed:row:step:k)`` fractions,
-computed before the Python step, so a re-run or a retried task gives the same
-picture; the kernels are batched numpy on Arrow batches in ``mapInPandas``.
-Every step has a probability of being applied.  The kernel details are ours:
-flips and quarter turns are exact; crop, rotate, shear and zoom resample with
-bilinear interpolation back to the input size (edge pixels repeat outside).
+The random draws are JVM-side columns, ``md5(seed:row:step:k)`` fractions, so a
+re-run or a retried task gives the same picture.  Every step has a probability
+of being applied.
+
+Steps that only move pixels (G2, G3, G4, G6, G7, G8) are the symmetries of the
+square, a group of eight.  Where a pipeline has no other steps, each row's drawn
+steps are composed in that group and applied by one gather in the JVM.
+
+Crop, rotate, shear and zoom (G5, G9, G10, G11) read each output pixel from four
+neighbours.  Positions and weights are whole numbers, 2**16 to a pixel, from
+parameters rounded to that grid once; so the result is one defined number, which
+SQL computes as well.  They run as batched numpy in ``mapInPandas``.  Edge
+pixels repeat outside, and a crop is resized back to the input size.
 """
 
 from __future__ import annotations
@@ -15,11 +22,12 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.hashing import DEFAULT_SEED, hash_unit
+from tessera.functions.pixels import move_by_symmetry
 
 # The eleven steps, in order, with their probabilities and ranges.
 DEFAULT_STEPS = [
@@ -38,152 +46,82 @@ DEFAULT_STEPS = [
 
 N_DRAWS = 3  # uniform numbers per step: apply?, and two parameters
 AUGMENT_BATCH = 1024  # pictures per numpy batch inside a task
+BITS = 16
+ONE = 1 << BITS  # positions and weights: so many to a pixel
 
+FLIPS = frozenset(["flip_random", "flip_left_right", "flip_top_bottom"])
+QUARTERS = frozenset(["rotate_random_90", "rotate270"])
+SYMMETRIES = FLIPS | QUARTERS | {"rotate180"}
 
-def flip_random(img, u):
-    return img[:, ::-1] if u[1] < 0.5 else img[::-1]
 
+def symmetry(steps, draw) -> tuple[Column, Column]:
+    """``(turns, flipped)`` of the composed steps: flip left-right first if flipped, then that many quarter turns.
 
-def flip_left_right(img, u):
-    return img[:, ::-1]
-
-
-def flip_top_bottom(img, u):
-    return img[::-1]
-
-
-def _square(imgs, k, axis):
-    """A quarter turn changes the shape of a picture that isn't square, and all rows share one shape."""
-    if k % 2 and imgs.shape[axis] != imgs.shape[axis + 1]:
-        raise ValueError("a quarter turn needs square pictures")
-    return imgs
-
-
-def _rot90(img, k):
-    return np.rot90(_square(img, k, 0), k)
-
-
-def rotate_random_90(img, u):
-    return _rot90(img, 1 + int(u[1] * 3))
-
-
-def rotate180(img, u):
-    return np.rot90(img, 2)
-
-
-def rotate270(img, u):
-    return _rot90(img, 3)
-
-
-def _sample(img, yy, xx):
-    """Bilinear sample of img (H, W, C) at float coordinates, edges clamped."""
-    H, W = img.shape[:2]
-    yy = np.clip(yy, 0, H - 1)
-    xx = np.clip(xx, 0, W - 1)
-    y0 = np.floor(yy).astype(int)
-    x0 = np.floor(xx).astype(int)
-    y1 = np.minimum(y0 + 1, H - 1)
-    x1 = np.minimum(x0 + 1, W - 1)
-    fy = (yy - y0)[..., None]
-    fx = (xx - x0)[..., None]
-    top = img[y0, x0] * (1 - fx) + img[y0, x1] * fx
-    bot = img[y1, x0] * (1 - fx) + img[y1, x1] * fx
-    return top * (1 - fy) + bot * fy
-
-
-def _affine(img, a, b, c, d, scale=1.0):
-    """Output pixel (y, x) reads input at centre + M @ (offset / scale)."""
-    H, W = img.shape[:2]
-    cy, cx = (H - 1) / 2.0, (W - 1) / 2.0
-    ys, xs = np.meshgrid(np.arange(H, dtype=np.float64), np.arange(W, dtype=np.float64), indexing="ij")
-    dy, dx = (ys - cy) / scale, (xs - cx) / scale
-    return _sample(img, cy + a * dy + b * dx, cx + c * dy + d * dx)
-
-
-def crop_random(img, u, area=0.9):
-    H, W = img.shape[:2]
-    side = math.sqrt(area)
-    h, w = max(1, int(H * side)), max(1, int(W * side))
-    top = int(u[1] * (H - h + 1))
-    left = int(u[2] * (W - w + 1))
-    crop = img[top:top + h, left:left + w]
-    ys = (np.arange(H) + 0.5) * h / H - 0.5
-    xs = (np.arange(W) + 0.5) * w / W - 0.5
-    yy, xx = np.meshgrid(ys, xs, indexing="ij")
-    return _sample(crop, yy, xx)
-
-
-def rotate(img, u, left=4, right=4):
-    ang = math.radians(-left + u[1] * (left + right))
-    cs, sn = math.cos(ang), math.sin(ang)
-    return _affine(img, cs, -sn, sn, cs)
-
-
-def shear(img, u, left=8, right=8):
-    ang = math.radians(-left + u[1] * (left + right))
-    t = math.tan(ang)
-    if u[2] < 0.5:
-        return _affine(img, 1.0, 0.0, t, 1.0)   # horizontal
-    return _affine(img, 1.0, t, 0.0, 1.0)       # vertical
-
-
-def zoom(img, u, lo=1.0, hi=1.3):
-    f = lo + u[1] * (hi - lo)
-    return _affine(img, 1.0, 0.0, 0.0, 1.0, scale=f)
-
-
-KERNELS = {
-    "flip_random": flip_random, "flip_left_right": flip_left_right, "flip_top_bottom": flip_top_bottom,
-    "crop_random": crop_random, "rotate_random_90": rotate_random_90, "rotate180": rotate180,
-    "rotate270": rotate270, "rotate": rotate, "shear": shear, "zoom": zoom,
-}
-
-
-def apply_steps(img: np.ndarray, steps, draws: np.ndarray) -> np.ndarray:
-    """Run the pipeline on one (H, W, C) picture; ``draws[s]`` are the step's
-    uniform numbers (first: apply or not)."""
-    out = img
+    ``draw(step, k)`` is the k-th uniform number of a step.  A flip after r
+    turns is a flip before -r turns; top-bottom is two turns after left-right.
+    """
+    turns, flipped = F.lit(0), F.lit(0)
     for s, st in enumerate(steps):
-        u = draws[s]
-        if u[0] >= st["p"]:
-            continue
-        kw = {k: v for k, v in st.items() if k not in ("op", "p")}
-        out = KERNELS[st["op"]](out, u, **kw)
-    return out
-
-
-# --- batched kernels: the same arithmetic on (B, H, W, C) arrays ---------------------
-
-def _sample_b(imgs, yy, xx):
-    """Bilinear sample of every picture at its own (B, h, w) coordinates."""
-    B, H, W = imgs.shape[:3]
-    yy = np.clip(yy, 0, H - 1)
-    xx = np.clip(xx, 0, W - 1)
-    y0 = np.floor(yy).astype(int)
-    x0 = np.floor(xx).astype(int)
-    y1 = np.minimum(y0 + 1, H - 1)
-    x1 = np.minimum(x0 + 1, W - 1)
-    fy = (yy - y0)[..., None]
-    fx = (xx - x0)[..., None]
-    bi = np.arange(B)[:, None, None]
-    top = imgs[bi, y0, x0] * (1 - fx) + imgs[bi, y0, x1] * fx
-    bot = imgs[bi, y1, x0] * (1 - fx) + imgs[bi, y1, x1] * fx
-    return top * (1 - fy) + bot * fy
-
-
-def _affine_b(imgs, a, b, c, d, scale=None):
-    B, H, W = imgs.shape[:3]
-    cy, cx = (H - 1) / 2.0, (W - 1) / 2.0
-    ys, xs = np.meshgrid(np.arange(H, dtype=np.float64), np.arange(W, dtype=np.float64), indexing="ij")
-    sc = np.ones(B) if scale is None else scale
-    dy = (ys[None] - cy) / sc[:, None, None]
-    dx = (xs[None] - cx) / sc[:, None, None]
+        op, hit = st["op"], draw(s, 0) < st["p"]
+        if op == "rotate_random_90":
+            more = 1 + F.floor(draw(s, 1) * 3).cast("int")
+        else:
+            more = {"rotate180": F.lit(2), "rotate270": F.lit(3), "flip_left_right": F.lit(0), "flip_top_bottom": F.lit(2),
+                    "flip_random": F.when(draw(s, 1) < 0.5, 0).otherwise(2)}[op]
+        if op in FLIPS:
+            turns = turns * F.when(hit, -1).otherwise(1)
+            flipped = flipped + hit.cast("int")
+        turns = turns + F.when(hit, more).otherwise(0)
+    return F.pmod(turns, F.lit(4)), flipped % 2
+
+
+# --- resampling kernels on (B, H, W, C) arrays -----------------------------------
+
+def _gather(imgs, ys, xs, last_y, last_x):
+    """Pixels at positions ``ys``, ``xs`` (B, H, W) in 2**-16, mixed from four neighbours up to ``last_y``, ``last_x``."""
+    y0, x0 = ys >> BITS, xs >> BITS
+    fy, fx = (ys & (ONE - 1))[..., None], (xs & (ONE - 1))[..., None]
+    y1, x1 = np.minimum(y0 + 1, last_y), np.minimum(x0 + 1, last_x)
+    b = np.arange(len(imgs))[:, None, None]
+    out = imgs[b, y0, x0] * ((ONE - fy) * (ONE - fx))
+    out = out + imgs[b, y0, x1] * ((ONE - fy) * fx)
+    out = out + imgs[b, y1, x0] * (fy * (ONE - fx))
+    out = out + imgs[b, y1, x1] * (fy * fx)
+    return out / float(1 << 2 * BITS)
+
+
+def _fixed(x):
+    return np.floor(x * ONE + 0.5).astype(np.int64)
+
+
+def _affine(imgs, a, b, c, d):
+    """Output pixel (y, x) reads the input at centre + [[a, b], [c, d]] (y - centre, x - centre), in 2**-16."""
+    _, h, w = imgs.shape[:3]
+    dy = (2 * np.arange(h) - (h - 1))[None, :, None]
+    dx = (2 * np.arange(w) - (w - 1))[None, None, :]
     a, b, c, d = (v[:, None, None] for v in (a, b, c, d))
-    return _sample_b(imgs, cy + a * dy + b * dx, cx + c * dy + d * dx)
+    ys = np.clip(((h - 1) * ONE + a * dy + b * dx) // 2, 0, (h - 1) * ONE)
+    xs = np.clip(((w - 1) * ONE + c * dy + d * dx) // 2, 0, (w - 1) * ONE)
+    return _gather(imgs, ys, xs, h - 1, w - 1)
 
 
-def _rot90_b(imgs, k):
-    return np.rot90(_square(imgs, k, 1), k, axes=(1, 2))
+def _cropped(imgs, u, area):
+    n, height, width = imgs.shape[:3]
+    side = math.sqrt(area)
+    h, w = max(1, int(height * side)), max(1, int(width * side))
+    top = (u[:, 1] * (height - h + 1)).astype(np.int64)[:, None, None]
+    left = (u[:, 2] * (width - w + 1)).astype(np.int64)[:, None, None]
+    ys = np.clip(((2 * np.arange(height) + 1) * h * ONE - height * ONE) // (2 * height), 0, (h - 1) * ONE)[None, :, None]
+    xs = np.clip(((2 * np.arange(width) + 1) * w * ONE - width * ONE) // (2 * width), 0, (w - 1) * ONE)[None, None, :]
+    shape = (n, height, width)
+    return _gather(imgs, np.broadcast_to(ys + top * ONE, shape), np.broadcast_to(xs + left * ONE, shape), top + h - 1, left + w - 1)
+
+
+def _turned(imgs, k):
+    if k % 2 and imgs.shape[1] != imgs.shape[2]:
+        # a quarter turn changes the shape, and all rows share one shape
+        raise ValueError("a quarter turn needs square pictures")
+    return np.rot90(imgs, k, axes=(1, 2))
 
 
 def batch_step(imgs, st, u):
@@ -195,55 +133,32 @@ def batch_step(imgs, st, u):
     if op == "flip_top_bottom":
         return imgs[:, ::-1]
     if op == "flip_random":
-        lr = u[:, 1] < 0.5
-        return np.where(lr[:, None, None, None], imgs[:, :, ::-1], imgs[:, ::-1])
+        return np.where((u[:, 1] < 0.5)[:, None, None, None], imgs[:, :, ::-1], imgs[:, ::-1])
     if op == "rotate180":
-        return np.rot90(imgs, 2, axes=(1, 2))
+        return _turned(imgs, 2)
     if op == "rotate270":
-        return _rot90_b(imgs, 3)
+        return _turned(imgs, 3)
     if op == "rotate_random_90":
         ks = 1 + (u[:, 1] * 3).astype(int)
         out = np.empty_like(imgs)
         for k in (1, 2, 3):
-            sel = ks == k
-            if sel.any():
-                out[sel] = _rot90_b(imgs[sel], k)
+            if (ks == k).any():
+                out[ks == k] = _turned(imgs[ks == k], k)
         return out
     if op == "crop_random":
-        B, H, W = imgs.shape[:3]
-        side = math.sqrt(st.get("area", 0.9))
-        h, w = max(1, int(H * side)), max(1, int(W * side))
-        top = (u[:, 1] * (H - h + 1)).astype(int)
-        left = (u[:, 2] * (W - w + 1)).astype(int)
-        ys = np.clip((np.arange(H) + 0.5) * h / H - 0.5, 0, h - 1)
-        xs = np.clip((np.arange(W) + 0.5) * w / W - 0.5, 0, w - 1)
-        yy = np.broadcast_to(ys[None, :, None], (B, H, W)) + top[:, None, None]
-        xx = np.broadcast_to(xs[None, None, :], (B, H, W)) + left[:, None, None]
-        y0 = np.floor(yy).astype(int)
-        x0 = np.floor(xx).astype(int)
-        y1 = np.minimum(y0 + 1, (top + h - 1)[:, None, None])
-        x1 = np.minimum(x0 + 1, (left + w - 1)[:, None, None])
-        fy = (yy - y0)[..., None]
-        fx = (xx - x0)[..., None]
-        bi = np.arange(B)[:, None, None]
-        t = imgs[bi, y0, x0] * (1 - fx) + imgs[bi, y0, x1] * fx
-        b_ = imgs[bi, y1, x0] * (1 - fx) + imgs[bi, y1, x1] * fx
-        return t * (1 - fy) + b_ * fy
+        return _cropped(imgs, u, st.get("area", 0.9))
+    one, zero = np.full(len(imgs), ONE), np.zeros(len(imgs), np.int64)
     if op == "rotate":
-        lo, hi = st.get("left", 4), st.get("right", 4)
-        ang = np.radians(-lo + u[:, 1] * (lo + hi))
-        cs, sn = np.cos(ang), np.sin(ang)
-        return _affine_b(imgs, cs, -sn, sn, cs)
+        angle = np.radians(-st["left"] + u[:, 1] * (st["left"] + st["right"]))
+        cos, sin = _fixed(np.cos(angle)), _fixed(np.sin(angle))
+        return _affine(imgs, cos, -sin, sin, cos)
     if op == "shear":
-        lo, hi = st.get("left", 8), st.get("right", 8)
-        t = np.tan(np.radians(-lo + u[:, 1] * (lo + hi)))
-        one, zero = np.ones_like(t), np.zeros_like(t)
-        horiz = u[:, 2] < 0.5
-        return _affine_b(imgs, one, np.where(horiz, zero, t), np.where(horiz, t, zero), one)
+        slope = _fixed(np.tan(np.radians(-st["left"] + u[:, 1] * (st["left"] + st["right"]))))
+        across = u[:, 2] < 0.5
+        return _affine(imgs, one, np.where(across, 0, slope), np.where(across, slope, 0), one)
     if op == "zoom":
-        f = st.get("lo", 1.0) + u[:, 1] * (st.get("hi", 1.3) - st.get("lo", 1.0))
-        one, zero = np.ones_like(f), np.zeros_like(f)
-        return _affine_b(imgs, one, zero, zero, one, scale=f)
+        step = _fixed(1.0 / (st["lo"] + u[:, 1] * (st["hi"] - st["lo"])))
+        return _affine(imgs, step, zero, zero, step)
     raise ValueError(f"unknown step {op}")
 
 
@@ -260,11 +175,23 @@ def apply_steps_batch(imgs: np.ndarray, steps, draws: np.ndarray) -> np.ndarray:
 def augment(df: DataFrame, height: int, width: int, channels: int, steps=None,
             seed: int = DEFAULT_SEED, key: str = "id", pixels: str = "pixels",
             keep: tuple[str, ...] = ()) -> DataFrame:
-    """G1: one augmented picture per input row (pixels as float array)."""
+    """G1: one augmented picture per input row (pixels as float array).
+
+    Steps that may turn by a quarter need square pictures.
+    """
     steps = steps or DEFAULT_STEPS
-    n = len(steps) * N_DRAWS
-    draws = F.array(*[hash_unit(seed, key, F.lit(s), F.lit(k))
-                      for s in range(len(steps)) for k in range(N_DRAWS)])
+    if height != width and any(st["op"] in QUARTERS for st in steps):
+        raise ValueError("a quarter turn needs square pictures")
+
+    def draw(s: int, k: int) -> Column:
+        return hash_unit(seed, key, F.lit(s), F.lit(k))
+
+    if all(st["op"] in SYMMETRIES for st in steps):
+        turns, flipped = symmetry(steps, draw)
+        moved = move_by_symmetry(F.col(pixels).cast("array<float>"), height, width, channels, turns, flipped)
+        return df.select(key, *keep, moved.alias(pixels))
+
+    draws = F.array(*[draw(s, k) for s in range(len(steps)) for k in range(N_DRAWS)])
     src = df.select(key, *keep, F.col(pixels).alias("__px"), draws.alias("__u"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,5 +207,4 @@ def augment(df: DataFrame, height: int, width: int, channels: int, steps=None,
 
     schema = T.StructType([src.schema[key], *[src.schema[k] for k in keep],
                            T.StructField(pixels, T.ArrayType(T.FloatType()))])
-    assert n == len(steps) * N_DRAWS
     return src.mapInPandas(run, schema)
