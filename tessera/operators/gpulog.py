@@ -12,11 +12,15 @@ running counts instead of a backwards loop:
 * ``N`` (devices): size of the last non-empty block that has a header above it.
 * a chunk ``r div N`` is a step when it is full and something precedes it.
 * the last ``max_history + 1`` steps are a top-k of the distinct steps.
+
+``steps_by_log`` applies the same rule to a table of many logs, with no driver
+action per log: N by a grouped maximum, the last steps by a grouped top-k of
+blocks (a block's number of steps follows from its size and N).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import (
@@ -54,11 +58,11 @@ def parse_lines(lines: DataFrame, total_mib: int = GPU_TOTAL_MEMORY_MIB, strict:
     return out if strict else out.withColumn("bad", bad)
 
 
-def _blocks(log: DataFrame, bucket: int) -> DataFrame:
+def _blocks(log: DataFrame, bucket: int, group: tuple[str, ...] = ()) -> DataFrame:
     hdr = is_header("value")
     d = log.withColumn("__h", hdr.cast("int")).withColumn("__d", (~hdr).cast("int"))
     d = d.withColumn("__lb", F.floor(F.col("line_no") / F.lit(bucket)))
-    d = running_totals(d, {"blk": "__h", "d": "__d"}, ["__lb"], ["line_no"])
+    d = running_totals(d, {"blk": "__h", "d": "__d"}, ["__lb"], ["line_no"], group)
     return d.filter(F.col("__d") == 1).drop("__h", "__d", "__lb")
 
 
@@ -145,9 +149,49 @@ def _raise_bad(parsed: DataFrame) -> None:
         raise ValueError(f"line: {bad[0]['value']} line_number: {bad[0]['line_no']}")
 
 
-def gpu_means(steps_df: DataFrame) -> DataFrame:
-    """Mean utilisation and memory percent per device, half-even to 1 place."""
-    return steps_df.groupBy("gpu").agg(
+def steps_by_log(logs: DataFrame, log_col: str = "log", max_history: int = MAX_HISTORY, bucket: int = LINE_BUCKET,
+                 total_mib: int = GPU_TOTAL_MEMORY_MIB) -> tuple[DataFrame, DataFrame]:
+    """W3, W4, L1, L2 for many logs: ``(steps, malformed)``.
+
+    ``logs`` has ``log_col``, line_no and value.  Steps are as in ``steps``,
+    with the log and its device count ``n``; a log without a step gives no row.
+    Malformed is one row ``(log, line_no, value)`` for each log whose parsed
+    lines hold a malformed one, the one nearest its end; such a log has no
+    steps.  Parsed are the lines of the kept steps and the data line before
+    them in their block, or all lines where fewer steps exist.  Lines with a
+    null log are a log of their own.
+    """
+    d = logs.select(F.struct(F.col(f"`{log_col}`").alias("log")).alias("__log"), "line_no", "value")
+    data = parse_lines(_blocks(d, bucket, ("__log",)), total_mib, strict=False)
+    blocks = data.groupBy("__log", "blk").agg(F.max("d").alias("end_d"), F.count(F.lit(1)).alias("size"))
+    devices = blocks.filter(F.col("blk") > 0).groupBy("__log").agg(F.max_by("size", "blk").alias("n"))
+    counted = blocks.join(devices, "__log")
+    whole = F.when(F.col("blk") > 0, F.col("size")).otherwise(F.col("size") - 1)
+    counted = counted.withColumn("chunks", F.floor(whole / F.col("n")).cast("bigint")).filter(F.col("chunks") > 0)
+    # at most max_history + 1 blocks of a log hold its kept steps
+    newest = Window.partitionBy("__log").orderBy(F.col("blk").desc())
+    late = counted.withColumn("__at", F.row_number().over(newest)).filter(F.col("__at") <= max_history + 1).drop("__at")
+    after = F.coalesce(F.sum("chunks").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    late = late.withColumn("after", after).filter(F.col("after") <= max_history)
+    late = late.withColumn("used", F.least("chunks", F.lit(max_history + 1) - F.col("after")))
+    # the oldest kept block tells how many steps are kept, and where parsing begins
+    ends = late.groupBy("__log").agg(F.max(F.col("after") + F.col("used")).alias("kept"),
+                                     F.min_by(F.struct("end_d", "used", "size"), "blk").alias("first"), F.max("n").alias("n"))
+    from_d = F.col("first.end_d") - F.least(F.col("first.used") * F.col("n"), F.col("first.size") - 1)
+    ends = ends.select("__log", "kept", F.when(F.col("kept") == max_history + 1, from_d).alias("from_d"))
+    malformed = (data.filter("bad").join(ends, "__log", "left").filter(F.col("from_d").isNull() | (F.col("d") >= F.col("from_d")))
+                 .groupBy("__log").agg(F.max(F.struct("line_no", "value")).alias("last")))
+    lines = (data.join(late, ["__log", "blk"]).withColumn("r", F.col("end_d") - F.col("d"))
+             .withColumn("chunk", F.floor(F.col("r") / F.col("n")).cast("bigint")).filter(F.col("chunk") < F.col("used")))
+    out = lines.join(ends.select("__log", "kept"), "__log").join(malformed.select("__log"), "__log", "left_anti")
+    out = out.select(F.col("__log.log").alias(log_col), "n", (F.col("kept") - 1 - F.col("after") - F.col("chunk")).alias("step"),
+                     (F.col("n") - 1 - F.col("r") % F.col("n")).cast("int").alias("gpu"), "util", "mem_pct", "line_no")
+    return out, malformed.select(F.col("__log.log").alias(log_col), "last.line_no", "last.value")
+
+
+def gpu_means(steps_df: DataFrame, *log: str) -> DataFrame:
+    """Mean utilisation and memory percent per device (of each log), half-even to 1 place."""
+    return steps_df.groupBy(*log, "gpu").agg(
         F.bround(F.avg("util"), 1).alias("util_avg"),
         F.bround(F.avg("mem_pct"), 1).alias("mem_avg"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tessera.functions.columns import ms_to_minutes, softmax
 from tessera.functions.hashing import DEFAULT_SEED, hash32, seeded_md5
 from tessera.operators import nn
+from tessera.operators.asof import asof_join
 from tessera.operators.ordering import rank_in_groups
 
 # Learning-rate steps (iteration -> rate) of the two programs.
@@ -29,25 +30,14 @@ def schedule_frame(spark, schedule) -> DataFrame:
 
 
 def lookup_lr(df: DataFrame, schedule: DataFrame, iteration: str = "iteration", out: str = "lr",
-              base_lr: float | None = None, bucket: int = 1024) -> DataFrame:
+              base_lr: float | None = None) -> DataFrame:
     """As-of lookup, the rate of the latest step at or before the iteration.
 
-    The schedule is made into ``[from_iter, next_from)`` ranges (a window over
-    the schedule rows), cut at multiples of ``bucket`` iterations and joined on
-    the bucket, so every row meets the few ranges of its bucket; before the
-    first step ``base_lr`` applies.
+    Before the first step ``base_lr`` applies.  Schedule and rows may be of any
+    size (see ``asof.asof_join``).
     """
-    w = Window.orderBy("from_iter")
-    last = df.agg(F.max(iteration)).first()[0] or 0
-    ranges = schedule.select(F.col("from_iter").alias("__from"),
-                             F.coalesce(F.lead("from_iter").over(w), F.lit(last + 1)).alias("__to"), F.col("lr").alias(out))
-    ranges = ranges.filter("__to > __from").withColumn(
-        "__bucket", F.explode(F.sequence(F.floor(F.col("__from") / bucket), F.floor((F.col("__to") - 1) / bucket))))
-    d = df.withColumn("__bucket", F.floor(F.col(iteration) / bucket)).alias("d")
-    r = ranges.alias("r")
-    hit = (F.col("d.__bucket") == F.col("r.__bucket")) & (F.col(iteration) >= F.col("__from")) & (F.col(iteration) < F.col("__to"))
-    rate = F.col(f"r.{out}") if base_lr is None else F.coalesce(F.col(f"r.{out}"), F.lit(base_lr))
-    return d.join(r, hit, "left").select(*[F.col(f"d.{c}") for c in df.columns], rate.alias(out))
+    joined = asof_join(df, schedule.select("from_iter", F.col("lr").alias(out)), iteration, [out], right_on="from_iter")
+    return joined if base_lr is None else joined.withColumn(out, F.coalesce(out, F.lit(base_lr)))
 
 
 def lr_at(iteration, schedule, base_lr: float | None = None):

@@ -83,6 +83,42 @@ def gpu_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.unionByName(headers)
 
 
+def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a log per user ``(log, line_no, value)``, values from ``events.value``.
+
+    A header line precedes the events whose number is a multiple of 2 + user % 3,
+    so blocks and device counts differ.  Users with user % 40 = 7 write a
+    malformed line wherever the event's number is a multiple of 31.
+    """
+    ev = table(spark, sf_dir, "events")
+    whole = F.floor(F.abs("value") * 100).cast("bigint")
+    line = F.concat((whole % 101).cast("string"), F.lit(" %, "), (whole % 4038).cast("string"), F.lit(" MiB"))
+    broken = (F.col("user_id") % 40 == 7) & (F.col("event_id") % 31 == 0)
+    data = ev.select(F.col("user_id").alias("log"), (F.col("event_id") * 2 + 1).alias("line_no"),
+                     F.when(broken, F.lit("lost, [N/A]")).otherwise(line).alias("value"))
+    headers = ev.filter(F.col("event_id") % (F.col("user_id") % 3 + 2) == 0).select(
+        F.col("user_id").alias("log"), (F.col("event_id") * 2).alias("line_no"), F.lit(GPU_HEADER_LINE).alias("value"))
+    return data.unionByName(headers)
+
+
+#: Groups that events and orders share, the first event day, and microseconds of it for one day of orders.
+PRICE_GROUPS, PRICE_START, PRICE_DAY = 25, "2024-01-01", 1_080_000_000
+
+
+def priced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as ``(event_id, grp, at)``, at in microseconds of the epoch."""
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % PRICE_GROUPS).alias("grp"), at.alias("at"))
+
+
+def price_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as price steps ``(order_id, grp, at, price)``: their days, drawn together into the month of the events."""
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("bigint")
+    start = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.lit(PRICE_START).cast("timestamp_ntz"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), (F.col("o_custkey") % PRICE_GROUPS).alias("grp"),
+                                                 (start + days * PRICE_DAY).alias("at"), F.col("o_totalprice").alias("price"))
+
+
 def predictions_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels as predictions: actual = quality, predicted = toxic."""
     return table(spark, sf_dir, "labels").select(

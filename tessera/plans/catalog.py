@@ -17,6 +17,7 @@ from tessera.functions.columns import (
     has_extension, leaky_relu, mcxent_logits, one_hot, predict_index, round_array, scale_pixels, softmax,
 )
 from tessera.operators import augment as AUG
+from tessera.operators.asof import asof_join
 from tessera.operators import evaluate as EV
 from tessera.operators import extract, gpulog, nn, prepare
 from tessera.operators import rebalance as R
@@ -96,6 +97,13 @@ def q_index_labels(spark, sf_dir):
     return prepare.index_labels(part, "p_type").select("p_partkey", "p_type", "label_idx")
 
 
+@query("index_many_labels")
+def q_index_many_labels(spark, sf_dir):
+    """P5 where nearly every row has a label of its own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.coalesce("source", F.lit("")))).alias("label"))
+    return prepare.index_labels(docs, "label")
+
+
 @query("one_hot_labels")
 def q_one_hot_labels(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "label")
@@ -167,6 +175,25 @@ def q_gpu_steps(spark, sf_dir):
     return _steps(spark, sf_dir)[0]
 
 
+#: Steps kept of each user's log, few enough to cut some logs.
+USER_HISTORY = 9
+
+
+@query("gpu_steps_by_log")
+def q_gpu_steps_by_log(spark, sf_dir):
+    """W3, W4, L1 with P12 for a log per user: steps, or the malformed line of the log."""
+    steps, bad = gpulog.steps_by_log(A.user_logs(spark, sf_dir), max_history=USER_HISTORY)
+    return (steps.withColumn("malformed", F.lit(None).cast("string"))
+            .unionByName(bad.select("log", "line_no", F.col("value").alias("malformed")), allowMissingColumns=True))
+
+
+@query("gpu_means_by_log")
+def q_gpu_means_by_log(spark, sf_dir):
+    """A6 for a log per user, over whole logs."""
+    steps, _ = gpulog.steps_by_log(A.user_logs(spark, sf_dir))
+    return gpulog.gpu_means(steps, "log")
+
+
 @query("gpu_means")
 def q_gpu_means(spark, sf_dir):
     return gpulog.gpu_means(_steps(spark, sf_dir)[0])
@@ -332,10 +359,17 @@ def q_classification_metrics(spark, sf_dir):
 
 @query("lr_schedule")
 def q_lr_schedule(spark, sf_dir):
+    """Both programs' schedules by as-of join; the GPU's comes as a column too."""
     it = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 400).alias("iteration"))
-    return it.select("event_id", "iteration",
-                     TR.lr_at("iteration", TR.LR_SCHEDULE_CPU, TR.BASE_LR_CPU).alias("lr_cpu"),
-                     TR.lr_at("iteration", TR.LR_SCHEDULE_GPU, TR.BASE_LR_GPU).alias("lr_gpu"))
+    cpu = TR.lookup_lr(it, TR.schedule_frame(spark, TR.LR_SCHEDULE_CPU), out="lr_cpu", base_lr=TR.BASE_LR_CPU)
+    return cpu.withColumn("lr_gpu", TR.lr_at("iteration", TR.LR_SCHEDULE_GPU, TR.BASE_LR_GPU))
+
+
+@query("asof_prices")
+def q_asof_prices(spark, sf_dir):
+    """J1 between two tables: each event meets the latest order of its group at or before it."""
+    ev, steps = A.priced_events(spark, sf_dir), A.price_steps(spark, sf_dir)
+    return asof_join(ev, steps, "at", ["order_id", "price"], by=["grp"], tie="order_id")
 
 
 @query("average_parameters")
@@ -476,19 +510,19 @@ def q_report_files(spark, sf_dir):
 # --- whole programs -----------------------------------------------------------------
 
 # The steps that only move pixels, applied by draws (fixed values: op and probability).
-EXACT_STEPS = [{"op": "flip_left_right", "p": 0.5}, {"op": "flip_top_bottom", "p": 0.5},
-               {"op": "rotate180", "p": 0.8}, {"op": "rotate270", "p": 0.6}]
+EXACT_STEPS = [{"op": "flip_random", "p": 0.7}, {"op": "flip_left_right", "p": 0.5}, {"op": "flip_top_bottom", "p": 0.5},
+               {"op": "rotate_random_90", "p": 0.9}, {"op": "rotate180", "p": 0.8}, {"op": "rotate270", "p": 0.6}]
 
 
 @query("augment_exact")
 def q_augment_exact(spark, sf_dir):
-    """G1 with G3, G4, G7, G8: the pipeline's own kernels and draws."""
+    """G1 with G2, G3, G4, G6, G7, G8, composed to one gather."""
     return AUG.augment(_images8(spark, sf_dir), 8, 8, 1, EXACT_STEPS, keep=("label",))
 
 
 @query("rebalance_images_exact")
 def q_rebalance_images_exact(spark, sf_dir):
-    """U1 + G1 + S9 with the exact steps."""
+    """U1 + G1 + S9 with the steps that only move pixels."""
     from tessera.session import shared_path
     from tessera.sources.sinks import write_rebalanced
     imgs = A.embedding_images(spark, sf_dir).select(
@@ -507,8 +541,8 @@ def q_rebalance_images(spark, sf_dir):
     imgs = A.embedding_images(spark, sf_dir).select(
         F.col("label").cast("string").alias("label"), F.col("id").cast("string").alias("name"), "pixels")
     out = R.rebalance_images(imgs, 8, 8, 1, target=REBALANCE_TARGET)
-    path = write_rebalanced(out, shared_path(spark, "rebalanced"))
-    return spark.read.parquet(path).select("label", "name", "source", "generated", "pixels")
+    back = spark.read.schema(out.schema).parquet(write_rebalanced(out, shared_path(spark, "rebalanced")))
+    return back.select("label", "name", "source", "generated", "pixels")
 
 
 @query("train_evaluate")

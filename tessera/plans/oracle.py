@@ -188,6 +188,49 @@ WITH {_STEPS}
 SELECT step * n + gpu AS x, util, mem_pct FROM steps
 """
 
+def _user_steps(history: int) -> str:
+    return f"""
+ev AS (SELECT *, CAST(floor(abs(value) * 100) AS BIGINT) AS v FROM events),
+logs AS (
+  SELECT user_id AS log, event_id * 2 + 1 AS line_no,
+         CASE WHEN user_id % 40 = 7 AND event_id % 31 = 0 THEN 'lost, [N/A]'
+              ELSE CAST(v % 101 AS VARCHAR) || ' %, ' || CAST(v % 4038 AS VARCHAR) || ' MiB' END AS value
+  FROM ev
+  UNION ALL
+  SELECT user_id, event_id * 2, 'utilization.gpu [%], memory.used [MiB]' FROM ev WHERE event_id % (2 + user_id % 3) = 0),
+t AS (SELECT *, sum(CASE WHEN starts_with(value, 'util') THEN 1 ELSE 0 END) OVER (PARTITION BY log ORDER BY line_no) AS blk FROM logs),
+dl AS (SELECT *, row_number() OVER (PARTITION BY log, blk ORDER BY line_no DESC) - 1 AS r, count(*) OVER (PARTITION BY log, blk) AS size
+       FROM t WHERE NOT starts_with(value, 'util')),
+nn AS (SELECT log, arg_max(size, blk) AS n FROM dl WHERE blk > 0 GROUP BY log),
+ok AS (SELECT dl.*, n, r // n AS chunk FROM dl JOIN nn USING (log) WHERE (r // n + 1) * n <= size AND (blk > 0 OR size > (r // n + 1) * n)),
+num AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY blk DESC, chunk) - 1 AS back
+        FROM (SELECT DISTINCT log, blk, chunk FROM ok) QUALIFY back <= {history}),
+kept AS (SELECT log, count(*) AS kept FROM num GROUP BY log),
+win AS (SELECT ok.*, back, kept FROM ok JOIN num USING (log, blk, chunk) JOIN kept USING (log)),
+low AS (SELECT log, min(line_no) AS first_line, arg_min(blk, line_no) AS first_blk, any_value(kept) AS kept FROM win GROUP BY log),
+start AS (SELECT low.log, CASE WHEN kept = {history + 1} THEN coalesce(
+            (SELECT max(line_no) FROM dl WHERE dl.log = low.log AND dl.blk = first_blk AND dl.line_no < first_line), first_line) END AS from_line FROM low),
+bad AS (SELECT log, max(line_no) AS line_no FROM dl LEFT JOIN start USING (log)
+        WHERE value = 'lost, [N/A]' AND (from_line IS NULL OR line_no >= from_line) GROUP BY log),
+steps AS (
+  SELECT log, n, kept - 1 - back AS step, CAST(n - 1 - r % n AS INTEGER) AS gpu, p.util,
+         CAST(trunc(p.mem_mib / 4037 * 100) AS INTEGER) AS mem_pct, line_no
+  FROM (SELECT * FROM win WHERE log NOT IN (SELECT log FROM bad)) CROSS JOIN LATERAL (SELECT {_PARSE}) p)
+"""
+
+
+ORACLE["gpu_steps_by_log"] = f"""
+WITH {_user_steps(9)}
+SELECT log, n, step, gpu, util, mem_pct, line_no, CAST(NULL AS VARCHAR) AS malformed FROM steps
+UNION ALL
+SELECT log, NULL, NULL, NULL, NULL, NULL, line_no, 'lost, [N/A]' FROM bad
+"""
+
+ORACLE["gpu_means_by_log"] = f"""
+WITH {_user_steps(500)}
+SELECT log, gpu, round_even(avg(util), 1) AS util_avg, round_even(avg(mem_pct), 1) AS mem_avg FROM steps GROUP BY log, gpu
+"""
+
 ORACLE["gpu_resample"] = f"""
 WITH {_STEPS},
 s AS (SELECT step * n + gpu AS x, CAST(util AS DOUBLE) AS util, CAST(mem_pct AS DOUBLE) AS mem_pct FROM steps),
@@ -391,6 +434,19 @@ SELECT event_id, event_id % 400 AS iteration,
 FROM events
 """
 
+ORACLE["asof_prices"] = """
+WITH e AS (SELECT event_id, user_id % 25 AS grp, epoch_us(ts) AS at_us FROM events),
+s AS (SELECT o_orderkey AS order_id, o_custkey % 25 AS grp, o_totalprice AS price,
+             epoch_us(TIMESTAMP '2024-01-01') + date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) * 1080000000 AS at_us FROM orders),
+u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY grp, at_us ORDER BY order_id DESC) = 1)
+SELECT e.event_id, e.grp, e.at_us AS at, u.order_id, u.price FROM e ASOF LEFT JOIN u ON e.grp = u.grp AND e.at_us >= u.at_us
+"""
+
+ORACLE["index_many_labels"] = """
+WITH d AS (SELECT doc_id, md5(CAST(doc_id AS VARCHAR) || '/' || coalesce(source, '')) AS label FROM documents)
+SELECT doc_id, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM d
+"""
+
 ORACLE["average_parameters"] = """
 WITH p AS (
   SELECT row_number() OVER (PARTITION BY label ORDER BY md5('12345:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS chunk,
@@ -483,26 +539,103 @@ UNION ALL SELECT 0, 'b', k, round(b - 0.5 * (g / n), 9) + 0.0 FROM h JOIN b1 USI
 """
 
 
-def _stepped(rows: str, key: str) -> str:
-    """``p`` of ``rows`` after the exact steps, each applied by its draw."""
-    steps = [(0.5, "(i // 8) * 8 + (7 - i % 8)"), (0.5, "(7 - i // 8) * 8 + i % 8"), (0.8, "63 - i"), (0.6, "(7 - i % 8) * 8 + i // 8")]
-    for k, (p, at) in enumerate(steps):
-        draw = f"('0x' || substr(md5('12345:' || {key} || ':{k}:0'), 1, 8))::BIGINT / 4294967296.0"
-        rows = f"(SELECT * REPLACE (CASE WHEN {draw} < {p} THEN list_transform(range(64), lambda i: p[{at} + 1]) ELSE p END AS p) FROM {rows})"
+def _draw(key: str, step: int, k: int) -> str:
+    return f"(('0x' || substr(md5('12345:' || {key} || ':{step}:{k}'), 1, 8))::BIGINT / 4294967296.0)"
+
+
+_LR, _TB, _HALF, _LEFT, _RIGHT = "(i // 8) * 8 + (7 - i % 8)", "(7 - i // 8) * 8 + i % 8", "63 - i", "(i % 8) * 8 + 7 - i // 8", "(7 - i % 8) * 8 + i // 8"
+
+
+def _moved(at: str) -> str:
+    return f"list_transform(range(64), lambda i: p[{at} + 1])"
+
+
+def _mixed(ys: str, xs: str, last_y: str = "7", last_x: str = "7") -> str:
+    """Four neighbours at positions in 2**-16 of a pixel."""
+    def px(y, x):
+        return f"p[({y}) * 8 + ({x}) + 1]"
+    y0, x0, y1, x1 = "(q.y >> 16)", "(q.x >> 16)", f"least((q.y >> 16) + 1, {last_y})", f"least((q.x >> 16) + 1, {last_x})"
+    fy, fx = "(q.y & 65535)", "(q.x & 65535)"
+    gy, gx = f"(65536 - {fy})", f"(65536 - {fx})"
+    return (f"list_transform(list_transform(range(64), lambda i: {{'y': {ys}, 'x': {xs}}}), lambda q: "
+            f"({px(y0, x0)} * ({gy} * {gx}) + {px(y0, x1)} * ({gy} * {fx}) + {px(y1, x0)} * ({fy} * {gx}) + {px(y1, x1)} * ({fy} * {fx})) / 4294967296.0::DOUBLE)")
+
+
+def _affine(a: str, b: str, c: str, d: str) -> str:
+    def at(u, v):
+        return f"least(greatest((7 * 65536 + {u} * (2 * (i // 8) - 7) + {v} * (2 * (i % 8) - 7)) // 2, 0), 7 * 65536)"
+    return _mixed(at(a, b), at(c, d))
+
+
+def _fixed(x: str) -> str:
+    return f"CAST(floor(({x}) * 65536 + 0.5) AS BIGINT)"
+
+
+def _step(st: dict, key: str, k: int) -> tuple[dict[str, str], str]:
+    """Columns computed once a picture, and the picture after the step."""
+    u1, u2 = _draw(key, k, 1), _draw(key, k, 2)
+    if st["op"] == "flip_left_right":
+        return {}, _moved(_LR)
+    if st["op"] == "flip_top_bottom":
+        return {}, _moved(_TB)
+    if st["op"] == "flip_random":
+        return {"u": u1}, f"CASE WHEN u < 0.5 THEN {_moved(_LR)} ELSE {_moved(_TB)} END"
+    if st["op"] == "rotate180":
+        return {}, _moved(_HALF)
+    if st["op"] == "rotate270":
+        return {}, _moved(_RIGHT)
+    if st["op"] == "rotate_random_90":
+        return {"u": f"floor({u1} * 3)"}, f"CASE WHEN u = 0 THEN {_moved(_LEFT)} WHEN u = 1 THEN {_moved(_HALF)} ELSE {_moved(_RIGHT)} END"
+    if st["op"] == "crop_random":  # 7 of 8 rows and columns
+        def at(n, first):
+            return f"least(greatest(((2 * ({n}) + 1) * 7 * 65536 - 8 * 65536) // 16, 0), 6 * 65536) + {first} * 65536"
+        return {"a": f"CAST(floor({u1} * 2) AS BIGINT)", "b": f"CAST(floor({u2} * 2) AS BIGINT)"}, _mixed(at("i // 8", "a"), at("i % 8", "b"), "a + 6", "b + 6")
+    angle = f"radians(-{st.get('left')} + {u1} * {st.get('left', 0) + st.get('right', 0)})"
+    if st["op"] == "rotate":
+        return {"a": _fixed(f"cos({angle})"), "b": _fixed(f"sin({angle})")}, _affine("a", "(-b)", "b", "a")
+    if st["op"] == "shear":
+        return {"a": _fixed(f"tan({angle})"), "u": u2}, f"CASE WHEN u < 0.5 THEN {_affine('65536', '0', 'a', '65536')} ELSE {_affine('65536', 'a', '0', '65536')} END"
+    return {"a": _fixed(f"1.0 / ({st['lo']} + {u1} * ({st['hi']} - {st['lo']}))")}, _affine("a", "0", "0", "a")
+
+
+def _stepped(rows: str, key: str, steps) -> str:
+    """``rows`` with the list ``p`` of 8x8 pixels after the steps, each applied by its draw."""
+    for k, st in enumerate(steps):
+        made, after = _step(st, key, k)
+        extra = "".join(f", {x} AS {n}" for n, x in made.items())
+        drop = f" EXCLUDE ({', '.join(made)})" if made else ""
+        rows = f"(SELECT *{drop} REPLACE (CASE WHEN {_draw(key, k, 0)} < {st['p']} THEN {after} ELSE p END AS p) FROM (SELECT *{extra} FROM {rows}))"
     return rows
 
 
+_EXACT = [{"op": "flip_random", "p": 0.7}, {"op": "flip_left_right", "p": 0.5}, {"op": "flip_top_bottom", "p": 0.5},
+          {"op": "rotate_random_90", "p": 0.9}, {"op": "rotate180", "p": 0.8}, {"op": "rotate270", "p": 0.6}]
+# The eleven steps.
+_ELEVEN = [{"op": "flip_random", "p": 1.0}, {"op": "flip_left_right", "p": 1.0}, {"op": "flip_top_bottom", "p": 1.0}, {"op": "crop_random", "p": 1.0},
+           {"op": "rotate_random_90", "p": 0.9}, {"op": "rotate180", "p": 0.8}, {"op": "rotate270", "p": 0.6}, {"op": "flip_random", "p": 1.0},
+           {"op": "rotate", "p": 0.5, "left": 4, "right": 4}, {"op": "shear", "p": 0.6, "left": 8, "right": 8}, {"op": "zoom", "p": 0.8, "lo": 1.0, "hi": 1.3}]
+
+
 ORACLE["augment_exact"] = f"""
 WITH e AS (SELECT vec_id AS id, label, embedding AS p FROM embeddings)
-SELECT id, label, p AS pixels FROM {_stepped("e", "CAST(id AS VARCHAR)")}
+SELECT id, label, p AS pixels FROM {_stepped("e", "CAST(id AS VARCHAR)", _EXACT)}
 """
 
-_CLS_EMB = (_CLS.replace("SELECT source AS label, CAST(doc_id AS VARCHAR) AS name FROM documents",
-                         "SELECT CAST(label AS VARCHAR) AS label, CAST(vec_id AS VARCHAR) AS name FROM embeddings").replace("60", "120"))
+ORACLE["augment"] = f"""
+WITH e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS p FROM embeddings)
+SELECT id, label, list_transform(p, lambda x: CAST(x AS FLOAT)) AS pixels FROM {_stepped("e", "CAST(id AS VARCHAR)", _ELEVEN)}
+"""
 
-ORACLE["rebalance_images_exact"] = f"""
-WITH {_CLS_EMB},
-e AS (SELECT rb.*, embedding AS p FROM rb JOIN embeddings ON CAST(vec_id AS VARCHAR) = source)
-SELECT label, name, source, generated, p AS pixels FROM e WHERE NOT generated
-UNION ALL SELECT label, name, source, generated, p FROM {_stepped("(SELECT * FROM e WHERE generated)", "name")}
+def _rebalanced(target: int, steps) -> str:
+    cls = (_CLS.replace("SELECT source AS label, CAST(doc_id AS VARCHAR) AS name FROM documents",
+                        "SELECT CAST(label AS VARCHAR) AS label, CAST(vec_id AS VARCHAR) AS name FROM embeddings").replace("60", str(target)))
+    return f"""
+WITH {cls},
+e AS (SELECT rb.*, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS p FROM rb JOIN embeddings ON CAST(vec_id AS VARCHAR) = source)
+SELECT label, name, source, generated, list_transform(p, lambda x: CAST(x AS FLOAT)) AS pixels FROM e WHERE NOT generated
+UNION ALL SELECT label, name, source, generated, list_transform(p, lambda x: CAST(x AS FLOAT)) FROM {_stepped("(SELECT * FROM e WHERE generated)", "name", steps)}
 """
+
+
+ORACLE["rebalance_images_exact"] = _rebalanced(120, _EXACT)
+ORACLE["rebalance_images"] = _rebalanced(60, _ELEVEN)
