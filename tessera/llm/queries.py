@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import collocations, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, periodic_runs, sharding, substring_dedup, url_reputation, warc
+from tessera.llm import collocations, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, periodic_runs, sharding, substring_dedup, url_reputation, warc
 from tessera.llm.common import prepare
 from tessera.plans.tables import table
 from tessera.session import shared_path
@@ -250,3 +250,27 @@ z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY s
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
 FROM z QUALIFY rank <= 2000
 """
+
+
+@_query
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op13_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST) AS pos FROM s),
+c AS (SELECT *, sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER b, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS w FROM o
+      WINDOW b AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT pos, rest, w FROM c WHERE 3 * source_size::HUGEINT * w >= weight * rest::HUGEINT ORDER BY pos LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN c.pos < f.pos THEN 3.0::DOUBLE * source_size ELSE (weight * f.rest)::DOUBLE / f.w END AS target FROM c, f),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t),
+g AS (SELECT *, target - passes * source_size AS budget FROM p),
+r AS (SELECT d.*, source_size, target, passes, budget, sum(size) OVER (PARTITION BY d.source ORDER BY h)::DOUBLE AS upto, sum(size) OVER (PARTITION BY d.source, h)::DOUBLE AS own
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+    size * (passes + CASE WHEN upto <= budget OR (upto - own < budget AND upto - budget < budget - (upto - own)) THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM r
+"""

@@ -82,7 +82,7 @@ def test_pipeline_edge_rows(spark, corpus, empty):
         corpus_pipeline.pack(spark, docs, SF).count()
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op3_decontaminate", "op10_url_reputation"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op3_decontaminate", "op10_url_reputation", "op13_mixing"])
 def test_native_queries_run_no_python(spark, name):
     text = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
