@@ -104,6 +104,44 @@ def test_line_that_completes_the_last_step_is_parsed(spark):
     assert spark_steps(spark, lines, 1) == loop_oracle(lines, 1)
 
 
+def by_log(spark, logs, max_history):
+    rows = [(name, 10 * i, line) for name, lines in logs.items() for i, line in enumerate(lines)]
+    st, bad = gpulog.steps_by_log(spark.createDataFrame(rows, "log string, line_no long, value string").repartition(3), max_history=max_history, bucket=70)
+    out = {}
+    for r in sorted(st.collect(), key=lambda r: (str(r["log"]), r["step"], r["gpu"])):
+        steps = out.setdefault(r["log"], [])
+        if r["gpu"] == 0:
+            assert r["step"] == len(steps)
+            steps.append(([], []))
+        steps[-1][0].append(r["util"]), steps[-1][1].append(r["mem_pct"])
+        assert r["n"] >= 1 and r["gpu"] < r["n"]
+    return out, {r["log"]: (r["line_no"], r["value"]) for r in bad.collect()}
+
+
+def test_many_logs_match_the_loop_of_each(spark):
+    rng = random.Random(23)
+    logs = {f"log{i}": random_log(rng) for i in range(40)}
+    logs |= {"headers": [HEADER, HEADER], "line": ["1 %, 2 MiB"], None: ["1 %, 2 MiB", HEADER, "3 %, 4 MiB"],
+             "wide": [HEADER] + ["1 %, 1 MiB"] * 8 + [HEADER] + ["2 %, 2 MiB"] * 3}
+    for mh in (0, 2, 50):
+        got, bad = by_log(spark, logs, mh)
+        assert not bad
+        for name, lines in logs.items():
+            assert got.get(name, []) == loop_oracle(lines, mh), (name, mh)
+
+
+def test_a_malformed_log_is_reported_and_the_others_go_on(spark):
+    good = [HEADER, "1 %, 1 MiB", "2 %, 2 MiB", HEADER, "3 %, 3 MiB", "4 %, 4 MiB"]
+    logs = {"good": good, "late": good + [HEADER, "5 %, 5 MiB", "broken"], "early": ["broken"] + good,
+            "read": [HEADER, "1 %, 1 MiB", "BAD", "3 %, 3 MiB", HEADER, "5 %, 5 MiB"],
+            "behind": [HEADER, "BAD", HEADER, "3 %, 3 MiB", HEADER, "5 %, 5 MiB"], "none": ["bad", HEADER]}
+    got, bad = by_log(spark, logs, 1)
+    assert bad == {"late": (80, "broken"), "read": (20, "BAD"), "none": (0, "bad")}
+    assert {k: v for k, v in got.items()} == {k: loop_oracle(logs[k], 1) for k in ("good", "early", "behind")}
+    _, bad = by_log(spark, logs, 10)
+    assert set(bad) == {"late", "read", "behind", "none", "early"}
+
+
 def test_resample_two_points_and_one(spark):
     s = spark.createDataFrame([(0, 0, 10), (1, 100, 20)], "x long, util int, mem_pct int")
     r = sorted(gpulog.resample(s, 3).collect())

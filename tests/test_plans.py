@@ -58,3 +58,14 @@ def test_schedules_need_no_nested_loop(spark):
     assert "NestedLoop" not in plan(df) and "NestedLoop" not in plan(E.queries()["lr_schedule"](spark, SF))
     got = {r["iteration"]: r["lr"] for r in df.collect()}
     assert len(got) == 5000 and [got[i] for i in (0, 9, 10, 1999, 2000, 4999)] == [1.0, 1.0, 0.5, 0.5, 0.25, 0.25]
+
+
+def test_class_index_has_no_window(spark):
+    for name in ("index_labels", "index_many_labels"):
+        assert "Window" not in plan(E.queries()[name](spark, SF))
+
+
+def test_many_logs_rank_blocks_not_lines(spark):
+    """Row numbers over a log are taken of its blocks, cut before the shuffle."""
+    p = E.queries()["gpu_steps_by_log"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in p
