@@ -118,8 +118,9 @@ def dense_index(df: DataFrame, order: Sequence[str], bucket: Sequence[str],
     return r.withColumn(out, F.col(out) - 1)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` written once below the shared folder: bounds of ranges are sampled anew whenever they are computed."""
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once below the shared folder and read back: cuts the lineage, and keeps
+    ranges as they are (their bounds are sampled anew whenever they are computed)."""
     path = shared_path(df.sparkSession, "ordering")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -132,7 +133,7 @@ def sorted_index(keys: DataFrame, order: Sequence[Column | str], out: str = "idx
     in no fixed order.  Only one count a range meets on the driver.
     """
     taken = "__id"
-    back = _written(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(taken, F.monotonically_increasing_id()))
+    back = written(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(taken, F.monotonically_increasing_id()))
     # monotonically_increasing_id is (partition << 33) + row of the partition
     part, row = F.shiftright(taken, 33), F.col(taken).bitwiseAND(F.lit((1 << 33) - 1))
     counts = {r[0]: r[1] for r in back.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -152,7 +153,7 @@ def carry_forward(df: DataFrame, value: str, out: str, order: Sequence[str], gro
     """
     spark = df.sparkSession
     order, group = _cols(order), _cols(group)
-    back = _written(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
+    back = written(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
     inside = Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     lasts = (back.filter(F.col(value).isNotNull()).groupBy("__part")
              .agg(F.max_by(F.struct(*group, F.col(value).alias("__value")), F.struct(*group, *order)).alias("__last")))

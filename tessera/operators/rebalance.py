@@ -5,19 +5,25 @@ Originals above the target are capped; a class below it gets
 new picture by ``augment``.  The order inside a class is a seeded md5 of the
 name (the file listing's order is unspecified), ranked in hash sub-buckets so
 a huge class is ranked by many tasks.
+
+A class with few originals makes a few join keys of many draws.  The draws of a
+source are split into groups of about ``PER_COPY`` by their number, and the
+source is copied once a group, as counted draws tell; copies add at most one row
+for ``PER_COPY`` draws, so their bytes are a small part of the result's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import DEFAULT_SEED, hash32, seeded_md5
-from tessera.operators.ordering import rank_in_groups
+from tessera.operators.ordering import rank_in_groups, written
 
 TARGET = 80_000
-# Draws spelled out by one task at a time.
+# Draws spelled out by one task at a time, and draws that one copy of a source serves.
 DRAW_BLOCK = 10_000
+PER_COPY = 2_000
 
 
 def class_deficits(images: DataFrame, target: int = TARGET, labels: DataFrame | None = None,
@@ -52,6 +58,34 @@ def _numbered_draws(need: DataFrame, count, label: str, block: int = DRAW_BLOCK)
                                                         F.least("__count", (F.col("__block") + 1) * block))).alias("draw_no")))
 
 
+def _groups(draws, have) -> Column:
+    """Groups into which a class's draws are split."""
+    return F.ceil(draws / (have * F.lit(PER_COPY))).cast("bigint")
+
+
+def _spread(draws: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Draws dealt to enough tasks by their keys, for a join that leaves them there.
+
+    By bytes a few tasks would do, but what follows (a new picture for each draw)
+    costs time for each row.  Small jobs are left to the planner."""
+    if n <= PER_COPY:
+        return draws
+    spark = draws.sparkSession
+    tasks = min(-(-n // PER_COPY), 4 * spark.sparkContext.defaultParallelism)
+    return draws.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys).hint("merge")
+
+
+def _drawn(need: DataFrame, count, ranked: DataFrame, seed: int, label: str) -> DataFrame:
+    """``(label, draw_no, source)`` for ``count`` draws of each class in ``need`` (label, have), from ``ranked`` (label, rn, source)."""
+    need = need.withColumn("__n", count.cast("bigint"))
+    draws = _numbered_draws(need, F.col("__n"), label).withColumn("rn", (hash32(seed, label, "draw_no") % F.col("have") + 1).cast("bigint"))
+    groups = need.select(label, _groups(F.col("__n"), F.col("have")).alias("__groups"))
+    draws = draws.join(groups, label).withColumn("__copy", F.col("draw_no") % F.col("__groups"))
+    copies = ranked.join(groups, label).select(label, "rn", "source", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__groups") - 1)).alias("__copy"))
+    total = need.agg(F.sum("__n")).first()[0] or 0
+    return _spread(draws, [label, "rn", "__copy"], total).join(copies, [label, "rn", "__copy"]).select(label, "draw_no", "source")
+
+
 def cap_per_class(images: DataFrame, target: int = TARGET, seed: int = DEFAULT_SEED,
                   label: str = "label", name: str = "name") -> DataFrame:
     """L3: keep at most ``target`` originals per class."""
@@ -68,10 +102,8 @@ def draw_sources(images: DataFrame, deficits: DataFrame, seed: int = DEFAULT_SEE
     with no original has nothing to draw from and yields no rows.
     """
     need = deficits.filter((F.col("to_generate") > 0) & (F.col("have") > 0))
-    draws = _numbered_draws(need, F.col("to_generate"), label)
-    draws = draws.withColumn("rn", (hash32(seed, label, "draw_no") % F.col("have") + 1).cast("bigint"))
     ranked = rank_originals(images, seed, label, name).select(label, "rn", F.col(name).alias("source"))
-    return draws.join(ranked, [label, "rn"]).select(label, "draw_no", "source")
+    return _drawn(need, F.col("to_generate"), ranked, seed, label)
 
 
 def rebalance(images: DataFrame, target: int = TARGET, seed: int = DEFAULT_SEED,
@@ -86,17 +118,15 @@ def rebalance(images: DataFrame, target: int = TARGET, seed: int = DEFAULT_SEED,
     """
     d = images.select(label, name).withColumn("__md5", seeded_md5(seed, name))
     ranked, sizes = rank_in_groups(d, [label], "__md5", [name], out="rn", return_sizes=True)
-    # read twice (cap and draw join): keep it (memory, spilling to disk)
-    ranked = ranked.drop("__md5").persist()
+    # read twice (cap and draw join): written once
+    ranked = written(ranked.drop("__md5"))
     kept = ranked.filter(F.col("rn") <= target).select(
         label, name, F.col(name).alias("source"), F.lit(False).alias("generated"))
     have = sizes.select(label, F.col("group_n").alias("have"))
     if labels is not None:
         have = labels.select(label).distinct().join(have, label, "left").fillna(0, ["have"])
     need = have.filter((F.col("have") > 0) & (F.col("have") < target))
-    draws = _numbered_draws(need, F.lit(target) - F.col("have"), label)
-    draws = draws.withColumn("rn", (hash32(seed, label, "draw_no") % F.col("have") + 1).cast("bigint"))
-    gen = draws.join(ranked.select(label, "rn", F.col(name).alias("source")), [label, "rn"]).select(
+    gen = _drawn(need, F.lit(target) - F.col("have"), ranked.select(label, "rn", F.col(name).alias("source")), seed, label).select(
         label, F.concat(F.col(label).cast("string"), F.lit("_gen_"), F.col("draw_no").cast("string")).alias(name),
         "source", F.lit(True).alias("generated"))
     return kept.unionByName(gen)
@@ -111,9 +141,18 @@ def generation_report(rebalanced: DataFrame, label: str = "label") -> DataFrame:
 
 def attach_pixels(drawn: DataFrame, images: DataFrame, label: str = "label", name: str = "name",
                   pixels: str = "pixels") -> DataFrame:
-    """Join the drawn sources to their pixels (equi-join on the source name)."""
-    src = images.select(label, F.col(name).alias("source"), pixels)
-    return drawn.join(src, [label, "source"])
+    """Join the drawn sources to their pixels.
+
+    A source with more than ``PER_COPY`` draws is copied, so that its draws meet
+    its pixels in several tasks."""
+    drawn = written(drawn)
+    counts = drawn.groupBy(label, "source").agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.filter(F.col("__n") > PER_COPY).select(label, "source", F.ceil(F.col("__n") / PER_COPY).cast("bigint").alias("__groups"))
+    one = F.coalesce("__groups", F.lit(1).cast("bigint"))
+    rows = drawn.join(hot, [label, "source"], "left").withColumn("__copy", F.pmod(F.xxhash64(name), one)).drop("__groups")
+    src = images.select(label, F.col(name).alias("source"), pixels).join(hot, [label, "source"], "left")
+    src = src.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), one - 1))).drop("__groups")
+    return _spread(rows, [label, "source", "__copy"], drawn.count()).join(src, [label, "source", "__copy"]).drop("__copy")
 
 
 __all__ = ["TARGET", "class_deficits", "rank_originals", "cap_per_class", "draw_sources", "rebalance",

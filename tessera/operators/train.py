@@ -50,18 +50,21 @@ def lr_at(iteration, schedule, base_lr: float | None = None):
 
 
 def average_parameters(params: DataFrame, by=("layer", "name", "chunk"), values: str = "values",
-                       worker: str = "worker") -> DataFrame:
+                       worker: str = "worker", weighted: bool = False, weight: str = "n") -> DataFrame:
     """Element-wise mean of the workers' parameter chunks.
 
-    Uses the ML ``Summarizer`` mean, an aggregate with map-side partial
-    merging, so each chunk is reduced on executors however many workers
-    there are; only the means leave.
+    ``weighted`` weighs each worker's chunk by its column ``weight`` (the rows
+    it has seen, say; not negative, and not 0 for all workers).  Uses the ML
+    ``Summarizer`` mean, an aggregate with map-side partial merging, so each
+    chunk is reduced on executors however many workers there are; only the
+    means leave.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    v = params.select(*by, array_to_vector(values).alias("__v"))
-    return v.groupBy(*by).agg(Summarizer.mean(F.col("__v")).alias("__m")) \
+    w = F.col(weight).cast("double") if weighted else F.lit(1.0)
+    v = params.select(*by, array_to_vector(values).alias("__v"), w.alias("__w"))
+    return v.groupBy(*by).agg(Summarizer.mean(F.col("__v"), F.col("__w")).alias("__m")) \
         .select(*by, vector_to_array("__m").alias(values))
 
 

@@ -22,6 +22,7 @@ from tessera.operators import evaluate as EV
 from tessera.operators import extract, gpulog, nn, prepare
 from tessera.operators import rebalance as R
 from tessera.operators import train as TR
+from tessera.operators.timing import ProgramTimes
 from tessera.plans import adapters as A
 from tessera.plans.tables import table
 
@@ -243,12 +244,23 @@ def q_cap_per_class(spark, sf_dir):
     return R.cap_per_class(A.class_images(spark, sf_dir), REBALANCE_TARGET).select("label", "name", "rn")
 
 
+#: Draws from each class of the query with one picture a class.
+FEW_TARGET = 9_000
+
+
 @query("draw_sources")
 def q_draw_sources(spark, sf_dir):
     imgs = A.class_images(spark, sf_dir)
     return R.draw_sources(imgs, R.class_deficits(imgs, REBALANCE_TARGET))
 
 
+@query("draw_from_few")
+def q_draw_from_few(spark, sf_dir):
+    """J2 from classes with few originals: one picture a language and source, each drawn thousands of times."""
+    imgs = table(spark, sf_dir, "documents").groupBy("lang").agg(F.min("doc_id").cast("string").alias("name")).withColumnRenamed("lang", "label")
+    return R.draw_sources(imgs, R.class_deficits(imgs, FEW_TARGET))
+
+
 @query("rebalance")
 def q_rebalance(spark, sf_dir):
     return R.rebalance(A.class_images(spark, sf_dir), REBALANCE_TARGET)
@@ -372,15 +384,26 @@ def q_asof_prices(spark, sf_dir):
     return asof_join(ev, steps, "at", ["order_id", "price"], by=["grp"], tie="order_id")
 
 
-@query("average_parameters")
-def q_average_parameters(spark, sf_dir):
+def _worker_chunks(spark, sf_dir):
     from tessera.functions.hashing import seeded_md5
     from tessera.operators.ordering import rank_in_groups
     emb = table(spark, sf_dir, "embeddings").withColumn("__md5", seeded_md5(12345, "vec_id"))
-    ranked = rank_in_groups(emb, ["label"], "__md5", ["vec_id"], out="rn")
-    params = ranked.select(F.col("label").alias("worker"), F.lit(0).alias("layer"), F.lit("W").alias("name"),
-                           (F.col("rn") - 1).alias("chunk"),
-                           F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    ranked = rank_in_groups(emb, ["label"], "__md5", ["vec_id"], out="rn", size_col="n")
+    return ranked.select(F.col("label").alias("worker"), F.lit(0).alias("layer"), F.lit("W").alias("name"),
+                         (F.col("rn") - 1).alias("chunk"), "n",
+                         F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+
+
+@query("average_parameters_weighted")
+def q_average_parameters_weighted(spark, sf_dir):
+    """A9 with each worker's row count as its weight."""
+    avg = TR.average_parameters(_worker_chunks(spark, sf_dir), weighted=True)
+    return avg.select("layer", "name", "chunk", round_array("values", 6).alias("vals"))
+
+
+@query("average_parameters")
+def q_average_parameters(spark, sf_dir):
+    params = _worker_chunks(spark, sf_dir)
     avg = TR.average_parameters(params)
     return avg.select("layer", "name", "chunk", round_array("values", 6).alias("vals"))
 
@@ -390,6 +413,33 @@ def q_timing_report(spark, sf_dir):
     return TR.timing_report(TR.epochs_from_days(A.event_times(spark, sf_dir)))
 
 
+@query("program_times")
+def q_program_times(spark, sf_dir):
+    """A10: a program that extracts, balances, splits and takes a training step,
+    with the times it recorded itself: one row a stage and a total row.  The
+    times differ from run to run, so the columns tell whether they fit."""
+    from tessera.session import shared_path
+    run = ProgramTimes(spark, shared_path(spark, "times"), "classifier")
+    base = shared_path(spark, "program")
+
+    def stage(name, df):
+        run.write(name, df, lambda d: d.write.parquet(f"{base}/{name}"))
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    stage("extract", _pictures(spark, sf_dir))
+    samples, _ = prepare.prepare_samples(A.embedding_images(spark, sf_dir), n_classes=10, batch=20)
+    samples = stage("prepare", samples).withColumn("features", F.transform("features", lambda x: x.cast("double")))
+    with run.measure("training"):
+        model = TR.softmax_regression_step(samples.filter("split = 'train'"), None, 64, 10, lr=0.5)
+        stage("model", model)
+    times = run.table()
+    total = TR.timing_report(times, epoch="stage").join(times.select("stage", "seq", "rows", "first_ms", "last_ms"), "stage", "left")
+    inside = (F.col("first_ms") >= F.col("begin_ms")) & (F.col("last_ms") <= F.col("end_ms")) & (F.col("first_ms") <= F.col("last_ms"))
+    return total.select(F.coalesce("stage", F.lit("total")).alias("stage"), "rows", inside.alias("tasks_inside"),
+                        (F.col("ms") == F.col("end_ms") - F.col("begin_ms")).alias("has_time"),
+                        (F.abs(F.col("minutes") * 60000 - F.col("ms")) <= 1).alias("minutes_fit"))
+
+
 @query("init_parameters")
 def q_init_parameters(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")

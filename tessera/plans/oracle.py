@@ -453,7 +453,30 @@ WITH p AS (
          embedding FROM embeddings),
 u AS (SELECT chunk, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM p),
 a AS (SELECT chunk, i, avg(CAST(v AS DOUBLE)) AS m FROM u GROUP BY chunk, i)
-SELECT 0 AS layer, 'W' AS name, chunk, list(round(m, 6) ORDER BY i) AS vals FROM a GROUP BY chunk
+SELECT 0 AS layer, 'W' AS name, chunk, list(round(m, 6) + 0.0 ORDER BY i) AS vals FROM a GROUP BY chunk
+"""
+
+ORACLE["average_parameters_weighted"] = """
+WITH p AS (
+  SELECT row_number() OVER (PARTITION BY label ORDER BY md5('12345:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS chunk,
+         count(*) OVER (PARTITION BY label) AS n, embedding FROM embeddings),
+u AS (SELECT chunk, n, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM p),
+a AS (SELECT chunk, i, sum(n * CAST(v AS DOUBLE)) / sum(n) AS m FROM u GROUP BY chunk, i)
+SELECT 0 AS layer, 'W' AS name, chunk, list(round(m, 6) + 0.0 ORDER BY i) AS vals FROM a GROUP BY chunk
+"""
+
+ORACLE["program_times"] = """
+WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+s AS (SELECT 'extract' AS stage, count(*) AS rows FROM events
+      UNION ALL SELECT 'prepare', min(n) * count(*) FROM c
+      UNION ALL SELECT 'model', 10 * 64 + 10)
+SELECT stage, rows, true AS tasks_inside, true AS has_time, true AS minutes_fit FROM s
+UNION ALL SELECT unnest(['training', 'total']), NULL, NULL, true, true
+"""
+
+ORACLE["draw_from_few"] = """
+WITH i AS (SELECT lang AS label, CAST(min(doc_id) AS VARCHAR) AS source FROM documents GROUP BY lang)
+SELECT label, draw_no, source FROM i, range(1, 9000) AS r(draw_no)
 """
 
 ORACLE["timing_report"] = """

@@ -100,6 +100,9 @@ def test_average_and_lr(spark):
     df = spark.createDataFrame(rows, "worker int, layer int, name string, chunk int, values array<double>")
     avg = {(r["layer"], r["name"]): r["values"] for r in TR.average_parameters(df).collect()}
     assert avg == {(0, "W"): [2.0, 4.0], (1, "b"): [5.0]}
+    weighted = spark.createDataFrame([(*r, n) for r, n in zip(rows, (1, 3, 7))], "worker int, layer int, name string, chunk int, values array<double>, n long")
+    avg = {(r["layer"], r["name"]): r["values"] for r in TR.average_parameters(weighted, weighted=True).collect()}
+    assert avg == {(0, "W"): [2.5, 5.0], (1, "b"): [5.0]}
     it = spark.createDataFrame([(99,), (100,), (0,), (399,)], "iteration long")
     lr = {r["iteration"]: r["lr"] for r in
           TR.lookup_lr(it, TR.schedule_frame(spark, TR.LR_SCHEDULE_CPU)).collect()}

@@ -35,3 +35,25 @@ def test_rebalance_images_shapes(spark):
     df = spark.createDataFrame(rows, "label string, name string, pixels array<double>")
     out = R.rebalance_images(df, 4, 4, 1, target=4).collect()
     assert len(out) == 8 and all(len(r["pixels"]) == 16 for r in out)
+
+
+def test_draws_from_one_picture_are_spread(spark):
+    df = imgs(spark, {"one": 1, "many": 500})
+    out = R.draw_sources(df, R.class_deficits(df, 80_000))
+    rows = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count_if(F.col("label") == "one").alias("n")).collect()
+    n = [r["n"] for r in rows if r["n"]]
+    assert sum(n) == 79_999 and len(n) >= 8 and max(n) < 80_000 / 3
+    plain = {(r["label"], r["draw_no"]): r["source"] for r in out.filter("draw_no % 97 = 0").collect()}
+    assert {s for (lab, _), s in plain.items() if lab == "one"} == {"one0"} and len({s for (lab, _), s in plain.items() if lab == "many"}) > 300
+    assert out.groupBy("label").agg(F.countDistinct("draw_no").alias("n"), F.max("draw_no").alias("m")).filter("n <> m").count() == 0
+
+
+def test_pixels_meet_the_draws_of_a_hot_source_in_several_tasks(spark):
+    df = spark.createDataFrame([("one", "a", [1.0] * 4), ("two", "b", [2.0] * 4), ("two", "c", [3.0] * 4)], "label string, name string, pixels array<double>")
+    plan = R.rebalance(df.select("label", "name"), 20_000).filter("generated")
+    out = R.attach_pixels(plan, df)
+    rows = out.groupBy(F.spark_partition_id().alias("task"), "label").agg(F.count("*").alias("n")).collect()
+    hot = [r["n"] for r in rows if r["label"] == "one"]
+    assert sum(hot) == 19_999 and len(hot) >= 3
+    wrong = out.filter(F.element_at("pixels", 1) != F.expr("CASE source WHEN 'a' THEN 1.0 WHEN 'b' THEN 2.0 ELSE 3.0 END"))
+    assert wrong.count() == 0 and out.count() == 19_999 + 19_998
