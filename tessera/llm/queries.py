@@ -151,38 +151,67 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("page_id", "host", "path", "rule", "verdict"))
 
 
-def _op10_sql() -> str:
+def reputation_sql(outcomes: str) -> str:
+    """CTEs up to b (host, blocked) from u (page_id, host, path) and a query of (host, bad)."""
     wide = ", ".join(f"'{s}'" for s in url_reputation.WIDE_SUFFIXES)
-    least, most, z, limit = url_reputation.LEAST, url_reputation.MOST, url_reputation.Z, url_reputation.LIMIT
-    strength = f"""least({most}, greatest({least}, CASE WHEN sum(m*(1-m)*(n-1)) > 0
-        AND sum(n*pow(bad/n - m, 2) - m*(1-m)) > 0
-        THEN 1/(sum(n*pow(bad/n - m, 2) - m*(1-m)) / sum(m*(1-m)*(n-1))) - 1 ELSE {most} END))"""
-    rules = sorted(url_reputation.RULES, key=lambda r: -len(r[1] + r[2]))
-    case = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in rules)
-    said = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in rules)
+    rho, few, least, most, z, limit = (getattr(url_reputation, x) for x in ("RHO", "FEW", "LEAST", "MOST", "Z", "LIMIT"))
+
+    def fitted(table, parent, n, bad):
+        return f"""(SELECT least({most}, greatest({least}, ({few} * {rho!r} + coalesce(sum(least(off, {n} - 1) / {n}), 0)) / ({few} + coalesce(sum(({n} - 1) / {n}), 0))))
+        FROM (SELECT *, {n} * pow({bad} / {n} - m, 2) / (m * (1 - m)) - 1 AS off FROM (SELECT *, (all_bad - {bad} + 1) / (all_n - {n} + 2) AS m
+        FROM (SELECT *, sum({n}) OVER (PARTITION BY {parent}) AS all_n, sum({bad}) OVER (PARTITION BY {parent}) AS all_bad FROM {table})
+        WHERE all_n - {n} > 1e-9 AND {n} >= 2)))"""
+
+    def counted(n, rho):
+        return f"{n} / (1 + ({n} - 1) * {rho})"
+
+    def level(rate, weight, rho, n, bad):
+        left = f"({weight} / ({weight} + 1) * (1 - {rho}))"
+        prior = f"({left} / (1 - {left}))"
+        return f"({prior} * {rate} + {bad}) / ({prior} + {n}) AS rate, {prior} + {n} AS weight"
+    return rf"""
+o AS ({outcomes}),
+h AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM o WHERE host IS NOT NULL AND bad IS NOT NULL GROUP BY host),
+g AS (SELECT host, n, bad FROM h UNION ALL SELECT DISTINCT host, 0, 0 FROM u WHERE host <> '' AND host NOT IN (SELECT host FROM h)),
+k AS (SELECT *, CASE WHEN two IN ({wide}) THEN two ELSE string_split(host, '.')[-1] END AS suffix,
+    CASE WHEN two IN ({wide}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE two END AS domain
+    FROM (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM g)),
+l AS (SELECT * FROM k WHERE n > 0),
+rh AS (SELECT {fitted("l", "domain", "n", "bad")} AS rho),
+he AS (SELECT l.*, {counted("n", "rho")} AS e, {counted("n", "rho")} * bad / n AS b FROM l, rh),
+d0 AS (SELECT suffix, domain, sum(e) AS dn, sum(b) AS dbad FROM he GROUP BY suffix, domain),
+rd AS (SELECT {fitted("d0", "suffix", "dn", "dbad")} AS rho),
+d1 AS (SELECT d0.*, {counted("dn", "rho")} AS de, {counted("dn", "rho")} * dbad / dn AS db FROM d0, rd),
+s0 AS (SELECT suffix, sum(de) AS sn, sum(db) AS sbad FROM d1 GROUP BY suffix),
+rs AS (SELECT {fitted("s0", "1", "sn", "sbad")} AS rho),
+s1 AS (SELECT s0.*, {counted("sn", "rho")} AS se, {counted("sn", "rho")} * sbad / sn AS sb FROM s0, rs),
+al AS (SELECT coalesce(sum(se), 0) AS an, coalesce(sum(sb), 0) AS abad FROM s1),
+j0 AS (SELECT k.host, k.n, k.bad, an, abad, coalesce(e, 0) AS e, coalesce(b, 0) AS b, coalesce(dn, 0) AS dn, coalesce(dbad, 0) AS dbad, coalesce(de, 0) AS de,
+    coalesce(db, 0) AS db, coalesce(sn, 0) AS sn, coalesce(sbad, 0) AS sbad, coalesce(se, 0) AS se, coalesce(sb, 0) AS sb, rh.rho AS rho_h, rd.rho AS rho_d, rs.rho AS rho_s
+    FROM k LEFT JOIN he USING (host) LEFT JOIN d1 ON d1.domain = k.domain LEFT JOIN s1 ON s1.suffix = k.suffix, al, rh, rd, rs),
+j1 AS (SELECT *, (greatest(abad - sb, 0) + 1) / (greatest(an - se, 0) + 2) AS rate, greatest(an - se, 0) + 2 AS weight FROM j0),
+j2 AS (SELECT * EXCLUDE (rate, weight), {level("rate", "weight", "rho_s", "greatest(sn - de, 0)", "greatest(sbad - db, 0)")} FROM j1),
+j3 AS (SELECT * EXCLUDE (rate, weight), {level("rate", "weight", "rho_d", "greatest(dn - e, 0)", "greatest(dbad - b, 0)")} FROM j2),
+j4 AS (SELECT * EXCLUDE (rate, weight), {level("rate", "weight", "rho_h", "n", "bad")} FROM j3),
+b AS (SELECT host, rate, rate - {z} * sqrt(greatest(rate * (1 - rate), 0) / (weight + 1)) > {limit} AS blocked FROM j4)"""
+
+
+def url_sql(rules: bool = True, outcomes: str = "SELECT host, greatest(toxic, 1 - quality) AS bad FROM u JOIN labels ON doc_id = page_id WHERE host <> ''") -> str:
+    ranked = sorted(url_reputation.RULES if rules else [("allow", "never", "/")], key=lambda r: -len(r[1] + r[2]))
+    case = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in ranked)
+    said = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in ranked)
     return rf"""
 WITH u AS (SELECT page_id,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-o AS (SELECT host, greatest(toxic, 1 - quality) AS bad FROM u JOIN labels ON doc_id = page_id WHERE host <> ''),
-h AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad,
-    array_to_string(string_split(host, '.')[-2:], '.') AS two FROM o WHERE bad IS NOT NULL GROUP BY host),
-k AS (SELECT *, CASE WHEN two IN ({wide}) THEN two ELSE string_split(host, '.')[-1] END AS suffix,
-    CASE WHEN two IN ({wide}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE two END AS domain FROM h),
-s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad)+1)/(sum(n)+2) FROM k) AS m FROM k GROUP BY suffix),
-s AS (SELECT suffix, (bad + st*m)/(n + st) AS rate FROM s0, (SELECT {strength} AS st FROM s0)),
-d0 AS (SELECT k.suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(s.rate) AS m FROM k JOIN s USING (suffix) GROUP BY k.suffix, domain),
-d AS (SELECT domain, (bad + st*m)/(n + st) AS rate FROM d0, (SELECT {strength} AS st FROM d0)),
-h0 AS (SELECT host, n, bad, d.rate AS m FROM k JOIN d USING (domain)),
-r AS (SELECT host, n + st AS w, (bad + st*m)/(n + st) AS rate FROM h0, (SELECT {strength} AS st FROM h0)),
-b AS (SELECT host, rate - {z} * sqrt(rate*(1-rate)/(w+1)) > {limit} AS blocked FROM r),
+{reputation_sql(outcomes)},
 j AS (SELECT page_id, host, path, CASE {case} END AS rule, coalesce(blocked, false) AS blocked FROM u LEFT JOIN b USING (host))
 SELECT page_id, host, path, rule, coalesce(CASE rule {said} END, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM j
 """
 
 
-ORACLE["op10_url_reputation"] = _op10_sql()
+ORACLE["op10_url_reputation"] = url_sql()
 
 
 def repeating_text():

@@ -1,13 +1,24 @@
 """URL filter by empirical-Bayes host reputation.
 
-Labelled page outcomes (bad or not) are counted per host, registered domain
-and suffix.  Each level's rate is a beta posterior whose prior comes from the
-level above: all labels -> suffix -> registered domain -> host.  The strength
-of a level's prior is fitted to the spread of the rates at that level by the
-method of moments.  A url is blocked when the lower bound of its host's
-posterior bad rate is above the threshold: hosts without enough evidence pass.
-A host without labels has its prior for a posterior: the rate of its domain,
-else of its suffix, else of all labels, with the spread of every level between.
+Labelled page outcomes (bad or not) are counted per host.  A host's bad rate is
+a beta posterior; its prior comes down from all labels to the suffix, the
+registered domain and the host, and each level adds what the level above cannot
+tell:
+
+* Labels of one host resemble one another, so for its domain they count as
+  n / (1 + (n - 1) * rho) labels, where rho is their correlation; a domain's
+  count so for its suffix, a suffix's for the whole.  A level's rho is fitted to
+  the spread of rates around those of the others with the same parent, by the
+  method of moments, and pulled to a weak ``RHO`` as if ``FEW`` more units had
+  shown that: a spread seen on few units does not make a strong prior.
+* A unit's own labels are left out of its parent's evidence, so that they count
+  once, at the host.
+* A child's prior is as doubtful as its parent's rate and the level's spread
+  together: the shares of variance that are left multiply.
+
+A url is blocked when the host's posterior bad rate minus ``Z`` standard
+deviations is above ``LIMIT``; hosts without enough evidence pass.  One rule
+holds for all hosts: without labels of its own a host is judged by its prior.
 Fixed rules override the verdict.
 
 Only DataFrame functions are used.  Counts are combined on the map side, so a
@@ -30,10 +41,10 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
 WIDE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.nz", "co.za", "co.in")
 
 #: Block when mean - Z standard deviations of the posterior bad rate exceeds LIMIT.
-Z, LIMIT = 1.645, 0.5
+Z, LIMIT = 3.0, 0.5
 
-#: Prior pseudo-counts: least, most, and what a level without measurable spread gets.
-LEAST, MOST = 2.0, 1000.0
+#: Correlation of a level that shows none, and how many units it counts as; a fitted one stays between the bounds.
+RHO, FEW, LEAST, MOST = 1 / 3, 10.0, 0.001, 0.9
 
 
 def url_host(url: Column) -> Column:
@@ -62,44 +73,37 @@ def fits(rule: tuple[str, str, str], host: Column, path: Column) -> Column:
     return ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
 
 
-def _strength(level: DataFrame, parent: str) -> DataFrame:
-    """One row: prior strength of ``level`` (n, bad, parent's mean) by the method of moments.
-
-    With rates r_i of n_i labels around the parent's mean m, the expected
-    squared residual is m(1-m)/n_i * (1 + (n_i-1)/(s+1)); solved for s.
-    """
-    m = F.col(parent)
-    v = m * (1 - m)
-    spread = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - m, 2) - v)
-    scale = F.sum(v * (F.col("n") - 1))
-    rho = F.when(scale > 0, spread / scale)
-    return level.agg(F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.when(rho > 0, 1 / rho - 1).otherwise(F.lit(MOST)))).alias("s"))
+def _with_totals(units: DataFrame, parent: str, n: str, bad: str) -> DataFrame:
+    """``units`` with all_n and all_bad, the sums over their ``parent``."""
+    sums = units.groupBy(parent).agg(F.sum(n).alias("all_n"), F.sum(bad).alias("all_bad"))
+    return units.join(sums, parent)
 
 
-def _shrunk(level: DataFrame, parent: str, out: str) -> DataFrame:
-    s = F.broadcast(_strength(level, parent))  # one row
-    d = level.join(s, F.lit(True))
-    return d.withColumn(out, (F.col("bad") + F.col("s") * F.col(parent)) / (F.col("n") + F.col("s")))
+def _correlation(units: DataFrame, n: str, bad: str) -> float:
+    """rho of a level whose units have n, bad, all_n and all_bad: one number reaches the driver.
 
+    A unit's squared distance from the rate m of the others, in units of
+    m (1 - m) / n, is 1 + (n - 1) * rho on average.
+    """
+    others, e = F.col("all_n") - F.col(n), F.col(n)
+    m = (F.col("all_bad") - F.col(bad) + 1) / (others + 2)
+    off = e * F.pow(F.col(bad) / e - m, 2) / (m * (1 - m)) - 1
+    seen = units.where((others > 1e-9) & (e >= 2)).agg(F.sum(F.least(off, e - 1) / e), F.sum((e - 1) / e)).first()
+    rho = (FEW * RHO + (seen[0] or 0.0)) / (FEW + (seen[1] or 0.0))
+    return min(MOST, max(LEAST, rho))
 
-def _bound(rate: Column, rho: Column, z: float) -> Column:
-    """Lower bound of a beta posterior; ``rho`` is 1 / (its weight + 1)."""
-    return rate - F.lit(z) * F.sqrt(rate * (1 - rate) * rho)
 
+def _counting(units: DataFrame, n: str, bad: str, rho: float) -> DataFrame:
+    """Add e and b: the labels that a unit counts as for its parent, and the bad ones of them."""
+    e = F.col(n) / (1 + (F.col(n) - 1) * rho)
+    return units.withColumn("e", e).withColumn("b", e * F.col(bad) / F.col(n))
 
-def _unlabelled(others: DataFrame, suffixes: DataFrame, domains: DataFrame, alone: DataFrame) -> DataFrame:
-    """``host``, rate and rho of hosts without labels: the prior that the nearest labelled level gives them.
 
-    ``alone`` is one row: all_rate and the strengths suffix_s, domain_s, host_s.
-    Below the level that has labels, the spreads of all levels add up: the
-    share of the variance that is left is the product of 1 - 1 / (s + 1).
-    """
-    left = [F.col(c) / (F.col(c) + 1) for c in ("host_s", "domain_s", "suffix_s")]
-    by_domain, by_suffix = F.col("domain_rate").isNotNull(), F.col("suffix_rate").isNotNull()
-    rho = 1 - F.when(by_domain, left[0]).when(by_suffix, left[0] * left[1]).otherwise(left[0] * left[1] * left[2])
-    d = (others.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-         .join(domains, "domain", "left").join(suffixes, "suffix", "left").join(F.broadcast(alone), F.lit(True)))
-    return d.select("host", F.coalesce("domain_rate", "suffix_rate", "all_rate").alias("rate"), rho.alias("rho"))
+def _posterior(rate: Column, weight: Column, rho: float, n: Column, bad: Column) -> tuple[Column, Column]:
+    """Rate and weight of a child from its parent's, the level's correlation and its own evidence."""
+    left = weight / (weight + 1) * (1 - rho)
+    prior = left / (1 - left)
+    return (prior * rate + bad) / (prior + n), prior + n
 
 
 def reputations(outcomes: DataFrame, z: float = Z, limit: float = LIMIT, hosts_too: DataFrame | None = None) -> DataFrame:
@@ -109,31 +113,42 @@ def reputations(outcomes: DataFrame, z: float = Z, limit: float = LIMIT, hosts_t
     are left out.  Repeated rows count as often as they appear.  An empty table
     gives no rows.  Hosts of ``hosts_too`` (a column ``host``) without labels
     get a row too, with n = 0 and their prior; with no labels at all its rate
-    is null.
+    is one half.
     """
     hosts = materialise(outcomes.where("host is not null and bad is not null").groupBy("host")
                         .agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
                         .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
-    total = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("all_rate"))
-    by_suffix = (hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-                 .join(F.broadcast(total), F.lit(True)))
-    suffixes = _shrunk(by_suffix, "all_rate", "suffix_rate").select("suffix", "suffix_rate")
-    by_domain = (hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-                 .join(suffixes, "suffix"))
-    domains = _shrunk(by_domain, "suffix_rate", "domain_rate").select("domain", "domain_rate")
-    by_host = hosts.join(domains, "domain")
-    d = _shrunk(by_host, "domain_rate", "rate")
-    d = d.select("host", "n", "bad", "rate", (1 / (F.col("n") + F.col("s") + 1)).alias("rho"))
+    host_rho = _correlation(_with_totals(hosts, "domain", "n", "bad"), "n", "bad")
+    domains = materialise(_counting(hosts, "n", "bad", host_rho).groupBy("suffix", "domain")
+                          .agg(F.sum("e").alias("domain_n"), F.sum("b").alias("domain_bad")), "domains")
+    domain_rho = _correlation(_with_totals(domains, "suffix", "domain_n", "domain_bad"), "domain_n", "domain_bad")
+    domains = _counting(domains, "domain_n", "domain_bad", domain_rho).withColumnsRenamed({"e": "domain_e", "b": "domain_b"})
+    suffixes = materialise(domains.groupBy("suffix").agg(F.sum("domain_e").alias("suffix_n"), F.sum("domain_b").alias("suffix_bad")), "suffixes")
+    suffix_rho = _correlation(_with_totals(suffixes.withColumn("all", F.lit(0)), "all", "suffix_n", "suffix_bad"), "suffix_n", "suffix_bad")
+    suffixes = _counting(suffixes, "suffix_n", "suffix_bad", suffix_rho).withColumnsRenamed({"e": "suffix_e", "b": "suffix_b"})
+    all_n, all_bad = suffixes.agg(F.coalesce(F.sum("suffix_e"), F.lit(0.0)), F.coalesce(F.sum("suffix_b"), F.lit(0.0))).first()
+
+    d = hosts
     if hosts_too is not None:
-        alone = total
-        for level, parent, s in ((by_suffix, "all_rate", "suffix_s"), (by_domain, "suffix_rate", "domain_s"), (by_host, "domain_rate", "host_s")):
-            alone = alone.join(_strength(level, parent).withColumnRenamed("s", s), F.lit(True))  # one row each
-        alone = materialise(alone, "strengths")
         others = hosts_too.select("host").where("host <> ''").distinct().join(hosts.select("host"), "host", "left_anti")
-        new = _unlabelled(others, suffixes, domains, alone)
         none = F.lit(0).cast("bigint")
-        d = d.unionByName(new.select("host", none.alias("n"), none.alias("bad"), "rate", "rho"))
-    d = d.withColumn("bound", _bound(F.col("rate"), F.col("rho"), z))
+        d = d.unionByName(others.select("host", none.alias("n"), none.alias("bad"), domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")))
+    d = _counting(d.withColumn("__n", F.greatest("n", F.lit(1))), "__n", "bad", host_rho)
+    own, own_bad = F.when(F.col("n") > 0, F.col("e")).otherwise(0.0), F.when(F.col("n") > 0, F.col("b")).otherwise(0.0)
+    d = d.join(domains.drop("suffix"), "domain", "left").join(suffixes, "suffix", "left").fillna(0.0)
+
+    def rest(total, part) -> Column:
+        return F.greatest((F.lit(total) if isinstance(total, float) else F.col(total)) - part, F.lit(0.0))
+
+    top = rest(all_n, F.col("suffix_e")) + 2
+    rate, weight = (rest(all_bad, F.col("suffix_b")) + 1) / top, top
+    for name, rho, n, bad in (("suffix", suffix_rho, rest("suffix_n", F.col("domain_e")), rest("suffix_bad", F.col("domain_b"))),
+                              ("domain", domain_rho, rest("domain_n", own), rest("domain_bad", own_bad)),
+                              ("host", host_rho, F.col("n"), F.col("bad"))):
+        d = d.withColumn(f"{name}_rate", rate).withColumn(f"{name}_weight", weight)
+        rate, weight = _posterior(F.col(f"{name}_rate"), F.col(f"{name}_weight"), rho, n, bad)
+    d = d.withColumn("rate", rate).withColumn("weight", weight)
+    d = d.withColumn("bound", F.col("rate") - z * F.sqrt(F.greatest(F.col("rate") * (1 - F.col("rate")), F.lit(0.0)) / (F.col("weight") + 1)))
     return d.select("host", "n", "bad", "rate", "bound", (F.col("bound") > limit).alias("blocked"))
 
 

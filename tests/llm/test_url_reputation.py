@@ -60,3 +60,53 @@ def test_unlabelled_hosts_are_judged_by_domain_then_suffix(spark):
     # the further away the level that has labels, the wider the bound
     near, far = rep["new.bad.com"], rep["new.elsewhere.org"]
     assert near.rate - near.bound < far.rate - far.bound
+
+
+def labelled(*groups):
+    """Labels of (host, bad ones, all)."""
+    return [(h, int(i < bad)) for h, bad, n in groups for i in range(n)]
+
+
+def test_one_label_blocks_no_host(spark):
+    rows = labelled(("solo.tiny.com", 1, 1), ("new.one.com", 1, 1), ("bad.one.com", 59, 61), ("good.two.com", 3, 303), ("a.three.org", 0, 50), ("b.four.org", 2, 40))
+    rep = {r.host: r for r in U.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert {h for h, r in rep.items() if r.blocked} == {"bad.one.com"}
+
+
+def test_own_labels_count_once_and_doubt_is_handed_down(spark):
+    many = labelled(*[(f"h{i}.bad.com", 30, 30) for i in range(20)], *[(f"h{i}.good.com", 0, 30) for i in range(20)])
+    few = labelled(("h.bad.com", 30, 30), ("h.good.com", 0, 30))
+    asked = spark.createDataFrame([("new.bad.com",), ("new.good.com",)], "host string")
+    wide, narrow = ({r.host: r for r in U.reputations(spark.createDataFrame(x, "host string, bad int"), hosts_too=asked).collect()} for x in (few, many))
+    assert narrow["new.bad.com"].blocked and not wide["new.bad.com"].blocked and not narrow["new.good.com"].blocked
+    # thirty labels of one host are less evidence for its domain than as many of thirty hosts
+    spread = labelled(*[(f"h{i}.bad.com", 1, 1) for i in range(30)], ("h.good.com", 0, 30))
+    apart = {r.host: r for r in U.reputations(spark.createDataFrame(spread, "host string, bad int"), hosts_too=asked).collect()}
+    assert apart["new.bad.com"].bound > wide["new.bad.com"].bound
+
+
+def test_sql_is_the_very_rule(spark):
+    import duckdb
+
+    from tessera.llm.queries import url_sql
+    rng = __import__("random").Random(4)
+    rows = [("solo.tiny.com", 1), ("x", 1), ("x", 1)]
+    for suffix in ("com", "org", "co.uk", "xyz"):
+        for d in range(12):
+            for h in range(rng.randrange(1, 6)):
+                p = rng.choice((0.02, 0.05, 0.5, 0.97, 1.0)) if suffix != "xyz" else 0.99
+                rows += [(f"h{h}.d{d}.{suffix}", int(rng.random() < p)) for _ in range(rng.choice((1, 1, 2, 5, 30)))]
+    rows += [(None, 1), ("h1.d1.com", None)]
+    labels = spark.createDataFrame(rows, "host string, bad int")
+    hosts = sorted({h for h, _ in rows if h}) + [f"new.d{d}.{s}" for d in range(14) for s in ("com", "org", "co.uk", "xyz", "net")] + ["d1.com", "co.uk", "y"]
+    urls = [(i, f"http://{h}/p") for i, h in enumerate(hosts)] + [(9998, None), (9999, "none")]
+    got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(urls, "page_id bigint, url string"), labels, rules=()).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", urls)
+    con.execute("CREATE TABLE outcomes (host VARCHAR, bad INTEGER)")
+    con.executemany("INSERT INTO outcomes VALUES (?, ?)", rows)
+    expected = {r[0]: r[4] for r in con.execute(url_sql(False, "SELECT host, bad FROM outcomes")).fetchall()}
+    assert got == expected
+    by = {hosts[i]: v for i, v in got.items() if i < len(hosts)}
+    assert by["solo.tiny.com"] == "allow" and {"block", "allow"} <= {by[h] for h in by if h.startswith("new.")} and "block" in {by[h] for h in by if h.startswith("h")}
