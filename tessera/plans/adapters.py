@@ -54,11 +54,10 @@ def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("id"), F.col("label"), F.col("embedding").alias("pixels"))
 
 
-def part_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part as 2x2x3 images: pixel k (1..12) is ``(p_partkey * k * 37) % 256``."""
-    px = F.transform(F.sequence(F.lit(1), F.lit(12)),
-                     lambda k: ((F.col("p_partkey") * k * 37) % 256).cast("int"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), px.alias("pixels"))
+def grey_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as 4x4x4 images of whole grey values 0..255: ``floor((value + 1) * 127)``."""
+    px = F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1) * 127), F.lit(0)), F.lit(255)).cast("int"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), px.alias("pixels"))
 
 
 def class_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,22 +66,33 @@ def class_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("label"), F.col("doc_id").cast("string").alias("name"))
 
 
+def _whole(value: str = "value"):
+    """A whole number from ``events.value``."""
+    return F.floor(F.abs(value) * 100).cast("bigint")
+
+
 def gpu_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as an nvidia-smi style log ``(line_no, value)``.
+    """events as an nvidia-smi style log ``(line_no, value)``, values from ``events.value``.
 
-    A header line (``line_no = 2 * event_id``) precedes every even event; the
-    data line is ``line_no = 2 * event_id + 1``.
+    A header line (``line_no = 2 * event_id``) precedes the events with a whole
+    value divisible by 3, so blocks of all sizes occur; the data line is
+    ``line_no = 2 * event_id + 1``.
     """
-    ev = table(spark, sf_dir, "events").select("event_id")
+    ev = table(spark, sf_dir, "events").select("event_id", _whole().alias("v"))
     data = ev.select(
         (F.col("event_id") * 2 + 1).alias("line_no"),
-        F.concat(((F.col("event_id") * 7) % 101).cast("string"), F.lit(" %, "),
-                 ((F.col("event_id") * 13) % 4038).cast("string"), F.lit(" MiB")).alias("value"))
-    headers = ev.filter(F.col("event_id") % 2 == 0).select(
+        F.concat((F.col("v") % 101).cast("string"), F.lit(" %, "),
+                 (F.col("v") * 13 % 4038).cast("string"), F.lit(" MiB")).alias("value"))
+    headers = ev.filter(F.col("v") % 3 == 0).select(
         (F.col("event_id") * 2).alias("line_no"), F.lit(GPU_HEADER_LINE).alias("value"))
     return data.unionByName(headers)
 
 
+def iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as training iterations ``(event_id, iteration)``, 0 to 399, from ``events.value``."""
+    return table(spark, sf_dir, "events").select("event_id", (_whole() % 400).alias("iteration"))
+
+
 def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a log per user ``(log, line_no, value)``, values from ``events.value``.
 
@@ -91,7 +101,7 @@ def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     malformed line wherever the event's number is a multiple of 31.
     """
     ev = table(spark, sf_dir, "events")
-    whole = F.floor(F.abs("value") * 100).cast("bigint")
+    whole = _whole()
     line = F.concat((whole % 101).cast("string"), F.lit(" %, "), (whole % 4038).cast("string"), F.lit(" MiB"))
     broken = (F.col("user_id") % 40 == 7) & (F.col("event_id") % 31 == 0)
     data = ev.select(F.col("user_id").alias("log"), (F.col("event_id") * 2 + 1).alias("line_no"),

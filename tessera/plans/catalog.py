@@ -113,7 +113,7 @@ def q_one_hot_labels(spark, sf_dir):
 
 @query("scale_pixels")
 def q_scale_pixels(spark, sf_dir):
-    return A.part_pixels(spark, sf_dir).select("id", scale_pixels("pixels").alias("pixels"))
+    return A.grey_pictures(spark, sf_dir).select("id", scale_pixels("pixels").alias("pixels"))
 
 
 def _balanced(spark, sf_dir):
@@ -372,7 +372,7 @@ def q_classification_metrics(spark, sf_dir):
 @query("lr_schedule")
 def q_lr_schedule(spark, sf_dir):
     """Both programs' schedules by as-of join; the GPU's comes as a column too."""
-    it = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 400).alias("iteration"))
+    it = A.iterations(spark, sf_dir)
     cpu = TR.lookup_lr(it, TR.schedule_frame(spark, TR.LR_SCHEDULE_CPU), out="lr_cpu", base_lr=TR.BASE_LR_CPU)
     return cpu.withColumn("lr_gpu", TR.lr_at("iteration", TR.LR_SCHEDULE_GPU, TR.BASE_LR_GPU))
 

@@ -74,9 +74,9 @@ FROM embeddings, range(10) t(i)
 """
 
 ORACLE["scale_pixels"] = """
-SELECT p_partkey AS id,
-       list_transform(range(1, 13), lambda k: CAST((p_partkey * k * 37) % 256 AS INTEGER) / CAST(255.0 AS DOUBLE)) AS pixels
-FROM part
+SELECT vec_id AS id,
+       list_transform(embedding, lambda x: least(greatest(CAST(floor((CAST(x AS DOUBLE) + 1) * 127) AS INTEGER), 0), 255) / CAST(255.0 AS DOUBLE)) AS pixels
+FROM embeddings
 """
 
 # Balanced, split and batched embeddings (seed 12345, 80/20, batch 20).
@@ -132,12 +132,11 @@ FROM spl
 """
 
 _LOG = """
+ev AS (SELECT event_id, CAST(floor(abs(value) * 100) AS BIGINT) AS v FROM events),
 log AS (
-  SELECT event_id * 2 + 1 AS line_no,
-         CAST(event_id * 7 % 101 AS VARCHAR) || ' %, ' || CAST(event_id * 13 % 4038 AS VARCHAR) || ' MiB' AS value
-  FROM events
+  SELECT event_id * 2 + 1 AS line_no, CAST(v % 101 AS VARCHAR) || ' %, ' || CAST(v * 13 % 4038 AS VARCHAR) || ' MiB' AS value FROM ev
   UNION ALL
-  SELECT event_id * 2, 'utilization.gpu [%], memory.used [MiB]' FROM events WHERE event_id % 2 = 0)
+  SELECT event_id * 2, 'utilization.gpu [%], memory.used [MiB]' FROM ev WHERE v % 3 = 0)
 """
 
 _PARSE = """
@@ -426,12 +425,11 @@ FROM f GROUP BY source
 """
 
 ORACLE["lr_schedule"] = """
-SELECT event_id, event_id % 400 AS iteration,
-       CAST(CASE WHEN event_id % 400 >= 300 THEN 0.003 WHEN event_id % 400 >= 200 THEN 0.005
-                 WHEN event_id % 400 >= 100 THEN 0.008 ELSE 0.01 END AS DOUBLE) AS lr_cpu,
-       CAST(CASE WHEN event_id % 400 >= 100 THEN 0.0001 WHEN event_id % 400 >= 80 THEN 0.0005
-                 WHEN event_id % 400 >= 40 THEN 0.001 ELSE 0.003 END AS DOUBLE) AS lr_gpu
-FROM events
+WITH i AS (SELECT event_id, CAST(floor(abs(value) * 100) AS BIGINT) % 400 AS n FROM events)
+SELECT event_id, n AS iteration,
+       CAST(CASE WHEN n >= 300 THEN 0.003 WHEN n >= 200 THEN 0.005 WHEN n >= 100 THEN 0.008 ELSE 0.01 END AS DOUBLE) AS lr_cpu,
+       CAST(CASE WHEN n >= 100 THEN 0.0001 WHEN n >= 80 THEN 0.0005 WHEN n >= 40 THEN 0.001 ELSE 0.003 END AS DOUBLE) AS lr_gpu
+FROM i
 """
 
 ORACLE["asof_prices"] = """
