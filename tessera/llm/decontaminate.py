@@ -10,6 +10,10 @@ most (1 - t) u shingles, so with a sketch of (1 - t) u + hits values at least
 fewer hits is not looked at again.  Candidates are verified by the exact
 containment of the shingles themselves.
 
+An item of fewer words than a shingle has is one shingle of all its words; the
+documents' runs of as many words are looked up as well, for the few lengths that
+such items have.
+
 Only DataFrame functions are used.
 """
 
@@ -47,6 +51,16 @@ def shingle_hashes(hashes: Column, words: Column, size: int = SIZE) -> Column:
     return F.when(n >= size, whole).when(n > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
+def short_runs(words: Column, lengths: list[int]) -> Column:
+    """The texts of all runs of ``lengths`` words; ``words`` must be a plain column."""
+    n, none = F.size(words), F.array().cast("array<string>")
+
+    def runs(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))).otherwise(none)
+
+    return F.concat(none, *[runs(k) for k in lengths])
+
+
 def _hashed(df: DataFrame, text: str, words: str, word_hashes: str, out: str, size: int) -> DataFrame:
     d = df.withColumn(words, word_list(F.col(text)))
     d = d.withColumn(word_hashes, F.transform(words, lambda w: F.xxhash64(w)))
@@ -54,7 +68,7 @@ def _hashed(df: DataFrame, text: str, words: str, word_hashes: str, out: str, si
 
 
 def item_sketches(items: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One row per item: item, item_shingles (distinct), n, hits, sketch (empty without words)."""
+    """One row per item: item, item_shingles (distinct), n, words, hits, sketch (empty without words)."""
     d = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
     d = _hashed(d, "text", "w", "wh", "h", size)
     d = (d.withColumn("item_shingles", F.array_distinct(shingles(F.col("w"), size))).withColumn("h", F.array_distinct("h"))
@@ -63,7 +77,7 @@ def item_sketches(items: DataFrame, item_col: str = "item_id", text_col: str = "
     need = F.ceil(F.col("n") * percent / 100).cast("int")
     d = d.withColumn("hits", F.least(need, F.when(F.col("n") < 8, 1).when(F.col("n") < 32, 2).otherwise(4)))
     missed = F.floor(most * (100 - percent) / 100).cast("int")
-    return d.select("item", "item_shingles", "n", "hits", F.slice(F.array_sort("h"), 1, missed + F.col("hits")).alias("sketch"))
+    return d.select("item", "item_shingles", "n", F.size("w").alias("words"), "hits", F.slice(F.array_sort("h"), 1, missed + F.col("hits")).alias("sketch"))
 
 
 def containments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -72,25 +86,30 @@ def containments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     n_shared of an item's n_item distinct shingles occur in the document, at
     least ``percent`` in a hundred.  Words are lower-case runs of letters and
-    digits.  An item (a document) of fewer than ``size`` words is one shingle,
-    so it matches only its like; without words it matches nothing, as a null
-    text.  Null ids match like others.  Rows repeated in either table give one
+    digits.  An item of fewer than ``size`` words is one shingle, found wherever
+    a document has these words in a row; without words it matches nothing, as a
+    null text.  Null ids match like others.  Rows repeated in either table give one
     row.  Empty tables give no rows.
     """
     known = materialise(item_sketches(items, item_col, item_text, size, percent), "items").where("n > 0")
+    # at most size - 1 numbers
+    short = sorted(r[0] for r in known.where(F.col("words") < size).select("words").distinct().collect())
     probes = known.select("item", "hits", F.explode("sketch").alias("h")).distinct()
     if (known.agg(F.sum(F.size("sketch"))).first()[0] or 0) <= SMALL:
         probes = F.broadcast(probes)
     text = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
     text = text.withColumn("version", F.xxhash64("text"))
     # explode_outer: explode would add a filter on the array, computed a second time below the projections
-    found = _hashed(text, "text", "w", "wh", "h", size).select("doc", "version", F.explode_outer("h").alias("h"))
+    hashed = _hashed(text, "text", "w", "wh", "h", size)
+    if short:
+        hashed = hashed.withColumn("h", F.concat("h", F.transform(short_runs(F.col("w"), short), lambda x: F.xxhash64(x))))
+    found = hashed.select("doc", "version", F.explode_outer("h").alias("h"))
     candidates = materialise(found.join(probes, "h").groupBy("doc", "version", "item", "hits")
                              .agg(F.count_distinct("h").alias("found")).where("found >= hits").select("doc", "version", "item"), "candidates")
     some = candidates.select("doc", "version").distinct()
     again = (text.join(some, text.doc.eqNullSafe(some.doc) & (text.version == some.version), "left_semi")
              .dropDuplicates(["doc", "version"]).withColumn("w", word_list(F.col("text")))
-             .withColumn("shingles", shingles(F.col("w"), size)).drop("text", "w"))
+             .withColumn("shingles", F.concat(shingles(F.col("w"), size), short_runs(F.col("w"), short))).drop("text", "w"))
     pairs = (candidates.withColumnRenamed("doc", "doc_").withColumnRenamed("version", "version_")
              .join(again, F.col("doc_").eqNullSafe(F.col("doc")) & (F.col("version_") == F.col("version")))
              .join(known.select(F.col("item").alias("item_"), "item_shingles", "n"), F.col("item").eqNullSafe(F.col("item_"))))

@@ -60,7 +60,9 @@ ORACLE["op3_decontaminate"] = r"""
 WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
 w AS (SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM t),
 g AS (SELECT kind, id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS s FROM w),
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS s FROM w
+      UNION SELECT kind, id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) FROM w,
+        (SELECT DISTINCT len(w) AS k FROM w WHERE kind = 'b' AND len(w) BETWEEN 1 AND 4) WHERE kind = 'd'),
 n AS (SELECT id, count(*) AS n_item FROM g WHERE kind = 'b' GROUP BY id),
 c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM g d JOIN g b USING (s) WHERE d.kind = 'd' AND b.kind = 'b' GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared FROM c JOIN n ON n.id = item_id WHERE n_shared * 100 >= n_item * 80

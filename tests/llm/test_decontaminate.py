@@ -17,7 +17,8 @@ def shingles(w):
 def brute(docs, items):
     out = set()
     for d, text in docs:
-        s = shingles(words(text))
+        w = words(text)
+        s = shingles(w) | {tuple(w[i:i + k]) for k in range(1, 5) for i in range(len(w) - k + 1)}
         for i, t in items:
             g = shingles(words(t))
             if g and 100 * len(g & s) >= 80 * len(g):
@@ -28,7 +29,7 @@ def brute(docs, items):
 def make(seed):
     rng = random.Random(seed)
     vocab = [f"v{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choices(vocab, k=rng.choice((0, 2, 5, 6, 9, 20, 40, 80))))) for i in range(30)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice((0, 2, 3, 4, 5, 6, 9, 20, 40, 80))))) for i in range(30)]
     docs = []
     for d in range(200):
         w = rng.choices(vocab, k=rng.choice((0, 2, 30, 400)))
@@ -66,7 +67,7 @@ def test_edge_rows(spark, corpus, empty):
     item = spark.createDataFrame([(1, " ".join(f"WORD{i}" for i in range(20))), (1, " ".join(f"WORD{i}" for i in range(20))), (2, "short text"), (3, None), (4, "")],
                                  "item_id bigint, text string")
     got = {(r.doc, r.item) for r in D.containments(corpus, item).collect()}
-    # item 1 in every copy of the base text but the edited one; short texts match whole
+    # item 1 in every copy of the base text but the edited one; short items match wherever their words stand
     assert got == {(1, 1), (2, 1), (None, 1), (13, 1), (7, 2), (8, 2), (12, 2)}
     left = D.remove_contaminated(corpus, item)
     assert left.columns == corpus.columns
@@ -79,3 +80,11 @@ def test_main_path_is_native(spark, corpus):
     plan = D.remove_contaminated(corpus, spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string"))
     text = plan._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_short_items_inside_longer_documents(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, "Quick, brown fox jumps"), (3, "quick brown"), (4, "fox jumps quick brown"),
+                                  (5, None), (6, "brown")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "quick brown fox jumps"), (2, "Brown!"), (3, "quick brown"), (4, "jumps over the lazy cat")], "item_id bigint, text string")
+    got = {(r.doc, r.item) for r in D.containments(docs, items).collect()}
+    assert got == {(1, 1), (2, 1), (1, 2), (2, 2), (3, 2), (4, 2), (6, 2), (1, 3), (2, 3), (3, 3), (4, 3)}
