@@ -113,12 +113,6 @@ def memory_percent(mem_mib="mem_mib", total_mib: int = GPU_TOTAL_MEMORY_MIB) ->
     return (_c(mem_mib) / F.lit(total_mib) * F.lit(100)).cast("int")
 
 
-def assert_parsed(ok: Column, value="value", line_no="line_no") -> Column:
-    """Raise on a malformed line, naming the line and its number."""
-    return F.when(~ok, F.raise_error(F.concat(
-        F.lit("line: "), _c(value), F.lit(" line_number: "), _c(line_no).cast("string"))))
-
-
 # --- time (P13) ---------------------------------------------------------------
 
 def ms_to_minutes(ms="ms") -> Column:

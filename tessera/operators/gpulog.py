@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import (
     GPU_TOTAL_MEMORY_MIB, is_header, memory_percent, parse_gpu_mem, parse_gpu_util,
 )
-from tessera.operators.ordering import running_totals
+from tessera.operators.ordering import running_totals, written
 
 MAX_HISTORY = 500
 RESAMPLE_POINTS = 300
@@ -92,12 +92,12 @@ def steps(log: DataFrame, max_history: int = MAX_HISTORY, bucket: int = LINE_BUC
 def _steps_of(log: DataFrame, max_history: int, bucket: int, total_mib: int) -> tuple[DataFrame, int, int]:
     """The steps of a log, N, and the number of steps kept.
 
-    Data lines are numbered and parsed once (persisted); three small results
+    Data lines are numbered and parsed once (written to the shared folder); three small results
     reach the driver: N, the kept steps (at most ``max_history + 1`` rows)
     and the first malformed line, if any.
     """
     spark = log.sparkSession
-    data = parse_lines(_blocks(log, bucket), total_mib, strict=False).persist()
+    data = written(parse_lines(_blocks(log, bucket), total_mib, strict=False))
     blocks = data.groupBy("blk").agg(F.max("d").alias("end_d"), F.count(F.lit(1)).alias("size"))
     last = blocks.filter(F.col("blk") > 0).orderBy(F.col("blk").desc()).select("size").limit(1).collect()
     empty = spark.createDataFrame([], "step bigint, gpu int, util int, mem_pct int, line_no bigint")

@@ -88,7 +88,6 @@ def epochs_from_days(times: DataFrame, day: str = "day", ms: str = "ms") -> Data
 # --- T1: synchronous parameter averaging ----------------------------------------
 
 CHUNK = 1 << 16
-GRADIENT_BATCH = 256
 _STATS_SCHEMA = "worker int, iteration bigint, score double, n bigint"
 ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-8
 
@@ -171,49 +170,6 @@ def _lr_for(iteration: int, schedule, base_lr: float) -> float:
     return lr
 
 
-def full_batch_gradient(df: DataFrame, layers, params: dict, input_shape, features: str = "features",
-                        onehot: str = "onehot", l2: float = 0.0) -> tuple[dict, int]:
-    """Mean gradient over every row: partial sums per partition (Arrow batches
-    in ``mapInPandas``), summed per parameter chunk on executors
-    (``reduce_chunks``); only the model-sized result reaches the driver."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(params)
-
-    def grads(it):
-        p = bc.value
-        total = None
-        n = 0
-        for pdf in nn.slices(it, GRADIENT_BATCH):
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features]])
-            y = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[onehot]])
-            probs, cache = nn.forward(p, layers, input_shape, x, keep=True)
-            g = nn.backward(p, layers, cache, probs, y, l2=0.0)
-            b = len(pdf)
-            g = {k: v * b for k, v in g.items()}
-            total = g if total is None else {k: total[k] + g[k] for k in g}
-            n += b
-        if total is not None:
-            from pyspark import TaskContext
-            pid = TaskContext.get().partitionId()   # spreads the partial sums over the reduction tree
-            rows = _chunks("grad", pid, total)
-            rows.append(("count", pid, -1, "", 0, np.array([float(n)]).tobytes(), None, None, n))
-            yield pd.DataFrame(rows, columns=_ROW_SCHEMA.fieldNames())
-
-    parts = df.select(features, onehot).mapInPandas(grads, _ROW_SCHEMA)
-    summed = reduce_chunks(parts, op="sum").toPandas()
-    cnt = summed[summed["layer"] == -1]
-    n = int(round(_vec(cnt["values"].iloc[0])[0])) if len(cnt) else 0
-    g = _assemble(summed[summed["layer"] >= 0], params)
-    g = {k: v / max(n, 1) + (l2 * params[k] if k[1] == "W" else 0.0) for k, v in g.items()}
-    return g, n
-
-
-def sgd_step(df: DataFrame, layers, params: dict, input_shape, lr: float, l2: float = 0.0, **kw) -> dict:
-    """One plain gradient step on the whole table (one worker, one full batch)."""
-    g, _ = full_batch_gradient(df, layers, params, input_shape, l2=l2, **kw)
-    return {k: params[k] - lr * g[k] for k in params}
-
-
 def assign_rounds(samples: DataFrame, workers: int, batch: int, frequency: int, epoch: int,
                   seed: int = DEFAULT_SEED, id_col: str = "id") -> DataFrame:
     """Round structure of one epoch: ``worker = hash(seed, epoch, id) mod W``;

@@ -21,6 +21,7 @@ from tessera.operators.asof import asof_join
 from tessera.operators import evaluate as EV
 from tessera.operators import extract, gpulog, nn, prepare
 from tessera.operators import rebalance as R
+from tessera.operators.ordering import written
 from tessera.operators import train as TR
 from tessera.operators.timing import ProgramTimes
 from tessera.plans import adapters as A
@@ -142,7 +143,7 @@ def q_assign_batches(spark, sf_dir):
 @query("min_max_scale")
 def q_min_max_scale(spark, sf_dir):
     b, bal = _balanced(spark, sf_dir)
-    s = prepare.split_train_test(b, bal).withColumnRenamed("pixels", "features").persist()
+    s = written(prepare.split_train_test(b, bal).withColumnRenamed("pixels", "features"))
     stats = prepare.fit_min_max(s.filter(F.col("split") == "train"), "features")
     out = prepare.apply_min_max(s, stats, "features")
     return out.select("id", "split", round_array("features", 6).alias("features"))
@@ -600,7 +601,7 @@ def q_train_evaluate(spark, sf_dir):
     """T1 -> N7 -> A7 -> A8: train on the balanced train split, score the
     test split, report the metrics."""
     samples, _ = prepare.prepare_samples(A.embedding_images(spark, sf_dir), n_classes=10, batch=20)
-    samples = samples.withColumn("features", F.transform("features", lambda x: x.cast("double"))).persist()
+    samples = written(samples.withColumn("features", F.transform("features", lambda x: x.cast("double"))))
     params, _ = TR.train(samples.filter(F.col("split") == "train"), SOFTMAX_LAYERS, (1, 1, 64), batch=20,
                          averaging_frequency=3, epochs=1, workers=4)
     pred = TR.evaluate_model(samples.filter(F.col("split") == "test"), SOFTMAX_LAYERS, params, (1, 1, 64))
@@ -623,7 +624,7 @@ def q_train_classifier(spark, sf_dir):
     pics = load_images(spark, path, 32, 32, 3).select(
         F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("id"), "label", "pixels")
     samples, bal = prepare.prepare_samples(pics, batch=20, scale=True)
-    samples = samples.persist()
+    samples = written(samples)
     layers = nn.classifier_layers(bal.n_classes)
     params, _ = TR.train(samples.filter(F.col("split") == "train"), layers, (32, 32, 3), batch=20,
                          averaging_frequency=3, epochs=1, workers=8)
