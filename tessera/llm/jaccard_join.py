@@ -16,7 +16,11 @@ of a posting list:
    on the full sets;
 2. rest: what is not yet in the component of its list's leader is paired with
    every document of another component in that list that sizes, positions and
-   a 256-bit parity signature of the whole set allow, and verified.
+   a 256-bit parity signature of the whole set allow, and verified.  Documents that
+   share many shingles share most of them in a row, so a pair is made only where
+   a run of shared shingles begins: where the listed shingles before the shared
+   one differ.  Its first shared shingle is such a place, so no pair is lost; how
+   many shingles the two prefixes share is then counted once a pair.
 
 A pair that neither step looks at is in one component already, or shares too
 few prefix shingles to be a link; so the components are exact.
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fresh, materialise
 from tessera.llm.components import components
 from tessera.llm.exact_dedup import decisions
-from tessera.llm.textarrays import lowered, mix, shingle_set, slices, words
+from tessera.llm.textarrays import PIECE, lowered, mix, shingle_set, slices, words
 
 #: Cells of the frequency sketch, and of one slice of it.
 CELLS, SLICE = 1 << 20, 1 << 10
@@ -48,7 +52,7 @@ READ, FETCH = 1.0, 1.0
 
 def _sets(column, size: int):
     """Sorted distinct shingles of every text of an Arrow column (each text ends with a space)."""
-    for _, data, off in slices(column):
+    for _, data, off in slices(column, PIECE):
         starts, _, hashes = words(lowered(data))
         cut = np.searchsorted(starts, off)
         for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -191,11 +195,31 @@ def _enough(percent: int):
     return F.col("shared") >= _total(n, m, percent) - beyond
 
 
-def _pairs(joined: DataFrame, p: str, q: str, percent: int, *by: str) -> DataFrame:
-    """``(x, y, shared)`` of the candidate pairs among postings already joined on their shingle."""
+def _pair(p: str, q: str):
+    """``(x, y)`` of a pair of postings: structs n, id, asked, the smaller set first."""
     one, two = (F.struct(F.col(f"{c}.n").alias("n"), F.col(f"{c}.id").alias("id"), F.col(f"{c}.asked").alias("asked")) for c in (p, q))
-    return (joined.where(_may_link(p, q, percent)).select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"), *by)
-            .groupBy("x", "y", *by).agg(F.count(F.lit(1)).alias("shared")).where(_enough(percent)))
+    return F.least(one, two).alias("x"), F.greatest(one, two).alias("y")
+
+
+def _star(joined: DataFrame, percent: int) -> DataFrame:
+    """``(x, y, head, shared)`` of the candidate pairs of postings and their lists' leaders."""
+    return (joined.where(_may_link("p", "leader", percent)).select(*_pair("p", "leader"), "head")
+            .groupBy("x", "y", "head").agg(F.count(F.lit(1)).alias("shared")).where(_enough(percent)))
+
+
+def _rest(of: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` of the candidate pairs between documents of one list and different components."""
+    left = of.where("rest").select("token", F.col("p").alias("q"), F.col("p_bits").alias("q_bits"), F.col("before").alias("q_before"), F.col("component").alias("other"))
+    begins = F.coalesce(F.col("before") != F.col("q_before"), F.lit(True))
+    made = (left.join(of, "token").where((F.col("component") != F.col("other")) & (~F.col("rest") | (F.col("q.id") < F.col("p.id"))))
+            .where(begins & _may_link("p", "q", percent) & _bits_allow("p", "q", percent)))
+    pairs = materialise(made.select(*_pair("p", "q")).distinct(), "pairs")
+    for c in ("x", "y"):
+        own = nodes.select("id", F.col("prefix").alias(f"{c}_prefix"))
+        pairs = pairs.join(own, F.col(f"{c}.id") == F.col("id")).drop("id")
+    pairs = pairs.withColumn("head", _head(F.col("x.n"), F.col("x.asked"), percent).cast("int"))
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect(F.expr("slice(x_prefix, 1, head)"), F.col("y_prefix"))))
+    return pairs.where(_enough(percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def fetch_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -257,7 +281,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         .where("listed > 1").drop("listed"), "postings")
 
     lead = postings.where("p.id <> leader.id").withColumn("head", F.col("leader.id"))
-    star = _pairs(lead, "p", "leader", percent, "head").select(
+    star = _star(lead, percent).select(
         F.col("head").alias("a"), F.when(F.col("x.id") == F.col("head"), F.col("y.id")).otherwise(F.col("x.id")).alias("b"), "shared")
     best = materialise(star.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b"), "pairs")
     first_ids = materialise(best.select(F.col("a").alias("id")).union(best.select("b")).distinct(), "ids")
@@ -265,18 +289,15 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     links = verify(best, sets, percent)
     comp = components(links)
 
-    mine = nodes.select("id", "bits").join(comp, "id", "left")
+    mine = nodes.select("id", F.col("bits").alias("p_bits")).join(comp, "id", "left")
     heads = comp.select(F.col("id").alias("head"), F.col("component").alias("head_component"))
-    of = (postings.join(mine, F.col("p.id") == mine.id, "left")
+    inside = Window.partitionBy("id").orderBy("p.pos")  # the postings go to their documents for the join too
+    of = (postings.withColumn("id", F.col("p.id")).withColumn("before", F.lag("token").over(inside)).join(mine, "id")
           .join(heads, F.col("leader.id") == F.col("head"), "left")
-          .select("token", "p", F.col("bits").alias("p_bits"), F.coalesce("component", "p.id").alias("component"),
+          .select("token", "before", "p_bits", "p", F.coalesce("component", "p.id").alias("component"),
                   F.coalesce("head_component", "leader.id").alias("head_component")))
     of = materialise(of.withColumn("rest", F.col("component") != F.col("head_component")).drop("head_component"), "postings")
-    left = of.where("rest").select("token", F.col("p").alias("q"), F.col("p_bits").alias("q_bits"), F.col("component").alias("other"))
-    pairs = left.join(of, "token").where((F.col("component") != F.col("other")) & (~F.col("rest") | (F.col("q.id") < F.col("p.id")))
-                                         & _bits_allow("p", "q", percent))
-    more = _pairs(pairs, "p", "q", percent).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    more = materialise(more, "pairs")
+    more = materialise(_rest(of, nodes, percent), "pairs")
     if not more.isEmpty():
         ids = more.select(F.col("a").alias("id")).union(more.select("b")).distinct().join(first_ids, "id", "left_anti")
         sets = sets.unionByName(fetch_sets(docs, materialise(ids, "ids"), size, id_col, text_col))
