@@ -100,7 +100,7 @@ def _counts(batches):
     """Each sampled text's buckets and counts."""
     for batch in batches:
         found = []
-        for _, data, off in slices(batch.column("text")):
+        for _, data, off in slices(batch.column("text"), LONG):
             grams = list(_buckets(data, off))
             for a, b in zip(off[:-1], off[1:], strict=True):
                 n = sum(np.bincount(g[a:b], minlength=(1 << BITS) + 1) for g in grams)[:-1]

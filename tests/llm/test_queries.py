@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm.queries import ORACLE, QUERIES
@@ -74,7 +75,7 @@ def test_pipeline_stages(spark, con, corpus):
 
 
 def test_pipeline_edge_rows(spark, corpus, empty):
-    for frame in (corpus, empty):
+    for frame in (corpus.withColumn("a.b", F.lit(1)), empty):
         docs = frame
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = corpus_pipeline.materialise(stage(spark, docs, SF), "test")
