@@ -57,13 +57,11 @@ def rank_file(name: str = "byte_bpe_50k") -> str:
 
 
 def added_tokens(path: str) -> dict[str, int]:
-    """Ids of the added tokens of the vocabulary whose JSON lies beside the rank file; none where there is no JSON."""
+    """Ids of the added tokens of the vocabulary, from the JSON beside its rank file; without it ids would change, so that raises."""
     if path not in _added:
         name = os.path.splitext(path)[0] + ".json"
-        found = []
-        if os.path.exists(name):
-            with open(name, encoding="utf-8") as f:
-                found = json.load(f)["added_tokens"]
+        with open(name, encoding="utf-8") as f:
+            found = json.load(f)["added_tokens"]
         for t in found:
             if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
                 raise ValueError(f"{name}: added token {t['content']!r} is not matched as it stands")

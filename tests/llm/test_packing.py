@@ -114,3 +114,10 @@ def test_blocks_and_empty(spark, empty):
     rows = P.pack(pieces, 64, block=100).collect()
     assert len(rows) == 1000 and check(rows, 64) <= 1.05 * -(-sum(r.length for r in rows) // 64)
     assert P.pack_documents(empty).count() == 0
+
+
+def test_a_rank_file_without_its_json_raises(tmp_path):
+    path = tmp_path / "ranks.tiktoken"
+    path.write_text("")
+    with pytest.raises(FileNotFoundError):
+        P.added_tokens(str(path))
