@@ -3,17 +3,21 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.columns import ms_to_minutes, softmax
 from tessera.functions.hashing import DEFAULT_SEED, hash32, seeded_md5
 from tessera.operators import nn
 from tessera.operators.asof import asof_join
 from tessera.operators.ordering import rank_in_groups
+from tessera.sources.fs import filesystem
 
 # Learning-rate steps (iteration -> rate) of the two programs.
 LR_SCHEDULE_CPU = [(0, 0.01), (100, 0.008), (200, 0.005), (300, 0.003)]
@@ -88,78 +92,66 @@ def epochs_from_days(times: DataFrame, day: str = "day", ms: str = "ms") -> Data
 # --- T1: synchronous parameter averaging ----------------------------------------
 
 CHUNK = 1 << 16
-_STATS_SCHEMA = "worker int, iteration bigint, score double, n bigint"
 ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-8
 
-_ROW_SCHEMA = T.StructType([
-    T.StructField("kind", T.StringType()),
-    T.StructField("worker", T.IntegerType()),
-    T.StructField("layer", T.IntegerType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("chunk", T.IntegerType()),
-    T.StructField("values", T.BinaryType()),   # float64 bytes of one chunk
-    T.StructField("iteration", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-    T.StructField("n", T.LongType()),
-])
-
-
-def _chunks(kind, worker, arrays: dict):
-    """Parameter arrays as rows of at most CHUNK float64 values, stored as
-    raw bytes (a binary column crosses Arrow far faster than array<double>)."""
-    rows = []
-    for (l, nme), a in sorted(arrays.items()):
-        flat = np.asarray(a, dtype=np.float64).ravel()
-        for c in range(0, max(1, flat.size), CHUNK):
-            rows.append((kind, worker, int(l), nme, c // CHUNK, flat[c:c + CHUNK].tobytes(), None, None, None))
-    return rows
-
-
-def _vec(b) -> np.ndarray:
-    return np.frombuffer(bytes(b), dtype=np.float64)
-
-
-def _assemble(pdf: pd.DataFrame, like: dict) -> dict:
-    out = {}
-    for (l, nme), g in pdf.groupby(["layer", "name"]):
-        g = g.sort_values("chunk")
-        flat = np.concatenate([_vec(v) for v in g["values"]])
-        out[(int(l), nme)] = flat.reshape(like[(int(l), nme)].shape)
-    return out
+_STATS_SCHEMA = "worker int, iteration bigint, score double, n bigint"
+# a score per worker and iteration, and the averaged state in pieces of at most
+# CHUNK float64 values that begin at ``at``
+_FIT_SCHEMA = pa.schema([("kind", pa.string()), ("worker", pa.int32()), ("iteration", pa.int64()), ("score", pa.float64()),
+                         ("n", pa.int64()), ("at", pa.int64()), ("values", pa.binary())])
+_FIT_TYPES = "kind string, worker int, iteration bigint, score double, n bigint, at bigint, values binary"
 
 
-_KEY = ("kind", "layer", "name", "chunk")
-_RED_SCHEMA = "kind string, layer int, name string, chunk int, values binary, n long"
+def _flat(arrays: dict) -> np.ndarray:
+    """The arrays of a model as one vector, in key order."""
+    return np.concatenate([np.asarray(arrays[k], dtype=np.float64).ravel() for k in sorted(arrays)])
 
 
-def _sum_rows(pdf: pd.DataFrame, mean: bool = False) -> pd.DataFrame:
-    total = np.sum(np.stack([_vec(v) for v in pdf["values"]]), axis=0)
-    n = int(pdf["n"].sum())
-    if mean:
-        total = total / n
-    first = pdf.iloc[0]
-    return pd.DataFrame([(first["kind"], int(first["layer"]), first["name"], int(first["chunk"]),
-                          total.tobytes(), n)], columns=[*_KEY, "values", "n"])
+def _views(flat: np.ndarray, shapes: dict) -> dict:
+    """The arrays of a model as views of its vector."""
+    out, at = {}, 0
+    for k in sorted(shapes):
+        n = int(np.prod(shapes[k]))
+        out[k] = flat[at:at + n].reshape(shapes[k])
+        at += n
+    return out
 
 
-def reduce_chunks(rows: DataFrame, op: str = "mean", fanout: int = 32, workers: int | None = None) -> DataFrame:
-    """Element-wise sum or mean of chunk rows with the same
-    ``(kind, layer, name, chunk)``, over all workers.
+class Exchange:
+    """Vectors handed from task to task of a barrier stage, as files of a folder that all can reach.
 
-    With more than ``fanout`` workers (or an unknown count) it is a two-level
-    tree: rows are first summed in groups of the key and ``worker mod
-    fanout``, then the partial sums of a key meet once; no task holds more
-    than ``max(fanout, W / fanout)`` chunks.  Only the reduced rows
-    (model-sized) leave the executors.
+    A file counts once it has its full size.  (The calls of ``BarrierTaskContext``
+    look for an answer once a second, too seldom for rounds of milliseconds.)
     """
-    mean = op == "mean"
-    d = rows.select(*_KEY, "values", F.lit(1).cast("long").alias("n"), F.col("worker"))
-    if workers is None or workers > fanout:
-        d = d.withColumn("__g", F.col("worker") % F.lit(fanout)).drop("worker")
-        d = d.groupBy(*_KEY, "__g").applyInPandas(lambda p: _sum_rows(p.drop(columns="__g")), _RED_SCHEMA)
-    else:
-        d = d.drop("worker")
-    return d.groupBy(*_KEY).applyInPandas(lambda p: _sum_rows(p, mean), _RED_SCHEMA)
+
+    def __init__(self, folder: str, dtype, longest_pause: float = 0.02):
+        self.fs, self.folder = filesystem(folder)
+        self.dtype, self.longest_pause = np.dtype(dtype), longest_pause
+        self.fs.create_dir(self.folder, recursive=True)
+
+    def put(self, name: str, values: np.ndarray) -> None:
+        with self.fs.open_output_stream(f"{self.folder}/{name}") as f:
+            f.write(np.ascontiguousarray(values, dtype=self.dtype))
+
+    def wait(self, names: list[str], sizes: list[int]) -> None:
+        """Until every named vector is there, whole."""
+        pause, left = 0.0005, {f"{self.folder}/{n}": s * self.dtype.itemsize for n, s in zip(names, sizes, strict=True)}
+        while left := {i.path: left[i.path] for i in self.fs.get_file_info(list(left)) if i.size != left[i.path]}:
+            time.sleep(pause)
+            pause = min(2 * pause, self.longest_pause)
+
+    def get(self, name: str, lo: int, hi: int) -> np.ndarray:
+        with self.fs.open_input_file(f"{self.folder}/{name}") as f:
+            return np.frombuffer(f.read_at((hi - lo) * self.dtype.itemsize, lo * self.dtype.itemsize), dtype=self.dtype)
+
+    def drop(self, name: str) -> None:
+        self.fs.delete_file(f"{self.folder}/{name}")
+
+
+def task_slots(spark) -> int:
+    """Tasks that run at the same time, as Spark counts them for a barrier stage."""
+    sc = spark.sparkContext._jsc.sc()
+    return max(1, sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile()))
 
 
 def _lr_for(iteration: int, schedule, base_lr: float) -> float:
@@ -195,14 +187,16 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
     Each round every worker starts from the shared parameters (and updater
     state), fits ``averaging_frequency`` mini-batches, and the parameters and
     Adam moments are averaged (A9) over the workers that had rows.  Rows of an
-    epoch are staged once as Parquet partitioned by round in the shared folder
-    (cutting lineage; a round reads only its own folder).  Returns the final
-    parameters and the per-iteration, per-worker scores.
+    epoch are staged once as Parquet in the shared folder (cutting lineage) and
+    an epoch is one job: a barrier stage whose tasks hold the workers, read
+    their rows in round order and average among themselves (see
+    ``_epoch_fn``), so a round costs its mini-batches and no Spark job.
+    Returns the final parameters and the per-iteration, per-worker scores.
 
     ``workers`` defaults to the cluster's default parallelism (one worker per
-    task slot).  Worker fits compute in ``dtype`` (single precision by
-    default, as the reference library does); parameters and moments are
-    averaged in double precision.
+    task slot); where slots are fewer, a task holds several workers.  Worker
+    fits compute in ``dtype`` (single precision by default, as the reference
+    library does); parameters and moments are averaged in double precision.
     """
     from tessera.session import shared_path
 
@@ -212,97 +206,152 @@ def train(samples: DataFrame, layers, input_shape, batch: int = 20,
     if params is None:
         p_rows = nn.init_parameter_chunks(spark, layers, input_shape, seed, CHUNK)
         params = nn.parameters_to_numpy(p_rows, layers, input_shape)
-    params = {k: np.asarray(v, dtype=np.float64) for k, v in params.items()}
-    m_state = {k: np.zeros_like(v) for k, v in params.items()}
-    v_state = {k: np.zeros_like(v) for k, v in params.items()}
+    shapes = {k: np.shape(v) for k, v in params.items()}
+    flat = _flat(params)
+    n_params = len(flat)
+    if updater == "adam":
+        flat = np.concatenate([flat, np.zeros(2 * n_params)])  # parameters, first and second moments
     base = stage_dir or shared_path(spark, "train")
-    stats_path = f"{base}/stats"
     iteration = 0
-    n_rounds = -1
-    stats_buf: list[tuple] = []
-    wrote = False
-    cols = [id_col, features, onehot]
+    fitted = []
+    rows = samples.select(id_col, features, onehot)
+    if dtype == "float32":  # as the fits would cast them, in half the bytes
+        rows = rows.withColumn(features, F.transform(features, lambda x: x.cast("float")))
     for epoch in range(epochs):
         staged_path = f"{base}/epoch={epoch}"
-        # range-partitioned by round: each task writes the few round folders of
-        # its range (files ~ tasks + rounds, not tasks x rounds)
-        (assign_rounds(samples.select(*cols), workers, batch, averaging_frequency, epoch, seed, id_col)
-         .repartitionByRange("round", "worker")
-         .write.mode("overwrite").partitionBy("round").parquet(staged_path))
+        (assign_rounds(rows, workers, batch, averaging_frequency, epoch, seed, id_col)
+         .select("round", "worker", "mb", "wrn", features, onehot).write.mode("overwrite").parquet(staged_path))
         staged = spark.read.parquet(staged_path)
-        n_rounds = staged.agg(F.max("round")).first()[0]
-        n_rounds = -1 if n_rounds is None else int(n_rounds)
-        for r in range(n_rounds + 1):
-            state = {"p": params, "m": m_state, "v": v_state, "it": iteration}
-            bc = spark.sparkContext.broadcast(state)
-
-            fit_worker = _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_lr, updater,
-                                    dtype)
-            # One job per round: the worker fits, then one aggregate averages
-            # parameters and Adam moments over the workers.  Score rows ride
-            # along as one-row groups (layer = worker, chunk = iteration).
-            res = (staged.filter(F.col("round") == r)
-                   .groupBy("worker").applyInPandas(fit_worker, _ROW_SCHEMA))
-            pdf = reduce_chunks(res, op="mean", workers=workers).toPandas()
-            st = pdf[pdf["kind"] == "stat"]
-            stats_buf += [(int(w), int(it), float(_vec(v)[0]), int(_vec(v)[1])) for w, it, v in
-                          zip(st["layer"], st["chunk"], st["values"])]
-            params = _assemble(pdf[pdf["kind"] == "param"], params)
-            if updater == "adam":
-                m_state = _assemble(pdf[pdf["kind"] == "m"], m_state)
-                v_state = _assemble(pdf[pdf["kind"] == "v"], v_state)
-            bc.unpersist()
-            iteration += averaging_frequency
-        # scores of the epoch, written once (one row per worker and iteration)
-        if stats_buf:
-            # the first epoch replaces what an earlier run left in a caller's folder
-            spark.createDataFrame(stats_buf, _STATS_SCHEMA).write.mode("append" if wrote else "overwrite").parquet(stats_path)
-            wrote = True
-            stats_buf = []
-    if not wrote:  # no round ran
+        counts = {r["worker"]: r["count"] for r in staged.groupBy("worker").count().collect()}
+        if not counts:
+            continue
+        tasks = min(workers, task_slots(spark))
+        bc = spark.sparkContext.broadcast(flat)
+        run = _epoch_fn(bc, counts, tasks, f"{base}/exchange", iteration, shapes, layers, input_shape, features, onehot,
+                        batch, averaging_frequency, l2, lr_schedule, base_lr, updater, dtype)
+        fitted.append(f"{base}/fitted/epoch={epoch}")
+        (staged.repartitionById(tasks, F.col("worker") % tasks).sortWithinPartitions("round", "worker", "mb", "wrn")
+         .mapInArrow(run, _FIT_TYPES, barrier=True).write.mode("overwrite").parquet(fitted[-1]))
+        state = spark.read.parquet(fitted[-1]).filter("kind = 'state'").select("at", "values").toPandas().sort_values("at")
+        flat = np.concatenate([np.frombuffer(v, dtype=np.float64) for v in state["values"]])
+        bc.unpersist()
+        iteration += averaging_frequency * -(-max(counts.values()) // (averaging_frequency * batch))
+    params = {k: v.copy() for k, v in _views(flat[:n_params], shapes).items()}
+    if not fitted:  # no round ran
         return params, spark.createDataFrame([], _STATS_SCHEMA)
-    stats = spark.read.parquet(stats_path)
+    stats = spark.read.parquet(*fitted).filter("kind = 'stat'").select("worker", "iteration", "score", "n")
     return params, stats
 
 
-def _worker_fn(bc, layers, input_shape, features, onehot, l2, lr_schedule, base_lr, updater, dtype="float64"):
-    """The per-worker fit of one round, run by ``applyInPandas`` on the
-    worker's rows (at most ``averaging_frequency * batch`` of them)."""
+def _matrix(column: pa.Array, dt) -> np.ndarray:
+    """A list column as a matrix; rows without a list or of other lengths raise."""
+    if column.null_count or len(set(np.diff(column.offsets.to_numpy()))) > 1:
+        raise ValueError("samples need arrays of one length")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(dt)
+
+
+def _minibatches(batches, features: str, onehot: str, dt):
+    """``((round, worker, mb), x, y)`` of sorted Arrow batches; a mini-batch may lie in two of them."""
+    key, xs, ys = None, [], []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy() for c in ("round", "worker", "mb")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            k = tuple(keys[lo].tolist())
+            if k != key and xs:
+                yield key, np.concatenate(xs), np.concatenate(ys)
+                xs, ys = [], []
+            key = k
+            xs.append(_matrix(b.column(features).slice(lo, hi - lo), dt))
+            ys.append(_matrix(b.column(onehot).slice(lo, hi - lo), dt))
+    if xs:
+        yield key, np.concatenate(xs), np.concatenate(ys)
+
+
+def _epoch_fn(bc, counts, tasks, folder, first_iteration, shapes, layers, input_shape, features, onehot, batch, frequency,
+              l2, lr_schedule, base_lr, updater, dtype):
+    """All rounds of an epoch, run by the tasks of a barrier stage; worker w is
+    held by task ``w mod tasks``.
+
+    The state (parameters, then Adam moments) is one vector, and every task
+    averages one slice of it.  In a round a worker fits its mini-batches from
+    the shared state and hands its new state on; a task takes its slice of all
+    workers' states, in their order and in double precision, hands the mean on,
+    and joins the tasks' slices to the next shared state.  A task holds a state
+    of its own, the shared one and a slice, however many workers there are.
+    """
+    per_round = frequency * batch
 
-    def fit_worker(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = bc.value
-        dt = np.dtype(dtype)
-        p = {k: v.astype(dt) for k, v in s["p"].items()}
-        m = {k: v.astype(dt) for k, v in s["m"].items()}
-        v2 = {k: v.astype(dt) for k, v in s["v"].items()}
-        it0 = s["it"]
-        w = int(pdf["worker"].iloc[0])
-        pdf = pdf.sort_values(["mb", "wrn"])
-        out = []
-        for j, (_, g) in enumerate(pdf.groupby("mb", sort=True)):
-            x = np.stack([np.asarray(a, dtype=dt) for a in g[features]])
-            y = np.stack([np.asarray(a, dtype=dt) for a in g[onehot]])
-            probs, cache = nn.forward(p, layers, input_shape, x, keep=True, dtype=dt)
-            loss = float(-np.mean(np.sum(y * np.log(np.clip(probs, np.finfo(dt).tiny, None)), axis=1)))
-            grads = nn.backward(p, layers, cache, probs, y, l2=l2)
-            it = it0 + j
-            lr = _lr_for(it, lr_schedule, base_lr)
-            for k in p:
-                if updater == "adam":
-                    m[k] = ADAM_B1 * m[k] + (1 - ADAM_B1) * grads[k]
-                    v2[k] = ADAM_B2 * v2[k] + (1 - ADAM_B2) * grads[k] ** 2
-                    mh = m[k] / (1 - ADAM_B1 ** (it + 1))
-                    vh = v2[k] / (1 - ADAM_B2 ** (it + 1))
-                    p[k] = p[k] - lr * mh / (np.sqrt(vh) + ADAM_EPS)
-                else:
-                    p[k] = p[k] - lr * grads[k]
-            out.append(("stat", w, w, "score", it, np.array([loss, float(len(g))]).tobytes(), it, loss, len(g)))
-        rows = out + _chunks("param", w, p)
+    def fit(state, minibatches, key, it):
+        """One mini-batch, in place."""
+        found, x, y = next(minibatches)
+        if found != key:
+            raise RuntimeError(f"mini-batch {found} where {key} is due")
+        n = sum(int(np.prod(s)) for s in shapes.values())
+        p = _views(state[:n], shapes)
+        probs, cache = nn.forward(p, layers, input_shape, x, keep=True, dtype=state.dtype)
+        loss = float(-np.mean(np.sum(y * np.log(np.clip(probs, np.finfo(state.dtype).tiny, None)), axis=1)))
+        grads = nn.backward(p, layers, cache, probs, y, l2=l2)
+        g = np.concatenate([grads[k].ravel() for k in sorted(shapes)])
+        lr = _lr_for(it, lr_schedule, base_lr)
         if updater == "adam":
-            rows += _chunks("m", w, m) + _chunks("v", w, v2)
-        return pd.DataFrame(rows, columns=_ROW_SCHEMA.fieldNames())
-
-    return fit_worker
+            m, v = state[n:2 * n], state[2 * n:]
+            m[:] = ADAM_B1 * m + (1 - ADAM_B1) * g
+            v[:] = ADAM_B2 * v + (1 - ADAM_B2) * g ** 2
+            mh = m / (1 - ADAM_B1 ** (it + 1))
+            vh = v / (1 - ADAM_B2 ** (it + 1))
+            state[:n] -= lr * mh / (np.sqrt(vh) + ADAM_EPS)
+        else:
+            state[:n] -= lr * g
+        return loss, len(x)
+
+    def run(batches):
+        dt = np.dtype(dtype)
+        ctx = BarrierTaskContext.get()
+        task = ctx.partitionId()
+        # a folder for this attempt of the stage
+        ex = Exchange(f"{folder}/{ctx.allGather(uuid.uuid4().hex)[0]}", dt)
+        shared = bc.value.astype(dt)
+        cuts = [len(shared) * t // tasks for t in range(tasks + 1)]
+        lo, hi = cuts[task], cuts[task + 1]
+        minibatches = _minibatches(batches, features, onehot, dt)
+        rounds = -(-max(counts.values()) // per_round)
+        for r in range(rounds):
+            active = [w for w in sorted(counts) if counts[w] > r * per_round]
+            own, stats = [w for w in active if w % tasks == task], []
+            for w in own:
+                state = shared.copy()
+                for mb in range(-(-min(per_round, counts[w] - r * per_round) // batch)):
+                    it = first_iteration + r * frequency + mb
+                    stats.append(("stat", w, it, *fit(state, minibatches, (r, w, mb), it), None, None))
+                ex.put(f"worker-{w}-{r}", state)
+            if stats:
+                yield _fit_rows(stats)
+            ex.wait([f"worker-{w}-{r}" for w in active], [len(shared)] * len(active))
+            mean = np.zeros(hi - lo)
+            for w in active:
+                mean += ex.get(f"worker-{w}-{r}", lo, hi)
+            mean /= len(active)
+            ex.put(f"slice-{task}-{r}", mean)
+            ex.wait([f"slice-{t}-{r}" for t in range(tasks)], np.diff(cuts).tolist())
+            shared = np.concatenate([ex.get(f"slice-{t}-{r}", 0, cuts[t + 1] - cuts[t]) for t in range(tasks)])
+            # all slices of this round are there, so all tasks have read its states and the slices before it
+            for w in own:
+                ex.drop(f"worker-{w}-{r}")
+            if r:
+                ex.drop(f"slice-{task}-{r - 1}")
+        if next(minibatches, None) is not None:
+            raise RuntimeError("rows are left after the last round")
+        for c in range(0, hi - lo, CHUNK):
+            yield _fit_rows([("state", None, None, None, None, lo + c, mean[c:c + CHUNK].tobytes())])
+
+    return run
+
+
+def _fit_rows(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(_FIT_SCHEMA.names, row)) for row in rows], schema=_FIT_SCHEMA)
 
 
 def evaluate_model(test: DataFrame, layers, params: dict, input_shape, features: str = "features",

@@ -148,3 +148,63 @@ def test_init_chunks_equal_rows(spark):
     a = nn.parameters_to_numpy(nn.init_parameters(spark, layers, (5, 5, 2), seed=9), layers, (5, 5, 2))
     b = nn.parameters_to_numpy(nn.init_parameter_chunks(spark, layers, (5, 5, 2), seed=9, chunk=7), layers, (5, 5, 2))
     assert a.keys() == b.keys() and all(np.array_equal(a[k], b[k]) for k in a)
+
+
+def _replay(order, p, layers, shape, workers, batch, frequency, lr):
+    """Rounds of parameter and moment averaging, one worker after the other."""
+    m = {k: np.zeros_like(v) for k, v in p.items()}
+    v2 = {k: np.zeros_like(v) for k, v in p.items()}
+    for r in range(int(order["round"].max()) + 1):
+        ends = []
+        for _, rows in order[order["round"] == r].groupby("worker"):
+            state = [{k: a.copy() for k, a in s.items()} for s in (p, m, v2)]
+            for mb, g in rows.sort_values("wrn").groupby("mb"):
+                x, y = np.stack(g["features"].map(np.asarray)), np.stack(g["onehot"].map(np.asarray))
+                pr, cache = nn.forward(state[0], layers, shape, x, keep=True)
+                gr = nn.backward(state[0], layers, cache, pr, y)
+                t = r * frequency + mb + 1
+                for k in p:
+                    state[1][k] = 0.9 * state[1][k] + 0.1 * gr[k]
+                    state[2][k] = 0.999 * state[2][k] + 0.001 * gr[k] ** 2
+                    state[0][k] = state[0][k] - lr * (state[1][k] / (1 - 0.9 ** t)) / (np.sqrt(state[2][k] / (1 - 0.999 ** t)) + 1e-8)
+            ends.append(state)
+        p, m, v2 = ({k: np.mean([e[i][k] for e in ends], axis=0) for k in p} for i in range(3))
+    return p
+
+
+def test_more_workers_than_slots_average_every_round(spark, tmp_shared):
+    """Nine workers on four slots, of unequal rows: some end rounds before the others."""
+    layers, shape, df = [{"type": "dense", "out": 3}, {"type": "output", "out": 2}], (1, 1, 4), _samples(spark, 300, seed=2)
+    p0 = nn.formula_parameters(layers, shape)
+    params, stats = TR.train(df, layers, shape, batch=4, averaging_frequency=2, workers=9, params=p0, l2=0.0,
+                             lr_schedule=[], base_lr=0.05, stage_dir=tmp_shared("t9"), dtype="float64")
+    order = TR.assign_rounds(df, 9, 4, 2, 0).toPandas()
+    assert order.groupby("worker")["round"].max().nunique() > 1
+    want = _replay(order, p0, layers, shape, 9, 4, 2, 0.05)
+    assert params.keys() == want.keys() and all(np.allclose(params[k], want[k], atol=1e-10) for k in want)
+    batches = order.groupby(["worker", "round", "mb"]).size()
+    got = {(r["worker"], r["iteration"]): r["n"] for r in stats.collect()}
+    assert got == {(w, r * 2 + mb): n for (w, r, mb), n in batches.items()}
+
+
+def test_jobs_do_not_grow_with_rounds(spark, tmp_shared):
+    sc = spark.sparkContext
+
+    def jobs(n):
+        sc.setJobGroup(f"train-{n}", "training")
+        try:
+            _, stats = TR.train(_samples(spark, n), [{"type": "output", "out": 2}], (1, 1, 4), batch=2, averaging_frequency=2,
+                                workers=2, stage_dir=tmp_shared(f"jobs-{n}"))
+            assert stats.agg(F.sum("n")).first()[0] == n
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        return len(sc.statusTracker().getJobIdsForGroup(f"train-{n}"))
+
+    assert jobs(400) <= jobs(40) + 2
+
+
+def test_samples_of_unequal_length_raise(spark, tmp_shared):
+    import pytest
+    df = _samples(spark, 20).withColumn("features", F.when(F.col("id") == 7, F.slice("features", 1, 3)).otherwise(F.col("features")))
+    with pytest.raises(Exception, match="arrays of one length"):
+        TR.train(df, [{"type": "output", "out": 2}], (1, 1, 4), workers=2, stage_dir=tmp_shared("ragged"))
