@@ -174,70 +174,79 @@ def parameters_to_rows(params: dict, chunk: int = 1 << 16) -> list[tuple]:
 
 # --- numpy kernels ----------------------------------------------------------------
 
-def _im2col(x: np.ndarray, k: int) -> np.ndarray:
-    """(B, H, W, C) -> (B, H-k+1, W-k+1, C, k, k) view of all k x k windows."""
+def _windows(x: np.ndarray, k: int) -> np.ndarray:
+    """(B, H, W, C) -> (B * (H-k+1) * (W-k+1), k * k * C), a row per k x k
+    window; a window's lines stay whole, so they are copied in runs of k * C."""
+    x = np.ascontiguousarray(x)
     B, H, W, C = x.shape
     s = x.strides
-    return np.lib.stride_tricks.as_strided(
-        x, shape=(B, H - k + 1, W - k + 1, C, k, k),
-        strides=(s[0], s[1], s[2], s[3], s[1], s[2]), writeable=False)
+    view = np.lib.stride_tricks.as_strided(
+        x, shape=(B, H - k + 1, W - k + 1, k, k * C),
+        strides=(s[0], s[1], s[2], s[1], s[3]), writeable=False)
+    return view.reshape(-1, k * k * C)
+
+
+def _kernels(W: np.ndarray) -> np.ndarray:
+    """Conv weights (F, C, k, k) as (F, k * k * C), in the order of ``_windows``."""
+    return W.transpose(0, 2, 3, 1).reshape(W.shape[0], -1)
 
 
 def conv_forward(x: np.ndarray, W: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(B, H, W, C) * (F, C, k, k) + b -> (B, H-k+1, W-k+1, F)."""
     k = W.shape[2]
-    cols = _im2col(x, k)
-    B, Ho, Wo = cols.shape[:3]
-    out = cols.reshape(B * Ho * Wo, -1) @ W.reshape(W.shape[0], -1).T
-    return out.reshape(B, Ho, Wo, W.shape[0]) + b
+    out = _windows(x, k) @ _kernels(W).T
+    return out.reshape(x.shape[0], x.shape[1] - k + 1, x.shape[2] - k + 1, W.shape[0]) + b
 
 
-def conv_backward(x, W, dy):
-    k = W.shape[2]
-    cols = _im2col(x, k)
-    B, Ho, Wo = cols.shape[:3]
-    cm = cols.reshape(B * Ho * Wo, -1)
+def conv_backward(x, W, dy, inputs: bool = True):
+    """Gradients of the input (None without ``inputs``), the weights and the biases."""
+    F_, C, k, _ = W.shape
+    B, Ho, Wo = dy.shape[:3]
     dyf = dy.reshape(B * Ho * Wo, -1)
-    dW = (dyf.T @ cm).reshape(W.shape)
+    dW = (dyf.T @ _windows(x, k)).reshape(F_, k, k, C).transpose(0, 3, 1, 2)
     db = dyf.sum(axis=0)
-    dcols = (dyf @ W.reshape(W.shape[0], -1)).reshape(B, Ho, Wo, x.shape[3], k, k)
+    if not inputs:
+        return None, dW, db
+    dcols = (dyf @ _kernels(W)).reshape(B, Ho, Wo, k, k, C)
     dx = np.zeros_like(x)
     for i in range(k):
         for j in range(k):
-            dx[:, i:i + Ho, j:j + Wo, :] += dcols[:, :, :, :, i, j]
+            dx[:, i:i + Ho, j:j + Wo, :] += dcols[:, :, :, i, j, :]
     return dx, dW, db
 
 
+def _cells(x: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k * k places of all whole k x k cells, each as (B, H//k, W//k, C), in row order."""
+    Ho, Wo = x.shape[1] // k, x.shape[2] // k
+    return [x[:, i:Ho * k:k, j:Wo * k:k, :] for i in range(k) for j in range(k)]
+
+
 def pool_forward(x: np.ndarray, k: int = 2) -> np.ndarray:
     """Max over k x k cells, stride k; trailing rows/columns are dropped."""
-    B, H, W, C = x.shape
-    Ho, Wo = H // k, W // k
-    v = x[:, :Ho * k, :Wo * k, :].reshape(B, Ho, k, Wo, k, C)
-    return v.max(axis=(2, 4))
+    first, *rest = _cells(x, k)
+    out = first.copy()
+    for place in rest:
+        np.maximum(out, place, out=out)
+    return out
 
 
 def pool_backward(x, y, dy, k=2):
-    B, H, W, C = x.shape
-    Ho, Wo = H // k, W // k
-    v = x[:, :Ho * k, :Wo * k, :].reshape(B, Ho, k, Wo, k, C)
-    mask = v == y[:, :, None, :, None, :]
-    # the first maximum of a cell takes the gradient
-    first = np.cumsum(mask.reshape(B, Ho, k, Wo, k, C).transpose(0, 1, 3, 5, 2, 4)
-                      .reshape(B, Ho, Wo, C, k * k), axis=-1) == 1
-    m = mask.transpose(0, 1, 3, 5, 2, 4).reshape(B, Ho, Wo, C, k * k) & first
-    g = m * dy[:, :, :, :, None]
-    g = g.reshape(B, Ho, Wo, C, k, k).transpose(0, 1, 4, 2, 5, 3).reshape(B, Ho * k, Wo * k, C)
     dx = np.zeros_like(x)
-    dx[:, :Ho * k, :Wo * k, :] = g
+    free = np.ones(y.shape, dtype=bool)
+    # the first maximum of a cell takes the gradient
+    for place, d in zip(_cells(x, k), _cells(dx, k)):
+        hit = free & (place == y)
+        d[...] = np.where(hit, dy, 0)
+        free &= ~hit
     return dx
 
 
 def leaky(x):
-    return np.where(x > 0, x, LEAKY_SLOPE * x)
+    return np.maximum(x, LEAKY_SLOPE * x)
 
 
 def leaky_grad(z):
-    return np.where(z > 0, 1.0, LEAKY_SLOPE).astype(z.dtype, copy=False)
+    return np.where(z > 0, z.dtype.type(1), z.dtype.type(LEAKY_SLOPE))
 
 
 def softmax_rows(z):
@@ -288,7 +297,7 @@ def backward(params, layers, cache, probs, onehot, l2: float = 0.0) -> dict:
             d = pool_backward(a_in, z, d.reshape(z.shape), layers[i].get("k", 2))
         else:
             d = d.reshape(z.shape) * leaky_grad(z)
-            dx, dW, db = conv_backward(a_in, params[(i, "W")], d)
+            dx, dW, db = conv_backward(a_in, params[(i, "W")], d, inputs=i > 0)
             grads[(i, "W")] = dW + l2 * params[(i, "W")]
             grads[(i, "b")] = db
             d = dx

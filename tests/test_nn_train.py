@@ -208,3 +208,23 @@ def test_samples_of_unequal_length_raise(spark, tmp_shared):
     df = _samples(spark, 20).withColumn("features", F.when(F.col("id") == 7, F.slice("features", 1, 3)).otherwise(F.col("features")))
     with pytest.raises(Exception, match="arrays of one length"):
         TR.train(df, [{"type": "output", "out": 2}], (1, 1, 4), workers=2, stage_dir=tmp_shared("ragged"))
+
+
+def test_pool_gradient_goes_to_the_first_maximum():
+    x = np.array([[1, 5, 2, 2, 9], [5, 0, 2, 2, 9], [7, 7, 7, 7, 7]], dtype=np.float32).reshape(1, 3, 5, 1)
+    y = nn.pool_forward(x)
+    assert y.ravel().tolist() == [5, 2]
+    d = nn.pool_backward(x, y, np.array([3, 4], dtype=np.float32).reshape(y.shape))
+    assert d.reshape(3, 5).tolist() == [[0, 3, 4, 0, 0], [0] * 5, [0] * 5] and d.dtype == np.float32
+
+
+def test_first_layer_makes_no_input_gradient(monkeypatch):
+    """Nobody reads the gradient of the pictures themselves."""
+    asked = []
+    whole = nn.conv_backward
+    monkeypatch.setattr(nn, "conv_backward", lambda *a, **b: asked.append(b.get("inputs", True)) or whole(*a, **b))
+    layers, shape = [{"type": "conv", "out": 2, "k": 3}, {"type": "conv", "out": 2, "k": 3}, {"type": "output", "out": 2}], (6, 6, 1)
+    p = nn.formula_parameters(layers, shape)
+    pr, cache = nn.forward(p, layers, shape, np.arange(72.0).reshape(2, 36) / 72, keep=True)
+    grads = nn.backward(p, layers, cache, pr, np.eye(2))
+    assert asked == [True, False] and grads.keys() == p.keys()
