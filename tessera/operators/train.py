@@ -357,8 +357,11 @@ def _fit_rows(rows) -> pa.RecordBatch:
 def evaluate_model(test: DataFrame, layers, params: dict, input_shape, features: str = "features",
                    label: str = "label", id_col: str = "id", eval_batch: int = 128) -> DataFrame:
     """Score held-out rows (N7) and return ``(actual, predicted)`` for A7/A8;
-    the label rides through the scoring step, so no join is needed."""
-    scored = nn.score(test.select(id_col, F.col(label).alias("actual"), features), layers, params,
+    the label rides through the scoring step, so no join is needed.  A row costs
+    a pass through the network, so rows are dealt evenly to all task slots
+    however few files they come from."""
+    rows = test.select(id_col, F.col(label).alias("actual"), features).repartition(task_slots(test.sparkSession))
+    scored = nn.score(rows, layers, params,
                       input_shape, features, id_col, keep=("actual",), batch=eval_batch)
     return scored.select("actual", "predicted")
 

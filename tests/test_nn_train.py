@@ -210,6 +210,13 @@ def test_samples_of_unequal_length_raise(spark, tmp_shared):
         TR.train(df, [{"type": "output", "out": 2}], (1, 1, 4), workers=2, stage_dir=tmp_shared("ragged"))
 
 
+def test_held_out_rows_of_one_file_are_scored_by_all_slots(spark):
+    layers, shape = [{"type": "output", "out": 2}], (1, 1, 4)
+    pred = TR.evaluate_model(_samples(spark, 64).coalesce(1), layers, nn.formula_parameters(layers, shape), shape)
+    parts = pred.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) == spark.sparkContext.defaultParallelism and sum(r["count"] for r in parts) == 64
+
+
 def test_pool_gradient_goes_to_the_first_maximum():
     x = np.array([[1, 5, 2, 2, 9], [5, 0, 2, 2, 9], [7, 7, 7, 7, 7]], dtype=np.float32).reshape(1, 3, 5, 1)
     y = nn.pool_forward(x)
