@@ -621,8 +621,9 @@ def q_train_classifier(spark, sf_dir):
     imgs = A.embedding_images(spark, sf_dir).select(
         "id", "label", F.transform("pixels", lambda x: F.floor((x + 1) * 127).cast("int")).alias("pixels"))
     path = write_png_folders(imgs, shared_path(spark, "classifier-images"), 8, 8)
-    pics = load_images(spark, path, 32, 32, 3).select(
-        F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("id"), "label", "pixels")
+    # decoded once: the balance counts its classes and cuts them in passes of their own
+    pics = written(load_images(spark, path, 32, 32, 3).select(
+        F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("id"), "label", "pixels"))
     samples, bal = prepare.prepare_samples(pics, batch=20, scale=True)
     samples = written(samples)
     layers = nn.classifier_layers(bal.n_classes)

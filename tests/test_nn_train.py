@@ -235,3 +235,22 @@ def test_first_layer_makes_no_input_gradient(monkeypatch):
     pr, cache = nn.forward(p, layers, shape, np.arange(72.0).reshape(2, 36) / 72, keep=True)
     grads = nn.backward(p, layers, cache, pr, np.eye(2))
     assert asked == [True, False] and grads.keys() == p.keys()
+
+
+def test_classifier_decodes_pictures_once(spark, tmp_path, monkeypatch):
+    from tessera.plans import catalog
+    rows = [(i, [float(i % 7 - 3) / 4] * 64, i % 2) for i in range(6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    class Seen(Exception):
+        pass
+
+    def stop(images, **_):
+        raise Seen(images)
+    monkeypatch.setattr(catalog.prepare, "prepare_samples", stop)
+    try:
+        catalog.QUERIES["train_classifier"](spark, str(tmp_path))
+    except Seen as e:
+        images = e.args[0]
+    assert images.count() == 6
+    assert "InPandas" not in images._jdf.queryExecution().executedPlan().toString()
