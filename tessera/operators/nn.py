@@ -191,28 +191,40 @@ def _kernels(W: np.ndarray) -> np.ndarray:
     return W.transpose(0, 2, 3, 1).reshape(W.shape[0], -1)
 
 
+# windows are made for as many pictures at a time as keep them within this size
+WINDOW_BYTES = 16 << 20
+
+
+def _blocks(x: np.ndarray, k: int) -> list[slice]:
+    B, H, W, C = x.shape
+    per = max(1, WINDOW_BYTES // max(1, (H - k + 1) * (W - k + 1) * k * k * C * x.itemsize))
+    return [slice(lo, lo + per) for lo in range(0, B, per)]
+
+
 def conv_forward(x: np.ndarray, W: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(B, H, W, C) * (F, C, k, k) + b -> (B, H-k+1, W-k+1, F)."""
-    k = W.shape[2]
-    out = _windows(x, k) @ _kernels(W).T
-    return out.reshape(x.shape[0], x.shape[1] - k + 1, x.shape[2] - k + 1, W.shape[0]) + b
+    k, kernels = W.shape[2], _kernels(W).T
+    out = np.empty((x.shape[0], x.shape[1] - k + 1, x.shape[2] - k + 1, W.shape[0]), np.result_type(x, W, b))
+    for part in _blocks(x, k):
+        np.add((_windows(x[part], k) @ kernels).reshape(out[part].shape), b, out=out[part])
+    return out
 
 
 def conv_backward(x, W, dy, inputs: bool = True):
     """Gradients of the input (None without ``inputs``), the weights and the biases."""
     F_, C, k, _ = W.shape
     B, Ho, Wo = dy.shape[:3]
-    dyf = dy.reshape(B * Ho * Wo, -1)
-    dW = (dyf.T @ _windows(x, k)).reshape(F_, k, k, C).transpose(0, 3, 1, 2)
-    db = dyf.sum(axis=0)
-    if not inputs:
-        return None, dW, db
-    dcols = (dyf @ _kernels(W)).reshape(B, Ho, Wo, k, k, C)
-    dx = np.zeros_like(x)
-    for i in range(k):
-        for j in range(k):
-            dx[:, i:i + Ho, j:j + Wo, :] += dcols[:, :, :, i, j, :]
-    return dx, dW, db
+    dW, kernels = np.zeros((F_, k * k * C), np.result_type(x, dy)), _kernels(W)
+    dx = np.zeros_like(x) if inputs else None
+    for part in _blocks(x, k):
+        dyf = dy[part].reshape(-1, F_)
+        dW += dyf.T @ _windows(x[part], k)
+        if inputs:
+            dcols = (dyf @ kernels).reshape(-1, Ho, Wo, k, k, C)
+            for i in range(k):
+                for j in range(k):
+                    dx[part, i:i + Ho, j:j + Wo, :] += dcols[:, :, :, i, j, :]
+    return dx, dW.reshape(F_, k, k, C).transpose(0, 3, 1, 2), dy.reshape(B * Ho * Wo, -1).sum(axis=0)
 
 
 def _cells(x: np.ndarray, k: int) -> list[np.ndarray]:

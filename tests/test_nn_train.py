@@ -254,3 +254,17 @@ def test_classifier_decodes_pictures_once(spark, tmp_path, monkeypatch):
         images = e.args[0]
     assert images.count() == 6
     assert "InPandas" not in images._jdf.queryExecution().executedPlan().toString()
+
+
+def test_convolution_in_blocks_keeps_memory_and_results(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, W, b = rng.normal(size=(7, 9, 8, 3)), rng.normal(size=(5, 3, 3, 3)), rng.normal(size=5)
+    y = nn.conv_forward(x, W, b)
+    grads = nn.conv_backward(x, W, y)
+    made = []
+    windows = nn._windows
+    monkeypatch.setattr(nn, "_windows", lambda *a: made.append(windows(*a)) or made[-1])
+    monkeypatch.setattr(nn, "WINDOW_BYTES", 2 * 7 * 6 * 27 * 8)  # two pictures
+    assert np.allclose(nn.conv_forward(x, W, b), y, atol=1e-12)
+    assert all(np.allclose(p, q, atol=1e-12) for p, q in zip(nn.conv_backward(x, W, y), grads))
+    assert len(made) == 8 and max(m.nbytes for m in made) <= nn.WINDOW_BYTES
