@@ -16,10 +16,6 @@ from tessera.functions.columns import ALLOWED_IMAGE_EXTENSIONS, label_from_path
 from tessera.sources.files import write_files
 
 
-# decoding tasks per task slot, where the files would make more
-TASKS_PER_SLOT = 8
-
-
 def _glob(extensions) -> str:
     return "*.{" + ",".join(extensions) + "}"
 
@@ -74,9 +70,6 @@ def load_images(spark: SparkSession, path: str, height: int = 32, width: int = 3
            .select(F.col("image.origin").alias("path"), F.col("image.height").alias("h"),
                    F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"),
                    F.col("image.data").alias("data")))
-    # Spark counts the opening of a file as megabytes, so small pictures come a few to a task
-    slots = spark.sparkContext.defaultParallelism
-    raw = raw.coalesce(TASKS_PER_SLOT * slots)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tessera.operators.nn import slices
